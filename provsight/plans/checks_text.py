@@ -1,0 +1,235 @@
+"""Queries of the text-corpus functions."""
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.extractors import PatternExtractor
+from ..functions.shared import cut
+from ..operators import reconcile as D
+from ..operators import rollup as A
+from ..operators import rules as R
+from .registry import query
+
+_NOISE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
+_MASKED = f"(SELECT stmt_id, regexp_replace(body, $r${_NOISE}$r$, ' ', 'g') AS m FROM <stmt>)"
+
+
+@query(f"SELECT stmt_id, m AS masked FROM {_MASKED}")
+def mask_noise(t):
+    return t("stmt").select("stmt_id", T.mask_noise(F.col("body")).alias("masked"))
+
+
+@query(f"SELECT stmt_id, length(body) AS n_chars, length(regexp_replace(body, $r${_NOISE}$r$, '', 'g')) AS n_code FROM <stmt>")
+def mask_same_length(t):
+    masked = t("stmt").select("stmt_id", "body", T.mask_same_length(F.col("body")).alias("m"))
+    blanks = F.length("body") - F.length(F.regexp_replace("body", T.NOISE, ""))
+    return masked.select("stmt_id", F.length("m").alias("n_chars"), (F.length("m") - blanks).alias("n_code"))
+
+
+@query("""SELECT stmt_id, s.seq, s.statement FROM (SELECT stmt_id, unnest([{'seq': 0, 'statement': 'GRANT SELECT (a; b) ON T' || stmt_id % 9 || '.H TO G'}, {'seq': 1, 'statement': body}, {'seq': 2, 'statement': 'COMMENT ''x;y'''}]) AS s FROM <stmt>)""")
+def split_statements(t):
+    script = F.concat(F.lit("GRANT SELECT (a; b) ON T"), F.col("stmt_id") % 9, F.lit(".H TO G;\n"), "body", F.lit("\n; COMMENT 'x;y' ;\n"))
+    return T.split_statements(t("stmt").select("stmt_id", script.alias("text")))
+
+
+@query("""SELECT stmt_id, CASE stmt_id % 5 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'TABLE' WHEN 3 THEN 'DROP' ELSE 'DML' END AS kind, CASE stmt_id % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'migrate' ELSE 'run' END AS intent FROM <stmt>""")
+def classify_stmt(t):
+    return T.classify_statements(t("stmt")).select("stmt_id", "kind", "intent")
+
+
+@query(r"""SELECT stmt_id, CASE WHEN stmt_id % 5 IN (0, 1) THEN regexp_extract(body, '^\w+ \w+ (\w+)\.(\w+)', 1) END AS owner_db, CASE WHEN stmt_id % 5 IN (0, 1) THEN regexp_extract(body, '^\w+ \w+ (\w+)\.(\w+)', 2) END AS owner_name FROM <stmt>""")
+def owner_stmt(t):
+    return T.extract_owner(t("stmt")).select("stmt_id", "owner_db", "owner_name")
+
+
+_HITS = rf"""h AS (SELECT stmt_id, a, unnest(regexp_extract_all(m, p || '([A-Za-z0-9_{{}}]+\.[A-Za-z0-9_]+)', 1)) AS q FROM {_MASKED},
+    (VALUES ('from', '\bFROM '), ('join', '\bJOIN '), ('insert', '\bINSERT INTO '), ('update', '\bUPDATE '), ('drop', '\bDROP TABLE ')) v(a, p))"""
+
+
+@query(f"WITH {_HITS} SELECT DISTINCT stmt_id, a AS anchor, split_part(q, '.', 1) AS ref_db, split_part(q, '.', 2) AS ref_name FROM h")
+def refs_stmt(t):
+    return T.extract_refs(t("stmt"), "stmt_id").select("stmt_id", "anchor", "ref_db", "ref_name")
+
+
+@query(f"""WITH {_HITS} SELECT DISTINCT stmt_id, CASE WHEN a IN ('from', 'join') THEN 'read' ELSE 'write' END AS intent, split_part(q, '.', 1) AS ref_db, split_part(q, '.', 2) AS ref_name,
+    CASE WHEN a IN ('from', 'join') THEN 'SELECT' ELSE upper(a) END AS privilege FROM h WHERE a <> 'drop'""")
+def intents_stmt(t):
+    return T.extract_intents(t("stmt"), "stmt_id")
+
+
+@query(f"""WITH {_HITS} SELECT DISTINCT stmt_id, split_part(q, '.', 1) AS ref_db, split_part(q, '.', 2) AS ref_name, 'SELECT' AS privilege, 'a' AS only_in FROM h WHERE a = 'join'
+    AND (stmt_id, q) NOT IN (SELECT (stmt_id, q) FROM h WHERE a = 'from')""")
+def extractor_parity(t):
+    """All anchors against all but joins: only references found through joins differ."""
+    keys = ["stmt_id", "ref_db", "ref_name", "privilege"]
+    full, less = PatternExtractor("stmt_id"), PatternExtractor("stmt_id", anchors=tuple(a for a in T.ANCHORS if a[0] != "join"))
+    return D.parity(full.intents(t("stmt")), less.intents(t("stmt")), keys)
+
+
+@query("SELECT stmt_id, 0 AS pos, 'k' AS name, NULL AS direction, 'INTEGER' AS type FROM <stmt> WHERE stmt_id % 5 = 1")
+def contract_stmt(t):
+    return T.extract_contract(t("stmt"))
+
+
+@query(r"SELECT DISTINCT stmt_id, unnest(regexp_extract_all(body, '\{\{([A-Za-z0-9_-]+)\}\}', 1)) AS token FROM <stmt>")
+def token_usage(t):
+    return T.token_usage(t("stmt"), "stmt_id")
+
+
+@query(r"""SELECT stmt_id, 2 AS line_no, 4 AS column_no, '{{' AS mark, 'a {{BAD' AS line FROM <stmt> WHERE stmt_id % 7 = 0""".replace("4 AS", "3 AS"))
+def malformed_tokens(t):
+    body = F.when(F.col("stmt_id") % 7 == 0, F.concat("body", F.lit("\na {{BAD"))).otherwise(F.col("body"))
+    return T.malformed_tokens(t("stmt").withColumn("body", body), "stmt_id")
+
+
+@query(r"""WITH s AS (SELECT stmt_id, body, regexp_extract(body, '\{\{([A-Za-z0-9_]+)\}\}', 1) AS token FROM <stmt>),
+  d AS (SELECT token, value FROM <defs> WHERE env = 1)
+  SELECT stmt_id, CASE WHEN d.token IS NULL THEN body ELSE replace(body, '{{' || d.token || '}}', d.value) END AS body, CASE WHEN d.token IS NULL THEN 0 ELSE 1 END AS n_substituted,
+    CASE WHEN s.token <> '' AND d.token IS NULL THEN s.token ELSE '' END AS undefined FROM s LEFT JOIN d ON s.token = d.token""")
+def substitute(t):
+    return T.substitute_tokens(t("stmt"), "stmt_id", t("defs").where("env = 1").select("token", "value"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT p_partkey AS k, 'R' || p_partkey AS value FROM part WHERE p_partkey < 2
+    UNION ALL SELECT p_partkey, value || '.' || p_partkey % 10 FROM part JOIN v ON floor(p_partkey / 2.0)::BIGINT = k WHERE p_partkey >= 2)
+  SELECT 'E' AS env, 'N' || k AS token, value, false AS unresolved FROM v""")
+def resolve_chain(t):
+    k = F.col("p_partkey")
+    value = F.when(k < 2, F.concat(F.lit("R"), k)).otherwise(F.concat(F.lit("{{N"), F.floor(k / 2), F.lit("}}."), k % 10))
+    return T.resolve_values(t("part").select(F.lit("E").alias("env"), F.concat(F.lit("N"), k).alias("token"), value.alias("value")), cut)
+
+
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(x, '(^|[^A-Za-z0-9_{])(?i:DEV_DWH)(_[A-Za-z0-9])', '\1{{DWH}}\2', 'g'), '(^|[^A-Za-z0-9_{])(?i:DEV)(_[A-Za-z0-9])', '\1{{ENV}}\2', 'g') AS body,
+    CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS n_prefixes FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'DEV_DWH_' || p_size || ' dev_stg_' ELSE 'Dev_x' END || p_size || ' XDEV_DWH_1 DEV_DWH DEV' AS x FROM part)""".replace("THEN 2 ELSE 1", "THEN 3 ELSE 2"))
+def prefix_rewrite(t):
+    body = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("DEV_DWH_"), "p_size", F.lit(" dev_stg_"))).otherwise("Dev_x"), "p_size", F.lit(" XDEV_DWH_1 DEV_DWH DEV"))
+    return T.tokenise_prefixes(t("part").select("p_partkey", body.alias("body")), "body", {"DEV": "ENV", "DEV_DWH": "DWH"})
+
+
+@query(r"""SELECT stmt_id, len(regexp_extract_all(body, 'T(\d)\.'))::BIGINT AS hits_db, (CASE WHEN regexp_matches(body, 'H\d') THEN 1 ELSE 0 END)::BIGINT AS hits_one,
+    regexp_replace(regexp_replace(body, 'T(\d)\.', 'T_\1.', 'g'), 'H(\d)', 'X\1') AS body FROM <stmt>""")
+def rewrite_rules(t):
+    return T.apply_rewrites(t("stmt"), "body", [("db", r"T(\d)\.", "T_$1.", False), ("one", r"H(\d)", "X$1", True)])
+
+
+@query("SELECT character, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS character FROM documents) GROUP BY 1")
+def non_ascii_chars(t):
+    return T.non_ascii(t("documents"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '–', '-'), '—', '-'), '…', '...') AS plain FROM (SELECT doc_id, text || ' – — …' AS text FROM documents)")
+def normalise_chars(t):
+    return t("documents").select("doc_id", T.normalise_chars(F.concat("text", F.lit(" – — …"))).alias("plain"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(x, '(?m)^[ \t]*\.[A-Za-z][^\n]*(?:\n|\z)'))::BIGINT AS n_dropped, sha256(regexp_replace(regexp_replace(x, '(?m)^[ \t]*\.[A-Za-z][^\n]*(?:\n|\z)', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h
+    FROM (SELECT doc_id, '.SET x' || chr(10) || replace(text, '. A', '.' || chr(10) || ' .A') || chr(10) || chr(10) || chr(10) || '.end' AS x FROM documents)""")
+def strip_lines(t):
+    x = F.concat(F.lit(".SET x\n"), F.replace("text", F.lit(". A"), F.lit(".\n .A")), F.lit("\n\n\n.end"))
+    kept, dropped = T.strip_control_lines(x)
+    return t("documents").select("doc_id", dropped.alias("n_dropped"), F.sha2(kept, 256).alias("h"))
+
+
+@query(r"""SELECT doc_id, n AS line_no, 'token' AS category FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+    WHERE regexp_matches(line, '(?i)\b(?:api[_-]?key|secret|token)\s*[=:]\s*\S')""")
+def secret_lines(t):
+    return T.scan_lines(t("documents"), "doc_id", "text").where("category = 'token'")
+
+
+@query(r"""SELECT stmt_id, 2 AS line_no, CASE WHEN stmt_id % 2 = 0 THEN 'high' ELSE 'low' END AS risk FROM <stmt> WHERE stmt_id % 3 = 0""")
+def dynamic_sql(t):
+    more = F.when(F.col("stmt_id") % 3 == 0, F.concat(F.lit("\nEXECUTE IMMEDIATE 'DROP x'"), F.when(F.col("stmt_id") % 2 == 0, " || name").otherwise(""))).otherwise("")
+    return T.dynamic_sql(t("stmt").withColumn("body", F.concat("body", more)), "stmt_id")
+
+
+@query("SELECT stmt_id, 1 AS line_no, 'unresolved_ref' AS category FROM <stmt> WHERE stmt_id % 6 = 0")
+def unresolved_refs(t):
+    body = F.concat("body", F.when(F.col("stmt_id") % 6 == 0, " x = $env:HOME_DIR").otherwise(""))
+    return T.scan_lines(t("stmt").withColumn("body", body), "stmt_id", "body").where("category = 'unresolved_ref'")
+
+
+@query("""SELECT 'VAR_' || v AS variable, count(*) AS n, 'dollar' AS syntaxes, string_agg(stmt_id::VARCHAR, ',' ORDER BY stmt_id) FILTER (rn <= 3) AS samples FROM
+    (SELECT stmt_id, regexp_extract(body, 'VAR_(\\d)', 1) AS v, row_number() OVER (PARTITION BY regexp_extract(body, 'VAR_(\\d)', 1) ORDER BY stmt_id) AS rn FROM <stmt> WHERE stmt_id % 5 = 4) GROUP BY 1""".replace("\\\\", "\\"))
+def placeholder_census(t):
+    return A.placeholder_census(T.foreign_placeholders(t("stmt"), "stmt_id"), "stmt_id")
+
+
+@query("""SELECT stmt_id, ref_name, CASE WHEN stmt_id % 5 = 0 THEN 'W' || stmt_id % 50 ELSE ref_name END AS new_name FROM (SELECT stmt_id, CASE WHEN stmt_id % 5 = 0 THEN 'v_W' || stmt_id % 50 ELSE 'T' || stmt_id % 50 END AS ref_name FROM <stmt>)""")
+def strip_affix(t):
+    name = F.when(F.col("stmt_id") % 5 == 0, F.concat(F.lit("v_W"), F.col("stmt_id") % 50)).otherwise(F.concat(F.lit("T"), F.col("stmt_id") % 50))
+    refs = t("stmt").select("stmt_id", F.lit("D").alias("ref_db"), name.alias("ref_name"))
+    objects = refs.select(F.lit("d").alias("db"), F.lower("ref_name").alias("name"), F.when(F.col("stmt_id") % 5 == 0, "VIEW").otherwise("TABLE").alias("kind")).distinct()
+    return T.strip_affixes(objects, refs).select("stmt_id", "ref_name", F.upper("new_name").alias("new_name"))
+
+
+@query("""SELECT o_orderkey, '{{DB' || o_custkey % 7 || '_' || CASE WHEN o_custkey IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0) THEN 'V' ELSE 'T' END || '}}' AS token FROM orders""")
+def kind_tokens(t):
+    refs = t("orders").select("o_orderkey", F.concat(F.lit("Db"), F.col("o_custkey") % 7).alias("ref_db"), F.concat(F.lit("O"), "o_custkey").alias("ref_name"))
+    kinds = t("part").where("p_size % 2 = 0").select(F.concat(F.lit("DB"), F.col("p_partkey") % 7).alias("db"), F.concat(F.lit("o"), "p_partkey").alias("name"), F.lit("V").alias("suffix"))
+    return T.tokenise_by_kind(refs, kinds).select("o_orderkey", "token")
+
+
+@query("SELECT stmt_id, 'destructive_change' AS rule, 'ERROR' AS severity FROM <stmt> WHERE stmt_id % 5 = 3")
+def destructive_stmt(t):
+    return R.inspect(t("stmt"), "stmt_id").where("rule = 'destructive_change'")
+
+
+@query("""SELECT * FROM (SELECT 'destructive_change' AS rule, 'ERROR' AS severity, count(*) AS n FROM <stmt> WHERE stmt_id % 5 = 3
+    UNION ALL SELECT 'hardcoded_name', 'ERROR', count(*) FROM <stmt> WHERE stmt_id % 5 IN (0, 1)
+    UNION ALL SELECT 'set_multiset', 'INFO', count(*) FROM <stmt> WHERE stmt_id % 5 = 1
+    UNION ALL SELECT 'view_column_list', 'WARNING', count(*) FROM <stmt> WHERE stmt_id % 5 = 0
+    UNION ALL SELECT 'ddl_terminator', 'WARNING', count(*) FROM <stmt> WHERE stmt_id % 5 IN (0, 1, 3)) WHERE n > 0""")
+def severity_counts(t):
+    found = R.inspect(t("stmt"), "stmt_id", severities={"set_multiset": "INFO", "keyword_case": "OFF"})
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT stmt_id FROM <stmt> WHERE stmt_id % 5 = 0 AND stmt_id % 10 = 0")
+def self_reference(t):
+    owned = T.extract_owner(t("stmt")).where("stmt_id % 5 = 0")
+    refs = owned.select("stmt_id", F.lower("owner_db").alias("ref_db"), F.when(F.col("stmt_id") % 10 == 0, F.col("owner_name")).otherwise(F.concat("owner_name", F.lit("X"))).alias("ref_name"))
+    return R.self_reference(owned, refs, "stmt_id")
+
+
+@query("SELECT o_orderkey AS stmt_id FROM orders WHERE o_orderkey % 5 = 1 AND o_custkey % 5 IN (1, 3)")
+def intra_package(t):
+    created = t("nation").where("n_nationkey IN (1, 3)").select(F.concat(F.lit("t"), "n_nationkey").alias("db"))
+    return R.intra_package(T.extract_owner(t("stmt")).where("stmt_id % 5 = 1"), created).select("stmt_id")
+
+
+@query("SELECT stmt_id, 2 AS n FROM <stmt> WHERE stmt_id % 5 IN (0, 1, 3) AND stmt_id % 4 = 0")
+def one_object(t):
+    body = F.when(F.col("stmt_id") % 4 == 0, F.concat("body", F.lit(";\nDROP TABLE a.b"))).otherwise(F.col("body"))
+    return R.one_object(t("stmt").where("stmt_id % 5 IN (0, 1, 3)").withColumn("body", body), "stmt_id")
+
+
+@query(r"""SELECT stmt_id, regexp_extract(body, '^\w+ \w+ (\w+\.\w+)', 1) AS declared, 'F' || stmt_id AS file FROM <stmt> WHERE stmt_id % 5 IN (0, 1) AND stmt_id % 2 = 0""")
+def eponymous(t):
+    owned = T.extract_owner(t("stmt"))
+    file = F.when(F.col("stmt_id") % 2 == 0, F.concat(F.lit("F"), "stmt_id", F.lit(".tbl"))).otherwise(F.lower(F.concat_ws(".", "owner_db", "owner_name", F.lit("tbl"))))
+    return R.eponymous(owned.withColumn("file", file).select("stmt_id", "body", "file"), "stmt_id", "file")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 9 = 0 AND l_partkey % 3 = 0 THEN 'public_grant' ELSE 'unmapped_grant' END AS finding FROM lineitem
+    WHERE (l_suppkey % 9 = 0 AND l_partkey % 3 = 0) OR l_partkey % 3 = 2""")
+def grant_placement(t):
+    on = F.when(F.col("l_partkey") % 3 == 0, "Tab.x").when(F.col("l_partkey") % 3 == 1, "Vis.x").otherwise("Odd.x")
+    grants = t("lineitem").select("l_orderkey", "l_linenumber", on.alias("on_object"), F.when(F.col("l_suppkey") % 9 == 0, "g1, public").otherwise("g1").alias("grantee"))
+    roles = t("region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "TAB").otherwise("VIS").alias("db"), F.when(F.col("r_regionkey") == 0, "tables").otherwise("views").alias("role"))
+    return R.grant_placement(grants, roles).select("l_orderkey", "l_linenumber", "finding")
+
+
+@query(r"""SELECT DISTINCT stmt_id, ref_db, ref_name FROM (SELECT stmt_id, split_part(unnest(regexp_extract_all(body, '(?:FROM|JOIN) (T\d\.H\d+)', 1)), '.', 1) AS ref_db, split_part(unnest(regexp_extract_all(body, '(?:FROM|JOIN) (T\d\.H\d+)', 1)), '.', 2) AS ref_name
+    FROM <stmt> WHERE stmt_id % 5 = 0) WHERE ref_db IN ('T0', 'T1', 'T2')""")
+def placement_findings(t):
+    refs = T.extract_refs(T.classify_statements(t("stmt")), "stmt_id").join(T.classify_statements(t("stmt")).select("stmt_id", "kind"), "stmt_id")
+    spaces = t("region").where("r_regionkey < 3").select(F.concat(F.lit("t"), "r_regionkey").alias("db"), F.lit("tables").alias("role"))
+    return R.placement_findings(refs, spaces).select("stmt_id", "ref_db", "ref_name").distinct()
+
+
+@query("""SELECT env, name, unnest(list_filter([CASE WHEN k % 4 = 0 THEN 'merged_lines' END, CASE WHEN k % 5 = 0 THEN 'unresolved_token' END, CASE WHEN k % 3 = 0 THEN 'key_case' END], lambda x: x IS NOT NULL)) AS finding
+    FROM (SELECT p_partkey AS k, p_size AS env, CASE WHEN p_partkey % 3 = 0 THEN 'key' ELSE 'KEY' END || p_partkey AS name FROM part)""")
+def config_findings(t):
+    k = F.col("p_partkey")
+    value = F.concat(F.lit("v"), F.when(k % 4 == 0, " NEXT_KEY=1").otherwise(""), F.when(k % 5 == 0, " {{OPEN").otherwise(""))
+    return R.config_findings(t("part").select(F.col("p_size").alias("env"), F.concat(F.when(k % 3 == 0, "key").otherwise("KEY"), k).alias("name"), value.alias("value")))
