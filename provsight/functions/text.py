@@ -254,7 +254,9 @@ def resolve_values(tokens: DataFrame, cut, passes: int = 10, env: str = "env") -
         if pairs.isEmpty():
             break
         now = cut(now.join(pairs, [env, "token"], "left").select(env, "token", F.when(F.col("pairs").isNull(), F.col("value")).otherwise(F.expr(_replaced("value", "pairs"))).alias("value")))
-    open_refs = now.select(env, "token", F.explode(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1))).alias("ref")).where("ref != token")
+    open_refs = now.select(env, "token", F.explode(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1))).alias("ref"))
+    itself = tokens.where(F.contains("value", F.concat(F.lit("{{"), "token", F.lit("}}")))).select(env, "token", F.col("token").alias("ref"))
+    open_refs = open_refs.join(itself, [env, "token", "ref"], "left_anti")  # a reference to itself from the start stays
     circular = open_refs.join(now.select(env, F.col("token").alias("ref")), [env, "ref"], "left_semi").select(env, "token").distinct().withColumn("unresolved", F.lit(True))
     return now.join(circular, [env, "token"], "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
 

@@ -11,7 +11,7 @@ RUN_LOG = "schema_version string, runs array<struct<run_id:string,started_at:str
 
 def read_corpus(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
     """(path, ext, text) of the files below root, one row each; Spark leaves out names that start with . or _."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.select("path", ext.alias("ext"), "text").where(ext.isin(*[e.lower().lstrip(".") for e in extensions]))
 
@@ -24,7 +24,7 @@ def parse_kv(texts: DataFrame, env: str = "env", text: str = "text") -> DataFram
 
 
 def read_kv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(paths).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("env"), F.col("value").alias("text"))
+    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("env"), F.col("value").alias("text"))
     return parse_kv(files)
 
 
