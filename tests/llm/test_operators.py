@@ -1,0 +1,289 @@
+"""The training-data operators against brute force, and on odd tables: nulls, empty and long texts, ties, repeats, clashing names."""
+
+import base64
+import hashlib
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers as tk
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from provsight.llm import bpe, common, decontam, licences, lines, passages, quality, revisit, simhash, tokens, wrapper
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, tid long, hash string, key string, host string"
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def prose(seed: int, n: int) -> str:
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+def docs(spark, texts, **more):
+    """Odd extra columns with the names that operators use inside."""
+    rows = [(i, t, "en", more.get("source", "s"), len(t or ""), 1, "h", "k", "x") for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+LONG = prose(1, 30_000)
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (4, "one"), (5, LONG), (6, "é ß 漢字 \U0001f600 é"), (7, "<|endoftext|> a"), (None, "no id"), (8, "\r\n\x0b\x0c\xa0x")]
+
+
+def fp(text: str) -> int:
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words)] if len(words) < 3 else [" ".join(words[k : k + 3]) for k in range(len(words) - 2)]
+    n = Counter(b for s in shingles for h in [xxhash.xxh64_intdigest(s.encode(), 42)] for b in range(64) if h >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * n[b] > len(shingles))
+
+
+def groups(items, linked):
+    root = {k: k for k in items}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(items, 2):
+        if linked(a, b):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {k: find(k) for k in items}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(60, 50), (50, 50), (70, 60), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    assert got == {k: 1 for k in range(1, 41)} | {50: 50, 60: 50, 70: 50}
+    assert common.components(edges.limit(0)).count() == 0
+
+
+def test_fingerprint_matches_definition():
+    for text in ("", " ", "A b", "A B c É", LONG[:5000], prose(3, 50).upper()):
+        assert simhash.fingerprint(text) % 2**64 == fp(text)
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT_CELL, 0, 3])
+def test_simhash_links_like_brute_force(spark, hot):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 2**63, 12)]
+    fps = sorted({b ^ sum(1 << int(p) for p in rng.choice(64, k, replace=False)) for b in base for k in (0, 1, 2, 3, 4, 5) for _ in range(3)} | {0, 2**64 - 1})
+    rows = [(k, f - 2**64 if f >= 2**63 else f) for k, f in enumerate(fps)]
+    links = simhash.near_links(spark.createDataFrame(rows, "rep long, fp long"), hot=hot)
+    got = {r.node: r.component for r in common.components(links).collect()}
+    want = groups([k for k, _ in rows], lambda a, b: ((rows[a][1] ^ rows[b][1]) & (2**64 - 1)).bit_count() <= 3)
+    assert {k: got.get(k, k) for k in want} == want
+
+
+def test_simhash_odd(spark):
+    got = simhash.near_groups(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert by[1].component_id == by[2].component_id == by[3].component_id == 1 and by[1].fp == 0
+    kept = simhash.near_dedup(docs(spark, ODD))
+    assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([0, 1, 4, 4, 5, 6, 7, 8])
+    assert simhash.near_groups(docs(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_quality_counts():
+    text = "a b c d e a b c d e\n# x\n# x\n \n"
+    assert quality.text_counts(text) == (14, 14, 2, 1, 10)
+    assert quality.text_counts(None) == quality.text_counts("") == (0, 0, 0, 0, 0)
+    assert quality.repeated_words("a a a a a a".split()) == 6
+
+
+def test_quality_hosts(spark):
+    good, bad = prose(1, 60), "x"
+    rows = [(k, bad, "junk") for k in range(40)] + [(40, good, "junk"), (41, good, None), (42, None, None)] + [(50 + k, good, f"h{k % 4}") for k in range(40)] + [(99, bad, "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert got[40].host_rejected and not got[40].kept and not got[40].base_failed
+    assert got[41].kept and not got[42].kept and got[50].kept and not got[99].kept
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {k for k, r in got.items() if r.kept}
+    assert quality.quality_rules(df.limit(0)).count() == quality.keep_good(df.limit(0)).count() == 0
+    assert quality.quality_rules(docs(spark, ODD)).count() == len(ODD)
+
+
+def test_line_dedup_like_brute_force(spark):
+    shared = "Shared line of more than forty characters, it is."
+    texts = [(k, f"own {k}\n  {shared if k % 2 else shared.upper()}\t\nshort\n{shared}\n" + "\n" * (k * 40)) for k in range(7)] + [(20, shared + "!"), (21, None), (22, ""), (23, LONG)]
+    got = {r.doc_id: r for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert all(got[k].n_dropped == 2 and shared.lower() not in got[k].text.lower() for k in range(6))
+    assert got[6].n_dropped == 0 and got[6].text == texts[6][1] and got[23].text == LONG
+    assert got[0].text == "own 0\nshort\n" and got[3].n_lines == 125 and len(got[3].text.split("\n")) == 123
+    assert got[21].text == got[22].text == "" and got[21].n_lines == 1
+    assert lines.dedup_lines(docs(spark, ODD)).count() == len(ODD)
+    assert lines.dedup_lines(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    shared = "Shared line of more than forty characters, it is."
+    rows = [(k, shared) for k in range(6)] + [(0, "other\n" + shared), (None, shared)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in lines.dedup_lines(docs(spark, rows)).collect())
+    assert got == sorted([(k, "") for k in range(5)] + [(5, shared), (0, "other"), (-1, "")])
+
+
+def jaccard(a, b):
+    s = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)})(t.split())
+    return len(s(a) & s(b)) / len(s(a) | s(b))
+
+
+@pytest.mark.parametrize("hot", [passages.HOT_BUCKET, 1])
+def test_passages_like_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_BUCKET", hot)
+    monkeypatch.setattr(passages.similar_links, "__defaults__", (passages.SIMILARITY, hot))
+    texts, rng = {}, np.random.default_rng(9)
+    for k in range(12):
+        base = prose(100 + k, 60).split()
+        for v in range(5):
+            words = list(base)
+            for at in rng.choice(60, v, replace=False):
+                words[at] = f"new{k}{v}{at}"
+            texts[10 * k + v] = " ".join(words)
+    texts[900] = texts[0]
+    got = passages.repeated_passages(docs(spark, [(k, "short line\n" + t) for k, t in texts.items()])).collect()
+    want = groups(sorted(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    size = Counter(want.values())
+    assert {r.doc_id: r.keeper_doc for r in got} == {k: c for k, c in want.items() if size[c] > 1}
+    assert all(r.removed == (r.doc_id != r.keeper_doc) and r.pos == 1 and r.start == 11 for r in got)
+
+
+def test_passages_odd(spark):
+    assert passages.repeated_passages(docs(spark, ODD + [(30, LONG)])).count() == 2
+    assert passages.repeated_passages(docs(spark, ODD).limit(0)).count() == 0
+    assert 1 - (1 - 0.8**passages.ROWS) ** passages.tune_bands() >= 0.999
+
+
+def naive_tiles(a, b, least):
+    """Longest common run of unmarked tokens, again and again."""
+    ua, ub, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in ua and j + n not in ub:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        if best[0] < least:
+            return out
+        n, i, j = best[0], -best[1], -best[2]
+        ua |= set(range(i, i + n))
+        ub |= set(range(j, j + n))
+        out.append(n)
+
+
+def test_tiling_like_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = (list(map(str, rng.integers(0, 4, n))) for n in (18, 25))
+        got = [n for _, _, n in decontam.tile(a, b, 3)]
+        assert got == sorted(got, reverse=True) and sum(got) == sum(naive_tiles(a, b, 3))
+
+
+@pytest.mark.parametrize("max_chars", [decontam.MAX_BROADCAST_CHARS, 0])
+def test_contamination(spark, max_chars):
+    item = prose(7, 40).split()
+    swapped = " ".join(item[20:] + ["other"] * 3 + item[:20]).upper() + "."
+    texts = [(1, prose(8, 200) + " " + " ".join(item)), (2, swapped), (3, " ".join(item[:12])), (4, prose(9, 300)), (5, "the tiny item")] + ODD[:3]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "tiny item")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.n_tiles) for r in decontam.contaminated(docs(spark, texts), items, max_chars=max_chars).collect()}
+    assert got == {(1, 1): (40, 1), (2, 1): (40, 2), (5, 4): (2, 1)}
+    assert decontam.contaminated(docs(spark, texts), items.limit(0), max_chars=max_chars).count() == 0
+    assert decontam.contaminated(docs(spark, texts).limit(0), items, max_chars=max_chars).count() == 0
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), items).collect()) == [3, 3, 4]
+
+
+def test_revisits(spark):
+    h = lambda **k: {a.replace("_", "-"): v for a, v in k.items()}
+    rows = [
+        ("r1", "response", "http://WWW.a.com:80/x/?b=2&a=1&utm_source=z#f", 10, h(ETag='"1"', Content_Type="text/html", Server="old"), "d1"),
+        ("r2", "response", "https://a.com/x?a=1&b=2", 20, h(etag='W/"2"', server="old"), "d2"),
+        ("v0", "revisit", "http://a.com/x?a=1&b=2", 10, h(etag='"1"'), None), ("v1", "revisit", "http://a.com/x?a=1&b=2", 15, h(etag='"1"', Server="new", Content_Type="x"), None),
+        ("v2", "revisit", "http://a.com/x?b=2&a=1", 25, h(etag='"2"'), None), ("v3", "revisit", "http://a.com/x?b=2&a=1", 26, h(etag='"1"'), None), ("v4", "revisit", "http://a.com/x?b=2&a=1", 27, None, None),
+        ("v5", "revisit", None, 27, None, "d2"), ("v6", "revisit", "http://a.com/x?b=2&a=1", None, None, "d2"), ("v7", "revisit", "http://b.com", 9, None, "d"), ("v2", "revisit", "http://a.com/x?b=2&a=1", 25, h(etag='"2"'), None), ("w", "request", "http://a.com", 1, None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, type string, url string, ts long, headers map<string,string>, digest string").withColumn("piece", F.lit(1))
+    got = {r.record_id: r for r in revisit.resolve_revisits(df).collect()}
+    assert {k: (r.status, r.response_id) for k, r in got.items()} == {
+        "v0": ("no_earlier_response", None), "v1": ("resolved", "r1"), "v2": ("resolved", "r2"), "v3": ("validator_mismatch", None), "v4": ("no_validator", None), "v5": ("no_earlier_response", None), "v6": ("no_earlier_response", None), "v7": ("no_earlier_response", None)}
+    assert got["v1"].headers == {"etag": '"1"', "content-type": "text/html", "server": "new"}
+    assert revisit.resolve_revisits(df).count() == 9 and revisit.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_revisits_across_pieces(spark):
+    rows = [(f"r{k}", "response", "http://h.com/", 10 * k, {"etag": str(k)}, None) for k in range(0, 400, 7)] + [(f"v{k}", "revisit", "http://h.com", 10 * k + 5, {"etag": str(k // 7 * 7)}, None) for k in range(400)]
+    df = spark.createDataFrame(rows, "record_id string, type string, url string, ts long, headers map<string,string>, digest string")
+    assert {r.record_id: r.response_id for r in revisit.resolve_revisits(df).collect()} == {f"v{k}": f"r{k // 7 * 7}" for k in range(400)}
+
+
+PAGE = """<html><head><title>t</title><style>x</style></head><body><div class="cookie-notice">Cookies</div><header>Head</header><nav><ul><li>Menu</ul></nav><aside>side</aside>
+<article><h1>A &amp; B</h1><p>One <b>two<br>three<p>Four&nbsp; &#8211; &lt;five&gt;<form><input>f</form><div class="share">Share</div><div class=comments><p>nice</div><ul><li>x<li>y</ul><script>var a='</p>'</script></article><div class='ad'>Ad</div><footer>&copy;</footer></body>"""
+
+
+def test_main_text():
+    assert wrapper.extract(PAGE) == "A & B\nOne two three\nFour – <five>\nx\ny"
+    assert wrapper.extract("") == "" and wrapper.extract("plain <i>text") == "plain text"
+    assert wrapper.extract("<p>a<!-- <p>b --><p>c") == "a\nc"
+    assert wrapper.extract("<body><p>no article</p><nav>n</nav></body>") == "no article"
+
+
+def test_alignment_and_template(spark):
+    page = lambda k, extra="": f"<body><article><h1>T{k}</h1><p>{prose(k, 9)}</p>{extra}<h2>Read more here</h2></article></body>"
+    rows = [(k, "http://h.com/a", page(k, "<blockquote>q</blockquote>" if k % 2 else "")) for k in range(12)] + [(20, "http://one.com/", page(1)), (21, None, None), (22, "http://h.com/b", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in wrapper.main_text(df).collect()}
+    assert all("Read more" not in got[k].text and got[k].text.startswith(f"T{k}\n") for k in range(12))
+    assert "Read more here" in got[20].text and got[21].text == got[22].text == "" and got[21].n_chars == 0
+    assert wrapper.main_text(df.limit(0)).count() == 0
+    a, b = wrapper.slots(page(1)), wrapper.slots(page(2, "<table><tr><td>x</table>"))
+    n, pairs = wrapper.align(a, b)
+    assert n == len(pairs) == 6
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    path, texts = tk.path("byte_bpe_50k.json"), ODD + [(40, "a <|endoftext|><|endoftext|>b  \n\n c"), (41, "don't  stop '' \t\n x²Ⅷ")]
+    whole = Tokenizer.from_file(path)
+    want = sorted((i or 0, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
+    for head in (tokens.HEAD, 0):
+        got = tokens.token_counts(docs(spark, texts), path, tk.PATTERN, head=head).collect()
+        assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
+        assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    assert tokens.token_counts(docs(spark, texts).limit(0), path, tk.PATTERN).count() == 0
+
+
+def test_bpe_like_tiktoken(spark):
+    import tiktoken
+
+    path = tk.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=tk.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.encode(docs(spark, ODD), path, tk.PATTERN)
+    assert sorted((r.doc_id or 0, r.ids) for r in got.collect()) == sorted((i or 0, want.encode_ordinary(t or "")) for i, t in ODD)
+    assert {r.doc_id: bytes(r.bytes) for r in bpe.decode_ids(got, path).collect()} == {i: (t or "").encode() for i, t in ODD}
+    trip = {r.doc_id: r for r in bpe.round_trip(docs(spark, ODD), path, tk.PATTERN).collect()}
+    assert all(trip[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in ODD)
+    offsets = bpe.encode(docs(spark, [(1, "é\U0001f600a")]), path, tk.PATTERN, offsets=True).first()
+    assert len(offsets.offsets) == len(offsets.ids) and offsets.offsets[-1][1] == 3
+    assert bpe.round_trip(docs(spark, ODD).limit(0), path, tk.PATTERN).count() == 0
+
+
+def test_licences_held_out(spark):
+    sample = [prose(k, 40) for k in range(400)]
+    model = licences.fit(licences.training_rows(sample))
+    held = licences.training_rows([prose(5000 + k, 40) for k in range(200)], seed=99, copies=6)
+    guess = lambda w: (lambda p: model.families[int(p.argmax())])(model.probabilities(w))
+    assert np.mean([guess(w) == f for w, f in held]) > 0.95
+    text = "intro\n" + licences.TEMPLATES["mit"][0] + "\n" + prose(3, 30) + " " + licences.TEMPLATES["gpl"][0] + "\nlicensed things under the roof"
+    got = {(r.pos, r.family) for r in licences.scan(docs(spark, [(1, text), *ODD]), model).collect() if r.confirmed}
+    assert got == {(1, "mit"), (2, "gpl")}
+    assert licences.licence_scan(docs(spark, ODD)).count() == 0 and licences.licence_scan(docs(spark, ODD).limit(0)).count() == 0

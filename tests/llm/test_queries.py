@@ -1,0 +1,42 @@
+"""The registered queries: those with SQL against it, and the pipeline stage by stage."""
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from provsight.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = Q.queries()[name](spark, SF), c.sql(Q.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda columns, data: sorted(tuple(str(r[k]) for k in sorted(range(len(columns)), key=lambda k: columns[k])) for r in data)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in __spark_entry__.queries()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        sizes.append(docs.count())
+        if name != "bpe_encode":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+    assert empty.count() == 0
