@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Shared lines (40 bytes each) that may be broadcast; beyond it the join is shuffled and its skew split.
+MAX_BROADCAST = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -38,6 +40,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ranged = hashes.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id", "pos")
     first = ranged.groupBy("hash", "doc_id").agg(F.min("pos").alias("first_pos"))
     shared = first.groupBy("hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    shared = broadcast_if_small(cut(shared), MAX_BROADCAST)  # apart from the join, so that a frequent line's rows can be split
     drops = hashes.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "tid", "pos").distinct()
     words = drops.groupBy("doc_id", "tid", F.expr("cast(pos div 64 AS bigint)").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.count("*").alias("n"))
