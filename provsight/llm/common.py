@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """As cut, but written as Parquet in that folder: columns are read apart and stay compressed. For wide rows."""
+    cut(df.sparkSession.range(1))  # makes sure that the folder is set
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df marked for broadcast when its counted rows stay within max_rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

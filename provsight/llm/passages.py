@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_links, broadcast_if_small, components, cut, map_batches
+from .common import block_links, broadcast_if_small, components, cut, map_batches, saved
 
 SHINGLE, MIN_WORDS, SIMILARITY, RECALL, ROWS = 5, 20, 0.8, 0.999, 3
 #: Distinct paragraphs in a bucket from which they are compared block by block.
@@ -79,14 +78,6 @@ def paragraphs(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int = M
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, pos int, start long, n_chars long, hash binary, bands array<long>, line string")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared checkpoint folder: columns are read apart and stay compressed."""
-    cut(df.sparkSession.range(1))  # makes sure that the folder is set
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/passages-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _jaccard(x: str, y: str) -> float:
     a, b = (shingle_hashes(_word.findall(t.lower()), {}) for t in (x, y))
     both = len(np.intersect1d(a, b, assume_unique=True))
