@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import map_batches, saved
 
 LIMIT = 1024
 #: Most pre-tokens in the dictionary that is broadcast (about 20 MB on an executor's Python worker).
@@ -104,7 +104,7 @@ def frequent(pieces: DataFrame, most: int) -> dict[str, int]:
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of docs."""
-    pieces = cut(piece_counts(pretoken_counts(docs, path, pattern), path))
+    pieces = saved(piece_counts(pretoken_counts(docs, path, pattern), path))
     known = docs.sparkSession.sparkContext.broadcast(frequent(pieces, head))
 
     def make(c: dict[str, list]) -> dict[str, list]:
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, h
         return {"doc_id": c["doc_id"], "n_bytes": size, "n_head": total, "rest": rest}
 
     per_doc = map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, n_head long, rest array<struct<pretoken:string,n:long>>")
-    per_doc = cut(per_doc.withColumn("row", F.monotonically_increasing_id()))  # a row's name, fixed by the cut
+    per_doc = saved(per_doc.withColumn("row", F.monotonically_increasing_id()))  # a row's name, fixed by the write
     tail = per_doc.select("row", F.explode("rest").alias("r")).select("row", "r.*")
     summed = tail.join(pieces.select("pretoken", "pieces"), "pretoken").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tail"))
     out = per_doc.join(summed, "row", "left").withColumn("n_tokens", F.col("n_head") + F.coalesce("n_tail", F.lit(0)))
