@@ -80,12 +80,17 @@ class Model:
 
 
 def sample_paragraphs(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """One line of each of at most `bound` documents, chosen by the hash of its text."""
+    """One line of each of at most `bound` different texts, those with the smallest hashes.
+
+    The number of rows sets a hash limit under which about twice the bound are expected, so tasks send only those.
+    """
+    share = min(1.0, 2 * bound / max(docs.count(), 1))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     h = F.xxhash64("text")
-    picked = docs.select(F.element_at(lines, (F.pmod(h, F.size(lines)) + 1).cast("int")).alias("line"), h.alias("h"))
-    picked = picked.select("h", F.array_join(F.slice(F.split("line", " "), 1, SAMPLE_WORDS), " ").alias("line"))
-    return [r["line"] for r in picked.orderBy("h", "line").limit(bound).collect()]
+    near = docs.select("text", h.alias("h"), F.pmod(h, F.lit(1 << 32)).alias("rank")).where(F.col("rank") < int(share * (1 << 32)))
+    picked = near.select("h", "rank", F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int")).alias("line"))
+    picked = picked.select("h", "rank", F.array_join(F.slice(F.split("line", " "), 1, SAMPLE_WORDS), " ").alias("line")).groupBy("h", "rank").agg(F.min("line").alias("line"))
+    return [r["line"] for r in picked.orderBy("rank", "h").limit(bound).collect()]
 
 
 def training_rows(sample: list[str], seed: int = 7, copies: int = 24) -> list[tuple[list[str], str]]:
