@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; where none is set (tests), in a new one."""
-    context = df.sparkSession.sparkContext
+    """Write df as Parquet in the shared checkpoint folder (where none is set, as in tests, a new one) and read it again.
+
+    For loops: checkpoint() keeps the constraints of the plan that it cuts, and these multiply from round to round
+    until the filters inferred from them no longer compile; a Parquet scan starts without any.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)

@@ -91,14 +91,15 @@ INTENTS = {
 }
 
 
-def classify(text: Column, kinds=KINDS) -> Column:
-    masked = mask_noise(text)
+def classify(masked: Column, kinds=KINDS) -> Column:
+    """The kind of a statement whose noise is masked. Give a column, not an expression: each pattern reads it again."""
     return F.coalesce(*[F.when(masked.rlike("(?i)" + p), F.lit(k)) for k, p in kinds], F.lit("UNKNOWN"))
 
 
 def classify_statements(df: DataFrame, text: str = "body", kinds=KINDS) -> DataFrame:
     """Adds kind and intent: what a deployment would do with the statement."""
-    out = df.withColumn("kind", classify(F.col(text), kinds))
+    masked = df.withColumn("__plain", mask_noise(F.col(text)))
+    out = masked.withColumn("kind", classify(F.col("__plain"), kinds)).drop("__plain")
     known = [F.when(F.col("kind").isin(*v), F.lit(k)) for k, v in INTENTS.items()]
     return out.withColumn("intent", F.coalesce(*known, F.when(F.col(text).rlike(r"(?i)^\s*REPLACE\b"), "replace"), F.lit("create")))
 
@@ -106,9 +107,9 @@ def classify_statements(df: DataFrame, text: str = "body", kinds=KINDS) -> DataF
 def extract_owner(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds owner_db, owner_name of the CREATE or REPLACE head; null where there is none."""
     head = rf"(?i)^\s*(?:CREATE|REPLACE)\s+(?:\w+\s+)*?(?:VIEW|TABLE|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+{QUALIFIED}"
-    masked = mask_noise(F.col(text))
-    part = lambda k: F.nullif(unquote(F.regexp_extract(masked, head, k)), F.lit(""))
-    return df.withColumn("owner_db", part(1)).withColumn("owner_name", part(2))
+    part = lambda k: F.nullif(unquote(F.regexp_extract("__masked", head, k)), F.lit(""))
+    masked = df.withColumn("__masked", mask_noise(F.col(text)))  # a column of its own, so that it is computed once
+    return masked.select(*df.columns, part(1).alias("owner_db"), part(2).alias("owner_name"))
 
 
 #: Anchors that stand before a referenced name, with the privilege that they need (empty: none).

@@ -42,9 +42,8 @@ _DDL = r"(?:CREATE|REPLACE|ALTER|DROP|COMMENT|GRANT|REVOKE|RENAME|COLLECT)"
 _EXEMPT = ("DATABASE", "USER", "ROLE", "GRANT", "DML", "UNKNOWN")
 
 
-def builtin_rules(text: Column, kind: Column, extension: Column, file_name: Column) -> dict[str, tuple[str, Column]]:
-    """The row rules by id: (default severity, condition). Text is masked first; head is what stands before the first body."""
-    masked = mask_noise(text)
+def builtin_rules(text: Column, masked: Column, kind: Column, extension: Column, file_name: Column) -> dict[str, tuple[str, Column]]:
+    """The row rules by id: (default severity, condition). masked is the text without noise; head is what stands before the first body."""
     head = F.element_at(F.split(masked, r"(?i)\bBEGIN\b(?!\s+TRANSACTION)"), 1)
     is_ = lambda c, p: c.rlike("(?i)" + p)
     qualified = is_(head, rf"^\s*(?:CREATE|REPLACE)\s+(?:\w+\s+)*?(?:VIEW|TABLE|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+{QUALIFIED}")
@@ -83,8 +82,8 @@ def builtin_rules(text: Column, kind: Column, extension: Column, file_name: Colu
 def inspect(corpus: DataFrame, key: str, text: str = "body", extension: str | None = None, file_name: str | None = None, severities: dict[str, str] | None = None) -> DataFrame:
     """(key, rule, severity) of the built-in rules in one pass; severities override the defaults, OFF silences."""
     none = F.lit(None).cast("string")
-    kinds = corpus.withColumn("__kind", classify(F.col(text)))
-    rules = builtin_rules(F.col(text), F.col("__kind"), F.col(extension) if extension else none, F.col(file_name) if file_name else F.lit(""))
+    kinds = corpus.withColumn("__plain", mask_noise(F.col(text))).withColumn("__kind", classify(F.col("__plain")))  # columns, so that they are computed once
+    rules = builtin_rules(F.col(text), F.col("__plain"), F.col("__kind"), F.col(extension) if extension else none, F.col(file_name) if file_name else F.lit(""))
     chosen = {r: ((severities or {}).get(r, s), c) for r, (s, c) in rules.items()}
     fired = [F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, (s, c) in chosen.items() if s != "OFF"]
     return kinds.select(key, F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("f")).select(key, "f.*")
