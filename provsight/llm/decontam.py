@@ -10,7 +10,8 @@ and documents meet in a shuffled join and texts follow their pairs.
 
 Defined cases: tokens are runs of letters, digits and underscores, lower-cased; null or empty texts have none; items
 shorter than a seed count as one seed of their whole length; repeated rows each give their rows; empty tables give an
-empty result; other columns are ignored (drop_contaminated keeps the documents' columns).
+empty result; other columns are ignored (drop_contaminated keeps the documents' columns, and all rows of a doc_id go
+together).
 """
 
 from __future__ import annotations
@@ -62,25 +63,34 @@ def tile(item: list[str], doc: list[str], least: int = MIN_MATCH) -> list[tuple[
     b = np.array([code.get(w, -1) for w in doc], np.int64)
     free_a, free_b, tiles, top = np.ones(len(a), bool), b >= 0, [], min(len(a), len(b))
 
-    def common(length: int) -> list[tuple[int, int]]:
+    def occurs(length: int) -> bool:
+        return bool(np.isin(_windows(a, free_a, length)[1], _windows(b, free_b, length)[1]).any())
+
+    def mark(length: int) -> None:
+        """Marks the matches of this length, by item and document position; a run of one word has very many."""
         sa, ha = _windows(a, free_a, length)
         sb, hb = _windows(b, free_b, length)
-        at = defaultdict(list)
-        for j in np.flatnonzero(np.isin(hb, ha)).tolist():
-            at[int(hb[j])].append(int(sb[j]))
-        return [(i, j) for i, h in zip(sa.tolist(), ha.tolist()) for j in at.get(h, ())]
+        order = np.argsort(hb, kind="stable")
+        sb, hb = sb[order], hb[order]
+        gaps = np.concatenate(([0], np.cumsum(~free_b)))
+        for i, low, high in zip(sa.tolist(), np.searchsorted(hb, ha).tolist(), np.searchsorted(hb, ha, "right").tolist()):
+            if low < high and free_a[i : i + length].all():
+                starts = sb[low:high][gaps[sb[low:high] + length] == gaps[sb[low:high]]]
+                for j in starts.tolist():  # the first, unless hashes collide
+                    if (a[i : i + length] == b[j : j + length]).all():
+                        free_a[i : i + length] = free_b[j : j + length] = False
+                        tiles.append((i, j, length))
+                        gaps = np.concatenate(([0], np.cumsum(~free_b)))
+                        break
 
     while top >= least:
         low, high = least - 1, top  # a common run of n tokens holds one of n - 1, so the longest can be bisected
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if common(mid) else (low, mid - 1)
+            low, high = (mid, high) if occurs(mid) else (low, mid - 1)
         if low < least:
             break
-        for i, j in common(low):
-            if free_a[i : i + low].all() and free_b[j : j + low].all() and (a[i : i + low] == b[j : j + low]).all():
-                free_a[i : i + low] = free_b[j : j + low] = False
-                tiles.append((i, j, low))
+        mark(low)
         top = low - 1 if low == top else low
     return tiles
 
@@ -180,6 +190,10 @@ def _by_join(docs: DataFrame, items: DataFrame, least: int, coverage: float) ->
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """docs without those that hold enough of an item. Few documents go, so their ids are counted and then sent or shuffled."""
-    goes = cut(contaminated(docs, items, least, coverage).select("doc_id").distinct())
-    return docs.join(broadcast_if_small(goes, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    """docs without those that hold enough of an item; rows without doc_id are told by the hash of their text.
+
+    Few documents go, so their names are counted and then sent or shuffled.
+    """
+    named = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
+    goes = cut(contaminated(named, items, least, coverage).select("doc_id").distinct())
+    return docs.alias("d").join(broadcast_if_small(goes, 1_000_000).alias("g"), F.coalesce("d.doc_id", F.xxhash64("d.text")) == F.col("g.doc_id"), "left_anti")
