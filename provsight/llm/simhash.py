@@ -43,8 +43,9 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp)."""
-    return map_batches(docs.select("doc_id", "text"), lambda c: {"doc_id": c["doc_id"], "fp": [fingerprint(t) for t in c["text"]]}, "doc_id long, fp long")
+    """(doc_id, tid, fp); tid is the hash of the text."""
+    read = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    return map_batches(read, lambda c: {"doc_id": c["doc_id"], "tid": c["tid"], "fp": [fingerprint(t) for t in c["text"]]}, "doc_id long, tid long, fp long")
 
 
 def _embedded(fps: DataFrame) -> DataFrame:
@@ -84,15 +85,19 @@ def _bits_apart(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+    """(doc_id, tid, fp, component_id) for every row of docs."""
     prints = cut(fingerprints(docs))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = components(near_links(fps.where("rep IS NOT NULL")))
     named = fps.join(groups, fps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "tid", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; rows without doc_id stay."""
-    goes = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each group, the one with the smallest doc_id.
+
+    Rows without doc_id stay, and so do all rows of the document that stays; of a repeated doc_id only the texts go that have another keeper.
+    """
+    goes = near_groups(docs).where("doc_id <> component_id").select("doc_id", "tid").distinct()
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.tid"))
+    return docs.alias("d").join(goes.alias("g"), same, "left_anti")
