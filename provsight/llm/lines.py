@@ -48,14 +48,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with text reduced to its kept lines, and n_lines (before) and n_dropped added."""
-    left = docs.withColumn("__tid", F.xxhash64(_text()))
-    right = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid2"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep"))
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["__doc"]) & (left["__tid"] == right["__tid2"]), "left")
-    joined = joined.withColumn("text", _text()).withColumn("__lines", F.split("text", "\n", -1))
-    kept = F.expr("array_join(filter(__lines, (x, i) -> (shiftright(coalesce(try_element_at(__keep, cast(i div 64 AS bigint)), -1L), i % 64) & 1L) = 1L), '\\n')")
-    out = joined.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce("__dropped", F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(kept)).drop("__doc", "__tid", "__tid2", "__dropped", "__keep", "__lines")
+    """docs with text reduced to its kept lines, and n_lines (before) and n_dropped added, in place of columns of these names."""
+    text = F.coalesce("d.text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(text) == F.col("b.tid"))
+    word = lambda i: F.coalesce(F.try_element_at("b.keep", F.floor(i / 64)), F.lit(-1).cast("long"))
+    kept = F.filter(lines, lambda x, i: F.call_function("shiftright", word(i), i % 64).bitwiseAND(1) == 1)
+    made = {
+        "text": F.when(F.col("b.keep").isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.coalesce("b.n_dropped", F.lit(0)).cast("long"),
+    }
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = docs.alias("d").join(bitmaps.alias("b"), same, "left")
+    return joined.select(*(made["text"].alias("text") if c == "text" else F.col(f"d.`{c}`") for c in others), *(made[c].alias(c) for c in ("n_lines", "n_dropped")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -101,6 +101,6 @@ def quality_rules(docs: DataFrame, host: str = "source", id_col: str = "doc_id",
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that pass, with their columns. Texts are read twice and never shuffled."""
     flags = docs.select(F.col(host).alias("host"), _failed(F.col(text)).alias("failed"))
-    rejected = cut(host_verdicts(flags)).where("rejected").select(F.col("host").alias("__host"))
+    rejected = cut(host_verdicts(flags)).where("rejected").select("host")
     good = docs.where(~_failed(F.col(text)))
-    return good.join(broadcast_if_small(rejected, MAX_BROADCAST_HOSTS), good[host] == F.col("__host"), "left_anti")
+    return good.alias("d").join(broadcast_if_small(rejected, MAX_BROADCAST_HOSTS).alias("r"), F.col(f"d.{host}") == F.col("r.host"), "left_anti")
