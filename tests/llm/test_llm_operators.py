@@ -287,3 +287,38 @@ def test_licences_held_out(spark):
     got = {(r.pos, r.family) for r in licences.scan(docs(spark, [(1, text), *ODD]), model).collect() if r.confirmed}
     assert got == {(1, "mit"), (2, "gpl")}
     assert licences.licence_scan(docs(spark, ODD)).count() == 0 and licences.licence_scan(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_tiling_of_one_repeated_word_is_bounded():
+    tiles = decontam.tile(["a"] * 300, ["a"] * 200_000)
+    assert tiles == [(0, 0, 300)]
+    tiles = decontam.tile(["a"] * 50, (["a"] * 20 + ["b"]) * 500)
+    assert [n for _, _, n in tiles] == [20, 20, 10]
+
+
+def test_rows_without_id_are_decontaminated(spark):
+    item = prose(7, 40)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.drop_contaminated(docs(spark, [(None, item), (None, prose(8, 50)), (None, None), (1, item)]), items)
+    assert sorted(r.text or "" for r in left.collect()) == ["", prose(8, 50)]
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    a, b = prose(20, 60), prose(21, 60)
+    left = simhash.near_dedup(docs(spark, [(1, a), (2, a), (2, b), (2, b), (None, a)]))
+    assert left.columns == docs(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, a), (2, b), (2, b), (0, a)])
+
+
+def test_inner_names_as_columns(spark):
+    """Columns named like those that the operators join by pass through."""
+    line = prose(22, 20)
+    odd = docs(spark, [(k, line + f"\n{prose(30 + k, 12)}") for k in range(6)])
+    for name in ("d", "b", "g", "r", "__host", "__keep", "__tid", "keep", "n_lines", "n_dropped", "a.b"):
+        odd = odd.withColumn(name, F.lit("x"))
+    out = lines.dedup_lines(odd)
+    assert set(out.columns) == set(odd.columns)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r["a.b"], r["__keep"]) for r in out.collect()) == [(k, 2, int(k < 5), "x", "x") for k in range(6)]
+    items = spark.createDataFrame([(1, prose(7, 40))], "item_id long, text string")
+    for left in (quality.keep_good(odd), simhash.near_dedup(odd), decontam.drop_contaminated(odd, items)):
+        assert left.columns == odd.columns and left.count() > 0
