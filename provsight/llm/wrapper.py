@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction.
 
 Every page of a host is aligned with the host's reference page by simple tree matching. A reference node whose text
-is the same on nearly all pages that have it is template; the others are slots. Extraction aligns a page once more,
-leaves out template nodes and the parts that are no article by their element or role (menus, headers, footers, asides,
-notices, adverts, forms, comments, scripts), and reads the blocks of the rest. Node counts meet by host and node after
-being summed in each batch, so a hot host is spread; hosts' references are broadcast only while they are small.
+is the same on nearly all different articles that have it is template; the others are slots. Extraction aligns a page
+once more, leaves out the nodes that hold their template's own text and the parts that are no article by their element
+or role (menus, headers, footers, asides, notices, adverts, forms, comments, scripts), and reads the blocks of the rest.
+Articles are told apart by host and key, so a hot host is spread, and node counts meet by host and node after being
+summed in each task; hosts' references are broadcast only while they are small.
 
-Varying slots alone are no article: menus and adverts differ from page to page too, hence the second rule. A host with
-fewer than MIN_PAGES different pages has no template nodes.
+Varying slots alone are no article: menus and adverts differ from page to page too, hence the second rule. Pages are no
+witnesses by their number: copies of an article count once, and near copies of the reference's own article (those that
+share half of their shingles with it) not at all, whatever else differs on them. A host with fewer than MIN_PAGES
+different articles besides the reference's has no template nodes.
 
 Defined cases: null or empty html gives empty text; a url without a host shares the host ''; an unclosed or stray tag
 is repaired as browsers do for paragraphs, list items and cells; repeated rows each give their row; an empty table
@@ -16,9 +19,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches
 
-#: Pages that must have a node, and the share of them with the same text, before it counts as template.
+#: Different articles that must have a node, and the share of them with the same text, before it counts as template.
 MIN_PAGES, SAME_SHARE = 5, 0.9
+#: Words of a shingle, and the share of an article's shingles that the reference must lack for it to be another article.
+SHINGLE, OWN_SHARE = 5, 0.5
 #: Bytes of reference pages that may be broadcast.
 MAX_BROADCAST = 8_000_000
 _tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -189,8 +194,11 @@ def extract(page: str, template: set[int] | None = None, reference: str | None =
     tree = slots.__wrapped__(page)
     if template and reference:
         number = {id(s): k for k, s in enumerate(_preorder(slots(reference)))}
-        left_out = {id(n) for r, s in align(slots(reference), tree)[1] if number[id(r)] in template for n in s.nodes}
-    root = tree.nodes[0]
+        left_out = {id(n) for r, s in align(slots(reference), tree)[1] if number[id(r)] in template and not s.kids and _text(r) == _text(s) for n in s.nodes}
+    return _main(tree.nodes[0], left_out)
+
+
+def _main(root: Node, left_out: set[int]) -> str:
     areas = _areas(root) or [root]
     blocks: list[str] = []
     for area in areas:
@@ -239,6 +247,23 @@ def _read(node: Node, inside: bool, left_out: set[int], pieces: list[str], block
             _read(kid, inside, left_out, pieces, blocks)
 
 
+def _shingles(text: str) -> set[str]:
+    words = text.split()
+    return {" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+
+
+@lru_cache(maxsize=64)
+def _reference_shingles(reference: str) -> set[str]:
+    return _shingles(_main(slots(reference).nodes[0], set()))
+
+
+def article_key(tree: Slot, reference: str) -> bytes | None:
+    """The digest of what the page's article has and the reference's lacks, or None if that is too little."""
+    has = _shingles(_main(tree.nodes[0], set()))
+    own = has - _reference_shingles(reference)
+    return hashlib.md5("\n".join(sorted(own)).encode("utf-8", "surrogatepass")).digest() if own and len(own) >= OWN_SHARE * len(has) else None
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -256,21 +281,22 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES, same_share: float = SAM
     read = named.where("html IS NOT NULL").join(_sent(hosts.withColumn("size", F.octet_length("reference") + 64), "size", MAX_BROADCAST).drop("size"), "host")
 
     def make(c: dict[str, list]) -> dict[str, list]:
-        seen, same = Counter(), Counter()
+        out: dict[str, list] = {k: [] for k in ("host", "article", "seen", "same")}
         for host, html, reference in zip(c["host"], c["html"], c["reference"]):
-            if html == reference:
+            tree = slots.__wrapped__(html)
+            if (key := article_key(tree, reference)) is None:
                 continue
             base = slots(reference)
             number = {id(s): k for k, s in enumerate(_preorder(base))}
-            for r, s in align(base, slots.__wrapped__(html))[1]:
-                if not r.kids and not s.kids and (text := _text(r)):
-                    key = (host, number[id(r)])
-                    seen[key] += 1
-                    same[key] += text == _text(s)
-        return {"host": [h for h, _ in seen], "node": [n for _, n in seen], "seen": list(seen.values()), "same": [same[k] for k in seen]}
-
-    counts = map_batches(read.select("host", "html", "reference"), make, "host string, node int, seen long, same long")
-    nodes = counts.groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+            leaves = [(number[id(r)], text == _text(s)) for r, s in align(base, tree)[1] if not r.kids and not s.kids and (text := _text(r))]
+            for k, v in zip(out, (host, key, [n for n, _ in leaves], [n for n, same in leaves if same])):
+                out[k].append(v)
+        return out
+
+    found = map_batches(read.select("host", "html", "reference"), make, "host string, article binary, seen array<int>, same array<int>")
+    articles = found.groupBy("host", "article").agg(F.min(F.struct("seen", "same")).alias("nodes")).select("host", "nodes.*")
+    each = articles.select("host", F.explode("seen").alias("node"), "same").select("host", "node", F.array_contains("same", F.col("node")).cast("long").alias("same"))
+    nodes = each.groupBy("host", "node").agg(F.count("*").alias("seen"), F.sum("same").alias("same"))
     constant = nodes.where((F.col("seen") >= min_pages) & (F.col("same") >= same_share * F.col("seen")))
     template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
     return hosts.join(template, "host")

@@ -248,6 +248,26 @@ def test_alignment_and_template(spark):
     assert n == len(pairs) == 6
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    """A host of copies with other adverts and menus, near copies, and one different page: all keep their text."""
+    page = lambda k, article: f"<body><nav>menu {k}</nav><article>{article}</article><div class='ad'>{prose(500 + k, 8)}</div></body>"
+    one, other = prose(60, 40), prose(61, 40)
+    copies = [(k, "http://h.com/a", page(k, f"<h1>Title</h1><p>{one}</p>")) for k in range(20)]
+    near = [(30 + k, "http://h.com/n", page(30 + k, f"<h1>Title</h1><p>{one} day {k}</p>")) for k in range(20)]
+    rows = [*copies, *near, (60, "http://h.com/b", page(60, f"<h1>Another</h1><p>{other}</p>"))]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title\n{one}" for k in range(20))
+    assert all(got[30 + k] == f"Title\n{one} day {k}" for k in range(20))
+    assert got[60] == f"Another\n{other}"
+
+
+def test_a_template_node_with_other_text_is_read(spark):
+    page = lambda k, last: f"<body><article><h1>T{k}</h1><p>{prose(k, 9)}</p><h2>{last}</h2></article></body>"
+    rows = [(k, "http://h.com/a", page(k, "Read more here")) for k in range(30)] + [(30, "http://h.com/b", page(30, "Own words of the page"))]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Read more" not in got[k] for k in range(30)) and got[30].endswith("\nOwn words of the page")
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
