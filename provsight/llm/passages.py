@@ -5,13 +5,18 @@ one node however often they occur. Nodes that share a band are candidates; small
 compared block by block; every link is verified on the full sets of five-word shingles. Of each cluster one paragraph
 stays, the first by (doc_id, pos); the others are removals.
 
-Defined cases: null or empty text has no paragraph; shorter lines are never removed; copies within one document count;
+repeated_passages looks at whole lines alone. repeated_spans finds passages that are no whole lines (parts of longer
+lines, or spread over short ones) as well, as runs of 50 equal words or more (module runs). A run gives rows too: its span without the lines that have rows of their own (of a run that is
+removed, without the removed lines), in parts of MIN_WORDS words or more; pos is the line where the part starts.
+
+Defined cases: null or empty text has no paragraph; shorter lines are removed only in runs; copies within one document count;
 ties on doc_id are broken by position; rows without doc_id sort last; an empty table gives an empty result; columns of
 the input other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_links, broadcast_if_small, components, cut, map_batches, saved
+from .runs import repeated_runs, text_id
 
 SHINGLE, MIN_WORDS, SIMILARITY, RECALL, ROWS = 5, 20, 0.8, 0.999, 3
 #: Distinct paragraphs in a bucket from which they are compared block by block.
@@ -59,23 +65,24 @@ def _bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos, start, n_chars, hash, bands, line) of each paragraph; start and n_chars are code points in the text."""
+    """(doc_id, pos, start, n_chars, hash, bands, line, text_id, word, n_words) of each paragraph; start and n_chars are code points in the text."""
 
     def make(columns: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "start", "n_chars", "hash", "bands", "line")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "start", "n_chars", "hash", "bands", "line", "text_id", "word", "n_words")}
         seen: dict[str, int] = {}
         for doc_id, text in zip(columns["doc_id"], columns["text"]):
-            start = 0
+            start, word, known = 0, 0, text_id(text or "")
             for pos, line in enumerate((text or "").split("\n")):
                 words = _word.findall(line.lower())
+                n_words = len(_word.findall(line)) if "\u0130" in line else len(words)  # its lower case is two characters
                 if len(words) >= min_words:
-                    row = (doc_id, pos, start, len(line), xxhash.xxh3_128_digest(" ".join(words)), _bands(shingle_hashes(words, seen), bands, rows), line)
+                    row = (doc_id, pos, start, len(line), xxhash.xxh3_128_digest(" ".join(words)), _bands(shingle_hashes(words, seen), bands, rows), line, known, word, n_words)
                     for k, v in zip(out, row):
                         out[k].append(v)
-                start += len(line) + 1
+                start, word = start + len(line) + 1, word + n_words
         return out
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, pos int, start long, n_chars long, hash binary, bands array<long>, line string")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, pos int, start long, n_chars long, hash binary, bands array<long>, line string, text_id long, word long, n_words long")
 
 
 def _jaccard(x: str, y: str) -> float:
@@ -121,8 +128,42 @@ def similar_links(digest: DataFrame, least: float = SIMILARITY, hot: int = HOT_B
     return links.unionByName(block_links(rows, ["key"], BLOCK, lambda x, y: _similar(x, y, least), "binary"))
 
 
-def repeated_passages(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
-    """One row per paragraph that has a near copy: doc_id, pos, start, n_chars, keeper_doc, keeper_pos, n_copies, removed."""
+def _uncovered(spans: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """The parts of the spans beside the lines that have rows of their own, document by document."""
+    key = ["doc_id", "text_id"]
+    own = lines.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("word", "n_words", "start", "n_chars", "pos", "removed"))).alias("lines"))
+    all_spans = spans.groupBy(*key).agg(F.collect_list(F.struct("word", "n_words", "line", "start", "stop", "keeper_doc", "keeper_line", "n_copies", "removed")).alias("spans"))
+    met = all_spans.alias("s").join(own.alias("o"), F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.text_id") == F.col("o.text_id")), "left")
+    names = ("doc_id", "pos", "start", "n_chars", "n_copies", "keeper_doc", "keeper_pos", "removed")
+
+    def make(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in names}
+        for doc_id, spans, lines in zip(c["doc_id"], c["spans"], c["lines"]):
+            lines = lines or []
+            taken = {False: lines, True: [x for x in lines if x["removed"]]}
+            ends = {k: [x["word"] + x["n_words"] for x in v] for k, v in taken.items()}
+            for s in spans:
+                held, last = taken[s["removed"]], s["word"] + s["n_words"]
+                word, pos, start = s["word"], s["line"], s["start"]
+                parts = []
+                for k in range(bisect.bisect_right(ends[s["removed"]], word), len(held)):
+                    x = held[k]
+                    if x["word"] >= last:
+                        break
+                    parts.append((x["word"] - word, pos, start, x["start"] - 1))
+                    word, pos, start = x["word"] + x["n_words"], x["pos"] + 1, x["start"] + x["n_chars"] + 1
+                parts.append((last - word, pos, start, s["stop"]))
+                for n, pos, start, stop in parts:
+                    if n >= min_words:
+                        for k, v in zip(names, (doc_id, pos, start, stop - start, s["n_copies"], s["keeper_doc"], s["keeper_line"], s["removed"])):
+                            out[k].append(v)
+        return out
+
+    return map_batches(met.select("s.doc_id", "spans", "lines"), make, "doc_id long, pos int, start long, n_chars long, n_copies long, keeper_doc long, keeper_pos int, removed boolean")
+
+
+def _lines(docs: DataFrame, least: float, min_words: int, recall: float) -> DataFrame:
+    """As repeated_passages, with text_id, word and n_words too: doc_id, pos, start, n_chars, keeper_doc, keeper_pos, n_copies, removed."""
     digest = saved(paragraphs(docs, tune_bands(least, recall), min_words=min_words))
     groups = components(similar_links(digest, least))
     counted = digest.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")).alias("first"))
@@ -130,5 +171,16 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY, min_words: int
     named = cut(named)
     clusters = named.groupBy("cluster").agg(F.sum("n").alias("n_copies"), F.min("first").alias("keeper")).where("n_copies > 1")
     verdict = named.join(clusters, "cluster").select("hash", "n_copies", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.pos").alias("keeper_pos"))
-    rows = digest.select("doc_id", "pos", "start", "n_chars", "hash").join(verdict, "hash").drop("hash")
+    rows = digest.select("doc_id", "pos", "start", "n_chars", "hash", "text_id", "word", "n_words").join(verdict, "hash").drop("hash")
     return rows.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("keeper_doc")) & (F.col("pos") == F.col("keeper_pos"))))
+
+
+def repeated_passages(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
+    """One row per paragraph that has a near copy: doc_id, pos, start, n_chars, keeper_doc, keeper_pos, n_copies, removed."""
+    return _lines(docs, least, min_words, recall).drop("text_id", "word", "n_words")
+
+
+def repeated_spans(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL) -> DataFrame:
+    """The rows of repeated_passages, and as many columns for each part of a run that has a copy."""
+    rows = saved(_lines(docs, least, min_words, recall))
+    return rows.drop("text_id", "word", "n_words").unionByName(_uncovered(repeated_runs(docs), rows, min_words))

@@ -24,8 +24,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that have near copies, with the one that stays."""
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    """Paragraphs that have near copies and runs that have copies, with the one that stays."""
+    return passages.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,176 @@
+"""Runs of equal words across documents and lines, found by winnowing and grouped exactly.
+
+The words of a text are numbered through, over its line ends. Every window of LENGTH words has the least hash of its
+GRAM-word grams as its key: equal windows have equal keys wherever they stand, so none is lost. Keys that occur twice
+go out as a bitmap (sized by their count, MAX_BITS at most; false hits only add work), and only windows with such keys
+are compared, by 96 bits of all their words. Of each group of equal windows the first by (doc_id, text, word) stays.
+
+Windows that follow each other become one span. Nothing is paired, so a passage that very many documents share costs no
+more than its windows.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import map_batches, saved
+
+LENGTH, GRAM = 50, 12
+#: Bits of the bitmap for each key that occurs twice, and at most; characters that are hashed at once.
+KEY_BITS, MAX_BITS, CHARS = 16, 2**30, 1_000_000
+_odd = np.random.default_rng(20240502).integers(1, 2**63, size=8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is of a word (as \\w has it), and a random number for its lower-case letter."""
+    letters = [chr(c) for c in range(0x110000)]
+    word = np.fromiter((x.isalnum() or x == "_" for x in letters), bool, len(letters))
+    lower = np.fromiter((ord(y) if len(y := x.lower()) == 1 else ord(x) for x in letters), np.int64, len(letters))
+    return word, np.random.default_rng(20240503).integers(0, 2**64, size=len(letters), dtype=np.uint64)[lower]
+
+
+def _join(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    h = (a * _odd[seed]) ^ (b * _odd[seed + 1])
+    h ^= h >> np.uint64(32)
+    h *= _odd[seed + 2]
+    return h ^ (h >> np.uint64(29))
+
+
+def _rolled(h: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The hash of each `width` numbers in a row, from those of half the width."""
+    if width == 1:
+        return h
+    low = 1 << (width.bit_length() - 1)
+    if low == width:
+        half = _rolled(h, width // 2, seed)
+        return _join(half[: len(half) - width // 2], half[width // 2 :], seed)
+    a, b = _rolled(h, low, seed), _rolled(h, width - low, seed)
+    n = len(h) - width + 1
+    return _join(a[:n], b[low : low + n], seed)
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        h, done = np.minimum(h[: len(h) - step], h[step:]), done + step
+    return h
+
+
+def _chunks(texts: list[str]):
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > CHARS:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def windows(texts: list[str]):
+    """text (number), word (number in all texts), start and end of words, their hashes, and each window's key; None without windows."""
+    word, mix = _tables()
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = word[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    if len(start) < LENGTH:
+        return None
+    size = end - start
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    powers = np.multiply.accumulate(np.full(int(size.max()), _odd[7]))
+    h = np.add.reduceat(mix[codes[inside]] * powers[within], first)
+    h = _join(h, size.astype(np.uint64), 0)
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    text = np.searchsorted(offsets, start, "right") - 1
+    key = _least(_rolled(h, GRAM, 0), LENGTH - GRAM + 1)
+    return text, np.flatnonzero(text[: len(key)] == text[LENGTH - 1 :]), start, end, h, key, offsets, codes
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    def make(c: dict[str, list]) -> dict[str, list]:
+        out = []
+        for _, texts in _chunks([t or "" for t in c["text"]]):
+            if (found := windows(texts)) is None or not len(at := found[1]):
+                continue
+            text, key = found[0][at], found[5][at]
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+            once = key[new]
+            again = once[np.diff(np.append(new, len(key))) > LENGTH - GRAM + 1]  # a gram that follows itself
+            out.append(np.concatenate((once, again)).view(np.int64))
+        return {"key": np.concatenate(out) if out else []}
+
+    return map_batches(docs.select("text"), make, "key long")
+
+
+def _bitmap(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits (lowest first) of the keys that occur twice, and how many bits there are."""
+    twice = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    bits = 1 << 20
+    while bits < min(KEY_BITS * twice.count(), MAX_BITS):
+        bits *= 2
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = twice.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("part"))
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, part in parts.collect():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
+    return out, bits
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    bitmap, bits = _bitmap(_keys(docs))
+    sent, names = docs.sparkSession.sparkContext.broadcast(bitmap), ("h1", "h2", "doc_id", "text_id", "word", "line", "start", "stop")
+
+    def make(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in names}
+        whole = [t or "" for t in c["text"]]
+        for k0, texts in _chunks(whole):
+            if (found := windows(texts)) is None:
+                continue
+            text, at, start, end, h, key, offsets, codes = found
+            slot = key[at] & np.uint64(bits - 1)
+            at = at[(sent.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            if not len(at):
+                continue
+            own = text[at]
+            breaks = np.flatnonzero(codes == 10)
+            line = np.searchsorted(breaks, start[at]) - np.searchsorted(breaks, offsets[own])
+            ids = {t: (c["doc_id"][k0 + t], text_id(texts[t])) for t in np.unique(own).tolist()}
+            first = np.searchsorted(text, own)
+            h1, h2 = _rolled(h, LENGTH, 1)[at].view(np.int64).tolist(), (_rolled(h, LENGTH, 4)[at] >> np.uint64(33)).tolist()
+            doc, tid = zip(*(ids[t] for t in own.tolist()))
+            for k, v in zip(names, (h1, h2, doc, tid, (at - first).tolist(), line.tolist(), (start[at] - offsets[own]).tolist(), (end[at + LENGTH - 1] - offsets[own]).tolist())):
+                out[k] += v
+        return out
+
+    return map_batches(docs.select("doc_id", "text"), make, "h1 long, h2 int, doc_id long, text_id long, word long, line int, start long, stop long")
+
+
+def text_id(text: str) -> int:
+    """Tells the texts of a repeated doc_id apart."""
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, word, n_words, line, start, stop, keeper_doc, keeper_line, n_copies, removed) of each span of repeated windows."""
+    rows = saved(_shared(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id", "word", "line")
+    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    found = rows.join(groups, ["h1", "h2"]).drop("h1", "h2")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    found = found.withColumn("removed", ~(same & (F.col("word") == F.col("first.word"))))
+    found = found.where(~(F.col("removed") & same & (F.col("word") < F.col("first.word") + LENGTH)))  # overlaps the copy that stays
+    by = Window.partitionBy("doc_id", "text_id", "removed").orderBy("word")
+    follows = (F.lag("word").over(by) >= F.col("word") - 1) & F.lag("first.doc_id").over(by).eqNullSafe(F.col("first.doc_id"))
+    spans = found.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("span", F.sum("new").over(by))
+    head = F.min(F.struct("word", "line", "start", "first")).alias("head")
+    spans = spans.groupBy("doc_id", "text_id", "removed", "span").agg(head, F.max("word").alias("last"), F.max("stop").alias("stop"), F.max("n").alias("n_copies"))
+    return spans.select("doc_id", "text_id", F.col("head.word").alias("word"), (F.col("last") + LENGTH - F.col("head.word")).alias("n_words"), F.col("head.line").alias("line"), F.col("head.start").alias("start"), "stop", F.col("head.first.doc_id").alias("keeper_doc"), F.col("head.first.line").alias("keeper_line"), "n_copies", "removed")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from provsight.llm import bpe, common, decontam, licences, lines, passages, quality, revisit, simhash, tokens, wrapper
+from provsight.llm import bpe, common, decontam, licences, lines, passages, quality, revisit, runs, simhash, tokens, wrapper
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tid long, hash string, key string, host string"
 WORDS = [f"w{k}" for k in range(400)]
@@ -161,6 +161,51 @@ def test_passages_odd(spark):
     assert 1 - (1 - 0.8**passages.ROWS) ** passages.tune_bands() >= 0.999
 
 
+def test_passages_inside_lines_and_across_them(spark):
+    """Runs of 50 words in unlike documents: in longer lines, over short lines, twice in one text; 49 words are none."""
+    run, other, short = prose(70, 50), prose(71, 50).split(), prose(72, 49)
+    broken = "\n".join(" ".join(other[k : k + 10]) for k in range(0, 50, 10))
+    own = lambda k, n: " ".join(f"own{k}x{j}" for j in range(n))
+    texts = {1: f"{own(1, 90)} {run} {own(2, 70)}", 2: f"{own(3, 5)}\n{own(4, 80)}, {run.upper()}; {own(5, 60)}", 3: f"{own(6, 9)}\n{broken}\n{own(7, 9)}", 4: f"{own(8, 30)} {' '.join(other)} {own(9, 30)}", 5: f"{own(10, 40)} {short} {own(11, 40)}", 6: f"{own(12, 40)} {short} {own(13, 40)}", 7: f"{run} {own(14, 60)} {run}"}
+    got = passages.repeated_spans(docs(spark, list(texts.items()))).collect()
+    words = lambda t: re.findall(r"\w+", t.lower())
+    assert sorted((r.doc_id, r.pos, r.keeper_doc, r.keeper_pos, r.removed) for r in got) == [(1, 0, 1, 0, False), (2, 1, 1, 0, True), (3, 1, 3, 1, False), (4, 0, 3, 1, True), (7, 0, 1, 0, True), (7, 0, 1, 0, True)]
+    assert all(words(texts[r.doc_id][r.start : r.start + r.n_chars]) == (other if r.doc_id in (3, 4) else words(run)) for r in got)
+
+
+def test_spans_odd(spark):
+    rows = [*ODD, (30, LONG), (31, "\u0130 " + LONG), (32, "a " * 200), (None, "\n".join(LONG.split()[:60]))]
+    got = passages.repeated_spans(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.removed) for r in got} == {(5, False), (30, True), (31, True), (32, False), (32, True), (None, True)}
+    assert passages.repeated_spans(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_runs_like_brute_force(spark):
+    rng, texts = np.random.default_rng(12), []
+    pool = [prose(80 + k, 120).split() for k in range(6)]
+    for k in range(40):
+        words = [f"u{k}x{j}" for j in range(30)]
+        for j in range(3):
+            a = int(rng.integers(0, 70))
+            words += pool[int(rng.integers(0, 6))][a : a + int(rng.integers(30, 80))] + [f"v{k}x{j}"]
+        texts.append((k, "".join(w + ("\n" if rng.random() < 0.15 else " ") for w in words)))
+    at: dict = {}
+    for k, t in texts:
+        w = t.split()
+        for j in range(len(w) - 49):
+            at.setdefault(tuple(w[j : j + 50]), []).append((k, j))
+    want = {True: set(), False: set()}
+    for found in (v for v in at.values() if len(v) > 1):
+        for k, j in found:
+            if (k, j) == found[0] or k != found[0][0] or j >= found[0][1] + 50:
+                want[(k, j) != found[0]] |= {(k, j + i) for i in range(50)}
+    got = {True: set(), False: set()}
+    for r in runs.repeated_runs(docs(spark, texts)).collect():
+        got[r.removed] |= {(r.doc_id, r.word + i) for i in range(r.n_words)}
+        assert len(texts[r.doc_id][1][r.start : r.stop].split()) == r.n_words
+    assert got == want and want[True]
+
+
 def naive_tiles(a, b, least):
     """Longest common run of unmarked tokens, again and again."""
     ua, ub, out = set(), set(), []
