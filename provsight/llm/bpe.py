@@ -102,3 +102,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return {"doc_id": c["doc_id"]} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*out) if out else [[]] * 3))
 
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256); raises where the decoded ids are not the text's bytes."""
+
+    def make(c: dict[str, list]) -> dict[str, list]:
+        made, out = tokenizer(path, pattern), []
+        encoded = made.encode_batch_fast([t or "" for t in c["text"]], add_special_tokens=False)
+        for doc_id, text, ids in zip(c["doc_id"], c["text"], (e.ids for e in encoded)):
+            back = decode(ids, path)
+            if back != (text or "").encode():
+                raise ValueError(f"the ids of doc_id {doc_id} do not decode to its text")
+            out.append((len(ids), ids, hashlib.sha256(back).hexdigest()))
+        return {"doc_id": c["doc_id"]} | dict(zip(("n_tokens", "ids", "decoded_sha256"), zip(*out) if out else [[]] * 3))
+
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -1,5 +1,7 @@
 """The registered queries: those with SQL against it, and the pipeline stage by stage."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -40,3 +42,21 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_decodes(spark):
+    """The last stage's digests are of the texts that enter it, and its ids decode to them."""
+    import corpus_pipeline
+    import public_tokenizers
+
+    from provsight.llm import bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    want = {r.doc_id: r.text.encode() for r in docs.collect()}
+    got = corpus_pipeline.run(spark, SF).collect()
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert {r.doc_id: bpe.decode(r.ids, path) for r in got} == want and len(got) == len(want)
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256(t).hexdigest() for k, t in want.items()}
+    assert all(r.n_tokens == len(r.ids) for r in got)
