@@ -24,23 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder, so that later reads survive lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local mode) a new one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; only in local mode may it be unset, and then one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the cluster's shared checkpoint folder, so that later reads survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """As cut, but written as Parquet in that folder: columns are read apart and stay compressed. For wide rows."""
-    cut(df.sparkSession.range(1))  # makes sure that the folder is set
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def saved(df: DataFrame, *by: str) -> DataFrame:
+    """As cut, but written as Parquet in that folder (by these columns): columns are read apart and stay compressed. For wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -85,27 +90,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 def block_links(rows: DataFrame, keys: list[str], block: int, linked: Callable, kind: str = "long") -> DataFrame:
-    """Links (a, b) among the rows of large groups, as a spanning forest for each pair of blocks.
+    """Links (a, b) in large groups of rows(keys, id, item, rest): between rows marked as rest, and between these and the others.
 
-    rows: keys, id (of the type kind), item. A group is dealt by the hash of id into blocks of about `block` rows, and every two
-    blocks of a group meet in one row; so a task holds two blocks however large the group. linked(items, items)
-    gives a boolean matrix. Only the links that join parts not joined before are returned: fewer than the rows.
+    A group is dealt by the hash of id into blocks of about `block` rows, and each two blocks that are to be compared meet in a
+    row of their own, dealt by group and blocks; so a task holds blocks of one group or of many, and a hot group is spread.
+    linked(items, items) gives a boolean matrix. Of each two blocks only a spanning forest of their links is returned.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).cast("int"))
-    blocks = dealt.groupBy(*keys, "blk").agg(F.collect_list(F.struct("id", "item")).alias("members"))
-    blocks = cut(blocks)
-    other = blocks.select(*keys, F.col("blk").alias("blk2"), F.col("members").alias("others"))
-    pairs = blocks.join(other, keys).where("blk <= blk2").select("members", "others")
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count_if("rest") / block).alias("n_rest"), F.ceil(F.count_if(~F.col("rest")) / block).alias("n_other"))
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), "n_rest")).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("id"), F.greatest("n_other", F.lit(1))))
+    dealt = rows.join(sizes, keys).withColumn("blk", own.cast("int"))
+    last = F.when(F.col("rest"), F.col("n_rest") + F.col("n_other")).otherwise(F.col("n_rest")).cast("int") - 1
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last))).withColumn("low", F.least("blk", "with")).withColumn("high", F.greatest("blk", "with"))
+    member = F.struct("id", "item")
+    pairs = met.groupBy(*keys, "low", "high").agg(*(F.collect_list(F.when(F.col("blk") == F.col(side), member)).alias(side + "_rows") for side in ("low", "high")))
     fields = to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}"))
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1)):
                 x, y = left.as_py(), right.as_py()
-                yield pa.RecordBatch.from_pydict(dict(zip("ab", _spanning(x, y, linked([m["item"] for m in x], [m["item"] for m in y])))), schema=fields)
+                if x and y:
+                    yield pa.RecordBatch.from_pydict(dict(zip("ab", _spanning(x, y, linked([m["item"] for m in x], [m["item"] for m in y])))), schema=fields)
 
-    return pairs.mapInArrow(forest, f"a {kind}, b {kind}")
+    return pairs.select("low_rows", "high_rows").mapInArrow(forest, f"a {kind}, b {kind}")
 
 
 def _spanning(x: list, y: list, matrix) -> tuple[list[int], list[int]]:

@@ -76,7 +76,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_CELL) ->
     links = p.join(q, same & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
     if none:
         return links
-    members = probes.join(crowded, ["half", "cell"]).select("half", "cell", F.col("rep").alias("id"), F.col("fp").alias("item"))
+    members = probes.join(crowded, ["half", "cell"]).select("half", "cell", F.col("rep").alias("id"), F.col("fp").alias("item"), F.lit(True).alias("rest"))
     return links.unionByName(block_links(members, ["half", "cell"], BLOCK, lambda x, y: _bits_apart(x, y) <= max_bits))
 
 

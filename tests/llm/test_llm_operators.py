@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from provsight.llm import bpe, common, decontam, licences, lines, passages, quality, revisit, runs, simhash, tokens, wrapper
+from provsight.llm import bpe, common, decontam, licences, lines, passages, quality, revisit, simhash, tokens, wrapper
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tid long, hash string, key string, host string"
 WORDS = [f"w{k}" for k in range(400)]
@@ -135,10 +135,8 @@ def jaccard(a, b):
     return len(s(a) & s(b)) / len(s(a) | s(b))
 
 
-@pytest.mark.parametrize("hot", [passages.HOT_BUCKET, 1])
-def test_passages_like_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(passages, "HOT_BUCKET", hot)
-    monkeypatch.setattr(passages.similar_links, "__defaults__", (passages.SIMILARITY, hot))
+@pytest.mark.parametrize("hot", [passages.HOT_PAIRS, 1])
+def test_passages_like_brute_force(spark, hot):
     texts, rng = {}, np.random.default_rng(9)
     for k in range(12):
         base = prose(100 + k, 60).split()
@@ -148,7 +146,7 @@ def test_passages_like_brute_force(spark, hot, monkeypatch):
                 words[at] = f"new{k}{v}{at}"
             texts[10 * k + v] = " ".join(words)
     texts[900] = texts[0]
-    got = passages.repeated_passages(docs(spark, [(k, "short line\n" + t) for k, t in texts.items()])).collect()
+    got = passages.repeated_passages(docs(spark, [(k, "short line\n" + t) for k, t in texts.items()]), hot=hot).collect()
     want = groups(sorted(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
     size = Counter(want.values())
     assert {r.doc_id: r.keeper_doc for r in got} == {k: c for k, c in want.items() if size[c] > 1}
@@ -162,15 +160,35 @@ def test_passages_odd(spark):
 
 
 def test_passages_inside_lines_and_across_them(spark):
-    """Runs of 50 words in unlike documents: in longer lines, over short lines, twice in one text; 49 words are none."""
-    run, other, short = prose(70, 50), prose(71, 50).split(), prose(72, 49)
+    """Runs of 50 words in unlike documents: in longer lines, over short lines, twice in one text. Spans hold nothing else."""
+    run, other = prose(70, 50), prose(71, 50).split()
     broken = "\n".join(" ".join(other[k : k + 10]) for k in range(0, 50, 10))
     own = lambda k, n: " ".join(f"own{k}x{j}" for j in range(n))
-    texts = {1: f"{own(1, 90)} {run} {own(2, 70)}", 2: f"{own(3, 5)}\n{own(4, 80)}, {run.upper()}; {own(5, 60)}", 3: f"{own(6, 9)}\n{broken}\n{own(7, 9)}", 4: f"{own(8, 30)} {' '.join(other)} {own(9, 30)}", 5: f"{own(10, 40)} {short} {own(11, 40)}", 6: f"{own(12, 40)} {short} {own(13, 40)}", 7: f"{run} {own(14, 60)} {run}"}
+    texts = {1: f"{own(1, 90)} {run} {own(2, 70)}", 2: f"{own(3, 5)}\n{own(4, 80)}, {run.upper()}; {own(5, 60)}", 3: f"{own(6, 9)}\n{broken}\n{own(7, 9)}", 4: f"{own(8, 30)} {' '.join(other)} {own(9, 30)}", 5: f"{own(10, 90)}\n{own(11, 90)}", 7: f"{run} {own(14, 60)} {run}"}
     got = passages.repeated_spans(docs(spark, list(texts.items()))).collect()
-    words = lambda t: re.findall(r"\w+", t.lower())
-    assert sorted((r.doc_id, r.pos, r.keeper_doc, r.keeper_pos, r.removed) for r in got) == [(1, 0, 1, 0, False), (2, 1, 1, 0, True), (3, 1, 3, 1, False), (4, 0, 3, 1, True), (7, 0, 1, 0, True), (7, 0, 1, 0, True)]
-    assert all(words(texts[r.doc_id][r.start : r.start + r.n_chars]) == (other if r.doc_id in (3, 4) else words(run)) for r in got)
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    assert sorted((r.doc_id, r.keeper_doc, r.removed) for r in got) == [(1, 1, False), (2, 1, True), (3, 3, False), (4, 3, True), (7, 1, True), (7, 1, True)]
+    for r in got:
+        span = words(texts[r.doc_id][r.start : r.start + r.n_chars])
+        assert span in (" ".join(other) if r.doc_id in (3, 4) else words(run)) and len(span.split()) >= 20
+        assert texts[r.doc_id][: r.start].count("\n") == r.pos
+
+
+def test_planted_passages_are_caught(spark):
+    """Passages of 51 to 120 words inside long lines and over line ends of unlike documents; the other documents are left alone."""
+    rng, texts, planted = np.random.default_rng(31), {}, set()
+    for k in range(150):
+        passage = [f"p{k}x{w}" if rng.random() < 0.3 else w for w in prose(4000 + k, int(rng.integers(51, 121))).split()]
+        for v in range(2):
+            words = [f"{w}q{rng.integers(10**6)}" for w in prose(9000 + 2 * k + v, 300).split()]
+            at = int(rng.integers(0, 301))
+            words[at:at] = passage
+            texts[2 * k + v] = "".join(w + ("\n" if rng.random() < 0.02 else " ") for w in words)
+            planted.add(2 * k + v)
+    for k in range(300, 600):
+        texts[k] = " ".join(f"{w}q{rng.integers(10**6)}" for w in prose(k, 300).split()) + "\nThis short line is on very many pages of the site"
+    found = {r.doc_id for r in passages.repeated_spans(docs(spark, list(texts.items()))).select("doc_id").collect()}
+    assert found == planted
 
 
 def test_spans_odd(spark):
@@ -180,7 +198,8 @@ def test_spans_odd(spark):
     assert passages.repeated_spans(docs(spark, ODD).limit(0)).count() == 0
 
 
-def test_runs_like_brute_force(spark):
+def test_spans_like_brute_force(spark):
+    """Every stretch of repeated windows of 50 words has spans of its own, whose words are all in their keeper's document too."""
     rng, texts = np.random.default_rng(12), []
     pool = [prose(80 + k, 120).split() for k in range(6)]
     for k in range(40):
@@ -194,16 +213,14 @@ def test_runs_like_brute_force(spark):
         w = t.split()
         for j in range(len(w) - 49):
             at.setdefault(tuple(w[j : j + 50]), []).append((k, j))
-    want = {True: set(), False: set()}
-    for found in (v for v in at.values() if len(v) > 1):
-        for k, j in found:
-            if (k, j) == found[0] or k != found[0][0] or j >= found[0][1] + 50:
-                want[(k, j) != found[0]] |= {(k, j + i) for i in range(50)}
-    got = {True: set(), False: set()}
-    for r in runs.repeated_runs(docs(spark, texts)).collect():
-        got[r.removed] |= {(r.doc_id, r.word + i) for i in range(r.n_words)}
-        assert len(texts[r.doc_id][1][r.start : r.stop].split()) == r.n_words
-    assert got == want and want[True]
+    windows = {place for found in at.values() if len(found) > 1 for place in found}
+    got: dict = {}
+    for r in passages.equal_spans(passages._digest(docs(spark, texts), 0.8, 20, 0.999)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.word, r.word + r.n_words))
+        span = texts[r.doc_id][1][r.start : r.stop].split()
+        assert len(span) == r.n_words >= 20 and span == texts[r.doc_id][1].split()[r.word : r.word + r.n_words]
+        assert " ".join(span) in " ".join(texts[r.keeper_doc][1].split()) and (r.removed or r.doc_id == r.keeper_doc)
+    assert len(windows) > 500 and all(len(got[k] & set(range(j, j + 50))) >= 20 for k, j in windows)
 
 
 def naive_tiles(a, b, least):
