@@ -103,15 +103,35 @@ def _rows_of(batch: pa.RecordBatch, names: pa.Schema, bands: int, min_words: int
 
 
 def _minima(words: Words) -> np.ndarray:
-    """The first words of the least GRAM-word shingles of all sliding paragraphs, each once."""
+    """The first words of the least GRAM-word shingles of all sliding paragraphs, each once.
+
+    Of equal ones in a paragraph the first counts, unless the one before still is in it: a word repeated without end has a
+    row for every 31 words. Equal paragraphs have equal shingles in any case.
+    """
     if len(words.hash) < LENGTH:
         return np.empty(0, np.int64)
     h = rolled(words.hash, GRAM, 22)
     width = LENGTH - GRAM + 1
     starts = np.arange(len(h) - width + 1)
     whole = words.text[: len(starts)] == words.text[LENGTH - 1 :]
-    least = (starts + np.lib.stride_tricks.sliding_window_view(h, width).argmin(1))[whole]  # the first of equal ones
-    return least[np.diff(least, prepend=-1) != 0]
+    starts = starts[whole]
+    least = starts + np.lib.stride_tricks.sliding_window_view(h, width).argmin(1)[whole]
+    new = np.flatnonzero(np.diff(least, prepend=-1) != 0)
+    at, first = least[new], starts[new]
+    again = (h[at[1:]] == h[at[:-1]]) & (words.text[at[1:]] == words.text[at[:-1]]) & (first[1:] == starts[new[1:] - 1] + 1)
+    if not again.any():
+        return at
+    keep = np.ones(len(at), bool)
+    runs = np.flatnonzero(np.diff(again, prepend=False, append=False))  # at[a], ..., at[b] are equal shingles
+    for a, b in zip(runs[::2].tolist(), runs[1::2].tolist()):
+        keep[a : b + 1] = False
+        stop = int(starts[new[b + 1] - 1]) if b + 1 < len(new) else int(starts[-1])
+        start = int(first[a])
+        while start <= stop:  # the last that the paragraph at `start` holds serves all paragraphs up to its own
+            k = int(np.searchsorted(at[a : b + 1], start + width, "left")) - 1 + a
+            keep[k] = True
+            start = int(at[k]) + 1
+    return at[keep]
 
 
 def paragraphs(docs: DataFrame, bands: int, min_words: int = MIN_WORDS) -> DataFrame:
@@ -242,7 +262,8 @@ def equal_spans(digest: DataFrame) -> DataFrame:
         & (F.col("before.first.word") + F.col("before.step") == F.col("first.word"))
         & (F.col("before.gap") == F.col("before.first.gap"))
     )
-    spans = found.withColumn("span", F.sum(F.when(follows, 0).otherwise(1)).over(by))
+    touches = (F.col("word") <= F.col("before.word") + GRAM) & F.col("before.first.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("before.first.text_id") == F.col("first.text_id"))
+    spans = found.withColumn("span", F.sum(F.when(follows | touches, 0).otherwise(1)).over(by))
     head = F.min(F.struct("word", "pos", "start", "first")).alias("head")
     spans = spans.groupBy("doc_id", "text_id", "removed", "span").agg(head, F.max("word").alias("last"), F.max(F.col("start") + F.col("n_chars")).alias("stop"), F.max("n").alias("n_copies"))
     return spans.select(
