@@ -1,7 +1,8 @@
 """Line dedup: lines that many documents share stay in one document only. DataFrame functions throughout.
 
 Hashes of line keys are range-partitioned with their document and sorted by document and position, so that a frequent
-line spreads over many partitions; each partition streams the first occurrence per document, and only counts meet.
+line spreads over many partitions; each partition is streamed in that order and marks the first occurrence in every
+document, and from these alone documents are counted and the keeper is found, combined before they meet.
 The result is a compressed keep bitmap per document: 64-bit words of keep bits, present only where a line goes.
 
 Defined cases: null or empty text is one empty line; rows of one doc_id count as one document and each distinct text
@@ -11,10 +12,10 @@ the keeper is the largest doc_id; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, saved
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Shared lines (40 bytes each) that may be broadcast; beyond it the join is shuffled and its skew split.
@@ -34,14 +35,19 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select("doc_id", "tid", "pos", F.unhex(F.md5("key")).alias("hash"))
 
 
+def first_occurrences(hashes: DataFrame) -> DataFrame:
+    """hashes in ranges of (hash, doc_id), sorted by (hash, doc_id, pos); first marks a document's first line with the hash."""
+    ranged = hashes.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id", "pos")
+    in_document = Window.partitionBy("hash", "doc_id").orderBy("pos")  # ranges and order fit: no further shuffle or sort
+    return ranged.withColumn("first", F.row_number().over(in_document) == 1)
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, tid, n_dropped, keep: map of word number to 64 keep bits) of the documents that lose a line."""
-    hashes = cut(line_hashes(docs, min_chars))
-    ranged = hashes.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id", "pos")
-    first = ranged.groupBy("hash", "doc_id").agg(F.min("pos").alias("first_pos"))
-    shared = first.groupBy("hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    ordered = saved(first_occurrences(saved(line_hashes(docs, min_chars))))  # saved before as well, since ranges are sampled
+    shared = ordered.where("first").groupBy("hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     shared = broadcast_if_small(cut(shared), MAX_BROADCAST)  # apart from the join, so that a frequent line's rows can be split
-    drops = hashes.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "tid", "pos").distinct()
+    drops = ordered.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "tid", "pos").distinct()
     words = drops.groupBy("doc_id", "tid", F.expr("cast(pos div 64 AS bigint)").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.count("*").alias("n"))
     return words.groupBy("doc_id", "tid").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("bits")))).alias("keep"))
