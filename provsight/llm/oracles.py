@@ -20,9 +20,9 @@ s AS (SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, coalesce(list_sum([
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN dl USING (r) LEFT JOIN rw USING (r)),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
 ho AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM b WHERE source IS NOT NULL GROUP BY source),
-pr AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM ho),
-pw AS (SELECT m, CASE WHEN v > 1e-12 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE {quality.FLAT_PRIOR} END AS wt FROM pr),
-re AS (SELECT source FROM ho, pw WHERE (bad + m * wt) / (n + wt) > {quality.MAX_HOST_RATE})
+pr AS (SELECT avg(bad / n) AS m, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS v FROM ho),
+pw AS (SELECT m, v, greatest(m * (1 - m) / v - 1, 0) AS wt FROM pr WHERE v > 1e-9),
+re AS (SELECT source FROM ho, pw WHERE (bad + m * wt) / (n + wt) > greatest(m + {quality.PRIOR_SPREADS} * sqrt(v), {quality.MIN_HOST_RATE}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   re.source IS NOT NULL AS host_rejected, NOT base_failed AND re.source IS NULL AS kept FROM b LEFT JOIN re USING (source)
 """

@@ -1,7 +1,10 @@
 """Quality rules at two levels: a document's own text, and the host it came from.
 
 Each document gets base counts and a base verdict. Failures are summed by host, each host's failure rate is shrunk
-towards the others by an empirical beta prior, and the verdict on the host is joined back to its documents.
+towards the others by an empirical beta prior, and the verdict on the host is joined back to its documents. The prior's
+moments are those of the hosts' rates less what sampling alone would spread them. A host is rejected when its shrunk rate
+lies PRIOR_SPREADS standard deviations of the prior above its mean, and most of its documents fail (MIN_HOST_RATE): good
+documents of an odd but mostly sound host stay.
 
 Defined cases: null text counts as empty (no words: base_failed); a null host has no verdict of its own; repeated
 rows count as often as they occur; an empty table gives an empty result; other columns of the input are ignored.
@@ -17,14 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, cut
+from .common import WORD, broadcast_if_small, cut, saved
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
-#: Documents that the prior is worth when the hosts' rates do not differ.
-FLAT_PRIOR = 10.0
+#: A host is rejected when its shrunk failure rate is above both: so many standard deviations over the prior's mean, and this rate.
+PRIOR_SPREADS, MIN_HOST_RATE = 1.0, 0.5
 #: Rejected hosts that may be broadcast; beyond it the join is shuffled.
 MAX_BROADCAST_HOSTS = 100_000
 _word = re.compile(WORD)
@@ -75,16 +76,21 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def host_verdicts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, rate, rejected) from flags(host, failed): the beta prior is fitted to all hosts by moments."""
+def host_verdicts(flags: DataFrame, spreads: float = PRIOR_SPREADS, min_rate: float = MIN_HOST_RATE) -> DataFrame:
+    """(host, n_docs, n_failed, rate, rejected) from flags(host, failed): the beta prior is fitted to all hosts by moments.
+
+    Where the rates differ no more than sampling explains, every host has the mean rate, and none stands out.
+    """
     hosts = flags.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("failed").alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("mean"), F.coalesce(F.var_pop(raw), F.lit(0.0)).alias("var"))
+    moments = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
     spread = F.col("mean") * (1 - F.col("mean"))
-    weight = F.when((F.col("var") > 1e-12) & (F.col("var") < spread), spread / F.when(F.col("var") > 1e-12, F.col("var")) - 1).otherwise(FLAT_PRIOR)
-    joined = hosts.crossJoin(F.broadcast(prior.select("mean", weight.alias("weight"))))  # the prior is one row
-    rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return joined.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > max_rate).alias("rejected"))
+    prior = moments.select("mean", F.when(F.col("var") - spread * F.col("inverse") > 1e-9, F.col("var") - spread * F.col("inverse")).alias("between"))
+    joined = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
+    weight = F.greatest(spread / F.col("between") - 1, F.lit(0.0))
+    rate = F.coalesce((F.col("n_failed") + F.col("mean") * weight) / (F.col("n_docs") + weight), F.col("mean"))
+    rejected = F.coalesce((rate > F.col("mean") + spreads * F.sqrt("between")) & (rate > min_rate), F.lit(False))
+    return joined.select("host", "n_docs", "n_failed", rate.alias("rate"), rejected.alias("rejected"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,8 +105,12 @@ def quality_rules(docs: DataFrame, host: str = "source", id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that pass, with their columns. Texts are read twice and never shuffled."""
-    flags = docs.select(F.col(host).alias("host"), _failed(F.col(text)).alias("failed"))
-    rejected = cut(host_verdicts(flags)).where("rejected").select("host")
-    good = docs.where(~_failed(F.col(text)))
+    """The documents that pass, with their columns. Texts are judged once; the good ones are kept as Parquet until hosts are known."""
+    flag = "failed"
+    while flag in (c.lower() for c in docs.columns):
+        flag += "_"
+    judged = docs.withColumn(flag, _failed(F.col(text)))
+    judged = saved(judged.withColumn(text, F.when(~F.col(flag), F.col(text))))
+    rejected = cut(host_verdicts(judged.select(F.col(host).alias("host"), F.col(flag).alias("failed")))).where("rejected").select("host")
+    good = judged.where(~F.col(flag)).drop(flag)
     return good.alias("d").join(broadcast_if_small(rejected, MAX_BROADCAST_HOSTS).alias("r"), F.col(f"d.{host}") == F.col("r.host"), "left_anti")
