@@ -85,12 +85,13 @@ def _bits_apart(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, fp, component_id) for every row of docs."""
+    """(doc_id, tid, fp, component_id) for every row of docs. Fingerprints are the nodes, so those of rows without doc_id link as well."""
     prints = cut(fingerprints(docs))
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = components(near_links(fps.where("rep IS NOT NULL")))
-    named = fps.join(groups, fps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "tid", "fp", "component_id")
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = components(near_links(fps.select(F.col("fp").alias("rep"), "fp")))
+    named = cut(fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "tid", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
