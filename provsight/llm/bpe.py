@@ -2,7 +2,8 @@
 
 The ranks file gives the vocabulary; the two parts that a token was merged from follow from the ranks themselves.
 Texts become characters of the byte alphabet, one for each byte, as the tokenizers library does it; decoding reverses
-that table. A character may be split between tokens, so decoding gives bytes, which are text only as a whole.
+that table: pieces to characters, characters to bytes. A character may be split between tokens, so decoding gives
+bytes, which are text only as a whole (or as decode_stream puts it together), and parts of a character have its offsets.
 
 Defined cases: null text is empty (no ids, no bytes); special strings are ordinary text; an id outside the vocabulary
 raises; empty tables give empty results; other columns are ignored.
@@ -11,8 +12,10 @@ raises; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +23,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
+#: Characters of texts that are encoded at once.
+CHARS = 1_000_000
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else one from code point 256 on."""
@@ -65,12 +71,37 @@ def tokenizer(path: str, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def byte_table(path: str) -> dict[int, bytes]:
-    return {r: t for t, r in read_ranks(path).items()}
+def byte_table(path: str) -> tuple[list[bytes], np.ndarray]:
+    """By id: the bytes for which the characters of its piece stand, by the reversed alphabet, and how many they are."""
+    shown = byte_alphabet()
+    back = {c: b for b, c in enumerate(shown)}
+    pieces = {r: "".join([shown[b] for b in t]) for t, r in read_ranks(path).items()}
+    out = [b""] * (max(pieces, default=-1) + 1)
+    for r, piece in pieces.items():
+        out[r] = bytes([back[c] for c in piece])
+    return out, np.array([len(x) for x in out], np.int64)
 
 
 def decode(ids: list[int], path: str) -> bytes:
-    return b"".join(map(byte_table(path).__getitem__, ids))
+    """The bytes of all ids, one after the other: a character that is split between ids is whole again only here."""
+    table = byte_table(path)[0]
+    if len(ids) and (min(ids) < 0 or not all(pieces := [table[i] for i in ids])):
+        raise ValueError("an id is outside the vocabulary")
+    return b"".join(pieces) if len(ids) else b""
+
+
+def decode_stream(ids: list[int], path: str) -> list[str]:
+    """The text that each id adds: an id that ends inside a character adds what is whole, and the next ones the rest."""
+    whole = codecs.getincrementaldecoder("utf-8")()
+    return [whole.decode(decode([i], path)) for i in ids]
+
+
+def split_characters(ids: list[int], decoded: bytes, path: str) -> int:
+    """How many ids end inside a character: the byte after them continues one."""
+    if len(ids) < 2:
+        return 0
+    ends = np.cumsum(byte_table(path)[1][np.array(ids)])[:-1]
+    return int(((np.frombuffer(decoded, np.uint8)[ends] & 0xC0) == 0x80).sum())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
@@ -91,17 +122,28 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), lambda c: {"doc_id": c["doc_id"], "bytes": [decode(i or [], path) for i in c["ids"]]}, "doc_id long, bytes binary")
 
 
+def _encoded(texts: list[str | None], made) -> Iterator[list[int]]:
+    """The ids of each text; texts go to the library by CHARS characters, so few ids are held at once."""
+    texts, first, size = [t or "" for t in texts], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size > CHARS or k == len(texts) - 1:
+            for e in made.encode_batch_fast(texts[first : k + 1], add_special_tokens=False):
+                yield e.ids
+            first, size = k + 1, 0
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids stay in the task that made them."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split): ids stay in the task that made them. n_split: ids that end inside a character."""
 
     def make(c: dict[str, list]) -> dict[str, list]:
         made, out = tokenizer(path, pattern), []
-        for text in c["text"]:  # one text at a time: its ids are gone before the next
-            ids = made.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
-            out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()))
-        return {"doc_id": c["doc_id"]} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*out) if out else [[]] * 3))
+        for ids in _encoded(c["text"], made):
+            back = decode(ids, path)
+            out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), split_characters(ids, back, path)))
+        return {"doc_id": c["doc_id"]} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256", "n_split"), zip(*out) if out else [[]] * 4))
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -109,8 +151,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(c: dict[str, list]) -> dict[str, list]:
         made, out = tokenizer(path, pattern), []
-        encoded = made.encode_batch_fast([t or "" for t in c["text"]], add_special_tokens=False)
-        for doc_id, text, ids in zip(c["doc_id"], c["text"], (e.ids for e in encoded)):
+        for doc_id, text, ids in zip(c["doc_id"], c["text"], _encoded(c["text"], made)):
             back = decode(ids, path)
             if back != (text or "").encode():
                 raise ValueError(f"the ids of doc_id {doc_id} do not decode to its text")

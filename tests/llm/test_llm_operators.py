@@ -92,6 +92,14 @@ def test_simhash_odd(spark):
     assert simhash.near_groups(docs(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_simhash_links_fingerprints_without_id(spark, monkeypatch):
+    """A fingerprint that only rows without doc_id have links, and joins others; with no doc_id at all the class has no name."""
+    prints = [(None, 0, 0b1), (9, 0, 0b11), (None, 0, 0b1111), (4, 0, 0b1111111), (None, 0, -1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda _: spark.createDataFrame(prints, "doc_id long, tid long, fp long"))
+    got = {r.fp: r.component_id for r in simhash.near_groups(docs(spark, [(1, "a")])).collect()}
+    assert got == {0b1: 4, 0b11: 4, 0b1111: 4, 0b1111111: 4, -1: None}
+
+
 def test_quality_counts():
     text = "a b c d e a b c d e\n# x\n# x\n \n"
     assert quality.text_counts(text) == (14, 14, 2, 1, 10)
@@ -99,6 +107,17 @@ def test_quality_counts():
     assert quality.repeated_words("a a a a a a".split()) == 6
 
 
+def test_quality_hosts_stand_out_or_not(spark):
+    """Three bad hosts among many go; hosts that differ by chance alone, and a single host however bad, have the mean rate."""
+    rng, rows = np.random.default_rng(8), []
+    for h in range(60):
+        rows += [(f"h{h}", bool(rng.random() < (0.9 if h < 3 else 0.1))) for _ in range(int(rng.integers(5, 60)))]
+    make = lambda r: quality.host_verdicts(spark.createDataFrame(r, "host string, failed boolean")).collect()
+    assert {r.host for r in make(rows) if r.rejected} == {"h0", "h1", "h2"}
+    chance = [(f"h{h}", bool(rng.random() < 0.6)) for h in range(60) for _ in range(3)]
+    assert not any(r.rejected for r in make(chance)) and not any(r.rejected for r in make([("h", True)] * 9 + [("h", False)]))
+
+
 def test_quality_hosts(spark):
     good, bad = prose(1, 60), "x"
     rows = [(k, bad, "junk") for k in range(40)] + [(40, good, "junk"), (41, good, None), (42, None, None)] + [(50 + k, good, f"h{k % 4}") for k in range(40)] + [(99, bad, "h1")]
@@ -111,6 +130,14 @@ def test_quality_hosts(spark):
     assert quality.quality_rules(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_line_dedup_streams_sorted_ranges(spark):
+    """One shuffle by ranges; the window that marks first occurrences runs on its order, without another shuffle."""
+    marked = lines.first_occurrences(lines.line_hashes(docs(spark, [(1, prose(1, 30)), (2, prose(1, 30) + "\n" + prose(1, 30))])))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(hash" in plan and "Window" in plan and "Sort [hash" in plan
+    assert sorted((r.doc_id, r.pos, r.first) for r in marked.collect()) == [(1, 0, True), (2, 0, True), (2, 1, False)]
+
+
 def test_line_dedup_like_brute_force(spark):
     shared = "Shared line of more than forty characters, it is."
     texts = [(k, f"own {k}\n  {shared if k % 2 else shared.upper()}\t\nshort\n{shared}\n" + "\n" * (k * 40)) for k in range(7)] + [(20, shared + "!"), (21, None), (22, ""), (23, LONG)]
@@ -357,6 +384,13 @@ def test_bpe_like_tiktoken(spark):
     offsets = bpe.encode(docs(spark, [(1, "é\U0001f600a")]), path, tk.PATTERN, offsets=True).first()
     assert len(offsets.offsets) == len(offsets.ids) and offsets.offsets[-1][1] == 3
     assert bpe.round_trip(docs(spark, ODD).limit(0), path, tk.PATTERN).count() == 0
+    text = "é 漢字😀 é " + "".join(map(chr, range(0x20, 0x3000, 7)))
+    ids = want.encode_ordinary(text)
+    assert "".join(bpe.decode_stream(ids, path)) == text == bpe.decode(ids, path).decode()
+    inside = sum(1 for k in range(1, len(ids)) if bpe.decode(ids[k:], path)[0] & 0xC0 == 0x80)
+    assert bpe.split_characters(ids, text.encode(), path) == inside > 0
+    with pytest.raises((ValueError, IndexError)):
+        bpe.decode([10**6], path)
 
 
 def test_licences_held_out(spark):
