@@ -1,9 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 Every page of a host is aligned with the host's reference page by simple tree matching. A reference node whose text
-is the same on nearly all different articles that have it is template; the others are slots. Extraction aligns a page
-once more, leaves out the nodes that hold their template's own text and the parts that are no article by their element
-or role (menus, headers, footers, asides, notices, adverts, forms, comments, scripts), and reads the blocks of the rest.
+is the same on nearly all different articles that have it is template; the others are slots. The smallest node with
+blocks of its own that holds most of the words that vary outside links is the content's region. Extraction aligns a page
+once more, leaves out the nodes that hold their template's own text, and reads the blocks of the page's article or main
+elements or, where it has none, of the region. Parts that are no article by their element or role are left out as well
+(menus, headers, footers, asides, notices, adverts, forms, comments, scripts).
 Articles are told apart by host and key, so a hot host is spread, and node counts meet by host and node after being
 summed in each task; hosts' references are broadcast only while they are small.
 
@@ -14,7 +16,8 @@ different articles besides the reference's has no template nodes.
 
 Defined cases: null or empty html gives empty text; a url without a host shares the host ''; an unclosed or stray tag
 is repaired as browsers do for paragraphs, list items and cells; repeated rows each give their row; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored; deep and long pages are read and aligned without recursion, long lists
+of unlike siblings by labels and sizes (align).
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ from .common import cut, map_batches
 MIN_PAGES, SAME_SHARE = 5, 0.9
 #: Words of a shingle, and the share of an article's shingles that the reference must lack for it to be another article.
 SHINGLE, OWN_SHARE = 5, 0.5
+#: Share of the varying words that the content's region holds; pairs of kids from which alignment looks at labels and sizes.
+REGION_SHARE, MAX_PAIRS = 0.8, 2500
 #: Bytes of reference pages that may be broadcast.
 MAX_BROADCAST = 8_000_000
 _tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -128,80 +135,158 @@ def _skipped(node: Node, inside: bool) -> bool:
     return any(m[5:] in ROLES if m.startswith("role:") else m in MARKS or not MARKS.isdisjoint(re.split(r"[-_]+", m)) for m in node.marks)
 
 
+def _pieces(node: Node):
+    """The texts below a node in page order, each with whether it is in a link."""
+    todo: list = [(node, False)]
+    while todo:
+        at, linked = todo.pop()
+        if isinstance(at, str):
+            yield at, linked
+        elif at.tag not in RAW:
+            todo.extend((k, linked or at.tag == "a") for k in reversed(at.kids))
+
+
 def _whole(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else _whole(k) for k in node.kids) if node.tag not in RAW else ""
+    return "".join(t for t, _ in _pieces(node))
 
 
 class Slot:
-    """A run of like siblings, as one node of the tree that is aligned."""
+    """A run of like siblings, as one node of the tree that is aligned. shape tells trees apart by labels and structure."""
+
+    __slots__ = ("label", "nodes", "kids", "size", "shape")
 
-    __slots__ = ("label", "nodes", "kids", "size")
+    def __init__(self, nodes: list[Node]):
+        self.label, self.nodes, self.kids = (nodes[0].tag, nodes[0].marks), nodes, []
 
 
 @lru_cache(maxsize=64)
 def slots(page: str) -> Slot:
-    return _slots([parse(page)])
-
-
-def _slots(nodes: list[Node]) -> Slot:
-    made = Slot()
-    made.label, made.nodes, made.kids = (nodes[0].tag, nodes[0].marks), nodes, []
-    run: list[Node] = []
-    for kid in (k for n in nodes for k in n.kids if isinstance(k, Node) and k.tag in BLOCK):
-        if run and (kid.tag, kid.marks) != (run[0].tag, run[0].marks):
-            made.kids.append(_slots(run))
-            run = []
-        run.append(kid)
-    if run:
-        made.kids.append(_slots(run))
-    made.size = 1 + sum(k.size for k in made.kids)
-    return made
-
-
-def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the most pairs of equal labels that keep parents and order, and those pairs."""
+    root = Slot([parse(page)])
+    made = [root]
+    for at in made:  # grows while it is read
+        for kid in (k for n in at.nodes for k in n.kids if isinstance(k, Node) and k.tag in BLOCK):
+            if not at.kids or (kid.tag, kid.marks) != at.kids[-1].label:
+                at.kids.append(Slot([kid]))
+                made.append(at.kids[-1])
+            else:
+                at.kids[-1].nodes.append(kid)
+    for at in reversed(made):
+        at.size = 1 + sum(k.size for k in at.kids)
+        at.shape = hash((at.label, *(k.shape for k in at.kids)))
+    return root
+
+
+def _table(a: Slot, b: Slot, weight: Callable[[Slot, Slot], int]) -> np.ndarray:
+    """The best sums of weights of kids matched in order, by prefixes of both lists."""
+    best = np.zeros((len(a.kids) + 1, len(b.kids) + 1), np.int64)
+    for i, x in enumerate(a.kids):
+        weights = np.array([weight(x, y) if x.label == y.label else 0 for y in b.kids])
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weights))
+    return best
+
+
+def align(a: Slot, b: Slot, max_pairs: int = MAX_PAIRS) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """Simple tree matching: the most pairs of equal labels that keep parents and order, and those pairs.
+
+    Subtrees of the same shapes are compared once. Two lists of kids with more than max_pairs pairs are matched by their
+    labels and the smaller size of each two instead of by what their subtrees match, so long pages stay cheap. Nothing recurses.
+    """
     if a.label != b.label:
         return 0, []
-    rows, columns = len(a.kids), len(b.kids)
-    inner = [[align(x, y) for y in b.kids] for x in a.kids]
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    for i in range(rows):
-        for j in range(columns):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner[i][j][0])
-    pairs, i, j = [(a, b)], rows, columns
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += inner[i][j][1]
-    return best[rows][columns] + 1, pairs
+    known: dict[tuple[int, int], int] = {}
+
+    def weight(x: Slot, y: Slot) -> int:
+        return known[x.shape, y.shape]
+
+    def wide(x: Slot, y: Slot) -> bool:
+        return len(x.kids) * len(y.kids) > max_pairs
+
+    def smaller(x: Slot, y: Slot) -> int:
+        return min(x.size, y.size)
+
+    def solve(top: Slot, other: Slot) -> None:
+        todo = [(top, other)]
+        while todo:
+            x, y = todo[-1]
+            if (x.shape, y.shape) in known:
+                todo.pop()
+            elif not x.kids or not y.kids:
+                known[x.shape, y.shape] = 1
+            elif wide(x, y):
+                known[x.shape, y.shape] = 1 + int(_table(x, y, smaller)[-1, -1])
+            elif open_ := [(p, q) for p in x.kids for q in y.kids if p.label == q.label and (p.shape, q.shape) not in known]:
+                todo.extend(open_)
+            else:
+                known[x.shape, y.shape] = 1 + int(_table(x, y, weight)[-1, -1])
+
+    pairs, at = [(a, b)], 0
+    while at < len(pairs):  # grows while it is read
+        x, y = pairs[at]
+        at += 1
+        if not x.kids or not y.kids:
+            continue
+        if not wide(x, y):
+            solve(x, y)
+        best = _table(x, y, smaller if wide(x, y) else weight)
+        i, j, found = len(x.kids), len(y.kids), []
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((x.kids[i], y.kids[j]))
+        pairs += reversed(found)
+    return len(pairs), pairs
 
 
 def _preorder(slot: Slot) -> list[Slot]:
-    return [slot, *(s for k in slot.kids for s in _preorder(k))]
+    out, todo = [], [slot]
+    while todo:
+        out.append(todo.pop())
+        todo.extend(reversed(out[-1].kids))
+    return out
 
 
 def _text(slot: Slot) -> str:
     return " ".join("\n".join(map(_whole, slot.nodes)).split())
 
 
-def extract(page: str, template: set[int] | None = None, reference: str | None = None) -> str:
-    """The page's main text. template: preorder numbers of the reference's template nodes."""
-    left_out: set[int] = set()
-    tree = slots.__wrapped__(page)
-    if template and reference:
-        number = {id(s): k for k, s in enumerate(_preorder(slots(reference)))}
-        left_out = {id(n) for r, s in align(slots(reference), tree)[1] if number[id(r)] in template and not s.kids and _text(r) == _text(s) for n in s.nodes}
-    return _main(tree.nodes[0], left_out)
+def _free_words(slot: Slot) -> int:
+    """Words of the slot that are in no link."""
+    return sum(len(t.split()) for n in slot.nodes for t, linked in _pieces(n) if not linked)
+
+
+def extract(page: str, template: set[int] | None = None, reference: str | None = None, region: int | None = None) -> str:
+    """The page's main text. template: preorder numbers of the reference's template nodes; region: of the one that holds the content."""
+    return _extract(page, template, reference, region)[0]
 
 
-def _main(root: Node, left_out: set[int]) -> str:
-    areas = _areas(root) or [root]
+def _extract(page: str, template: set[int] | None, reference: str | None, region: int | None) -> tuple[str, int]:
+    """As extract, and how many slots of the page the wrapper decided: template left out, or the region taken."""
+    left_out: set[int] = set()
+    inside: list[Node] = []
+    decided = 0
+    tree = slots.__wrapped__(page)
+    if reference and (template or region):
+        base = slots(reference)
+        number = {id(s): k for k, s in enumerate(_preorder(base))}
+        for r, s in align(base, tree)[1]:
+            if template and number[id(r)] in template and not s.kids and _text(r) == _text(s):
+                left_out.update(id(n) for n in s.nodes)
+                decided += 1
+            if number[id(r)] == region:
+                inside = s.nodes
+    areas = _areas(tree.nodes[0])
+    if not areas and inside:
+        areas, decided = inside, decided + 1
+    return _main(tree.nodes[0], areas, left_out), decided
+
+
+def _main(root: Node, areas: list[Node], left_out: set[int]) -> str:
     blocks: list[str] = []
-    for area in areas:
+    for area in areas or [root]:
         pieces: list[str] = []
         _read(area, area is not root, left_out, pieces, blocks)
         _flush(pieces, blocks)
@@ -231,20 +316,23 @@ def _flush(pieces: list[str], blocks: list[str]) -> None:
 
 
 def _read(node: Node, inside: bool, left_out: set[int], pieces: list[str], blocks: list[str]) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
+    todo: list = [k for k in reversed(node.kids)]
+    while todo:
+        kid = todo.pop()
+        if kid is None:
+            _flush(pieces, blocks)
+        elif isinstance(kid, str):
             pieces.append(kid)
         elif kid.tag == "br":
             pieces.append("\n")
         elif _skipped(kid, inside) or id(kid) in left_out:
             if kid.tag in BLOCK:
                 _flush(pieces, blocks)
-        elif kid.tag in BLOCK:
-            _flush(pieces, blocks)
-            _read(kid, inside, left_out, pieces, blocks)
-            _flush(pieces, blocks)
         else:
-            _read(kid, inside, left_out, pieces, blocks)
+            if kid.tag in BLOCK:
+                _flush(pieces, blocks)
+                todo.append(None)
+            todo.extend(reversed(kid.kids))
 
 
 def _shingles(text: str) -> set[str]:
@@ -252,14 +340,19 @@ def _shingles(text: str) -> set[str]:
     return {" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def _own_main(tree: Slot) -> str:
+    """The main text by the page alone, without a wrapper."""
+    return _main(tree.nodes[0], _areas(tree.nodes[0]), set())
+
+
 @lru_cache(maxsize=64)
 def _reference_shingles(reference: str) -> set[str]:
-    return _shingles(_main(slots(reference).nodes[0], set()))
+    return _shingles(_own_main(slots(reference)))
 
 
 def article_key(tree: Slot, reference: str) -> bytes | None:
     """The digest of what the page's article has and the reference's lacks, or None if that is too little."""
-    has = _shingles(_main(tree.nodes[0], set()))
+    has = _shingles(_own_main(tree))
     own = has - _reference_shingles(reference)
     return hashlib.md5("\n".join(sorted(own)).encode("utf-8", "surrogatepass")).digest() if own and len(own) >= OWN_SHARE * len(has) else None
 
@@ -273,43 +366,70 @@ def _sent(hosts: DataFrame, size: str, limit: int) -> DataFrame:
     return F.broadcast(hosts) if total <= limit else hosts
 
 
+def content_region(reference: str, varying: dict[int, int], share: float = REGION_SHARE) -> int | None:
+    """The preorder number of the smallest node with blocks of its own that holds `share` of the words that vary; None for the root."""
+    order = _preorder(slots(reference))
+    number = {id(s): k for k, s in enumerate(order)}
+    words = [varying.get(k, 0) for k in range(len(order))]
+    for k in range(len(order) - 1, -1, -1):  # kids come after their parents
+        words[k] += sum(words[number[id(c)]] for c in order[k].kids)
+    at, total = 0, words[0]
+    while total:
+        inner = [number[id(c)] for c in order[at].kids if c.kids and words[number[id(c)]] >= share * total]
+        if not inner:
+            break
+        at = inner[0]
+    return at or None
+
+
 def induce(pages: DataFrame, min_pages: int = MIN_PAGES, same_share: float = SAME_SHARE) -> DataFrame:
-    """(host, reference, template): each host's reference page and the numbers of its template nodes."""
+    """(host, reference, template, region): each host's reference page, the numbers of its template nodes, and of the node with the content.
+
+    Hosts with fewer than min_pages different articles besides the reference's have no row.
+    """
     named = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html")
     hosts = named.where("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("reference"))
     hosts = cut(hosts)
     read = named.where("html IS NOT NULL").join(_sent(hosts.withColumn("size", F.octet_length("reference") + 64), "size", MAX_BROADCAST).drop("size"), "host")
 
     def make(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("host", "article", "seen", "same")}
+        out: dict[str, list] = {k: [] for k in ("host", "article", "seen", "same", "words")}
         for host, html, reference in zip(c["host"], c["html"], c["reference"]):
             tree = slots.__wrapped__(html)
             if (key := article_key(tree, reference)) is None:
                 continue
             base = slots(reference)
             number = {id(s): k for k, s in enumerate(_preorder(base))}
-            leaves = [(number[id(r)], text == _text(s)) for r, s in align(base, tree)[1] if not r.kids and not s.kids and (text := _text(r))]
-            for k, v in zip(out, (host, key, [n for n, _ in leaves], [n for n, same in leaves if same])):
+            leaves = [(number[id(r)], text == _text(s), _free_words(s)) for r, s in align(base, tree)[1] if not r.kids and not s.kids and (text := _text(r))]
+            for k, v in zip(out, (host, key, [n for n, _, _ in leaves], [n for n, same, _ in leaves if same], [w for _, _, w in leaves])):
                 out[k].append(v)
         return out
 
-    found = map_batches(read.select("host", "html", "reference"), make, "host string, article binary, seen array<int>, same array<int>")
-    articles = found.groupBy("host", "article").agg(F.min(F.struct("seen", "same")).alias("nodes")).select("host", "nodes.*")
-    each = articles.select("host", F.explode("seen").alias("node"), "same").select("host", "node", F.array_contains("same", F.col("node")).cast("long").alias("same"))
-    nodes = each.groupBy("host", "node").agg(F.count("*").alias("seen"), F.sum("same").alias("same"))
-    constant = nodes.where((F.col("seen") >= min_pages) & (F.col("same") >= same_share * F.col("seen")))
-    template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
-    return hosts.join(template, "host")
+    found = map_batches(read.select("host", "html", "reference"), make, "host string, article binary, seen array<int>, same array<int>, words array<int>")
+    articles = found.groupBy("host", "article").agg(F.min(F.struct("seen", "same", "words")).alias("nodes")).select("host", "nodes.*")
+    each = articles.select("host", F.posexplode("seen").alias("k", "node"), "same", "words").select("host", "node", F.array_contains("same", F.col("node")).cast("long").alias("same"), F.element_at("words", F.col("k") + 1).alias("words"))
+    nodes = each.groupBy("host", "node").agg(F.count("*").alias("seen"), F.sum("same").alias("same"), F.sum("words").alias("words"))
+    # a host's nodes are as many as its reference page has
+    judged = nodes.where(F.col("seen") >= min_pages).withColumn("constant", F.col("same") >= same_share * F.col("seen"))
+    wrapper = judged.groupBy("host").agg(F.collect_list(F.when(F.col("constant"), F.col("node"))).alias("template"), F.collect_list(F.when(~F.col("constant"), F.struct("node", "words"))).alias("varying"))
+    known = hosts.join(wrapper, "host")
+
+    def regions(c: dict[str, list]) -> dict[str, list]:
+        found = [content_region(r, {x["node"]: x["words"] for x in v}) for r, v in zip(c["reference"], c["varying"])]
+        return {k: c[k] for k in ("host", "reference", "template")} | {"region": found}
+
+    return map_batches(known, regions, "host string, reference string, template array<int>, region int")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, same_share: float = SAME_SHARE) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of pages."""
-    hosts = cut(induce(pages, min_pages, same_share).withColumn("size", F.octet_length("reference") + 64))  # only hosts with a template
+    """(page_id, url, text, n_chars, n_decided) per row of pages. n_decided: slots that the wrapper left out or took as the content."""
+    hosts = cut(induce(pages, min_pages, same_share).withColumn("size", F.octet_length("reference") + 64))  # only hosts with a wrapper
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     read = named.join(_sent(hosts, "size", MAX_BROADCAST).drop("size"), "host", "left")
 
     def make(c: dict[str, list]) -> dict[str, list]:
-        texts = [extract(h, set(t) if t else None, r) for h, t, r in zip(c["html"], c["template"], c["reference"])]
-        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": list(map(len, texts))}
+        found = [_extract(h, set(t) if t else None, r, g) for h, t, r, g in zip(c["html"], c["template"], c["reference"], c["region"])]
+        texts = [t for t, _ in found]
+        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": list(map(len, texts)), "n_decided": [n for _, n in found]}
 
-    return map_batches(read.select("page_id", "url", "html", "template", "reference"), make, "page_id long, url string, text string, n_chars long")
+    return map_batches(read.select("page_id", "url", "html", "template", "reference", "region"), make, "page_id long, url string, text string, n_chars long, n_decided long")

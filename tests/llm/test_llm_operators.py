@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -370,6 +371,58 @@ def test_token_counts(spark):
     assert tokens.token_counts(docs(spark, texts).limit(0), path, tk.PATTERN).count() == 0
 
 
+def naive_match(a, b):
+    """Simple tree matching as it is defined: the best of all ways to match kids in order."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        return 0 if not x or not y else max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + naive_match(x[0], y[0]))
+
+    return 1 + best(a.kids, b.kids)
+
+
+def test_align_like_brute_force():
+    rng = np.random.default_rng(6)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else 'x'}</{t}>" for t in rng.choice(["div", "ul", "section"], int(rng.integers(0, 5))))
+
+    for _ in range(60):
+        a, b = wrapper.slots(page(2)), wrapper.slots(page(2))
+        n, pairs = wrapper.align(a, b)
+        assert n == naive_match(a, b) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs)
+
+
+def test_deep_and_long_pages(spark):
+    """5,000 nested elements, 3,000 unlike siblings (other shapes each), and a long paragraph: read whole, in seconds."""
+    deep = "<div>" * 5000 + "inner" + "</div>" * 5000
+    wide = "".join(f"<h2>h{k}</h2><div>{'<ul><li>a</ul>' * (k % 7)}<p>t{k}</div>" for k in range(1500))
+    long = "<article><p>" + "word " * 200_000 + "</article>"
+    pages = [(k, "http://h/", p) for k, p in enumerate([deep, wide, long, deep + "x", wide + "<p>y"] * 2)]
+    began = time.time()
+    got = {r.page_id: r for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), min_pages=2).collect()}
+    assert got[0].text == "inner" and got[3].text == "inner\nx" and got[2].n_chars == 999_999
+    assert got[1].text.count("\n") > 2999 and got[4].text.endswith("\ny") and time.time() - began < 60
+    n, pairs = wrapper.align(wrapper.slots(wide), wrapper.slots(wide + "<p>y"))
+    assert n == wrapper.slots(wide).size
+
+
+def test_wrapper_finds_the_content_of_unmarked_pages(spark):
+    """No article element and no telling class: what stays the same goes, and the region with the varying words is the content."""
+    def page(k, text):
+        links = "".join(f"<li><a href='/{j}'>other page {j * k} of this site</a>" for j in range(9))
+        return f"<div class=a1><div class=q><ul>{links}</ul></div><div class=b2><h2>{prose(700 + k, 6)}</h2>{text}</div><div class=c3><p>All rights kept by the owner of the site</p></div></div>"
+
+    texts = {k: [prose(800 + 5 * k + j, 40) for j in range(k % 3 + 2)] for k in range(12)}
+    rows = [(k, "http://unmarked.example/x", page(k, "".join(f"<p>{x}</p>" for x in t))) for k, t in texts.items()]
+    got = {r.page_id: r for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: "\n".join([prose(700 + k, 6), *t]) for k, t in texts.items()}
+    assert all(r.n_decided == 2 for r in got.values())
+    assert all(wrapper.extract(h) != got[k].text for k, _, h in rows)  # the page alone does not tell
+
+
 def test_bpe_like_tiktoken(spark):
     import tiktoken
 
