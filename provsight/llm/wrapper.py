@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -176,8 +176,14 @@ def slots(page: str) -> Slot:
     return root
 
 
-def _table(a: Slot, b: Slot, weight: Callable[[Slot, Slot], int]) -> np.ndarray:
+def _table(a: Slot, b: Slot, weight: Callable[[Slot, Slot], int]) -> Sequence[Sequence[int]]:
     """The best sums of weights of kids matched in order, by prefixes of both lists."""
+    if len(a.kids) * len(b.kids) <= 64:
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (weight(x, y) if x.label == y.label else 0))
+        return best
     best = np.zeros((len(a.kids) + 1, len(b.kids) + 1), np.int64)
     for i, x in enumerate(a.kids):
         weights = np.array([weight(x, y) if x.label == y.label else 0 for y in b.kids])
@@ -213,11 +219,11 @@ def align(a: Slot, b: Slot, max_pairs: int = MAX_PAIRS) -> tuple[int, list[tuple
             elif not x.kids or not y.kids:
                 known[x.shape, y.shape] = 1
             elif wide(x, y):
-                known[x.shape, y.shape] = 1 + int(_table(x, y, smaller)[-1, -1])
+                known[x.shape, y.shape] = 1 + int(_table(x, y, smaller)[-1][-1])
             elif open_ := [(p, q) for p in x.kids for q in y.kids if p.label == q.label and (p.shape, q.shape) not in known]:
                 todo.extend(open_)
             else:
-                known[x.shape, y.shape] = 1 + int(_table(x, y, weight)[-1, -1])
+                known[x.shape, y.shape] = 1 + int(_table(x, y, weight)[-1][-1])
 
     pairs, at = [(a, b)], 0
     while at < len(pairs):  # grows while it is read
@@ -230,9 +236,9 @@ def align(a: Slot, b: Slot, max_pairs: int = MAX_PAIRS) -> tuple[int, list[tuple
         best = _table(x, y, smaller if wide(x, y) else weight)
         i, j, found = len(x.kids), len(y.kids), []
         while i and j:
-            if best[i, j] == best[i - 1, j]:
+            if best[i][j] == best[i - 1][j]:
                 i -= 1
-            elif best[i, j] == best[i, j - 1]:
+            elif best[i][j] == best[i][j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
