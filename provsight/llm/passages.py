@@ -255,14 +255,15 @@ def equal_spans(digest: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id", "text_id", "removed").orderBy("word")
     before = F.lag(F.struct("word", "step", "gap", "first")).over(by)
     found = found.withColumn("before", before)
+    one_text = F.col("before.first.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("before.first.text_id") == F.col("first.text_id"))
+    moved = F.col("first.word") - F.col("before.first.word")  # as far as here, or not at all where a word is repeated without end
     follows = (
-        (F.col("before.word") + F.col("before.step") == F.col("word"))
-        & F.col("before.first.doc_id").eqNullSafe(F.col("first.doc_id"))
-        & (F.col("before.first.text_id") == F.col("first.text_id"))
-        & (F.col("before.first.word") + F.col("before.step") == F.col("first.word"))
+        one_text
+        & (F.col("before.word") + F.col("before.step") == F.col("word"))
+        & (moved == F.col("before.step"))
         & (F.col("before.gap") == F.col("before.first.gap"))
     )
-    touches = (F.col("word") <= F.col("before.word") + GRAM) & F.col("before.first.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("before.first.text_id") == F.col("first.text_id"))
+    touches = one_text & (F.col("word") <= F.col("before.word") + GRAM) & moved.isin(F.col("word") - F.col("before.word"), F.lit(0))
     spans = found.withColumn("span", F.sum(F.when(follows | touches, 0).otherwise(1)).over(by))
     head = F.min(F.struct("word", "pos", "start", "first")).alias("head")
     spans = spans.groupBy("doc_id", "text_id", "removed", "span").agg(head, F.max("word").alias("last"), F.max(F.col("start") + F.col("n_chars")).alias("stop"), F.max("n").alias("n_copies"))
