@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 NOISE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
 NAME = r'(?:"[^"]+"|[A-Za-z0-9_$#{}]+)'
 QUALIFIED = rf"({NAME})\.({NAME})"
-#: Databases of the server itself.
-SYSTEM = ("DBC", "SYSLIB", "SYSUDTLIB", "TD_SYSFNLIB", "SYSTEMFE", "SYSSPATIAL")
+#: Databases of the server itself, to which references are no dependencies.
+SYSTEM = ("DBC", "SYSLIB", "SYSUDTLIB", "SYSUIF", "TD_SYSFNLIB", "TD_SYSXML", "SQLJ", "SYSSPATIAL", "DBCMNGR")
+#: These and other supplied names, which no rewriting touches.
+SUPPLIED = (*SYSTEM, "SYSJDBC", "SYSBAR", "SYSTEMFE", "TDSTATS", "TDWM", "TD_SYSGPL", "ALL", "DEFAULT", "PUBLIC", "EXTUSER")
 
 
 def mask_noise(text: Column) -> Column:
@@ -224,11 +226,18 @@ def malformed_tokens(df: DataFrame, key: str, text: str = "body") -> DataFrame:
 
 
 def _replaced(value: str, pairs: str) -> str:
-    return f"aggregate({pairs}, {value}, (acc, p) -> replace(acc, concat('{{{{', p.token, '}}}}'), p.value))"
+    """Every token of the value looked up once, so that what a value holds is not replaced in its turn."""
+    token = r"'\\{\\{([A-Za-z0-9_-]+)\\}\\}'"
+    pieces, names = f"split({value}, {token}, -1)", f"regexp_extract_all({value}, {token}, 1)"
+    found = f"coalesce(try_element_at(map_from_entries({pairs}), n), concat('{{{{', n, '}}}}'), '')"
+    return f"array_join(zip_with({pieces}, {names}, (p, n) -> concat(p, {found})), '')"
 
 
-def substitute_tokens(df: DataFrame, key: str, tokens: DataFrame, text: str = "body", env: str | None = None) -> DataFrame:
-    """(key, text, n_substituted, undefined): every {{NAME}} replaced by its value in tokens(token, value[, env])."""
+def substitute_tokens(df: DataFrame, key: str, tokens: DataFrame, text: str = "body", env: str | None = None, strict: bool = False) -> DataFrame:
+    """(key, text, n_substituted, undefined): every {{NAME}} replaced by its value in tokens(token, value[, env]).
+
+    strict: a row with an undefined token fails the job.
+    """
     on = ([env] if env else []) + ["token"]
     hits = df.select(key, *([env] if env else []), F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))).alias("token")).groupBy(key, *on).agg(F.count("*").alias("n"))
     found = hits.join(tokens.select(*on, "value"), on, "left").groupBy(key).agg(
@@ -237,7 +246,10 @@ def substitute_tokens(df: DataFrame, key: str, tokens: DataFrame, text: str = "b
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("token")))), ",").alias("undefined"))
     joined = df.select(key, text).join(found, key, "left")
     new = F.when(F.col("pairs").isNull(), F.col(text)).otherwise(F.expr(_replaced(f"`{text}`", "pairs")))
-    return joined.select(key, new.alias(text), F.coalesce("n_substituted", F.lit(0)).cast("long").alias("n_substituted"), F.coalesce("undefined", F.lit("")).alias("undefined"))
+    open_ = F.coalesce("undefined", F.lit(""))
+    if strict:
+        open_ = F.when(open_ == "", open_).otherwise(F.raise_error(F.concat(F.lit("undefined tokens: "), open_)).cast("string"))
+    return joined.select(key, new.alias(text), F.coalesce("n_substituted", F.lit(0)).cast("long").alias("n_substituted"), open_.alias("undefined"))
 
 
 def resolve_values(tokens: DataFrame, cut, passes: int = 10, env: str = "env") -> DataFrame:
@@ -287,8 +299,8 @@ def apply_rewrites(df: DataFrame, text: str, rules: list[tuple[str, str, str, bo
     return out.withColumn(text, done)
 
 
-#: Typographic characters and their plain forms.
-PLAIN = {"–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "•": "*", "→": "->", "←": "<-", "─": "-", "│": "|", " ": " "}
+#: Typographic characters that have a documented plain form (a dash becomes spaced, since two open a comment).
+PLAIN = {"—": " - ", "•": "-", "→": "->", "─": "-"}
 
 
 def normalise_chars(text: Column) -> Column:
@@ -298,6 +310,13 @@ def normalise_chars(text: Column) -> Column:
     return text
 
 
+def substitution_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(code_point as U+XXXX, n) of the characters that normalise_chars replaces."""
+    found = df.select(F.explode(F.regexp_extract_all(text, F.lit("[" + "".join(PLAIN) + "]"), F.lit(0))).alias("character"))
+    point = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("character")), 4, "0"))
+    return found.select(point.alias("code_point")).groupBy("code_point").agg(F.count("*").alias("n"))
+
+
 def non_ascii(df: DataFrame, text: str = "text") -> DataFrame:
     """(character, n): occurrences of each character beyond ASCII. Map-side sums, one row a character."""
     return df.select(F.explode(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0))).alias("character")).groupBy("character").agg(F.count("*").alias("n"))
@@ -309,19 +328,38 @@ def strip_control_lines(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(F.regexp_replace(text, pattern, ""), r"\n{3,}", "\n\n"), F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-#: Categories of secrets and the lines that show them.
+#: Categories of secrets and the lines that show them, in order; of a line the first counts.
 SECRETS = (
-    ("password", r"(?i)\bpassword\s*[=:]\s*\S"), ("pwd", r"(?i)\bpwd\s*[=:]\s*\S"), ("dsn", r"(?i)\bdsn\s*[=:]\s*\S"),
-    ("jdbc", r"(?i)\bjdbc:[a-z0-9]+:"), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("token", r"(?i)\b(?:api[_-]?key|secret|token)\s*[=:]\s*\S"), ("unresolved_ref", r"\$env:[A-Za-z_][A-Za-z0-9_]*|\bvault:\S+"),
-)
+    ("Inline PASSWORD assignment", r"""(?i)\bPASSWORD\s*=\s*['"][^'"]{4,}['"]"""),
+    ("Inline PWD assignment", r"""(?i)\bPWD\s*=\s*['"][^'"]{4,}['"]"""),
+    ("JDBC connection string", r"(?i)jdbc:[a-z]+://"),
+    ("Teradata JDBC connection string", r"(?i)terajdbc:"),
+    ("DSN connection string", r"""(?i)\bDSN\s*=\s*['"][^'"]+['"]"""),
+    ("Private key header", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----"),
+    ("AWS Access Key ID pattern", r"(?i)AKIA[0-9A-Z]{16}"),
+    ("AWS secret access key", r"(?i)aws_secret_access_key\s*=\s*[^\s]{20,}"),
+)
+#: References that a vault or the environment should have resolved.
+UNRESOLVED = (("unresolved_ref", r"\$env:[A-Za-z_][A-Za-z0-9_]*|\bvault:\S+"),)
+#: The leading folders whose files are scanned for secrets.
+SECRET_FOLDERS = ("ddl", "viw", "dml", "dcl")
 
 
-def scan_lines(df: DataFrame, key: str, text: str, patterns=SECRETS) -> DataFrame:
-    """(key, line_no, category) of each line that matches a pattern. The value itself is never returned."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    hit = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(c)) for c, p in patterns]), lambda c: c.isNotNull())
-    return lines.select(key, (F.col("at") + 1).alias("line_no"), F.explode(hit).alias("category"))
+def in_folders(path: Column, folders: tuple[str, ...] = SECRET_FOLDERS) -> Column:
+    """The path has more than one part and its first is one of the folders, in any case."""
+    parts = F.split(path, r"[/\\]")
+    return (F.size(parts) > 1) & F.lower(parts[0]).isin(*folders)
+
+
+def scan_lines(df: DataFrame, key: str, text: str, patterns=SECRETS, path: str | None = None) -> DataFrame:
+    """(key, line_no, category) of each line that matches a pattern, the first that does. The value itself is never returned.
+
+    path: the column of file paths; only files of SECRET_FOLDERS count then.
+    """
+    files = df if path is None else df.where(in_folders(F.col(path)))
+    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
+    hit = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(c)) for c, p in patterns])
+    return lines.select(key, (F.col("at") + 1).alias("line_no"), hit.alias("category")).where("category IS NOT NULL")
 
 
 def dynamic_sql(df: DataFrame, key: str, text: str = "body") -> DataFrame:

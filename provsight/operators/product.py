@@ -55,10 +55,17 @@ def manifest_json(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.withColumn("manifest", F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}))
 
 
-def redact(name: Column, raw: Column) -> tuple[Column, Column]:
-    """(class, display): secret references and sensitive names are masked, empty values are marked."""
-    kind = F.when(raw.startswith("$env:") | raw.startswith("vault:"), "secret_ref").when(name.rlike("(?i)password|passwd|pwd|secret|token|key|credential"), "sensitive").otherwise("plain")
-    shown = F.when(F.coalesce(raw, F.lit("")) == "", "(empty)").when(kind == "sensitive", "********").otherwise(raw)
+#: What is shown instead of secret references, sensitive values and empty ones; names that are sensitive.
+SECRET_SHOWN, MASKED_SHOWN, EMPTY_SHOWN = "«secret ref»", "«masked»", "«empty»"
+SENSITIVE = r"(?i)(password|passwd|pwd|secret|credential|key)"
+
+
+def redact(name: Column, raw: Column, value: Column | None = None) -> tuple[Column, Column]:
+    """(class, display): only plain values are shown. raw decides whether it is a reference; value (raw by default) is what it resolved to."""
+    value = raw if value is None else value
+    bare = F.trim(F.coalesce(raw, F.lit("")))
+    kind = F.when(bare.startswith("$env:") | bare.startswith("vault:"), "secret-ref").when(F.coalesce(name, F.lit("")).rlike(SENSITIVE), "sensitive").otherwise("plain")
+    shown = F.when(kind == "secret-ref", SECRET_SHOWN).when(kind == "sensitive", MASKED_SHOWN).when(F.coalesce(value, F.lit("")) == "", EMPTY_SHOWN).otherwise(value)
     return kind, shown
 
 
@@ -122,15 +129,17 @@ def external_parents(children: DataFrame, known: DataFrame, parent: str, node: s
     return missing.groupBy(parent).agg(F.count("*").alias("n_children"), F.sum(need).alias("need"), F.array_join(F.transform(F.array_sort(F.collect_set(node)), lambda x: x.cast("string")), ",").alias("children"))
 
 
-#: Rights that a deployment needs by kind of object.
-RIGHTS = {"TABLE": ["CT"], "VIEW": ["CV"], "MACRO": ["CM"], "PROCEDURE": ["PC"], "FUNCTION": ["CF"], "TRIGGER": ["CG"]}
+#: Rights to create and drop that a deployment needs by kind of object; indexes use those of tables.
+RIGHTS = {
+    "TABLE": ["CT", "DT"], "JOIN_INDEX": ["CT", "DT"], "HASH_INDEX": ["CT", "DT"], "INDEX": ["CT", "DT"], "VIEW": ["CV", "DV"], "MACRO": ["CM", "DM"],
+    "PROCEDURE": ["PC", "PD"], "FUNCTION": ["CF", "DF"], "TRIGGER": ["CG", "DG"], "JAR": ["CE", "AE"],
+}
 
 
 def required_rights(objects: DataFrame) -> DataFrame:
-    """(db, right) of objects(db, kind, replaced): replaced tables also need the right to drop."""
-    rights = F.coalesce(*[F.when(F.col("kind") == k, F.array(*map(F.lit, v))) for k, v in RIGHTS.items()], F.array().cast("array<string>"))
-    drop = F.when((F.col("kind") == "TABLE") & F.col("replaced"), F.array(F.lit("DT"))).otherwise(F.array().cast("array<string>"))
-    return objects.select("db", F.explode(F.concat(rights, drop)).alias("right")).distinct()
+    """(db, right) of objects(db, kind); kinds without rights of their own need none."""
+    rights = F.coalesce(*[F.when(F.upper("kind") == k, F.array(*map(F.lit, v))) for k, v in RIGHTS.items()], F.array().cast("array<string>"))
+    return objects.select("db", F.explode(rights).alias("right")).distinct()
 
 
 def missing_rights(required: DataFrame, granted: DataFrame, created: DataFrame) -> DataFrame:
@@ -159,9 +168,12 @@ def attribute_failures(failures: DataFrame, objects: DataFrame) -> DataFrame:
 def source_of(df: DataFrame, sources: DataFrame, location: str, prefixes: tuple[str, ...] = ("payload/", "payload/database/")) -> DataFrame:
     """Adds source: location without :line, slashes one way, tried as it is and under each prefix; the first hit wins."""
     bare = F.regexp_replace(F.regexp_replace(F.col(location), r":\d+$", ""), r"\\", "/")
-    tried = df.withColumn("__row", F.struct(*df.columns)).select("__row", F.posexplode(F.array(bare, *[F.concat(F.lit(p), bare) for p in prefixes])).alias("at", "path"))
-    found = tried.join(sources, "path", "left").groupBy("__row").agg(F.min_by("source", F.when(F.col("source").isNotNull(), F.col("at"))).alias("source"))
-    return found.select("__row.*", "source")
+    known = sources.groupBy("path").agg(F.min("source").alias("source"))
+    out, found = df.alias("d"), []
+    for k, prefix in enumerate(("", *prefixes)):  # equi-joins on the unique path: rows stay as many as they are
+        out = out.join(known.select(F.col("path").alias(f"__p{k}"), F.col("source").alias(f"__s{k}")), F.concat(F.lit(prefix), bare) == F.col(f"__p{k}"), "left")
+        found.append(F.col(f"__s{k}"))
+    return out.select(*(F.col(f"d.`{c}`") for c in df.columns), F.coalesce(*found).alias("source"))
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:

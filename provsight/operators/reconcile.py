@@ -31,8 +31,13 @@ def token_coverage(uses: DataFrame, defs: DataFrame, reserved: list[str]) -> Dat
     return undefined.unionByName(unused).unionByName(empty).unionByName(row(plain.join(shared, ["env", "value"]), "shared"))
 
 
-#: Families of types that convert with a warning.
-FAMILIES = {"integer": ("BYTEINT", "SMALLINT", "INTEGER", "BIGINT"), "text": ("CHAR", "VARCHAR", "CLOB"), "number": ("DECIMAL", "NUMERIC", "FLOAT"), "time": ("DATE", "TIMESTAMP")}
+#: Families of types that convert with a warning, by the server's codes and by the names that stand for them.
+FAMILIES = {
+    "numeric": ("I1", "I2", "I", "I8", "F", "D", "BYTEINT", "SMALLINT", "INTEGER", "BIGINT", "FLOAT", "DECIMAL", "NUMERIC"),
+    "string": ("CF", "CV", "UC", "UV", "LF", "LV", "CHAR", "VARCHAR", "CLOB"),
+    "datetime": ("DA", "TS", "TZ", "SZ", "AT", "TI", "DATE", "TIME", "TIMESTAMP"),
+    "byte": ("BF", "BV", "BO", "BYTE", "VARBYTE", "BLOB"),
+}
 
 
 def _family(kind: Column) -> Column:

@@ -58,15 +58,28 @@ def impact(t):
     return G.dependants(t("dag"), t("part").where("p_partkey IN (3, 11)").select(F.col("p_partkey").alias("node")))
 
 
-_CYC = "(SELECT node, dep FROM <dag> UNION SELECT 2, 5 UNION SELECT 3, 20)"
+#: Two short loops in the dag, and a ring of 12 nodes beside it.
+_CYC = """(SELECT node, dep FROM <dag> UNION SELECT 2, 5 UNION SELECT 3, 20 UNION SELECT -p_partkey, -(p_partkey % 12 + 1) FROM part WHERE p_partkey BETWEEN 1 AND 12)"""
+
+
+def _looped(t):
+    part = t("part")
+    more = part.where("p_partkey IN (2, 3)").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 2, 5).otherwise(20).cast("long").alias("dep"))
+    more = more.unionByName(part.where("p_partkey BETWEEN 1 AND 12").select((-F.col("p_partkey")).alias("node"), (-(F.col("p_partkey") % 12 + 1)).alias("dep")))
+    return t("dag").unionByName(more).distinct()
 
 
 @query(f"""WITH RECURSIVE c AS {_CYC}, p AS (SELECT node AS first, dep AS at, [node, dep] AS path FROM c WHERE node < dep
-    UNION ALL SELECT first, dep, list_append(path, dep) FROM p JOIN c ON c.node = p.at WHERE dep > first AND NOT list_contains(path, dep) AND len(path) < 8)
+    UNION ALL SELECT first, dep, list_append(path, dep) FROM p JOIN c ON c.node = p.at WHERE dep > first AND NOT list_contains(path, dep))
   SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM p JOIN c ON c.node = p.at AND c.dep = p.first""")
 def cycle_core(t):
-    more = t("part").where("p_partkey IN (2, 3)").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 2, 5).otherwise(20).cast("long").alias("dep"))
-    return G.cycles(t("dag").unionByName(more).distinct())
+    return G.cycles(_looped(t))
+
+
+@query(f"""WITH RECURSIVE c AS {_CYC}, s AS (SELECT node, dep FROM c WHERE node < 0 OR node < 64), r AS (SELECT node, dep AS at FROM s UNION SELECT r.node, s.dep FROM r JOIN s ON r.at = s.node)
+  SELECT a.node, least(a.node, min(b.node)) AS component FROM r a JOIN r b ON a.node = b.at AND a.at = b.node GROUP BY a.node""")
+def strong_components(t):
+    return G.strong_components(_looped(t))
 
 
 @query("""WITH RECURSIVE b AS (SELECT src, dst, cond FROM <rel> UNION SELECT dst, src, cond FROM <rel>), p AS (SELECT src, dst, 1 AS hops, [src, dst] AS nodes, [cond] AS conds FROM b WHERE src <> dst

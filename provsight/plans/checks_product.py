@@ -40,15 +40,14 @@ def manifest_json(t):
     return P.manifest_json(t("supplier"), {"id": F.col("s_suppkey"), "name": F.trim("s_name"), "note": note}).select("s_suppkey", "manifest")
 
 
-@query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'api_token' WHEN 1 THEN 'host' ELSE event_type END AS name,
-    CASE event_id % 5 WHEN 0 THEN '$env:KEY' WHEN 1 THEN '' WHEN 2 THEN 'vault:a/b' ELSE event_type END AS raw FROM events),
-  c AS (SELECT *, CASE WHEN starts_with(raw, '$env:') OR starts_with(raw, 'vault:') THEN 'secret_ref' WHEN name = 'api_token' THEN 'sensitive' ELSE 'plain' END AS class FROM r)
-  SELECT event_id, class, CASE WHEN raw = '' THEN '(empty)' WHEN class = 'sensitive' THEN '********' ELSE raw END AS display FROM c""")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'API_KEY' WHEN 1 THEN 'host' WHEN 2 THEN 'db_credentials' ELSE event_type END AS name,
+    CASE event_id % 5 WHEN 0 THEN ' $env:KEY' WHEN 1 THEN '' WHEN 2 THEN 'vault:a/b' ELSE event_type END AS raw FROM events)
+  SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN 'secret-ref' WHEN event_id % 4 IN (0, 2) THEN 'sensitive' ELSE 'plain' END AS class,
+    CASE WHEN event_id % 5 IN (0, 2) THEN '«secret ref»' WHEN event_id % 4 IN (0, 2) THEN '«masked»' WHEN raw = '' THEN '«empty»' ELSE raw END AS display FROM r""")
 def redact_props(t):
     e = t("events")
-    name = F.when(F.col("event_id") % 4 == 0, "api_token").when(F.col("event_id") % 4 == 1, "host").otherwise(F.col("event_type"))
-    raw = F.when(F.col("event_id") % 5 == 0, "$env:KEY").when(F.col("event_id") % 5 == 1, "").when(F.col("event_id") % 5 == 2, "vault:a/b").otherwise(F.col("event_type"))
-    kind, shown = P.redact(name, raw)
+    of = lambda n, *values: F.coalesce(*[F.when(F.col("event_id") % n == k, v) for k, v in enumerate(values) if v is not None], F.col("event_type"))
+    kind, shown = P.redact(of(4, "API_KEY", "host", "db_credentials"), of(5, " $env:KEY", "", "vault:a/b"))
     return e.select("event_id", kind.alias("class"), shown.alias("display"))
 
 
@@ -119,14 +118,14 @@ def external_parents(t):
     return P.external_parents(children, children.select("node"), "parent", "node", "bytes")
 
 
-_RIGHTS = """req AS (SELECT DISTINCT 'D' || p_size AS db, CASE p_partkey % 3 WHEN 0 THEN 'CT' WHEN 1 THEN 'CV' ELSE 'PC' END AS right FROM part
-    UNION SELECT 'D' || p_size, 'DT' FROM part WHERE p_partkey % 6 = 0),
+_RIGHTS = """req AS (SELECT DISTINCT 'D' || p_size AS db, unnest(CASE p_partkey % 7 WHEN 0 THEN ['CT', 'DT'] WHEN 1 THEN ['CV', 'DV'] WHEN 2 THEN ['PC', 'PD'] WHEN 3 THEN ['CT', 'DT']
+      WHEN 4 THEN ['CE', 'AE'] WHEN 5 THEN ['CG', 'DG'] ELSE [] END) AS right FROM part),
   gr AS (SELECT DISTINCT 'D' || s_suppkey % 50 AS db, CASE s_suppkey % 5 WHEN 0 THEN 'CT' WHEN 1 THEN 'CV' WHEN 2 THEN 'AL' WHEN 3 THEN 'PC' ELSE 'DT' END AS right FROM supplier)"""
 
 
 def _rights(t):
-    kind = F.when(F.col("p_partkey") % 3 == 0, "TABLE").when(F.col("p_partkey") % 3 == 1, "VIEW").otherwise("PROCEDURE")
-    required = P.required_rights(t("part").select(F.concat(F.lit("D"), "p_size").alias("db"), kind.alias("kind"), (F.col("p_partkey") % 6 == 0).alias("replaced")))
+    kinds = F.array(*map(F.lit, ("TABLE", "VIEW", "PROCEDURE", "JOIN_INDEX", "JAR", "TRIGGER", "ROLE")))
+    required = P.required_rights(t("part").select(F.concat(F.lit("D"), "p_size").alias("db"), F.element_at(kinds, (F.col("p_partkey") % 7 + 1).cast("int")).alias("kind")))
     right = F.when(F.col("s_suppkey") % 5 == 0, "CT").when(F.col("s_suppkey") % 5 == 1, "CV").when(F.col("s_suppkey") % 5 == 2, "AL").when(F.col("s_suppkey") % 5 == 3, "PC").otherwise("DT")
     granted = t("supplier").select(F.concat(F.lit("D"), F.col("s_suppkey") % 50).alias("db"), right.alias("right")).distinct()
     return required, granted
@@ -158,11 +157,11 @@ def attribute_failures(t):
     return P.attribute_failures(failures, t("part").where("p_partkey % 9 = 0").select(F.lit("D").alias("db"), F.concat(F.lit("O"), "p_size").alias("name"))).select("event_id", "expected")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN 'src' || o_custkey % 100 END AS source FROM orders""")
+@query("""SELECT o_orderkey % 9 AS line, CASE WHEN o_orderkey % 3 < 2 THEN 'src' || o_custkey % 100 END AS source FROM orders""")
 def source_of(t):
     o = t("orders").select("o_orderkey", "o_custkey", F.concat(F.when(F.col("o_orderkey") % 3 == 2, "gone\\").otherwise("ddl\\"), F.col("o_custkey") % 100, F.lit(".tbl:"), F.col("o_orderkey") % 9).alias("location"))
     sources = t("orders").select(F.concat(F.lit("payload/database/ddl/"), F.col("o_custkey") % 100, F.lit(".tbl")).alias("path"), F.concat(F.lit("src"), F.col("o_custkey") % 100).alias("source")).distinct()
-    return P.source_of(o, sources, "location").select("o_orderkey", "source")
+    return P.source_of(o.drop("o_orderkey", "o_custkey"), sources, "location").select(F.regexp_extract("location", r"(\d+)$", 1).cast("long").alias("line"), "source")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE true QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")

@@ -176,7 +176,7 @@ def token_coverage(t):
     return D.token_coverage(t("uses"), t("defs"), ["DB_10"])
 
 
-_FAMILY = "CASE WHEN {0} IN ('BYTEINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer' WHEN {0} IN ('CHAR', 'VARCHAR', 'CLOB') THEN 'text' WHEN {0} IN ('DECIMAL', 'NUMERIC', 'FLOAT') THEN 'number' WHEN {0} IN ('DATE', 'TIMESTAMP') THEN 'time' ELSE {0} END"
+_FAMILY = "CASE WHEN {0} IN ('INTEGER', 'BIGINT', 'DECIMAL') THEN 1 WHEN {0} IN ('CHAR', 'VARCHAR') THEN 2 WHEN {0} = 'DATE' THEN 3 WHEN {0} IN ('BYTE', 'VARBYTE') THEN 4 END"
 _COMPAT = f"""WITH j AS (SELECT coalesce(o.tab, n.tab) AS tab, lower(coalesce(o.name, n.name)) AS name, o.type AS t0, n.type AS t1, o.length AS l0, n.length AS l1, not_null, has_default
     FROM <cols_old> o FULL JOIN <cols_new> n ON o.tab = n.tab AND lower(o.name) = lower(n.name)),
   c AS (SELECT tab, name, CASE WHEN t0 IS NULL THEN CASE WHEN not_null = 1 AND has_default = 0 THEN 'added_required' ELSE 'added' END WHEN t1 IS NULL THEN 'dropped' WHEN t0 = t1 AND l1 < l0 THEN 'narrower'
@@ -307,22 +307,29 @@ def quality_metrics(t):
     return R.quality_metrics(t("states"), [("wave", "null_share", F.col("wave").isNull(), 5), ("state", "failed_share", F.col("state") == "FAILED", 50)])
 
 
-_LEGAL = ", ".join(f"'{a}>{b}'" for a, b in ST.LEGAL)
+#: Of the states that the input has, written out apart from the operator's table: what may not follow what.
+_ILLEGAL = """p IN ('COMPLETED') OR state = 'PENDING' OR (p = 'PENDING' AND state NOT IN ('CREATED', 'FAILED')) OR (p = 'CREATED' AND state = 'CREATED')
+    OR (p = 'MIGRATED' AND state NOT IN ('COMPLETED', 'FAILED')) OR (p = 'FAILED' AND state = 'FAILED')"""
 
 
 @query(f"""WITH m AS (SELECT *, lag(state) OVER (PARTITION BY object ORDER BY ts, seq) AS p FROM <states>)
-  SELECT object, arg_max(state, (ts, seq)) AS state, min(ts) AS started_at, CASE WHEN arg_max(state, (ts, seq)) IN ('COMPLETED', 'FAILED', 'SKIPPED', 'ROLLED_BACK') THEN max(ts) END AS completed_at,
-    count(*) AS n_events, count(*) FILTER (p IS NOT NULL AND p || '>' || state NOT IN ({_LEGAL})) AS n_illegal FROM m GROUP BY 1""")
+  SELECT object, arg_max(state, (ts, seq)) AS state, min(ts) AS started_at, max(ts) FILTER (state IN ('COMPLETED', 'FAILED')) AS completed_at,
+    nullif(arg_max(coalesce(error, ''), (ts, seq)) FILTER (state IN ('COMPLETED', 'FAILED')), '') AS error,
+    count(*) AS n_events, count(*) FILTER (p IS NOT NULL AND ({_ILLEGAL})) AS n_illegal FROM m GROUP BY 1""")
 def user_state_fold(t):
     return ST.fold_state(t("states"))
 
 
-@query("""WITH r AS (SELECT user_id AS run_id, min(ts) FILTER (event_type = 'signup') AS started, max(ts) FILTER (event_type IN ('purchase', 'error')) AS ended, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1)
-  SELECT run_id, started, ended, trunc((epoch_us(ended) - epoch_us(started)) / 1000000)::BIGINT AS seconds, CASE WHEN started IS NULL THEN 'orphan' WHEN ended IS NULL THEN 'open' WHEN failed THEN 'failed' ELSE 'complete' END AS outcome
-  FROM r WHERE started IS NOT NULL OR ended IS NOT NULL""")
+@query("""WITH r AS (SELECT user_id AS run_id, min(ts) FILTER (event_type = 'signup') AS started, max(ts) FILTER (event_type IN ('purchase', 'error')) AS ended, bool_or(event_type = 'error') AS failed,
+    coalesce(string_agg(DISTINCT 'o' || event_id % 5, ',' ORDER BY 'o' || event_id % 5) FILTER (event_type IN ('purchase', 'error')), '') AS outputs,
+    coalesce(string_agg(DISTINCT 'f' || event_id % 3, ',' ORDER BY 'f' || event_id % 3) FILTER (event_type = 'error'), '') AS failed_objects, (SELECT max(ts) FROM events) AS now FROM events GROUP BY 1)
+  SELECT run_id, started, ended, trunc((epoch_us(ended) - epoch_us(started)) / 1000000)::BIGINT AS seconds, CASE WHEN started IS NULL THEN 'orphan' WHEN ended IS NULL THEN CASE WHEN started + INTERVAL 5 DAY <= now THEN 'abandoned' ELSE 'open' END
+    WHEN failed THEN 'failed' ELSE 'complete' END AS outcome, outputs, failed_objects FROM r WHERE started IS NOT NULL OR ended IS NOT NULL""")
 def session_pairs(t):
     kind = F.when(F.col("event_type") == "signup", "START").when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "error", "FAIL").otherwise("OTHER")
-    return ST.pair_runs(t("events").select(F.col("user_id").alias("run_id"), kind.alias("kind"), "ts"))
+    numbered = lambda c, n: F.array(F.concat(F.lit(c), F.col("event_id") % n))
+    events = t("events").select(F.col("user_id").alias("run_id"), kind.alias("kind"), "ts", numbered("o", 5).alias("outputs"), numbered("f", 3).alias("failed"))
+    return ST.pair_runs(events, events.select(F.max("ts")).scalar(), "5 days")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS outcome, count(*) AS n FROM events GROUP BY 1, 2")

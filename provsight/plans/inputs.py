@@ -35,6 +35,7 @@ SQL = {
         case when event_id % 2 = 0 then 'DEV' else 'PRD' end, ';') as tag from {events}""",
     "states": """select event_id as seq, ts, concat('OBJ', user_id) as object, case event_type when 'signup' then 'PENDING' when 'view' then 'CREATED'
         when 'click' then 'MIGRATED' when 'purchase' then 'COMPLETED' else 'FAILED' end as state,
+        case when event_type not in ('signup', 'view', 'click', 'purchase') then concat('E', event_id % 9) end as error,
         case when event_id % 11 = 0 then null else event_id % 6 end as wave from {events}""",
     "decls": """select p_partkey as node, cast(floor(p_partkey / 2.0) as bigint) as parent, case when p_partkey % 13 = 0 then null else p_size end as bytes
         from {part} where p_partkey >= 1""",
@@ -45,9 +46,9 @@ SQL = {
     "issues": """select d.doc_id, d.source, case when l.toxic = 1 then 'error' when l.quality = 0 then 'warning' else 'info' end as severity
         from {documents} d join {labels} l on d.doc_id = l.doc_id""",
     "cols_old": """select concat('T', p_size) as tab, concat('C', p_partkey % 40) as name, max(case p_partkey % 4 when 0 then 'INTEGER' when 1 then 'VARCHAR'
-        when 2 then 'DECIMAL' else 'CHAR' end) as type, max(p_partkey % 7 * 10 + 10) as length, min(p_partkey) as pos from {part} where p_partkey % 5 <> 0 group by 1, 2""",
+        when 2 then 'DECIMAL' else case p_partkey % 8 when 3 then 'CHAR' else 'BYTE' end end) as type, max(p_partkey % 7 * 10 + 10) as length, min(p_partkey) as pos from {part} where p_partkey % 5 <> 0 group by 1, 2""",
     "cols_new": """select concat('T', p_size) as tab, concat('C', p_partkey % 40) as name, max(case p_partkey % 6 when 0 then 'INTEGER' when 1 then 'VARCHAR'
-        when 2 then 'BIGINT' when 3 then 'CHAR' when 4 then 'DATE' else 'VARCHAR' end) as type, max(p_partkey % 5 * 10 + 10) as length,
+        when 2 then 'BIGINT' when 3 then 'CHAR' when 4 then 'DATE' else 'VARBYTE' end) as type, max(p_partkey % 5 * 10 + 10) as length,
         max(-p_partkey) as pos, max(case when p_partkey % 3 = 0 then 1 else 0 end) as not_null, max(case when p_partkey % 2 = 0 then 1 else 0 end) as has_default
         from {part} where p_partkey % 7 <> 0 group by 1, 2""",
     "rel": """select concat('N', n_nationkey) as src, concat('R', n_regionkey) as dst, 'n_regionkey = r_regionkey' as cond from {nation}

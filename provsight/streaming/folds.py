@@ -5,55 +5,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-
-#: The transitions that a state manifest declares.
-LEGAL = (
-    ("PENDING", "BACKED_UP"), ("PENDING", "CREATED"), ("PENDING", "SKIPPED"), ("PENDING", "FAILED"), ("BACKED_UP", "CREATED"), ("BACKED_UP", "FAILED"), ("CREATED", "MIGRATED"),
-    ("CREATED", "COMPLETED"), ("CREATED", "FAILED"), ("MIGRATED", "COMPLETED"), ("MIGRATED", "FAILED"), ("FAILED", "PENDING"), ("FAILED", "ROLLED_BACK"), ("COMPLETED", "ROLLED_BACK"),
-)
-TERMINAL = ("COMPLETED", "FAILED", "SKIPPED", "ROLLED_BACK")
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: The states that may follow each state.
+NEXT_STATES = {
+    "PENDING": ("BACKED_UP", "DROPPED", "CREATED", "FAILED"),
+    "BACKED_UP": ("CREATED", "FAILED", "ROLLED_BACK"),
+    "DROPPED": ("CREATED", "FAILED"),
+    "CREATED": ("MIGRATED", "COMPLETED", "SKIPPED", "FAILED", "ROLLED_BACK"),
+    "MIGRATED": ("COMPLETED", "FAILED"),
+    "COMPLETED": (),
+    "SKIPPED": (),
+    "FAILED": ("BACKED_UP", "DROPPED", "CREATED", "MIGRATED", "COMPLETED", "ROLLED_BACK"),
+    "ROLLED_BACK": (),
+}
+LEGAL = tuple((a, b) for a, after in NEXT_STATES.items() for b in after)
+#: States that end an attempt, and those of them that clear the error of an earlier one.
+TERMINAL, CLEARING = ("COMPLETED", "SKIPPED", "FAILED", "ROLLED_BACK"), ("COMPLETED", "SKIPPED", "ROLLED_BACK")
+_FOLDED = "object string, state string, started_at timestamp, completed_at timestamp, error string, n_events long, n_illegal long"
 
 
 def fold_state(events: DataFrame) -> DataFrame:
-    """events(object, seq, ts, state) -> (object, state, started_at, completed_at, n_events, n_illegal).
+    """events(object, seq, ts, state, error) -> (object, state, started_at, completed_at, error, n_events, n_illegal).
 
-    The first event starts an object; completed_at is the time of the last event when that is terminal.
+    The first event starts an object; completed_at is the time of its last terminal event, also when a new attempt follows;
+    an event's error stays until another error or a clearing state.
     """
     before = F.lag("state").over(W.partitionBy("object").orderBy("ts", "seq"))
     pair = F.concat_ws(">", F.col("__before"), F.col("state"))
     legal = pair.isin(*[f"{a}>{b}" for a, b in LEGAL]) | F.col("__before").isNull()
     marked = events.withColumn("__before", before).withColumn("__illegal", ~legal)
-    last = F.max_by(F.struct("state", "ts"), F.struct("ts", "seq"))
-    folded = marked.groupBy("object").agg(last.alias("last"), F.min("ts").alias("started_at"), F.count("*").alias("n_events"), F.count_if("__illegal").alias("n_illegal"))
-    done = F.when(F.col("last.state").isin(*TERMINAL), F.col("last.ts"))
-    return folded.select("object", F.col("last.state").alias("state"), "started_at", done.alias("completed_at"), "n_events", "n_illegal")
+    place = F.struct("ts", "seq")
+    sets = F.col("error").isNotNull() | F.col("state").isin(*CLEARING)
+    folded = marked.groupBy("object").agg(
+        F.max_by("state", place).alias("state"), F.min("ts").alias("started_at"), F.max(F.when(F.col("state").isin(*TERMINAL), F.col("ts"))).alias("completed_at"),
+        F.max_by(F.struct("error"), F.when(sets, place)).alias("error"), F.count("*").alias("n_events"), F.count_if("__illegal").alias("n_illegal"))
+    return folded.withColumn("error", F.col("error.error"))
 
 
 class _Fold(StatefulProcessor):
-    """Keeps one row of state per object; events of a batch are folded in event order, older ones than the state are counted only."""
+    """Keeps the events of an object (a life cycle, so few), and folds them in event order: late ones count where they belong."""
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("fold", "state string, seq long, ts timestamp, started_at timestamp, n_events long, n_illegal long")
+        self.kept = handle.getValueState("fold", "ts array<timestamp>, seq array<long>, state array<string>, error array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        state, seq, ts, start, n, bad = self.kept.get() if self.kept.exists() else (None, None, None, None, 0, 0)
-        for row in new.itertuples():
-            n += 1
-            if ts is not None and (row.ts, row.seq) < (pd.Timestamp(ts), seq):
-                start = min(pd.Timestamp(start), row.ts)
-                continue
-            bad += int(state is not None and (state, row.state) not in LEGAL)
-            start = row.ts if start is None else start
-            state, seq, ts = row.state, int(row.seq), row.ts
-        to = lambda t: pd.Timestamp(t).to_pydatetime()
-        self.kept.update((state, seq, to(ts), to(start), n, bad))
-        done = pd.Timestamp(ts) if state in TERMINAL else pd.NaT
-        yield pd.DataFrame({"object": [key[0]], "state": [state], "started_at": [pd.Timestamp(start)], "completed_at": [done], "n_events": [n], "n_illegal": [bad]})
+        old = [(pd.Timestamp(t).to_pydatetime(), s, x, e) for t, s, x, e in zip(*self.kept.get())] if self.kept.exists() else []
+        new = [(r.ts.to_pydatetime(), int(r.seq), r.state, None if pd.isna(r.error) else r.error) for part in rows for r in part.itertuples()]
+        events = sorted([*old, *new], key=lambda e: e[:2])
+        self.kept.update(tuple(map(list, zip(*events))))
+        times, _, states, _ = zip(*events)
+        error = next((e for _, _, s, e in reversed(events) if e is not None or s in CLEARING), None)
+        done = max((t for t, s in zip(times, states) if s in TERMINAL), default=None)
+        bad = sum(pair not in LEGAL for pair in zip(states, states[1:]))
+        yield pd.DataFrame({
+            "object": [key[0]], "state": [states[-1]], "started_at": [pd.Timestamp(times[0])], "completed_at": [pd.Timestamp(done) if done else pd.NaT],
+            "error": pd.Series([error], dtype=object), "n_events": [len(events)], "n_illegal": [bad]})
 
     def close(self) -> None:
         pass
@@ -61,21 +72,64 @@ class _Fold(StatefulProcessor):
 
 def fold_state_stream(events: DataFrame) -> DataFrame:
     """The same fold over a stream; each batch emits the rows of the objects it touched. Needs the RocksDB state store."""
-    return events.groupBy("object").transformWithStateInPandas(
-        statefulProcessor=_Fold(), outputStructType="object string, state string, started_at timestamp, completed_at timestamp, n_events long, n_illegal long", outputMode="update", timeMode="None")
+    return events.groupBy("object").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_FOLDED, outputMode="update", timeMode="None")
+
+
+_PAIRED = "run_id string, started timestamp, ended timestamp, seconds long, outcome string, outputs string, failed_objects string"
+
 
+def pair_runs(events: DataFrame, as_of: Column | None = None, timeout: str = "1 day") -> DataFrame:
+    """events(run_id, kind START, COMPLETE or FAIL, ts, outputs, failed) -> (run_id, started, ended, seconds, outcome, outputs, failed_objects).
 
-def pair_runs(events: DataFrame) -> DataFrame:
-    """events(run_id, kind START, COMPLETE or FAIL, ts) -> (run_id, started, ended, seconds, outcome open, complete, failed or orphan)."""
+    outputs and failed are arrays of names; each result is the sorted list of all. outcome: complete, failed, orphan (no start),
+    open, or, given as_of, abandoned where the start is older than the timeout.
+    """
     of = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("ts"))
-    runs = events.groupBy("run_id").agg(F.min(of("START")).alias("started"), F.max(of("COMPLETE", "FAIL")).alias("ended"), F.bool_or(F.col("kind") == "FAIL").alias("failed"))
-    outcome = F.when(F.col("started").isNull(), "orphan").when(F.col("ended").isNull(), "open").when(F.col("failed"), "failed").otherwise("complete")
-    return runs.where("started IS NOT NULL OR ended IS NOT NULL").select("run_id", "started", "ended", F.timestamp_diff("SECOND", F.col("started"), F.col("ended")).alias("seconds"), outcome.alias("outcome"))
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",")
+    runs = events.groupBy("run_id").agg(
+        F.min(of("START")).alias("started"), F.max(of("COMPLETE", "FAIL")).alias("ended"), F.bool_or(F.col("kind") == "FAIL").alias("failed"),
+        names(F.when(F.col("kind").isin("COMPLETE", "FAIL"), F.col("outputs"))).alias("outputs"), names(F.when(F.col("kind") == "FAIL", F.col("failed"))).alias("failed_objects"))
+    late = F.lit(False) if as_of is None else F.col("started") + F.expr(f"INTERVAL {timeout}") <= as_of
+    outcome = F.when(F.col("started").isNull(), "orphan").when(F.col("ended").isNull(), F.when(late, "abandoned").otherwise("open")).when(F.col("failed"), "failed").otherwise("complete")
+    seconds = F.timestamp_diff("SECOND", F.col("started"), F.col("ended"))
+    return runs.where("started IS NOT NULL OR ended IS NOT NULL").select("run_id", "started", "ended", seconds.alias("seconds"), outcome.alias("outcome"), "outputs", "failed_objects")
+
 
+def pair_runs_stream(events: DataFrame, watermark: str = "1 hour", timeout_ms: int = 86_400_000) -> DataFrame:
+    """The pairs of a stream: a batch emits the runs it touched; an open run is emitted as abandoned when event time passes its timeout.
+
+    A run's state goes at that time whatever its outcome, so state is bounded by the runs of a timeout; later events start anew.
+    """
 
-def pair_runs_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The pairs of a stream in update mode: the same aggregate, with state dropped past the watermark by a daily window of starts."""
-    return pair_runs(events.withWatermark("ts", watermark))
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, ended, failed, outputs, bad = state.get if state.exists else (None, None, False, [], [])
+        due = state.hasTimedOut
+        if due:
+            state.remove()
+        else:
+            for r in (r for part in parts for r in part.itertuples()):
+                at = r.ts.to_pydatetime()
+                if r.kind == "START":
+                    started = min(started or at, at)
+                elif r.kind in ("COMPLETE", "FAIL"):
+                    ended, failed = max(ended or at, at), failed or r.kind == "FAIL"
+                    outputs = sorted({*outputs, *(r.outputs if r.outputs is not None else ())})
+                    if r.kind == "FAIL":
+                        bad = sorted({*bad, *(r.failed if r.failed is not None else ())})
+            if started or ended:
+                state.update((started, ended, failed, outputs, bad))
+                end = int(pd.Timestamp(started or ended).timestamp() * 1000) + timeout_ms
+                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        if not (started or ended) or (due and (ended or not started)):
+            return
+        outcome = "orphan" if not started else "failed" if ended and failed else "complete" if ended else "abandoned" if due else "open"
+        seconds = int((ended - started).total_seconds()) if started and ended else None
+        yield pd.DataFrame({
+            "run_id": [str(key[0])], "started": [pd.Timestamp(started) if started else pd.NaT], "ended": [pd.Timestamp(ended) if ended else pd.NaT],
+            "seconds": pd.array([seconds], "Int64"), "outcome": [outcome], "outputs": [",".join(outputs)], "failed_objects": [",".join(bad)]})
+
+    kept = "started timestamp, ended timestamp, failed boolean, outputs array<string>, bad array<string>"
+    return events.withWatermark("ts", watermark).groupBy("run_id").applyInPandasWithState(fold, _PAIRED, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def audit_counts(rows: DataFrame, window: str = "1 day") -> DataFrame:

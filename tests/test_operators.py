@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from provsight.operators import graph as G
 from provsight.operators import product as P
@@ -30,6 +31,17 @@ def test_function_groups_reach_all_specifics(spark):
     assert {tuple(r) for r in G.build_edges(refs, objects).collect()} == {("A.V", "F.FN_1", "internal"), ("A.V", "F.FN_2", "internal"), ("A.V", "A.GONE", "external_known_db"), ("A.V", "ZZ.X", "external")}
 
 
+def test_long_loops_are_reported(spark):
+    """A loop of 50 nodes, two loops of 12 and 14 through one node, a short loop, and tails that are on none."""
+    ring = lambda nodes: list(zip(nodes, [*nodes[1:], nodes[0]]))
+    edges = ring(list(range(100, 150))) + ring(list(range(200, 212))) + ring([200, *range(212, 225)]) + ring([1, 2, 3]) + [(3, 900), (901, 100)]
+    df = spark.createDataFrame(edges, "node long, dep long")
+    got = {r.cycle: r.length for r in G.cycles(df).collect()}
+    assert got == {">".join(map(str, range(100, 150))): 50, ">".join(map(str, range(200, 212))): 12, "1>2>3": 3}
+    parts = {r.node: r.component for r in G.strong_components(df).collect()}
+    assert parts == {k: 100 for k in range(100, 150)} | {k: 200 for k in range(200, 225)} | {k: 1 for k in (1, 2, 3)}
+
+
 def test_dependants_end(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (9, 8)], "node long, dep long")
     assert {r.node for r in G.dependants(edges, spark.createDataFrame([(1,)], "node long")).collect()} == {2, 3}
@@ -107,14 +119,22 @@ def test_sinks(spark, tmp_path):
 
 def _events(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    rows = [("o", 1, t(1), "PENDING"), ("o", 2, t(2), "CREATED"), ("o", 3, t(3), "COMPLETED"), ("p", 4, t(1), "PENDING"), ("p", 5, t(2), "MIGRATED")]
-    return spark.createDataFrame(rows, "object string, seq long, ts timestamp, state string")
+    rows = [("o", 1, t(1), "PENDING", None), ("o", 2, t(2), "CREATED", None), ("o", 3, t(3), "COMPLETED", None), ("p", 4, t(1), "PENDING", None), ("p", 5, t(2), "MIGRATED", None),
+            ("q", 6, t(1), "PENDING", None), ("q", 8, t(3), "FAILED", "disk"), ("q", 9, t(4), "CREATED", None), ("r", 10, t(1), "DROPPED", None), ("r", 12, t(4), "COMPLETED", None), ("r", 11, t(2), "FAILED", "late")]
+    return spark.createDataFrame(rows, "object string, seq long, ts timestamp, state string, error string")
+
+
+def test_fold_follows_the_declared_states(spark):
+    got = {r.object: r for r in ST.fold_state(_events(spark)).collect()}
+    assert (got["o"].n_illegal, got["p"].n_illegal, got["q"].n_illegal, got["r"].n_illegal) == (0, 1, 0, 0)
+    assert got["q"].error == "disk" and got["q"].completed_at.minute == 3 and got["q"].state == "CREATED"  # a new attempt keeps the last error
+    assert got["r"].error is None and got["r"].completed_at.minute == 4
 
 
 def test_stream_fold_agrees(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     events, out = _events(spark), {}
-    for k, cond in enumerate(("seq in (1, 4)", "seq in (2, 3, 5)")):
+    for k, cond in enumerate(("seq in (1, 4, 6, 9, 10, 12)", "seq in (2, 3, 5, 8, 11)")):  # 8 and 11 come late
         events.where(cond).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = ST.fold_state_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: out.update({r.object: tuple(r) for r in df.collect()})).start()
@@ -139,13 +159,34 @@ def test_stream_counts_agree(spark, tmp_path):
 
 
 def test_stream_pairs_agree(spark, tmp_path):
-    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    events = spark.createDataFrame([("a", "START", t(1)), ("a", "COMPLETE", t(3)), ("b", "START", t(2)), ("c", "FAIL", t(2))], "run_id string, kind string, ts timestamp")
-    events.write.parquet(str(tmp_path / "in"))
-    q = ST.pair_runs_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("run_pairs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    """Runs over several batches agree with the batch twin; a start that nothing ends is abandoned, and state goes."""
+    t = lambda m, d=1: dt.datetime(2024, 1, d, 0, m)
+    rows = [[("a", "START", t(1), None, None), ("b", "START", t(2), None, None), ("c", "FAIL", t(2), ["x"], ["y"])],
+            [("a", "COMPLETE", t(3), ["o2", "o1"], None), ("d", "START", t(4), None, None), ("d", "FAIL", t(5), ["o3"], ["f2", "f1"])], [("e", "START", t(1, 9), None, None)], [("f", "START", t(2, 9), None, None)]]
+    schema = "run_id string, kind string, ts timestamp, outputs array<string>, failed array<string>"
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
+    last, said = {}, []
+
+    def keep(df, _):
+        for r in df.collect():
+            last[r.run_id] = tuple(r)
+            said.append((r.run_id, r.outcome))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = ST.pair_runs_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).start()
     try:
         q.processAllAvailable()
+        kept = q.lastProgress.stateOperators[0].numRowsTotal if hasattr(q.lastProgress, "stateOperators") else q.lastProgress["stateOperators"][0]["numRowsTotal"]
     finally:
         q.stop()
-    assert sorted(map(str, spark.table("run_pairs").collect())) == sorted(map(str, ST.pair_runs(events).collect()))
-    assert {r.run_id: r.outcome for r in ST.pair_runs(events).collect()} == {"a": "complete", "b": "open", "c": "orphan"}
+    events = spark.createDataFrame([r for batch in rows for r in batch], schema)
+    want = {r.run_id: tuple(r) for r in ST.pair_runs(events, F.lit(t(2, 9)), "1 day").collect()}
+    assert last == want and want["b"][4] == "abandoned" and want["d"][4:] == ("failed", "o3", "f1,f2") and want["c"][4] == "orphan"
+    assert said.count(("b", "abandoned")) == 1 and kept == 2  # only the runs of the last day have state
+
+
+def test_equal_rows_keep_their_number(spark):
+    rows = spark.createDataFrame([("ddl\\a.tbl:4", 1)] * 2 + [("b", 2)], "location string, n int")
+    sources = spark.createDataFrame([("payload/ddl/a.tbl", "s")], "path string, source string")
+    assert sorted(map(tuple, P.source_of(rows, sources, "location").collect()), key=str) == [("b", 2, None), ("ddl\\a.tbl:4", 1, "s"), ("ddl\\a.tbl:4", 1, "s")]

@@ -57,3 +57,18 @@ def test_circular_values_are_reported(spark):
     got = {r.token: (r.value, r.unresolved) for r in T.resolve_values(spark.createDataFrame(rows, "env string, token string, value string"), cut).collect()}
     assert got["C"] == ("xd", False) and got["D"] == ("d", False) and got["S"] == ("{{S}}", False)
     assert got["A"][1] or got["B"][1]
+
+
+def test_a_value_is_not_replaced_in_its_turn(spark):
+    df = spark.createDataFrame([(1, "x {{A}} {{B}} {{C}} {{A}}")], "id long, body string")
+    tokens = spark.createDataFrame([("A", "{{B}}"), ("B", "$1 b")], "token string, value string")
+    r = T.substitute_tokens(df, "id", tokens).first()
+    assert (r.body, r.n_substituted, r.undefined) == ("x {{B}} $1 b {{C}} {{B}}", 3, "C")
+    with pytest.raises(Exception, match="undefined tokens: C"):
+        T.substitute_tokens(df, "id", tokens, strict=True).collect()
+
+
+def test_system_databases_are_no_dependencies(spark):
+    body = "REPLACE VIEW A.V AS SELECT * FROM SQLJ.X JOIN TD_SYSXML.Y JOIN SYSUIF.Z JOIN DBCMNGR.W JOIN SYSTEMFE.K"
+    refs = T.extract_refs(spark.createDataFrame([(1, body)], "id long, body string"), "id").collect()
+    assert {r.ref_db for r in refs} == {"SYSTEMFE"}
