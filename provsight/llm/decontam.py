@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, map_batches
+from .common import broadcast_if_small, cut, map_batches, saved
 
 MIN_MATCH, COVERAGE = 5, 0.5
 MAX_BROADCAST_CHARS = 8_000_000
+#: Seeds of the items (16 bytes here) that may be broadcast to leave out others.
+MAX_BROADCAST_SEEDS = 1_000_000
 _token = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SCHEMA = "doc_id long, item_id long, n_tokens int, covered int, n_tiles int"
@@ -159,25 +161,37 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float
 
 
 def _by_join(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
-    """The same rows for items of any size. A text of its own is told by its hash, as doc_id may repeat."""
+    """The same rows for items of any size. A text of its own is told by its hash, as doc_id may repeat.
 
-    def seeds_of(widths: set[int]):
-        def make(columns: dict[str, list]) -> dict[str, list]:
-            out = [(row, tid, xxhash.xxh3_64_intdigest("\x1f".join(s)) - (1 << 63)) for row, tid, text in zip(*columns.values()) for words in [tokens(text)] for s in {s for w in widths if w <= len(words) for s in _seeds(words, w)}]
-            return dict(zip(("id", "tid", "seed"), zip(*out) if out else [[]] * 3))
+    Of the documents' seeds only those that an item has are shuffled. A pair's seeds are counted before any text is fetched: a
+    seed covers `least` tokens at most, so pairs with too few for the coverage (a common phrase and no more) end there.
+    """
+
+    def hashed(texts: list, widths: set[int] | None):
+        for k, text in enumerate(texts):
+            words = tokens(text)
+            of = widths or {min(least, len(words))}
+            for seed in {s for w in of if 0 < w <= len(words) for s in _seeds(words, w)}:
+                yield k, len(words), xxhash.xxh3_64_intdigest("\x1f".join(seed).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+    def seeds_of(widths: set[int] | None):
+        def make(c: dict[str, list]) -> dict[str, list]:
+            out = [(c["id"][k], c["tid"][k], n, seed) for k, n, seed in hashed(c["text"], widths)]
+            return dict(zip(("id", "tid", "n", "seed"), zip(*out) if out else [[]] * 4))
 
         return make
 
-    lengths = map_batches(items.select("item_text"), lambda c: {"n": [min(least, len(tokens(t))) for t in c["item_text"]]}, "n int")
-    widths = {r["n"] for r in lengths.distinct().collect()} - {0} | {least}  # as many as `least` at most
-    item_seeds = lambda c: (lambda rows: dict(zip(("id", "tid", "seed"), zip(*rows) if rows else [[]] * 3)))([(row, tid, xxhash.xxh3_64_intdigest("\x1f".join(s)) - (1 << 63)) for row, tid, text in zip(*c.values()) for s in set(_seeds(tokens(text), least))])
-    docs = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    items = items.select("item_id", F.xxhash64("item_text").alias("iid"), "item_text")
-    of_docs = map_batches(docs, seeds_of(widths), "id long, tid long, seed long").select(F.col("id").alias("doc_id"), "tid", "seed")
-    of_items = map_batches(items, item_seeds, "id long, tid long, seed long").select(F.col("id").alias("item_id"), F.col("tid").alias("iid"), "seed")
-    pairs = cut(of_docs.join(of_items, "seed").select("doc_id", "tid", "item_id", "iid").distinct())
-    right = docs.select(F.col("doc_id").alias("d2"), F.col("tid").alias("t2"), "text")
-    read = pairs.join(right, pairs["doc_id"].eqNullSafe(right["d2"]) & (pairs["tid"] == right["t2"])).join(items.withColumnRenamed("item_id", "i2").withColumnRenamed("iid", "j2"), F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("iid") == F.col("j2")))
+    schema = "id long, tid long, n int, seed long"
+    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tid"), "text")
+    items = items.select(F.col("item_id").alias("id"), F.xxhash64("item_text").alias("tid"), F.col("item_text").alias("text"))
+    of_items = saved(map_batches(items, seeds_of(None), schema).select(F.col("id").alias("item_id"), F.col("tid").alias("iid"), F.col("n").alias("n_item"), "seed"))
+    widths = {r["w"] for r in of_items.select(F.least("n_item", F.lit(least)).alias("w")).distinct().collect()}  # as many as `least` at most
+    known = broadcast_if_small(of_items.select("seed").distinct(), MAX_BROADCAST_SEEDS)
+    of_docs = map_batches(docs, seeds_of(widths | {least}), schema).join(known, "seed", "left_semi").select(F.col("id").alias("doc_id"), "tid", "seed")
+    met = of_docs.join(of_items, "seed").groupBy("doc_id", "tid", "item_id", "iid", "n_item").agg(F.count("*").alias("shared"))
+    pairs = cut(met.where(F.col("shared") * F.least("n_item", F.lit(least)) >= coverage * F.col("n_item")).select("doc_id", "tid", "item_id", "iid"))
+    d, i = docs.toDF("d2", "t2", "text"), items.toDF("i2", "j2", "item_text")  # repeated rows each give their rows
+    read = pairs.join(d, pairs["doc_id"].eqNullSafe(d["d2"]) & (pairs["tid"] == d["t2"])).join(i, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("iid") == F.col("j2")))
 
     def make(columns: dict[str, list]) -> dict[str, list]:
         out = []
@@ -194,6 +208,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least: int = MIN_MATCH,
 
     Few documents go, so their names are counted and then sent or shuffled.
     """
-    named = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
-    goes = cut(contaminated(named, items, least, coverage).select("doc_id").distinct())
-    return docs.alias("d").join(broadcast_if_small(goes, 1_000_000).alias("g"), F.coalesce("d.doc_id", F.xxhash64("d.text")) == F.col("g.doc_id"), "left_anti")
+    unnamed = F.col("doc_id").isNull()
+    named = contaminated(docs.where(~unnamed), items, least, coverage).select(F.lit(False).alias("unnamed"), "doc_id")
+    others = contaminated(docs.where(unnamed).select(F.xxhash64("text").alias("doc_id"), "text"), items, least, coverage).select(F.lit(True).alias("unnamed"), "doc_id")
+    goes = broadcast_if_small(cut(named.unionByName(others).distinct()), 1_000_000).alias("g")
+    name = F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.text")).otherwise(F.col("d.doc_id"))
+    return docs.alias("d").join(goes, (F.col("d.doc_id").isNull() == F.col("g.unnamed")) & (name == F.col("g.doc_id")) & (F.col("d.doc_id").isNotNull() | F.col("d.text").isNotNull()), "left_anti")

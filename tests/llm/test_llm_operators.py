@@ -291,6 +291,22 @@ def test_contamination(spark, max_chars):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), items).collect()) == [3, 3, 4]
 
 
+@pytest.mark.parametrize("max_chars", [decontam.MAX_BROADCAST_CHARS, 0])
+def test_contamination_of_long_texts_and_common_phrases(spark, max_chars):
+    """Ways agree on a very long text, on a phrase that all documents and items share, and on clashing and repeated rows."""
+    phrase = prose(40, 6)
+    items = [(k, phrase + " " + " ".join(f"i{k}x{j}" for j in range(30))) for k in range(12)] + [(50, "tiny item"), (50, "tiny item"), (None, None)]
+    texts = [(k, f"{prose(k, 20)} {phrase} {prose(k + 50, 20)}") for k in range(30)]
+    long = LONG.split()
+    long[15000:15000] = items[4][1].split()[20:] + ["gap"] + items[4][1].split()[:20]
+    texts += [(100, " ".join(long)), (101, "a tiny item here"), (101, "a tiny item here"), (None, items[7][1]), (42, items[8][1]), (None, None)]
+    got = decontam.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), max_chars=max_chars).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(100, 4), *[(101, 50)] * 4, (None, 7), (42, 8)], key=str)
+    if max_chars:
+        left = decontam.drop_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted(((r.doc_id, r.text is None) for r in left.collect()), key=str) == sorted([*((k, False) for k in range(30)), (None, True)], key=str)
+
+
 def test_revisits(spark):
     h = lambda **k: {a.replace("_", "-"): v for a, v in k.items()}
     rows = [
