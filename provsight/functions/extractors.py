@@ -31,8 +31,7 @@ class PatternExtractor:
 
 
 def register(spark: SparkSession) -> None:
-    """The two text UDFs for use in SQL."""
-    import re
-
-    noise = re.compile(text.NOISE)
-    spark.udf.register("mask_noise", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), t)), "string"))
+    """mask_noise(text) and split_statements(text) as vectorised functions of SQL."""
+    blank, pieces = text.blank_noise, text.split_text
+    spark.udf.register("mask_noise", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else blank(t)), "string"))
+    spark.udf.register("split_statements", F.pandas_udf(lambda s: s.map(pieces), "array<string>"))

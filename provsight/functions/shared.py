@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared checkpoint folder (where none is set, as in tests, a new one) and read it again.
+    """Write df as Parquet in the shared checkpoint folder (in local mode a new one where none is set) and read it again.
 
     For loops: checkpoint() keeps the constraints of the plan that it cuts, and these multiply from round to round
     until the filters inferred from them no longer compile; a Parquet scan starts without any.
@@ -17,7 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)

@@ -28,42 +28,44 @@ def mask_noise(text: Column) -> Column:
     return F.regexp_replace(text, NOISE, " ")
 
 
-def mask_same_length(text: Column) -> Column:
-    """Literals and comments become blanks of equal length; newlines stay, so offsets and lines hold."""
-    noise = re.compile(NOISE)
+_noise = re.compile(NOISE)
+_piece = re.compile(rf"{NOISE}|[();]|\b(?:BEGIN|END|CASE)\b", re.I)
+
 
-    def blank(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), t))
+def blank_noise(text: str) -> str:
+    return _noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
-    return F.pandas_udf(blank, "string")(text)
+
+def mask_same_length(text: Column) -> Column:
+    """Literals and comments become blanks of equal length; newlines stay, so offsets and lines hold."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else blank_noise(t)), "string")(text)
 
 
 def unquote(name: Column) -> Column:
     return F.regexp_replace(name, '"', "")
 
 
+def split_text(source: str | None) -> list[str]:
+    out, start, depth, block = [], 0, 0, 0
+    for m in _piece.finditer(source or ""):
+        token = m[0].upper()
+        if token == "(":
+            depth += 1
+        elif token == ")":
+            depth = max(0, depth - 1)
+        elif token in ("BEGIN", "CASE"):
+            block += 1
+        elif token == "END":
+            block = max(0, block - 1)
+        elif token == ";" and not depth and not block:
+            out.append(source[start : m.start()].strip())
+            start = m.end()
+    return [s for s in (*out, (source or "")[start:].strip()) if s]
+
+
 def split_statements(df: DataFrame, text: str = "text") -> DataFrame:
     """(…, seq, statement): split at semicolons outside literals, comments, parentheses and BEGIN..END bodies."""
-    piece = re.compile(rf"{NOISE}|[();]|\b(?:BEGIN|END|CASE)\b", re.I)
-
-    def split(source: str | None) -> list[str]:
-        out, start, depth, block = [], 0, 0, 0
-        for m in piece.finditer(source or ""):
-            token = m[0].upper()
-            if token == "(":
-                depth += 1
-            elif token == ")":
-                depth = max(0, depth - 1)
-            elif token in ("BEGIN", "CASE"):
-                block += 1
-            elif token == "END":
-                block = max(0, block - 1)
-            elif token == ";" and not depth and not block:
-                out.append(source[start : m.start()].strip())
-                start = m.end()
-        return [s for s in (*out, (source or "")[start:].strip()) if s]
-
-    parts = F.pandas_udf(lambda texts: texts.map(split), "array<string>")
+    parts = F.pandas_udf(lambda texts: texts.map(split_text), "array<string>")
     return df.select(*[c for c in df.columns if c != text], F.posexplode(parts(F.col(text))).alias("seq", "statement"))
 
 
@@ -383,6 +385,18 @@ def foreign_placeholders(df: DataFrame, key: str, text: str = "body") -> DataFra
     return df.select(key, F.explode(F.concat(*found)).alias("f")).groupBy(key, "f.syntax", "f.variable").agg(F.count("*").alias("n"))
 
 
+def placeholder_positions(df: DataFrame, key: str, text: str = "body") -> DataFrame:
+    """(key, syntax, variable, line_no, column_no) of each placeholder outside comments and literals; both count from 1."""
+    patterns = [(syntax, re.compile(p)) for syntax, p in FOREIGN]
+
+    def find(source: str | None) -> list[dict]:
+        lines = blank_noise(source or "").split("\n")
+        return [{"syntax": s, "variable": m[1], "line_no": n, "column_no": m.start() + 1} for n, line in enumerate(lines, 1) for s, p in patterns for m in p.finditer(line)]
+
+    made = F.pandas_udf(lambda texts: texts.map(find), "array<struct<syntax:string,variable:string,line_no:int,column_no:int>>")
+    return df.where(F.contains(F.col(text), F.lit("$")) | F.contains(F.col(text), F.lit("&&"))).select(key, F.explode(made(F.col(text))).alias("p")).select(key, "p.*")
+
+
 def strip_affix(name: Column) -> Column:
     """A leading v_ and a trailing _v removed, in either case, but never to nothing."""
     bare = F.regexp_replace(F.regexp_replace(name, "^[vV]_", ""), "_[vV]$", "")

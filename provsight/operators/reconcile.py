@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import dependants
+
 
 def set_drift(declared: DataFrame, live: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """(keys, status MATCHED, MISSING or UNDECLARED); with `within`, live rows outside the declared values of it do not count."""
@@ -31,6 +33,18 @@ def token_coverage(uses: DataFrame, defs: DataFrame, reserved: list[str]) -> Dat
     return undefined.unionByName(unused).unionByName(empty).unionByName(row(plain.join(shared, ["env", "value"]), "shared"))
 
 
+def undefined_files(uses: DataFrame, defs: DataFrame, path: str) -> DataFrame:
+    """(env, token, path): the files that use a token which its environment does not define, as rows."""
+    return uses.select("env", "token", path).distinct().join(defs.select("env", "token"), ["env", "token"], "left_anti")
+
+
+def coverage_status(coverage: DataFrame, defs: DataFrame) -> DataFrame:
+    """(env, status): error with an undefined token, warning with another finding, else success; all environments that are defined or found."""
+    rank = F.max(F.when(F.col("finding") == "undefined", 2).when(F.col("finding").isNotNull(), 1).otherwise(0))
+    every = defs.select("env", F.lit(None).cast("string").alias("finding")).distinct().unionByName(coverage.select("env", "finding"))
+    return every.groupBy("env").agg(rank.alias("r")).select("env", F.when(F.col("r") == 2, "error").when(F.col("r") == 1, "warning").otherwise("success").alias("status"))
+
+
 #: Families of types that convert with a warning, by the server's codes and by the names that stand for them.
 FAMILIES = {
     "numeric": ("I1", "I2", "I", "I8", "F", "D", "BYTEINT", "SMALLINT", "INTEGER", "BIGINT", "FLOAT", "DECIMAL", "NUMERIC"),
@@ -80,17 +94,20 @@ def conform(df: DataFrame, target: list[tuple[str, str, object]]) -> tuple[DataF
 
 
 def contract_diff(base: DataFrame, now: DataFrame) -> DataFrame:
-    """(object, name, change) from (object, kind, pos, name, type): breaking changes only; additions are compatible."""
+    """(object, name, change) from (object, kind, pos, name, type[, direction]): breaking changes only; additions are compatible."""
+    way = lambda df, alias: (F.col("direction") if "direction" in df.columns else F.lit(None).cast("string")).alias(alias)
     objects = lambda df: df.groupBy("object").agg(F.min("kind").alias("kind"))
     gone = objects(base).select("object", F.col("kind").alias("k0")).join(objects(now).select("object", F.col("kind").alias("k1")), "object", "left")
     whole = gone.where("k1 IS NULL OR k0 != k1").select("object", F.lit(None).cast("string").alias("name"), F.when(F.col("k1").isNull(), "object_removed").otherwise("kind_changed").alias("change"))
     kept = gone.where("k0 = k1").select("object", F.col("k0").alias("kind"))
-    pair = base.join(kept, ["object", "kind"], "left_semi").select("object", "kind", "name", F.col("type").alias("t0"), F.col("pos").alias("p0")).join(now.select("object", "name", F.col("type").alias("t1"), F.col("pos").alias("p1")), ["object", "name"], "left")
+    old = base.join(kept, ["object", "kind"], "left_semi").select("object", "kind", "name", F.col("type").alias("t0"), F.col("pos").alias("p0"), way(base, "d0"))
+    pair = old.join(now.select("object", "name", F.col("type").alias("t1"), F.col("pos").alias("p1"), way(now, "d1")), ["object", "name"], "left")
     column = pair.where("p1 IS NULL OR NOT (t0 <=> t1)").select("object", "name", F.when(F.col("p1").isNull(), "column_removed").otherwise("type_changed").alias("change"))
+    turned = pair.where("p1 IS NOT NULL AND kind = 'PROCEDURE' AND NOT (d0 <=> d1)").select("object", "name", F.lit("direction_changed").alias("change"))
     common = pair.where("kind = 'VIEW' AND p1 IS NOT NULL")
     ranks = common.withColumn("r0", F.row_number().over(W.partitionBy("object").orderBy("p0"))).withColumn("r1", F.row_number().over(W.partitionBy("object").orderBy("p1")))
     moved = ranks.where("r0 != r1").select("object", "name", F.lit("reordered").alias("change"))
-    return whole.unionByName(column).unionByName(moved)
+    return whole.unionByName(column).unionByName(turned).unionByName(moved)
 
 
 def grant_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -130,6 +147,12 @@ def changeset(base: DataFrame, now: DataFrame, key: str, text: str) -> DataFrame
     return b.join(n, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")
 
 
+def changeset_impact(changes: DataFrame, objects: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(node, role): the objects(key, node) of changed files, and all that depend on these over edges(node, dep)."""
+    changed = objects.join(changes.select(key), key, "left_semi").select("node").distinct()
+    return changed.withColumn("role", F.lit("changed")).unionByName(dependants(edges, changed).withColumn("role", F.lit("dependant")))
+
+
 def twins(files: DataFrame, folder: str, name: str, item: Column, tokenised: Column, content: str) -> DataFrame:
     """(folder, item, n, finding, same_content): a literal and a tokenised name of one item are a pair, more are an error."""
     groups = files.withColumn("item", item).withColumn("tok", tokenised).groupBy(folder, "item").agg(

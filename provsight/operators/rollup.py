@@ -97,6 +97,11 @@ def token_candidates(refs: DataFrame, literal: str, path: str, env_prefix: str,
     return rows.select(literal, path).distinct().groupBy(literal).agg(F.count("*").alias("n_files"), F.min(path).alias("first_file")).withColumn("token", token)
 
 
+def candidate_files(refs: DataFrame, literal: str, path: str, system: list[str]) -> DataFrame:
+    """(literal, path): the files of each candidate, as rows, so that a frequent one needs no list in a single row."""
+    return refs.where(~F.upper(literal).isin(*system) & ~F.col(literal).startswith("{{")).select(literal, path).distinct()
+
+
 def placeholder_census(hits: DataFrame, key: str, k: int = 3) -> DataFrame:
     """(variable, n, syntaxes, samples): the k smallest locations come from a bounded set, ranked before they are gathered."""
     sums = hits.groupBy("variable").agg(F.sum("n").alias("n"), _list(F.collect_set("syntax")).alias("syntaxes"))
@@ -138,15 +143,25 @@ def state_summary(df: DataFrame, state: str = "state") -> DataFrame:
     return df.groupBy(state).agg(F.count("*").alias("n"))
 
 
-def wave_summary(df: DataFrame, wave: str = "wave", state: str = "state") -> DataFrame:
-    return df.groupBy(wave).agg(F.count("*").alias("total"), F.count_if(F.col(state) == "COMPLETED").alias("completed"), F.count_if(F.col(state) == "FAILED").alias("failed"), F.count_if(F.col(state) == "PENDING").alias("pending"))
+def wave_summary(df: DataFrame, wave: str = "wave", state: str = "state", ts: str = "ts") -> DataFrame:
+    """(wave, total, completed, failed, skipped, pending, seconds from the first row to the last)."""
+    of = lambda s: F.count_if(F.col(state) == s)
+    seconds = F.timestamp_diff("SECOND", F.min(ts), F.max(ts))
+    return df.groupBy(wave).agg(F.count("*").alias("total"), of("COMPLETED").alias("completed"), of("FAILED").alias("failed"), of("SKIPPED").alias("skipped"), of("PENDING").alias("pending"), seconds.alias("seconds"))
+
+
+def wave_kinds(df: DataFrame, wave: str = "wave", kind: str = "kind") -> DataFrame:
+    """(wave, kind, n): how many objects of each kind a wave has."""
+    return df.groupBy(wave, kind).agg(F.count("*").alias("n"))
 
 
-def tag_usage(log: DataFrame, tag: str = "tag", build: str | None = None) -> DataFrame:
-    """Statements by day, user, build, environment and package of K=V; tags."""
+def tag_usage(log: DataFrame, tag: str = "tag", build: str | None = None, package: str | None = None, user: str = "user_id") -> DataFrame:
+    """(day, user, build, env, wave, n): statements by these, of K=V; tags of one build and one package where they are given."""
     parsed = log.withColumn("t", F.str_to_map(F.rtrim(F.col(tag), F.lit(";")), F.lit(";"), F.lit("=")))
-    rows = parsed if build is None else parsed.where(F.col("t")["BUILD"] == build)
-    return rows.groupBy(F.col("ts").cast("date").alias("day"), F.col("t")["BUILD"].alias("build"), F.col("t")["ENV"].alias("env"), F.col("t")["PKG"].alias("package")).agg(F.count("*").alias("n"))
+    of = lambda key: F.try_element_at("t", F.lit(key))
+    for key, value in (("BUILD", build), ("PKG", package)):
+        parsed = parsed if value is None else parsed.where(of(key) == value)
+    return parsed.groupBy(F.col("ts").cast("date").alias("day"), F.col(user).alias("user"), of("BUILD").alias("build"), of("ENV").alias("env"), of("WAVE").alias("wave")).agg(F.count("*").alias("n"))
 
 
 def write_tag(**fields: Column) -> Column:

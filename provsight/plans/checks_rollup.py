@@ -83,6 +83,13 @@ def token_candidates(t):
     return A.token_candidates(t("orders").select(literal.alias("literal"), F.col("o_orderkey").alias("path")), "literal", "path", "DEV_", ["DBC"])
 
 
+@query("""SELECT CASE o_orderkey % 4 WHEN 0 THEN 'dev_DB' ELSE 'PRD' END || o_custkey % 30 AS literal, o_orderkey AS path FROM orders WHERE o_orderkey % 4 IN (0, 3)""")
+def candidate_files(t):
+    k = F.col("o_orderkey") % 4
+    literal = F.when(k == 0, F.concat(F.lit("dev_DB"), F.col("o_custkey") % 30)).when(k == 1, "DBC").when(k == 2, "{{X}}").otherwise(F.concat(F.lit("PRD"), F.col("o_custkey") % 30))
+    return A.candidate_files(t("orders").select(literal.alias("literal"), F.col("o_orderkey").alias("path")), "literal", "path", ["DBC"])
+
+
 @query("""WITH w AS (SELECT source, signal, max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS w FROM (SELECT *, 'S' || doc_id % 3 AS signal FROM <issues>) GROUP BY 1, 2),
   e AS (SELECT source, 'S' || i AS signal FROM (SELECT DISTINCT source FROM documents), range(4) r(i)),
   c AS (SELECT e.source, count(*) FILTER (w = 2) AS n_fail, count(*) FILTER (w = 1) AS n_warn, count(*) FILTER (w IS NULL) AS n_unknown FROM e LEFT JOIN w ON e.source = w.source AND e.signal = w.signal GROUP BY 1)
@@ -110,16 +117,27 @@ def state_summary(t):
     return A.state_summary(t("states"))
 
 
-@query("""SELECT wave, count(*) AS total, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'PENDING') AS pending FROM <states> GROUP BY 1""")
+@query("""SELECT wave, count(*) AS total, count(*) FILTER (state = 'COMPLETED') AS completed, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'SKIPPED') AS skipped, count(*) FILTER (state = 'PENDING') AS pending,
+    trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::BIGINT AS seconds FROM <states> GROUP BY 1""")
 def wave_summary(t):
     return A.wave_summary(t("states"))
 
 
-@query("""SELECT ts::DATE AS day, (user_id % 4)::VARCHAR AS build, CASE WHEN event_id % 2 = 0 THEN 'DEV' ELSE 'PRD' END AS env, event_type AS package, count(*) AS n FROM events GROUP BY ALL""")
+@query("SELECT p_size AS wave, p_brand AS kind, count(*) AS n FROM part GROUP BY 1, 2")
+def wave_kinds(t):
+    return A.wave_kinds(t("part").select(F.col("p_size").alias("wave"), F.col("p_brand").alias("kind")))
+
+
+@query("""SELECT ts::DATE AS day, user_id AS "user", (user_id % 4)::VARCHAR AS build, CASE WHEN event_id % 2 = 0 THEN 'DEV' ELSE 'PRD' END AS env, CASE WHEN event_id % 7 < 5 THEN (event_id % 7)::VARCHAR END AS wave, count(*) AS n FROM events GROUP BY ALL""")
 def tag_usage(t):
     return A.tag_usage(t("tagged"))
 
 
+@query("""SELECT ts::DATE AS day, user_id AS "user", '3' AS build, CASE WHEN event_id % 2 = 0 THEN 'DEV' ELSE 'PRD' END AS env, CASE WHEN event_id % 7 < 5 THEN (event_id % 7)::VARCHAR END AS wave, count(*) AS n FROM events WHERE user_id % 4 = 3 AND event_type = 'click' GROUP BY ALL""")
+def tag_usage_of_a_build(t):
+    return A.tag_usage(t("tagged"), build="3", package="click")
+
+
 @query("""SELECT event_id, 'BUILD=' || user_id % 4 || ';PKG=' || event_type || ';' AS tag FROM events""")
 def tag_write(t):
     return t("events").select("event_id", A.write_tag(BUILD=F.col("user_id") % 4, PKG=F.col("event_type")).alias("tag"))
@@ -176,6 +194,19 @@ def token_coverage(t):
     return D.token_coverage(t("uses"), t("defs"), ["DB_10"])
 
 
+@query("""SELECT DISTINCT env, token, stmt_id FROM <uses> WHERE (env, token) NOT IN (SELECT (env, token) FROM <defs>)""")
+def undefined_token_files(t):
+    return D.undefined_files(t("uses"), t("defs"), "stmt_id")
+
+
+@query("""WITH d AS (SELECT * FROM <defs> UNION ALL SELECT 2, 'DB_1', 'x' UNION ALL SELECT 3, 'DB_10', 'y'), u AS (SELECT env, token FROM <uses> UNION ALL SELECT 3, 'DB_10')
+  SELECT env, CASE WHEN env < 2 AND env IN (SELECT env FROM u WHERE (env, token) NOT IN (SELECT (env, token) FROM d)) THEN 'error' WHEN env < 3 THEN 'warning' ELSE 'success' END AS status FROM d GROUP BY env""")
+def token_status(t):
+    more = t("region").where("r_regionkey IN (2, 3)").select(F.col("r_regionkey").cast("int").alias("env"), F.when(F.col("r_regionkey") == 2, "DB_1").otherwise("DB_10").alias("token"), F.when(F.col("r_regionkey") == 2, "x").otherwise("y").alias("value"))
+    defs, uses = t("defs").unionByName(more), t("uses").select("env", "token").unionByName(more.where("env = 3").select("env", "token"))
+    return D.coverage_status(D.token_coverage(uses, defs, []), defs)
+
+
 _FAMILY = "CASE WHEN {0} IN ('INTEGER', 'BIGINT', 'DECIMAL') THEN 1 WHEN {0} IN ('CHAR', 'VARCHAR') THEN 2 WHEN {0} = 'DATE' THEN 3 WHEN {0} IN ('BYTE', 'VARBYTE') THEN 4 END"
 _COMPAT = f"""WITH j AS (SELECT coalesce(o.tab, n.tab) AS tab, lower(coalesce(o.name, n.name)) AS name, o.type AS t0, n.type AS t1, o.length AS l0, n.length AS l1, not_null, has_default
     FROM <cols_old> o FULL JOIN <cols_new> n ON o.tab = n.tab AND lower(o.name) = lower(n.name)),
@@ -207,23 +238,24 @@ def conform_rejects(t):
     return D.conform(o, [("o_orderkey", "bigint", None), ("code", "smallint", None)])[1]
 
 
-_CONTRACT = """b AS (SELECT 'O' || l_orderkey AS object, 'VIEW' AS kind, l_linenumber * 1000000 + l_partkey AS pos, 'c' || l_partkey AS name, l_returnflag AS type FROM lineitem WHERE l_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_returnflag) = 1),
-  n AS (SELECT object, CASE WHEN object LIKE '%7' THEN 'TABLE' ELSE kind END AS kind, CASE WHEN object LIKE '%3' THEN -pos ELSE pos END AS pos, name, CASE WHEN object LIKE '%1' THEN 'Z' ELSE type END AS type FROM b WHERE object NOT LIKE '%9' AND NOT (object LIKE '%2' AND pos < 2000000))"""
+_CONTRACT = """b AS (SELECT 'O' || l_orderkey AS object, CASE WHEN l_orderkey % 3 = 0 THEN 'PROCEDURE' ELSE 'VIEW' END AS kind, l_linenumber * 1000000 + l_partkey AS pos, 'c' || l_partkey AS name, l_returnflag AS type, CASE l_linenumber % 3 WHEN 0 THEN 'OUT' ELSE 'IN' END AS direction FROM lineitem WHERE l_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_returnflag) = 1),
+  n AS (SELECT object, CASE WHEN object LIKE '%7' THEN 'TABLE' ELSE kind END AS kind, CASE WHEN object LIKE '%3' THEN -pos ELSE pos END AS pos, name, CASE WHEN object LIKE '%1' THEN 'Z' ELSE type END AS type, CASE WHEN object LIKE '%6' THEN 'INOUT' ELSE direction END AS direction FROM b WHERE object NOT LIKE '%9' AND NOT (object LIKE '%2' AND pos < 2000000))"""
 
 
 @query(f"""WITH {_CONTRACT}, g AS (SELECT b.object, min(b.kind) AS k0, min(n.kind) AS k1 FROM b LEFT JOIN n ON b.object = n.object GROUP BY 1),
-  p AS (SELECT b.object, b.name, b.type AS t0, n.type AS t1, b.pos AS p0, n.pos AS p1 FROM b JOIN g ON b.object = g.object AND k0 = k1 LEFT JOIN n ON b.object = n.object AND b.name = n.name),
-  r AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY p0) AS r0, row_number() OVER (PARTITION BY object ORDER BY p1) AS r1 FROM p WHERE p1 IS NOT NULL)
+  p AS (SELECT b.object, b.name, b.type AS t0, n.type AS t1, b.pos AS p0, n.pos AS p1, k0, b.direction AS d0, n.direction AS d1 FROM b JOIN g ON b.object = g.object AND k0 = k1 LEFT JOIN n ON b.object = n.object AND b.name = n.name),
+  r AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY p0) AS r0, row_number() OVER (PARTITION BY object ORDER BY p1) AS r1 FROM p WHERE p1 IS NOT NULL AND k0 = 'VIEW')
   SELECT object, NULL AS name, CASE WHEN k1 IS NULL THEN 'object_removed' ELSE 'kind_changed' END AS change FROM g WHERE k1 IS NULL OR k0 <> k1
   UNION ALL SELECT object, name, CASE WHEN p1 IS NULL THEN 'column_removed' ELSE 'type_changed' END FROM p WHERE p1 IS NULL OR t0 <> t1
-  UNION ALL SELECT object, name, 'reordered' FROM r WHERE r0 <> r1""")
+  UNION ALL SELECT object, name, 'direction_changed' FROM p WHERE k0 = 'PROCEDURE' AND p1 IS NOT NULL AND d0 <> d1 UNION ALL SELECT object, name, 'reordered' FROM r WHERE r0 <> r1""")
 def contract_diff(t):
     from ..operators.product import dedup_first
 
     lines = dedup_first(t("lineitem").where("l_orderkey % 5 != 0"), ["l_orderkey", "l_partkey"], ["l_linenumber", "l_returnflag"])
-    base = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("object"), F.lit("VIEW").alias("kind"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("c"), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"))
+    base = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("object"), F.lit("VIEW").alias("kind"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("c"), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 3 == 0, "OUT").otherwise("IN").alias("direction"))
+    base = base.withColumn("kind", F.when(F.substring("object", 2, 20).cast("long") % 3 == 0, "PROCEDURE").otherwise("VIEW"))
     ends = lambda d: F.col("object").endswith(d)
-    now = base.where(~ends("9") & ~(ends("2") & (F.col("pos") < 2000000))).select("object", F.when(ends("7"), "TABLE").otherwise(F.col("kind")).alias("kind"), F.when(ends("3"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"), "name", F.when(ends("1"), "Z").otherwise(F.col("type")).alias("type"))
+    now = base.where(~ends("9") & ~(ends("2") & (F.col("pos") < 2000000))).select("object", F.when(ends("7"), "TABLE").otherwise(F.col("kind")).alias("kind"), F.when(ends("3"), -F.col("pos")).otherwise(F.col("pos")).alias("pos"), "name", F.when(ends("1"), "Z").otherwise(F.col("type")).alias("type"), F.when(ends("6"), "INOUT").otherwise(F.col("direction")).alias("direction"))
     return D.contract_diff(base, now)
 
 
@@ -248,6 +280,15 @@ def changeset_docs(t):
     return D.changeset(d.where("doc_id % 9 != 1"), now, "doc_id", "text")
 
 
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 997 = 5), w AS (SELECT node FROM s UNION SELECT d.node FROM <dag> d JOIN w ON d.dep = w.node)
+  SELECT node, CASE WHEN node IN (SELECT node FROM s) THEN 'changed' ELSE 'dependant' END AS role FROM w""")
+def changeset_impact(t):
+    part = t("part").select("p_partkey", "p_name")
+    now = part.withColumn("p_name", F.when(F.col("p_partkey") % 997 == 5, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")))
+    objects = part.select("p_partkey", F.col("p_partkey").alias("node"))
+    return D.changeset_impact(D.changeset(part, now, "p_partkey", "p_name"), objects, t("dag"), "p_partkey")
+
+
 @query("""SELECT p_size AS folder, p_brand AS item, count(*) AS n, CASE WHEN count(*) > 2 THEN 'error' ELSE 'pair' END AS finding, count(DISTINCT p_type) = 1 AS same_content
     FROM part GROUP BY 1, 2 HAVING count(*) > 2 OR (count(*) = 2 AND count(*) FILTER (p_partkey % 2 = 0) = 1)""")
 def twins(t):

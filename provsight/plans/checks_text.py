@@ -252,3 +252,8 @@ def config_findings(t):
     k = F.col("p_partkey")
     value = F.concat(F.lit("v"), F.when(k % 4 == 0, " NEXT_KEY=1").otherwise(""), F.when(k % 5 == 0, " {{OPEN").otherwise(""))
     return R.config_findings(t("part").select(F.col("p_size").alias("env"), F.concat(F.when(k % 3 == 0, "key").otherwise("KEY"), k).alias("name"), value.alias("value")))
+
+
+@query(r"""SELECT stmt_id, 'dollar' AS syntax, regexp_extract(body, 'VAR_\d') AS variable, 2 AS line_no, (strpos(body, '$VAR_') + 2)::INTEGER AS column_no FROM <stmt> WHERE stmt_id % 5 = 4""")
+def placeholder_positions(t):
+    return T.placeholder_positions(t("stmt").withColumn("body", F.concat(F.lit("/* $NO */\n  "), "body")), "stmt_id")

@@ -32,7 +32,7 @@ SQL = {
         case l_returnflag when 'A' then 'SELECT' when 'N' then 'INSERT' else 'UPDATE' end as privilege from {lineitem}
         where l_linenumber >= 2 and l_suppkey % 20 <> 3 and l_partkey % 2 = 0""",
     "tagged": """select event_id, ts, user_id, concat('BUILD=', user_id % 4, ';PKG=', event_type, ';ENV=',
-        case when event_id % 2 = 0 then 'DEV' else 'PRD' end, ';') as tag from {events}""",
+        case when event_id % 2 = 0 then 'DEV' else 'PRD' end, case when event_id % 7 < 5 then concat(';WAVE=', event_id % 7) else '' end, ';') as tag from {events}""",
     "states": """select event_id as seq, ts, concat('OBJ', user_id) as object, case event_type when 'signup' then 'PENDING' when 'view' then 'CREATED'
         when 'click' then 'MIGRATED' when 'purchase' then 'COMPLETED' else 'FAILED' end as state,
         case when event_type not in ('signup', 'view', 'click', 'purchase') then concat('E', event_id % 9) end as error,

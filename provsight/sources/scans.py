@@ -10,10 +10,15 @@ RUN_LOG = "schema_version string, runs array<struct<run_id:string,started_at:str
 
 
 def read_corpus(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """(path, ext, text) of the files below root, one row each; Spark leaves out names that start with . or _."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", ext.alias("ext"), "text").where(ext.isin(*[e.lower().lstrip(".") for e in extensions]))
+    """(path, ext, text) of the files below root, one row each; Spark leaves out names that start with . or _.
+
+    Extensions count in any case; files of others are not opened.
+    """
+    wanted = sorted({e.lower().lstrip(".") for e in extensions})
+    globs = ",".join("*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + globs + "}").text(root, wholetext=True)
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return named.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "text")
 
 
 def parse_kv(texts: DataFrame, env: str = "env", text: str = "text") -> DataFrame:

@@ -72,3 +72,11 @@ def test_system_databases_are_no_dependencies(spark):
     body = "REPLACE VIEW A.V AS SELECT * FROM SQLJ.X JOIN TD_SYSXML.Y JOIN SYSUIF.Z JOIN DBCMNGR.W JOIN SYSTEMFE.K"
     refs = T.extract_refs(spark.createDataFrame([(1, body)], "id long, body string"), "id").collect()
     assert {r.ref_db for r in refs} == {"SYSTEMFE"}
+
+
+def test_registered_functions(spark):
+    from provsight.functions import extractors
+
+    extractors.register(spark)
+    row = spark.sql(r"""SELECT mask_noise("a -- b\n'c;'") AS m, split_statements("x 'a;b'; y; BEGIN p; q; END;") AS s, mask_noise(NULL) AS n""").first()
+    assert (row.m, row.s, row.n) == ("a     \n    ", ["x 'a;b'", "y", "BEGIN p; q; END"], None)
