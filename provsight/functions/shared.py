@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer splits than these, for work that costs far more than moving its rows; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

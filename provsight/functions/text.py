@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 #: A literal or a comment, whichever starts first: so a dash in a literal is no comment, and the reverse.
 NOISE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
 NAME = r'(?:"[^"]+"|[A-Za-z0-9_$#{}]+)'
@@ -145,14 +147,19 @@ def _hit(anchor: str, privilege: str):
     return lambda n: F.struct(F.lit(anchor).alias("anchor"), part(n, 1).alias("db"), part(n, 2).alias("name"), F.lit(privilege).alias("privilege"))
 
 
-def extract_refs(df: DataFrame, key: str, text: str = "body", anchors=ANCHORS) -> DataFrame:
+#: A word without which an anchor cannot match: looked for first, as it is far cheaper than the pattern.
+_WORDS = {"comma": "FROM", "join": "JOIN", "insert": "INSERT", "update": "UPDATE", "delete": "DELETE", "merge": "MERGE", "trigger_on": "ON", "foreign_key": "REFERENCES",
+          "alter": "ALTER", "statistics": "STAT", "call": "CALL", "exec": "EXEC", "locking": "LOCK", "index_on": "INDEX", "rename": "RENAME", "drop": "DROP", "comment": "COMMENT", "grant_on": "GRANT"}
+
+
+def extract_refs(df: DataFrame, key: str, text: str = "body", anchors=ANCHORS, keep_owner: bool = False) -> DataFrame:
     """Distinct (key, anchor, ref_db, ref_name, privilege): qualified names after an anchor, but system databases and the owner.
 
     EXTRACT(.. FROM ..) and TRIM(.. FROM ..) are no anchors; a comma list is followed to its end; only names with a
-    qualifier count, so common-table and alias names cannot leak.
+    qualifier count, so common-table and alias names cannot leak. keep_owner: owner_db and owner_name as well.
     """
     plain = F.regexp_replace(mask_noise(F.col(text)), r"(?i)\b(?:EXTRACT|TRIM)\s*\([^()]*\)", " ")
-    owned = extract_owner(df.select(key, text, plain.alias("__plain")), text)
+    owned = extract_owner(spread(df.select(key, text)).withColumn("__plain", plain), text).withColumn("__upper", F.upper("__plain"))
     hits = []
     for anchor, before, privilege in anchors:
         if anchor == "comma":
@@ -162,11 +169,13 @@ def extract_refs(df: DataFrame, key: str, text: str = "body", anchors=ANCHORS) -
             names = F.regexp_extract_all("__plain", F.lit(rf"(?i)(?<!DELETE ){before}{QUALIFIED}"), F.lit(0))
         else:
             names = F.regexp_extract_all("__plain", F.lit(rf"(?i){before}{QUALIFIED}"), F.lit(0))
-        hits.append(F.transform(names, _hit(anchor, privilege)))
+        names = F.when(F.contains("__upper", F.lit(_WORDS[anchor])), names) if anchor in _WORDS else names
+        hits.append(F.coalesce(F.transform(names, _hit(anchor, privilege)), F.array().cast("array<struct<anchor:string,db:string,name:string,privilege:string>>")))
     found = owned.select(key, "owner_db", "owner_name", F.explode(F.concat(*hits)).alias("h"))
     found = found.select(key, "owner_db", "owner_name", "h.anchor", unquote(F.col("h.db")).alias("ref_db"), unquote(F.col("h.name")).alias("ref_name"), "h.privilege")
     own = (F.upper("ref_db") == F.upper("owner_db")) & (F.upper("ref_name") == F.upper("owner_name"))
-    return found.where(~F.upper("ref_db").isin(*SYSTEM) & ~F.coalesce(own, F.lit(False))).drop("owner_db", "owner_name").distinct()
+    found = found.where(~F.upper("ref_db").isin(*SYSTEM) & ~F.coalesce(own, F.lit(False)))
+    return (found if keep_owner else found.drop("owner_db", "owner_name")).distinct()
 
 
 def extract_intents(df: DataFrame, key: str, text: str = "body") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import spread
 from ..functions.text import NAME, QUALIFIED, SYSTEM, TOKEN, classify, extract_owner, mask_noise
 
 
@@ -82,7 +83,7 @@ def builtin_rules(text: Column, masked: Column, kind: Column, extension: Column,
 def inspect(corpus: DataFrame, key: str, text: str = "body", extension: str | None = None, file_name: str | None = None, severities: dict[str, str] | None = None) -> DataFrame:
     """(key, rule, severity) of the built-in rules in one pass; severities override the defaults, OFF silences."""
     none = F.lit(None).cast("string")
-    kinds = corpus.withColumn("__plain", mask_noise(F.col(text))).withColumn("__kind", classify(F.col("__plain")))  # columns, so that they are computed once
+    kinds = spread(corpus).withColumn("__plain", mask_noise(F.col(text))).withColumn("__kind", classify(F.col("__plain")))  # columns, so that they are computed once
     rules = builtin_rules(F.col(text), F.col("__plain"), F.col("__kind"), F.col(extension) if extension else none, F.col(file_name) if file_name else F.lit(""))
     chosen = {r: ((severities or {}).get(r, s), c) for r, (s, c) in rules.items()}
     fired = [F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, (s, c) in chosen.items() if s != "OFF"]

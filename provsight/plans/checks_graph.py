@@ -16,7 +16,7 @@ _EDGES = rf"""o AS {_OBJ}, r AS (SELECT DISTINCT upper(o.db || '.' || o.name) AS
 
 def _mined(t):
     owned = T.extract_owner(t("stmt")).where("owner_db IS NOT NULL").select("stmt_id", F.col("owner_db").alias("src_db"), F.col("owner_name").alias("src_name"))
-    refs = T.extract_refs(t("stmt"), "stmt_id").join(owned, "stmt_id")
+    refs = T.extract_refs(t("stmt"), "stmt_id", keep_owner=True).where("owner_db IS NOT NULL").withColumnsRenamed({"owner_db": "src_db", "owner_name": "src_name"})
     return G.build_edges(refs, owned.select(F.col("src_db").alias("db"), F.col("src_name").alias("name")).distinct())
 
 

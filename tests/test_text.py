@@ -9,6 +9,7 @@ CASES = {
     "comma": ("SELECT 1 FROM A.T t, B.S s, C.U WHERE t.k = s.k", {("from", "A", "T"), ("comma", "B", "S"), ("comma", "C", "U")}),
     "derived": ("SELECT d.x FROM (SELECT x FROM A.T) d", {("from", "A", "T")}),
     "merge": ("MERGE INTO A.T t USING (SELECT k FROM B.S) s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = 1", {("merge", "A", "T"), ("from", "B", "S")}),
+    "using": ("MERGE INTO A.T t USING B.S s ON t.k = s.k", {("merge", "A", "T"), ("from", "B", "S")}),
     "system": ("SELECT 1 FROM DBC.TablesV JOIN A.T ON 1 = 1", {("join", "A", "T")}),
     "extract": ("SELECT EXTRACT(YEAR FROM a.dt) FROM A.T", {("from", "A", "T")}),
     "noise": ("SELECT 'FROM X.Y' FROM A.T -- FROM X.Z\n/* JOIN X.W */", {("from", "A", "T")}),
