@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 #: Characters of texts that are encoded at once.
-CHARS = 1_000_000
+CHARS = 50_000
+#: Pre-tokens whose ids the library keeps.
+CACHE = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -65,29 +67,27 @@ def tokenizer(path: str, pattern: str):
     ranks, table = read_ranks(path), byte_alphabet()
     shown = {t: "".join([table[b] for b in t]) for t in ranks}
     merges = [tuple(shown[p] for p in _parts(t, ranks, r)) for t, r in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
-    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
+    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=CACHE))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
 
 @lru_cache(maxsize=2)
-def byte_table(path: str) -> tuple[list[bytes], np.ndarray]:
+def byte_table(path: str) -> tuple[dict[int, bytes], np.ndarray]:
     """By id: the bytes for which the characters of its piece stand, by the reversed alphabet, and how many they are."""
     shown = byte_alphabet()
     back = {c: b for b, c in enumerate(shown)}
     pieces = {r: "".join([shown[b] for b in t]) for t, r in read_ranks(path).items()}
-    out = [b""] * (max(pieces, default=-1) + 1)
-    for r, piece in pieces.items():
-        out[r] = bytes([back[c] for c in piece])
-    return out, np.array([len(x) for x in out], np.int64)
+    out = {r: bytes([back[c] for c in piece]) for r, piece in pieces.items()}
+    return out, np.array([len(out.get(r, b"")) for r in range(max(out, default=-1) + 1)], np.int64)
 
 
 def decode(ids: list[int], path: str) -> bytes:
     """The bytes of all ids, one after the other: a character that is split between ids is whole again only here."""
-    table = byte_table(path)[0]
-    if len(ids) and (min(ids) < 0 or not all(pieces := [table[i] for i in ids])):
-        raise ValueError("an id is outside the vocabulary")
-    return b"".join(pieces) if len(ids) else b""
+    try:
+        return b"".join(map(byte_table(path)[0].__getitem__, ids))
+    except KeyError as e:
+        raise ValueError(f"id {e} is outside the vocabulary") from None
 
 
 def decode_stream(ids: list[int], path: str) -> list[str]:
@@ -96,11 +96,11 @@ def decode_stream(ids: list[int], path: str) -> list[str]:
     return [whole.decode(decode([i], path)) for i in ids]
 
 
-def split_characters(ids: list[int], decoded: bytes, path: str) -> int:
+def split_characters(ids: list[int] | np.ndarray, decoded: bytes, path: str) -> int:
     """How many ids end inside a character: the byte after them continues one."""
     if len(ids) < 2:
         return 0
-    ends = np.cumsum(byte_table(path)[1][np.array(ids)])[:-1]
+    ends = np.cumsum(byte_table(path)[1][np.asarray(ids)])[:-1]
     return int(((np.frombuffer(decoded, np.uint8)[ends] & 0xC0) == 0x80).sum())
 
 
@@ -139,8 +139,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def make(c: dict[str, list]) -> dict[str, list]:
         made, out = tokenizer(path, pattern), []
         for ids in _encoded(c["text"], made):
-            back = decode(ids, path)
-            out.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), split_characters(ids, back, path)))
+            back, numbers = decode(ids, path), np.array(ids, "<u4")
+            out.append((len(ids), hashlib.sha256(numbers.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), split_characters(numbers, back, path)))
         return {"doc_id": c["doc_id"]} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256", "n_split"), zip(*out) if out else [[]] * 4))
 
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
