@@ -78,11 +78,14 @@ def compat_verdict(changes: DataFrame, table: str = "tab") -> DataFrame:
                                       F.array_join(F.array_sort(F.collect_list(F.when(F.col("level") == "blocker", F.col("name")))), ",").alias("blockers"))
 
 
-def conform(df: DataFrame, target: list[tuple[str, str, object]]) -> tuple[DataFrame, DataFrame]:
+def conform(df: DataFrame, target: list[tuple[str, str, object]], changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows in the target's shape, rejected rows): target is (name, type, default for added columns).
 
-    A value that the type cannot hold rejects the row, which is returned as it was.
+    A value that the type cannot hold rejects the row, which is returned as it was. changes: the table's rows of
+    schema_compat; with a blocker among them nothing is copied and ValueError is raised.
     """
+    if changes is not None and not changes.where("level = 'blocker'").isEmpty():
+        raise ValueError("the schemas are not compatible: " + compat_verdict(changes.withColumn("tab", F.lit("")), "tab").first()["blockers"])
     have = set(df.columns)
     cast = {n: F.expr(f"try_cast(`{n}` AS {t})") for n, t, _ in target if n in have}
     bad = F.lit(False)

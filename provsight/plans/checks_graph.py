@@ -139,3 +139,9 @@ def kv_last_wins(t):
     line = F.concat(F.lit(" K"), F.col("p_partkey") % 7, F.lit(" = v="), "p_partkey", F.lit(" "))
     texts = t("part").groupBy(F.col("p_size").alias("env")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n# note = no\n").alias("text"))
     return S.parse_kv(texts).select("env", "name", "value")
+
+
+@query("""SELECT 'D' || p_partkey AS src, 'D' || (p_partkey // 2)::BIGINT AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 10 < 7 AND (p_partkey // 2) % 10 < 7""")
+def container_edges(t):
+    created = t("part").where("p_partkey % 10 < 7")
+    return G.container_edges(created.select(F.concat(F.lit("D"), "p_partkey").alias("name"), F.concat(F.lit("d"), F.floor(F.col("p_partkey") / 2)).alias("parent")))

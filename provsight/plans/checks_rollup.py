@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import reconcile as D
 from ..operators import rollup as A
 from ..operators import rules as R
+from ..sources import scans as S
 from ..streaming import folds as ST
 from .registry import query
 
@@ -376,3 +377,9 @@ def session_pairs(t):
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 def events_per_day(t):
     return ST.audit_counts(t("events").withColumnRenamed("event_type", "outcome"))
+
+
+@query("""SELECT 'deploy' AS event, object, max(ts) AS timestamp, CASE WHEN bool_or(state = 'FAILED') THEN 'failed' ELSE 'success' END AS outcome, count(*) FILTER (state = 'COMPLETED') AS objects_deployed,
+    count(*) FILTER (state = 'FAILED') AS objects_failed, trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::BIGINT AS duration_seconds FROM <states> GROUP BY object""")
+def audit_records(t):
+    return S.audit_records(t("states"), "object", outcome="state")

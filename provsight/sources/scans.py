@@ -106,5 +106,15 @@ def catalog_proposals(assets: DataFrame, columns: DataFrame, lineage: DataFrame,
     raise ValueError(f"unknown layout {layout}")
 
 
+def audit_records(results: DataFrame, run: str, ts: str = "ts", outcome: str = "outcome", done: str = "COMPLETED", failed: str = "FAILED") -> DataFrame:
+    """One record a run from its objects' results: event, run, timestamp (the last), outcome, objects_deployed, objects_failed, duration_seconds."""
+    of = lambda x: F.count_if(F.col(outcome) == x)
+    seconds = F.timestamp_diff("SECOND", F.min(ts), F.max(ts))
+    runs = results.groupBy(run).agg(F.max(ts).alias("timestamp"), of(done).alias("objects_deployed"), of(failed).alias("objects_failed"), seconds.alias("duration_seconds"))
+    verdict = F.when(F.col("objects_failed") > 0, "failed").otherwise("success")
+    return runs.select(F.lit("deploy").alias("event"), run, "timestamp", verdict.alias("outcome"), "objects_deployed", "objects_failed", "duration_seconds")
+
+
 def append_audit(df: DataFrame, path: str) -> None:
+    """Appends the rows as JSON lines."""
     df.write.mode("append").json(path)

@@ -190,3 +190,12 @@ def test_equal_rows_keep_their_number(spark):
     rows = spark.createDataFrame([("ddl\\a.tbl:4", 1)] * 2 + [("b", 2)], "location string, n int")
     sources = spark.createDataFrame([("payload/ddl/a.tbl", "s")], "path string, source string")
     assert sorted(map(tuple, P.source_of(rows, sources, "location").collect()), key=str) == [("b", 2, None), ("ddl\\a.tbl:4", 1, "s"), ("ddl\\a.tbl:4", 1, "s")]
+
+
+def test_conform_refuses_blocked_schemas(spark):
+    old = spark.createDataFrame([("t", "a", "CHAR", 10)], "tab string, name string, type string, length int")
+    new = spark.createDataFrame([("t", "a", "CHAR", 5, 0, 0)], "tab string, name string, type string, length int, not_null int, has_default int")
+    changes, df = D.schema_compat(old, new), spark.createDataFrame([("x",)], "a string")
+    with pytest.raises(ValueError, match="a"):
+        D.conform(df, [("a", "string", None)], changes)
+    assert D.conform(df, [("a", "string", None)], changes.limit(0))[0].count() == 1
