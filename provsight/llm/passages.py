@@ -42,7 +42,7 @@ SHINGLE, MIN_WORDS, SIMILARITY, RECALL, ROWS = 5, 20, 0.8, 0.999, 3
 LENGTH, GRAM = 50, 20
 #: Pairs of a bucket (members by those not linked to its pivot) from which they are compared by blocks, and the rows of a block.
 HOT_PAIRS, BLOCK = 1024, 128
-#: Places of lines, and of minima that occur again, that may be broadcast (some 60 bytes each).
+#: Places of lines that may be broadcast when their texts are fetched (some 60 bytes each).
 MAX_BROADCAST = 200_000
 _mix = np.random.default_rng(20240501).integers(1, 2**63, size=(4, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = ("doc_id", "text_id", "word", "n_words", "pos", "start", "n_chars")
@@ -247,8 +247,8 @@ def similar_lines(docs: DataFrame, digest: DataFrame, least: float = SIMILARITY,
 def equal_spans(digest: DataFrame) -> DataFrame:
     """(doc_id, text_id, word, n_words, pos, start, stop, keeper_doc, keeper_pos, n_copies, removed) of each span of repeated minima."""
     rows = digest.where("kind = 1").drop("kind", "hash", "bands", "n_words")
-    groups = saved(rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1"))
-    found = rows.join(broadcast_if_small(groups, MAX_BROADCAST), ["h1", "h2"]).drop("h1", "h2")  # else a frequent one's rows can be split
+    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1")
+    found = rows.join(groups, ["h1", "h2"]).drop("h1", "h2")  # one side is unique, so a frequent one's rows can be split
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
     found = found.withColumn("removed", ~(same & (F.col("word") == F.col("first.word"))))
     found = found.where(~(F.col("removed") & same & (F.col("word") < F.col("first.word") + GRAM)))  # overlaps the copy that stays
