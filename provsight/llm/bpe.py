@@ -23,11 +23,6 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Characters of texts that are encoded at once.
-CHARS = 50_000
-#: Pre-tokens whose ids the library keeps.
-CACHE = 100_000
-
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else one from code point 256 on."""
@@ -67,7 +62,7 @@ def tokenizer(path: str, pattern: str):
     ranks, table = read_ranks(path), byte_alphabet()
     shown = {t: "".join([table[b] for b in t]) for t in ranks}
     merges = [tuple(shown[p] for p in _parts(t, ranks, r)) for t, r in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
-    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=CACHE))
+    made = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
@@ -123,14 +118,9 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def _encoded(texts: list[str | None], made) -> Iterator[list[int]]:
-    """The ids of each text; texts go to the library by CHARS characters, so few ids are held at once."""
-    texts, first, size = [t or "" for t in texts], 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size > CHARS or k == len(texts) - 1:
-            for e in made.encode_batch_fast(texts[first : k + 1], add_special_tokens=False):
-                yield e.ids
-            first, size = k + 1, 0
+    """The ids of each text, one text at a time: its ids are gone before the next, and groups of texts cost more."""
+    for text in texts:
+        yield made.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
