@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,3 +31,23 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits than these, for work that costs far more than moving its rows; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with its rows' places 1, 2, 3, ... by `order`, counted anew for each value of `keys`, which must lead that order.
+
+    Rows are dealt in ranges of the order and sorted there, so that a key of any size spreads over many tasks; of each
+    range (and key) one row is counted, and what earlier ranges hold is added. No task sees a key as a whole.
+    """
+    at, part, first, held = "__at", "__part", "__first", "__held"
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut(ranged.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.expr("shiftright(__at, 33)")))
+    sizes = placed.groupBy(part, *keys).agg(F.count("*").alias("__n"), F.min(at).alias(first))
+    # as many rows as ranges, and as keys
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), first, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(held))
+    same = placed[part] == starts[part]
+    for i, k in enumerate(keys):
+        same = same & placed[k].eqNullSafe(starts[f"__k{i}"])
+    place = (F.col(held) + F.col(at) - F.col(first) + 1).cast("long")
+    return placed.join(starts, same).select(*(placed[c] for c in df.columns), place.alias(name))

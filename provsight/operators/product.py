@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, numbered
+
 
 def current_rows(df: DataFrame, current: str = "is_current", deleted: str = "is_deleted") -> DataFrame:
     return df.where((F.col(current) == 1) & (F.col(deleted) == 0))
@@ -231,9 +233,10 @@ def resumable(state: DataFrame) -> DataFrame:
 
 
 def ordered_plan(nodes: DataFrame, wave: str, kind: str, name: str, ranks: list[str]) -> DataFrame:
-    """Adds position inside its wave: by rank of the kind (unknown kinds last), then name."""
+    """Adds position inside its wave: by rank of the kind (unknown kinds last), then name. A wave of any size is ranked by ranges."""
     rank = F.coalesce(*[F.when(F.col(kind) == k, F.lit(i)) for i, k in enumerate(ranks)], F.lit(len(ranks)))
-    return nodes.withColumn("position", F.row_number().over(W.partitionBy(wave).orderBy(rank, name)))
+    placed = numbered(nodes.withColumn("__rank", rank), ["__rank", name], "position", (wave,))
+    return placed.drop("__rank").withColumn("position", F.col("position").cast("int"))
 
 
 def lineage_legs(lineage: DataFrame, kinds: DataFrame) -> DataFrame:
