@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: op2, op4 and op5. The others are tested against brute force."""
+"""DuckDB SQL for the queries that SQL can express: op2, op4, op5, op12 and op13. The others are tested against brute force."""
 
 from . import quality
 
@@ -58,4 +58,41 @@ SELECT 'revi-' || page_id AS record_id, url_key, ts, status, CASE WHEN status =
             WHEN rp % 7 = 0 THEN 'etag=' || digest || ';last-modified=' || rd ELSE 'etag=' || digest END || ';server=two' END AS headers FROM s
 """
 
-ORACLES = {"op2_quality_rules": OP2, "op4_revisits": OP4, "op5_line_dedup": OP5}
+OP12 = r"""
+WITH te AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT false AS target, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT true, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT target, r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') AS ws FROM x),
+n AS (SELECT unnest([1, 2, 3]) AS width),
+f AS (SELECT target, r, unnest(list_transform(range(1, greatest(len(ws) - width + 2, 1)), lambda i: array_to_string(ws[i:i + width - 1], ' '))) AS feature FROM w, n),
+h AS (SELECT feature, hex(encode(feature)) AS hx FROM (SELECT DISTINCT feature FROM f)),
+b AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hx), 2), lambda i: (strpos('0123456789ABCDEF', hx[i]) - 1) * 16 + strpos('0123456789ABCDEF', hx[i + 1]) - 1)),
+         lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM h, te),
+k AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM f JOIN b USING (feature) GROUP BY bucket),
+z AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM k),
+g AS (SELECT bucket, floor(1000 * ln((k.t + 1)::DOUBLE * (z.s + 10000) / ((k.s + 1)::DOUBLE * (z.t + 10000))))::BIGINT AS gain FROM k, z),
+a AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE NOT target GROUP BY r),
+d AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM x JOIN w USING (target, r) LEFT JOIN a USING (r) WHERE NOT target),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words < 20 ORDER BY score DESC, doc_id) AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM o
+"""
+
+OP13 = r"""
+WITH m AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lb AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT m.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(m.doc_id > min(m.doc_id) OVER (PARTITION BY t), false) AS e
+      FROM m LEFT JOIN lb USING (doc_id)),
+g AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+o AS (SELECT [l1.x, l2.x, l3.x, l4.x, l5.x] AS ord FROM l l1, l l2, l l3, l l4, l l5 WHERE len(list_distinct([l1.x, l2.x, l3.x, l4.x, l5.x])) = 5),
+s AS (SELECT ord, array_to_string([chr(64 + x) for x in ord], '') AS filter_order, l.x AS step FROM o, l),
+r AS (SELECT part, filter_order, step, fails[ord[step]] AS own, len([1 for x in ord[1:step - 1] if fails[x]]) AS before, len([1 for x in fails if x]) AS n_fails, ord[step] AS flt, n, good, toxic FROM g, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (before = 0 AND NOT own), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (before = 0 AND own), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (before > 0 AND own), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own AND n_fails = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (before = 0 AND own), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (before = 0 AND own), 0)::BIGINT AS toxic_lost,
+  sum(coalesce(sum(n) FILTER (before = 0 AND own), 0)) OVER (PARTITION BY part, flt)::BIGINT AS shapley FROM r GROUP BY part, filter_order, step, flt
+"""
+
+ORACLES = {"op2_quality_rules": OP2, "op4_revisits": OP4, "op5_line_dedup": OP5, "op12_importance_resampling": OP12, "op13_filter_audit": OP13}
