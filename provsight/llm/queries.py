@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, licences, lines, passages, quality, resample, revisit, simhash, tokens, wrapper
+from . import audit, bpe, decontam, licences, lines, passages, quality, resample, revisit, simhash, tokens, toxicity, wrapper
 from .common import table
 from .oracles import ORACLES
 
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_revisits, op5_line_dedup, op6_main_text, op7_token_counts, op8_bpe_round_trip, op9_licences, op10_simhash, op12_importance_resampling, op13_filter_audit, pipeline)
+    made = (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_revisits, op5_line_dedup, op6_main_text, op7_token_counts, op8_bpe_round_trip, op9_licences, op10_simhash, op11_toxicity, op12_importance_resampling, op13_filter_audit, pipeline)
     return {f.__name__: f for f in made}
 
 
