@@ -135,7 +135,8 @@ def count_masks(docs: DataFrame, labels: DataFrame, n_docs: int, folder: str) ->
     """
     spark, counters = docs.sparkSession, f"{folder}/counters"
     spark.createDataFrame([], _OUT).write.parquet(f"{counters}/batch=-1")  # so that there is one, whatever comes
-    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max((F.col("quality") == 1).cast("int")) + 2 * F.max((F.col("toxic") == 1).cast("int"))).alias("label"))
+    is_one = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((is_one("quality") + 2 * is_one("toxic")).alias("label"))
     marked = masks(docs, max(1, -(-n_docs // TEXTS_PER_STATE))).join(marks, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
     changes = reduced(marked).groupBy("bucket").applyInPandasWithState(update, _OUT, "held binary", "append", GroupStateTimeout.NoTimeout)
 

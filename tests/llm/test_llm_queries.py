@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = Q.queries()[name](spark, SF), c.sql(Q.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -27,7 +27,7 @@ def test_against_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
