@@ -30,7 +30,8 @@ def _text():
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, tid, pos, hash) of every line whose key has min_chars code points or more. tid tells texts of one doc_id apart."""
-    lines = docs.select("doc_id", F.xxhash64(_text()).alias("tid"), F.posexplode(F.split(_text(), "\n", -1)).alias("pos", "line"))
+    texts = docs.select("doc_id", F.xxhash64(_text()).alias("tid"), _text().alias("text"))  # below the generator: once a text, not once a line
+    lines = texts.select("doc_id", "tid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", F.translate(F.btrim("line", F.lit(_SPACE)), _UPPER, _LOWER)).where(F.char_length("key") >= min_chars)
     return keyed.select("doc_id", "tid", "pos", F.unhex(F.md5("key")).alias("hash"))
 

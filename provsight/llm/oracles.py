@@ -1,10 +1,8 @@
 """DuckDB SQL for the queries that SQL can express: op2, op4, op5, op12 and op13. The others are tested against brute force."""
 
-from . import quality
-
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-OP2 = rf"""
+OP2 = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
@@ -18,11 +16,12 @@ rw AS (SELECT r, sum(c) AS n_repeat_words FROM k GROUP BY r),
 s AS (SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN dl USING (r) LEFT JOIN rw USING (r)),
-b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
-ho AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM b WHERE source IS NOT NULL GROUP BY source),
-pr AS (SELECT avg(bad / n) AS m, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) AS v FROM ho),
-pw AS (SELECT m, v, greatest(m * (1 - m) / v - 1, 0) AS wt FROM pr WHERE v > 1e-9),
-re AS (SELECT source FROM ho, pw WHERE (bad + m * wt) / (n + wt) > greatest(m + {quality.PRIOR_SPREADS} * sqrt(v), {quality.MIN_HOST_RATE}))
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+ho AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS bad FROM b WHERE source IS NOT NULL GROUP BY source),
+mo AS (SELECT count(*) AS k, sum(bad / n) / count(*) AS m, sum(1 / n) / count(*) AS i FROM ho),
+pr AS (SELECT m, (avg((bad / n - m) * (bad / n - m)) - m * (1 - m) * i) / nullif(1 - i, 0) AS v FROM ho, mo GROUP BY m, i),
+po AS (SELECT source, m, v, bad + m * greatest(m * (1 - m) / v - 1, 0) AS a, n - bad + (1 - m) * greatest(m * (1 - m) / v - 1, 0) AS z FROM ho, pr WHERE v > 1e-9),
+re AS (SELECT source FROM po WHERE a / (a + z) - 1.645 * sqrt(a * z / ((a + z) * (a + z) * (a + z + 1))) > greatest(m + sqrt(v), 0.5))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   re.source IS NOT NULL AS host_rejected, NOT base_failed AND re.source IS NULL AS kept FROM b LEFT JOIN re USING (source)
 """

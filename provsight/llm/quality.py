@@ -2,9 +2,10 @@
 
 Each document gets base counts and a base verdict. Failures are summed by host, each host's failure rate is shrunk
 towards the others by an empirical beta prior, and the verdict on the host is joined back to its documents. The prior's
-moments are those of the hosts' rates less what sampling alone would spread them. A host is rejected when its shrunk rate
-lies PRIOR_SPREADS standard deviations of the prior above its mean, and most of its documents fail (MIN_HOST_RATE): good
-documents of an odd but mostly sound host stay.
+moments are those of the hosts' rates less what sampling alone would spread them: of n documents a host shows the variance
+v + (m(1-m) - v)/n for a prior of mean m and variance v. A host is rejected when its posterior, again a beta, lies with 95 %
+(its mean less CREDIBLE of its standard deviations) above both PRIOR_SPREADS standard deviations of the prior over its mean,
+and MIN_HOST_RATE: as all documents of a rejected host go, more bad than good ones must be expected to.
 
 Defined cases: null text counts as empty (no words: base_failed); a null host has no verdict of its own; repeated
 rows count as often as they occur; an empty table gives an empty result; other columns of the input are ignored.
@@ -24,8 +25,10 @@ from .common import WORD, broadcast_if_small, cut, saved
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected when its shrunk failure rate is above both: so many standard deviations over the prior's mean, and this rate.
+#: A host is rejected when its failure rate is surely above both: so many standard deviations over the prior's mean, and this rate.
 PRIOR_SPREADS, MIN_HOST_RATE = 1.0, 0.5
+#: Standard deviations of the posterior below its mean that leave 95 % of it above.
+CREDIBLE = 1.645
 #: Rejected hosts that may be broadcast; beyond it the join is shuffled.
 MAX_BROADCAST_HOSTS = 100_000
 _word = re.compile(WORD)
@@ -76,20 +79,28 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+def host_prior(hosts: DataFrame) -> DataFrame:
+    """One row (mean, between) from hosts(n_docs, n_failed): the moments of the hosts' own rates. between is null where sampling explains all."""
+    raw = F.col("n_failed") / F.col("n_docs")
+    moments = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
+    sampled = F.col("mean") * (1 - F.col("mean")) * F.col("inverse")
+    between = F.when(F.col("inverse") < 1, (F.col("var") - sampled) / (1 - F.col("inverse")))
+    return moments.select("mean", F.when(between > 1e-9, between).alias("between"))
+
+
 def host_verdicts(flags: DataFrame, spreads: float = PRIOR_SPREADS, min_rate: float = MIN_HOST_RATE) -> DataFrame:
     """(host, n_docs, n_failed, rate, rejected) from flags(host, failed): the beta prior is fitted to all hosts by moments.
 
     Where the rates differ no more than sampling explains, every host has the mean rate, and none stands out.
     """
     hosts = flags.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("failed").alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"))
     spread = F.col("mean") * (1 - F.col("mean"))
-    prior = moments.select("mean", F.when(F.col("var") - spread * F.col("inverse") > 1e-9, F.col("var") - spread * F.col("inverse")).alias("between"))
-    joined = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
+    joined = hosts.crossJoin(F.broadcast(host_prior(hosts)))  # the prior is one row
     weight = F.greatest(spread / F.col("between") - 1, F.lit(0.0))
-    rate = F.coalesce((F.col("n_failed") + F.col("mean") * weight) / (F.col("n_docs") + weight), F.col("mean"))
-    rejected = F.coalesce((rate > F.col("mean") + spreads * F.sqrt("between")) & (rate > min_rate), F.lit(False))
+    total = F.col("n_docs") + weight
+    rate = F.coalesce((F.col("n_failed") + F.col("mean") * weight) / total, F.col("mean"))
+    surely = rate - CREDIBLE * F.sqrt(rate * (1 - rate) / (total + 1))
+    rejected = F.col("between").isNotNull() & F.coalesce(surely > F.greatest(F.col("mean") + spreads * F.sqrt("between"), F.lit(min_rate)), F.lit(False))
     return joined.select("host", "n_docs", "n_failed", rate.alias("rate"), rejected.alias("rejected"))
 
 

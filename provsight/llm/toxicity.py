@@ -31,7 +31,7 @@ from .common import saved
 from .words import _tables, chunks, join, ranges, rolled
 
 #: Documents of each class to fit the embeddings on, and half as many others to fit the probabilities on; passages of each clean and toxic one for the fit.
-TRAIN_DOCS, TRAIN_PASSAGES = 1500, 32
+TRAIN_DOCS, TRAIN_PASSAGES = 1000, 32
 #: Words in a passage (the last one of a text has up to twice as many), n-gram sizes, bits of the hash table, dimensions.
 PASSAGE, GRAMS, BITS, SIZE = 8, (3, 4, 5), 20, 8
 #: An n-gram has a vector if so many documents of the fit hold it; standard errors from which the odds that it starts from count.

@@ -103,9 +103,15 @@ def test_pipeline_like_brute_force(spark, tmp_path):
             rates.setdefault(s, []).append(failed(t))
     raw = {s: np.mean(x) for s, x in rates.items()}
     mean = np.mean(list(raw.values()))
-    between = np.var(list(raw.values())) - mean * (1 - mean) * np.mean([1 / len(x) for x in rates.values()])
+    few = np.mean([1 / len(x) for x in rates.values()])
+    between = (np.var(list(raw.values())) - mean * (1 - mean) * few) / (1 - few)
     weight = max(mean * (1 - mean) / between - 1, 0)
-    bad = {s for s, x in rates.items() if (sum(x) + mean * weight) / (len(x) + weight) > max(mean + np.sqrt(between), 0.5)}
+
+    def surely(x):
+        a, b = sum(x) + mean * weight, len(x) - sum(x) + (1 - mean) * weight
+        return a / (a + b) - 1.645 * np.sqrt(a * b / (a + b) ** 2 / (a + b + 1))
+
+    bad = {s for s, x in rates.items() if surely(x) > max(mean + np.sqrt(between), 0.5)}
     assert bad == {"bad"}
     left = {i: t for i, t, s in rows if not failed(t) and s not in bad}
 

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from provsight.llm import audit, resample, toxicity
+from provsight.llm import audit, lines, quality, resample, toxicity
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, buckets string, part string, digest string, label string, id string, score double"
@@ -190,3 +190,27 @@ def test_toxicity_without_both_classes(spark, labels, want):
     got = toxicity.toxicity(docs(spark, ODD), labels_of(spark, labels)).collect()
     assert len(got) == len(ODD) and {r.score for r in got} == {want}
     assert toxicity.toxicity(docs(spark, []), labels_of(spark, labels)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 5, 20])
+def test_host_prior_is_unbiased(spark, n):
+    """Rates from beta(2, 6), of variance 0.0208, seen through n documents a host."""
+    rng = np.random.default_rng(n)
+    hosts = [(n, int(x)) for x in rng.binomial(n, rng.beta(2, 6, 20_000))]
+    row = quality.host_prior(spark.createDataFrame(hosts, "n_docs long, n_failed long")).first()
+    assert abs(row.mean - 0.25) < 0.01 and abs(row.between - 0.0208) < 0.002
+
+
+def test_planted_hosts_are_caught(spark):
+    """Of hosts that mostly fail, those with enough documents to be sure of go; one bad document, or two, condemn nobody."""
+    rng = np.random.default_rng(8)
+    flags = [(f"good{h}", bool(x)) for h in range(60) for x in rng.random(80) < 0.08]
+    flags += [(f"bad{h}", bool(x)) for h in range(5) for x in rng.random(60) < 0.9] + [("tiny", True), ("pair", True), ("pair", True), ("half", True), ("half", False)]
+    got = {r.host for r in quality.host_verdicts(spark.createDataFrame(flags, "host string, failed boolean")).where("rejected").collect()}
+    assert got == {f"bad{h}" for h in range(5)}
+
+
+def test_line_hashes_grow_with_lines(spark):
+    """The text is hashed below the generator, so a text of twice the lines takes no four times as long."""
+    plan = lines.line_hashes(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
