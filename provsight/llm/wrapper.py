@@ -16,8 +16,7 @@ different articles besides the reference's has no template nodes.
 
 Defined cases: null or empty html gives empty text; a url without a host shares the host ''; an unclosed or stray tag
 is repaired as browsers do for paragraphs, list items and cells; repeated rows each give their row; an empty table
-gives an empty result; other columns are ignored; deep and long pages are read and aligned without recursion, long lists
-of unlike siblings by labels and sizes (align).
+gives an empty result; other columns are ignored; deep and long pages are read and aligned without recursion.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -38,11 +36,12 @@ from .common import cut, map_batches
 MIN_PAGES, SAME_SHARE = 5, 0.9
 #: Words of a shingle, and the share of an article's shingles that the reference must lack for it to be another article.
 SHINGLE, OWN_SHARE = 5, 0.5
-#: Share of the varying words that the content's region holds; pairs of kids from which alignment looks at labels and sizes.
-REGION_SHARE, MAX_PAIRS = 0.8, 2500
+#: Share of the varying words that the content's region holds; sums that alignment holds at once.
+REGION_SHARE, CELLS = 0.8, 4_000_000
 #: Bytes of reference pages that may be broadcast.
 MAX_BROADCAST = 8_000_000
-_tag = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
+_rest = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _attr = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -51,6 +50,10 @@ SKIP = frozenset("script style noscript template head title nav footer aside for
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Words of class and id that mark a part as no article.
 MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that say nothing beside these: a name of several words marks a part only if all others are of this kind.
+NEUTRAL = frozenset("area bar block body bottom box center container element fixed global group inner item items left links list lower module outer page panel posts region right row section site slot sticky text top unit upper wrap wrapper zone".split())
+#: A part that holds so much of what it is in is not left out for its class or id: nothing would be left.
+CONTENT_SHARE = 0.9
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -80,59 +83,109 @@ def parse(page: str) -> Node:
     """A DOM of elements and texts; entities are decoded in the texts."""
     root = Node("#")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # where on the stack each name is open, so that no end tag walks the stack
+    blocks: list[int] = []
 
     def text(upto: int) -> None:
         if upto > at:
             stack[-1].kids.append(entities.unescape(page[at:upto]))
 
-    def close(names: set, holds: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in holds:
-                return
-
-    pos = 0
+    def close(names: set, hold: int) -> None:
+        """Ends the innermost open element of these names, if it is above the place `hold`."""
+        k = max((places[n][-1] for n in names if places.get(n)), default=0)
+        if k > hold:
+            for node in reversed(stack[k:]):
+                places[node.tag].pop()
+                if node.tag in BLOCK:
+                    blocks.pop()
+            del stack[k:]
+
+    def last_block(but: str) -> int:
+        for k in reversed(blocks):
+            if stack[k].tag != but:
+                return k
+        return 0
+
+    pos, quotes = 0, True
     while m := _tag.search(page, pos):
-        text(m.start())
-        at = pos = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        start, pos = m.start(), m.end()
+        if m[2] is None:
+            end = page.find("-->", pos) + 3 if m[0] == "<!--" else page.find(">", pos) + 1
+            if m[0] == "<!--" and end < 3:
+                end = len(page)
+            if not end:
+                continue
+            text(start)
+            at = pos = end
             continue
+        rest = _rest.match(page, pos) if quotes else None
+        if rest is None:  # a quote that never ends: from here on tags end at the next bracket, so that no page is read twice
+            quotes = False
+            end = page.find(">", pos)
+            if end < 0:
+                break
+            attributes, end = page[pos:end], end + 1
+        else:
+            attributes, end = rest[1], rest.end()
+        text(start)
+        at = pos = end
+        name = m[2].lower()
         if m[1]:
-            if name == "p" or name not in BLOCK:  # a stray inline end tag does not close blocks
-                close({name}, BLOCK - {name})
-            else:
-                close({name}, set())
+            # a stray inline end tag does not close blocks
+            close({name}, last_block(name) if name == "p" or name not in BLOCK else 0)
             continue
         if name in BLOCK and name not in ("html", "body"):
-            close({"p"}, BLOCK - {"p"})
+            close({"p"}, last_block("p"))
         if name in _ENDS:
-            close(_ENDS[name], _HOLDS[name])
-        node = Node(name, _marks(m[3]) if m[3].strip() else frozenset())
+            close(_ENDS[name], max((places[n][-1] for n in _HOLDS[name] if places.get(n)), default=0))
+        node = Node(name, _marks(attributes) if attributes.strip() else frozenset())
         stack[-1].kids.append(node)
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}[\\s>/]", re.I).search(page, pos)
-            stop = end.start() if end else len(page)
+            close_tag = re.compile(f"</{re.escape(name)}[\\s>/]", re.I).search(page, pos)
+            stop = close_tag.start() if close_tag else len(page)
             node.kids.append(page[pos:stop])
             at = pos = stop
-            if end:
+            if close_tag:
                 at = pos = (page.find(">", stop) + 1) or len(page)
             continue
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append(node)
     text(len(page))
     return root
 
 
-def _skipped(node: Node, inside: bool) -> bool:
+def _marked(name: str) -> bool:
+    """A class or id that says that its part is no article: one word that does, or several of which the rest say nothing."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return name in MARKS or (not MARKS.isdisjoint(parts) and all(x in MARKS or x in NEUTRAL for x in parts))
+
+
+def _words(root: Node) -> dict[int, int]:
+    """By id of each node: the words below it, but those of elements that never count."""
+    order, todo, found = [], [root], {}
+    while todo:
+        at = todo.pop()
+        order.append(at)
+        todo.extend(k for k in at.kids if isinstance(k, Node) and k.tag not in SKIP)
+    for at in reversed(order):
+        found[id(at)] = sum(len(k.split()) if isinstance(k, str) else found.get(id(k), 0) for k in at.kids)
+    return found
+
+
+def _skipped(node: Node, inside: bool, words: dict[int, int], whole: int) -> bool:
+    """Whether a part is left out. words: of each node; whole: those of the area that is read."""
     if node.tag in SKIP or "hidden" in node.marks or (node.tag == "header" and not inside):
         return True
-    if node.tag in ("html", "body", "article", "main"):
+    if node.tag in ("html", "body", "article", "main") or not node.marks:
         return False
-    return any(m[5:] in ROLES if m.startswith("role:") else m in MARKS or not MARKS.isdisjoint(re.split(r"[-_]+", m)) for m in node.marks)
+    if any(m[5:] in ROLES for m in node.marks if m.startswith("role:")):
+        return True
+    named = any(_marked(m) for m in node.marks if not m.startswith("role:") and not (inside and m == "header"))
+    return named and words.get(id(node), 0) < CONTENT_SHARE * whole
 
 
 def _pieces(node: Node):
@@ -176,39 +229,74 @@ def slots(page: str) -> Slot:
     return root
 
 
-def _table(a: Slot, b: Slot, weight: Callable[[Slot, Slot], int]) -> Sequence[Sequence[int]]:
-    """The best sums of weights of kids matched in order, by prefixes of both lists."""
-    if len(a.kids) * len(b.kids) <= 64:
-        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
-        for i, x in enumerate(a.kids):
-            for j, y in enumerate(b.kids):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (weight(x, y) if x.label == y.label else 0))
-        return best
-    best = np.zeros((len(a.kids) + 1, len(b.kids) + 1), np.int64)
-    for i, x in enumerate(a.kids):
-        weights = np.array([weight(x, y) if x.label == y.label else 0 for y in b.kids])
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weights))
+def _weights(x: list[Slot], y: list[Slot], known: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight of each two distinct shapes, the shape of each of x, of each of y)."""
+    left, right = ({s.shape: s for s in side} for side in (x, y))
+    table = np.array([[known[p, q] if s.label == t.label else 0 for q, t in right.items()] for p, s in left.items()], np.int32)
+    number = [{shape: k for k, shape in enumerate(side)} for side in (left, right)]
+    return table, np.array([number[0][s.shape] for s in x]), np.array([number[1][s.shape] for s in y])
+
+
+def _sums(table: np.ndarray, xs: np.ndarray, ys: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """The best sums of weights for all of xs against each prefix of ys; rows, if given, gets those of the prefixes of xs."""
+    best = np.zeros(len(ys) + 1, np.int32)
+    for k, i in enumerate(xs):
+        now = np.maximum(best[1:], best[:-1] + table[i, ys])
+        best = np.concatenate(([0], np.maximum.accumulate(now)))
+        if rows is not None:
+            rows[k + 1] = best
     return best
 
 
-def align(a: Slot, b: Slot, max_pairs: int = MAX_PAIRS) -> tuple[int, list[tuple[Slot, Slot]]]:
+def _matched(table: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """Places of xs and ys matched in order with the largest sum of weights. Long lists are halved where both halves' sums are
+    largest together, so memory is that of CELLS sums; the sum is the same whatever the length."""
+    found, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a + 1) * (d - c + 1) > CELLS:
+            half = (a + b) // 2
+            at = int(np.argmax(_sums(table, xs[a:half], ys[c:d]) + _sums(table, xs[half:b][::-1], ys[c:d][::-1])[::-1]))
+            todo += [(a, half, c, c + at), (half, b, c + at, d)]
+            continue
+        best = np.zeros((b - a + 1, d - c + 1), np.int32)
+        _sums(table, xs[a:b], ys[c:d], best)
+        i, j = b - a, d - c
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((a + i, c + j))
+    return sorted(found)
+
+
+def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     """Simple tree matching: the most pairs of equal labels that keep parents and order, and those pairs.
 
-    Subtrees of the same shapes are compared once. Two lists of kids with more than max_pairs pairs are matched by their
-    labels and the smaller size of each two instead of by what their subtrees match, so long pages stay cheap. Nothing recurses.
+    Trees of equal shape match as a whole, also where they begin or end both lists of kids; others are compared once for each
+    two shapes. Nothing recurses, and nothing depends on the lists' lengths but the order of the work.
     """
     if a.label != b.label:
         return 0, []
     known: dict[tuple[int, int], int] = {}
 
-    def weight(x: Slot, y: Slot) -> int:
-        return known[x.shape, y.shape]
-
-    def wide(x: Slot, y: Slot) -> bool:
-        return len(x.kids) * len(y.kids) > max_pairs
+    def ends(x: Slot, y: Slot) -> tuple[int, int]:
+        """How many kids at the start, and at the end, have equal shapes in both."""
+        most, start, end = min(len(x.kids), len(y.kids)), 0, 0
+        while start < most and x.kids[start].shape == y.kids[start].shape:
+            start += 1
+        while end < most - start and x.kids[-1 - end].shape == y.kids[-1 - end].shape:
+            end += 1
+        return start, end
 
-    def smaller(x: Slot, y: Slot) -> int:
-        return min(x.size, y.size)
+    def middle(x: Slot, y: Slot) -> tuple[list[Slot], list[Slot], int, int]:
+        start, end = ends(x, y)
+        return x.kids[start : len(x.kids) - end], y.kids[start : len(y.kids) - end], start, end
 
     def solve(top: Slot, other: Slot) -> None:
         todo = [(top, other)]
@@ -216,34 +304,32 @@ def align(a: Slot, b: Slot, max_pairs: int = MAX_PAIRS) -> tuple[int, list[tuple
             x, y = todo[-1]
             if (x.shape, y.shape) in known:
                 todo.pop()
-            elif not x.kids or not y.kids:
-                known[x.shape, y.shape] = 1
-            elif wide(x, y):
-                known[x.shape, y.shape] = 1 + int(_table(x, y, smaller)[-1][-1])
-            elif open_ := [(p, q) for p in x.kids for q in y.kids if p.label == q.label and (p.shape, q.shape) not in known]:
-                todo.extend(open_)
+                continue
+            if x.shape == y.shape:
+                known[x.shape, y.shape] = x.size
+                continue
+            left, right, start, _ = middle(x, y)
+            base = 1 + sum(k.size for k in x.kids[:start]) + sum(k.size for k in x.kids[start + len(left) :])
+            if not left or not right:
+                known[x.shape, y.shape] = base
+                continue
+            unlike = [(p, q) for p in {k.shape: k for k in left}.values() for q in {k.shape: k for k in right}.values() if p.label == q.label and (p.shape, q.shape) not in known]
+            if unlike:
+                todo.extend(unlike)
             else:
-                known[x.shape, y.shape] = 1 + int(_table(x, y, weight)[-1][-1])
+                known[x.shape, y.shape] = base + int(_sums(*_weights(left, right, known))[-1])
 
     pairs, at = [(a, b)], 0
     while at < len(pairs):  # grows while it is read
         x, y = pairs[at]
         at += 1
-        if not x.kids or not y.kids:
-            continue
-        if not wide(x, y):
-            solve(x, y)
-        best = _table(x, y, smaller if wide(x, y) else weight)
-        i, j, found = len(x.kids), len(y.kids), []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                found.append((x.kids[i], y.kids[j]))
-        pairs += reversed(found)
+        left, right, start, end = middle(x, y)
+        matched = list(zip(x.kids[:start], y.kids[:start]))
+        if left and right:
+            if x.shape != y.shape:
+                solve(x, y)
+            matched += [(left[i], right[j]) for i, j in _matched(*_weights(left, right, known))]
+        pairs += matched + [(x.kids[len(x.kids) - k], y.kids[len(y.kids) - k]) for k in range(end, 0, -1)]
     return len(pairs), pairs
 
 
@@ -284,22 +370,23 @@ def _extract(page: str, template: set[int] | None, reference: str | None, region
                 decided += 1
             if number[id(r)] == region:
                 inside = s.nodes
-    areas = _areas(tree.nodes[0])
+    words = _words(tree.nodes[0])
+    areas = _areas(tree.nodes[0], words)
     if not areas and inside:
         areas, decided = inside, decided + 1
-    return _main(tree.nodes[0], areas, left_out), decided
+    return _main(tree.nodes[0], areas, left_out, words), decided
 
 
-def _main(root: Node, areas: list[Node], left_out: set[int]) -> str:
+def _main(root: Node, areas: list[Node], left_out: set[int], words: dict[int, int]) -> str:
     blocks: list[str] = []
     for area in areas or [root]:
         pieces: list[str] = []
-        _read(area, area is not root, left_out, pieces, blocks)
+        _read(area, area is not root, left_out, pieces, blocks, words)
         _flush(pieces, blocks)
     return "\n".join(blocks)
 
 
-def _areas(node: Node) -> list[Node]:
+def _areas(node: Node, words: dict[int, int]) -> list[Node]:
     """The outermost articles, else the main parts."""
     for name in ("article", "main"):
         found: list[Node] = []
@@ -308,7 +395,7 @@ def _areas(node: Node) -> list[Node]:
             at = todo.pop()
             if at.tag == name or f"role:{name}" in at.marks:
                 found.append(at)
-            elif not _skipped(at, False):
+            elif not _skipped(at, False, words, words[id(node)]):
                 todo.extend(k for k in reversed(at.kids) if isinstance(k, Node))
         if found:
             return found
@@ -321,8 +408,9 @@ def _flush(pieces: list[str], blocks: list[str]) -> None:
     pieces.clear()
 
 
-def _read(node: Node, inside: bool, left_out: set[int], pieces: list[str], blocks: list[str]) -> None:
+def _read(node: Node, inside: bool, left_out: set[int], pieces: list[str], blocks: list[str], words: dict[int, int]) -> None:
     todo: list = [k for k in reversed(node.kids)]
+    whole = words.get(id(node), 0)
     while todo:
         kid = todo.pop()
         if kid is None:
@@ -331,7 +419,7 @@ def _read(node: Node, inside: bool, left_out: set[int], pieces: list[str], block
             pieces.append(kid)
         elif kid.tag == "br":
             pieces.append("\n")
-        elif _skipped(kid, inside) or id(kid) in left_out:
+        elif id(kid) in left_out or _skipped(kid, inside, words, whole):
             if kid.tag in BLOCK:
                 _flush(pieces, blocks)
         else:
@@ -348,7 +436,8 @@ def _shingles(text: str) -> set[str]:
 
 def _own_main(tree: Slot) -> str:
     """The main text by the page alone, without a wrapper."""
-    return _main(tree.nodes[0], _areas(tree.nodes[0]), set())
+    words = _words(tree.nodes[0])
+    return _main(tree.nodes[0], _areas(tree.nodes[0], words), set(), words)
 
 
 @lru_cache(maxsize=64)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import permutations
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from provsight.llm import audit, lines, quality, resample, toxicity
+from provsight.llm import audit, lines, quality, resample, toxicity, wrapper
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, buckets string, part string, digest string, label string, id string, score double"
@@ -214,3 +215,37 @@ def test_line_hashes_grow_with_lines(spark):
     """The text is hashed below the generator, so a text of twice the lines takes no four times as long."""
     plan = lines.line_hashes(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("xxhash64")
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<div class="with-sidebar"><p>text</p></div>', "text"),
+    ('<article><div class="article-header"><h1>Title</h1></div><div class="entry-content comment-free"><p>one</p></div><div class="comment-list">no</div></article>', "Title\none"),
+    ('<div id="page" class="no-sidebar"><article><p>a b</p></article></div>', "a b"),
+    ('<div class="sidebar"><div class="widget"><article><p>all of it</p></article></div></div>', "all of it"),
+    ('<p>a long text of many words that is the article</p><div class="site-footer">f</div><div class="ad-box">buy</div><ul class="nav"><li>n</ul><div class="related-posts">r</div>', "a long text of many words that is the article"),
+    ('<p>one<div class="cookie-notice" id=x>we use</div><p>two three four five six seven eight nine ten eleven twelve', "one\ntwo three four five six seven eight nine ten eleven twelve"),
+])
+def test_class_words_spare_the_content(html, want):
+    assert wrapper.extract(html) == want
+
+
+def test_pages_are_read_in_linear_time():
+    """50,000 stray tags, open tags, quotes and comments of one kind: each page in seconds."""
+    n = 50_000
+    began = time.time()
+    for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, '<a "' * n, "<a ' <a \" " * n, "<!--" * n, "<p>" * n, "<li>" * n, "<td><b>" * n):
+        wrapper.extract(page)
+    assert time.time() - began < 30
+    assert wrapper.extract("<p>a<a \"x>b</a><p>c") == "ab\nc" and wrapper.extract("<p>a<a x") == "a<a x"
+
+
+def test_alignment_of_long_lists_is_exact(monkeypatch):
+    """Lists are halved beyond CELLS sums, and match as many nodes as when they are not."""
+    rng = np.random.default_rng(11)
+    page = lambda: "".join(f"<{t}>{'<ul><li>a</ul><p>b' * int(rng.integers(0, 3))}</{t}>" for t in rng.choice(["div", "h2", "section"], int(rng.integers(0, 60))))
+    pairs = [(wrapper.slots(page()), wrapper.slots(page())) for _ in range(60)]
+    whole = [wrapper.align(a, b)[0] for a, b in pairs]
+    monkeypatch.setattr(wrapper, "CELLS", 12)
+    for (a, b), n in zip(pairs, whole):
+        got, found = wrapper.align(a, b)
+        assert got == n == len({id(x) for x, _ in found}) == len({id(y) for _, y in found})
