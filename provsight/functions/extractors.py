@@ -23,7 +23,22 @@ class PatternExtractor:
         self.key, self.body, self.anchors = key, body, anchors
 
     def owners(self, df: DataFrame) -> DataFrame:
-        return text.extract_owner(df, self.body).where("owner_db IS NOT NULL").select(self.key, "owner_db", "owner_name")
+        return text.extract_owner(df, self.body, detail=True).where("owner_db IS NOT NULL").select(self.key, "owner_db", "owner_name", "owner_kind", "specific_db", "specific_name")
+
+    def reads(self, df: DataFrame) -> DataFrame:
+        """Distinct (key, ref_db, ref_name) of what is read."""
+        return self._by_intent(df, "read").drop("privilege").distinct()
+
+    def writes(self, df: DataFrame) -> DataFrame:
+        """Distinct (key, ref_db, ref_name, privilege) of what is written."""
+        return self._by_intent(df, "write")
+
+    def calls(self, df: DataFrame) -> DataFrame:
+        """Distinct (key, ref_db, ref_name, privilege) of what is called."""
+        return self._by_intent(df, "call")
+
+    def _by_intent(self, df: DataFrame, intent: str) -> DataFrame:
+        return text.extract_intents(df, self.key, self.body).where(F.col("intent") == intent).drop("intent")
 
     def intents(self, df: DataFrame) -> DataFrame:
         refs = text.extract_refs(df, self.key, self.body, self.anchors).where("privilege != ''")

@@ -5,10 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that all executors share; in local mode a new one where none is set."""
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared checkpoint folder (in local mode a new one where none is set) and read it again.
 
@@ -16,17 +27,29 @@ def cut(df: DataFrame) -> DataFrame:
     until the filters inferred from them no longer compile; a Parquet scan starts without any.
     """
     session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(session)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
 
+class Deltas:
+    """Rows that a loop finds, round by round: each round adds a part to one shared folder, and none is written again."""
+
+    def __init__(self, session: SparkSession, schema: str):
+        self._session, self._schema, self._rounds = session, schema, 0
+        self._path = f"{shared_folder(session)}/deltas-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows of df, as the newest part."""
+        part = f"{self._path}/part{self._rounds}"
+        df.select(*(c.split()[0] for c in self._schema.split(", "))).write.parquet(part)
+        self._rounds += 1
+        return self._session.read.schema(self._schema).parquet(part)
+
+    def all(self) -> DataFrame:
+        return self._session.read.schema(self._schema).parquet(*(f"{self._path}/part{k}" for k in range(self._rounds)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits than these, for work that costs far more than moving its rows; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

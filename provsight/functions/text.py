@@ -76,24 +76,40 @@ KINDS = (
     ("VIEW", r"^\s*(?:CREATE|REPLACE)\s+(?:RECURSIVE\s+)?VIEW\b"),
     ("MACRO", r"^\s*(?:CREATE|REPLACE)\s+MACRO\b"),
     ("PROCEDURE", r"^\s*(?:CREATE|REPLACE)\s+PROCEDURE\b"),
+    ("SCRIPT_TABLE_OPERATOR", r"^\s*(?:CREATE|REPLACE)\s+(?:SPECIFIC\s+)?FUNCTION\b(?s:.*?)TABLE\s+OPERATOR"),
     ("FUNCTION", r"^\s*(?:CREATE|REPLACE)\s+(?:SPECIFIC\s+)?FUNCTION\b"),
     ("TRIGGER", r"^\s*(?:CREATE|REPLACE)\s+TRIGGER\b"),
     ("JOIN_INDEX", r"^\s*CREATE\s+JOIN\s+INDEX\b"),
     ("HASH_INDEX", r"^\s*CREATE\s+HASH\s+INDEX\b"),
     ("INDEX", r"^\s*CREATE\s+(?:UNIQUE\s+)?INDEX\b"),
-    ("TABLE", r"^\s*CREATE\s+(?:(?:MULTISET|SET|VOLATILE|GLOBAL\s+TEMPORARY)\s+)*TABLE\b"),
+    ("TABLE", r"^\s*(?:CREATE|REPLACE)\s+(?:(?:MULTISET|SET|VOLATILE|GLOBAL\s+TEMPORARY|TRACE)\s+)*TABLE\b"),
     ("DATABASE", r"^\s*CREATE\s+DATABASE\b"),
     ("USER", r"^\s*CREATE\s+USER\b"),
     ("ROLE", r"^\s*CREATE\s+ROLE\b"),
-    ("GRANT", r"^\s*(?:GRANT|REVOKE)\b"),
-    ("STATISTICS", r"^\s*COLLECT\s+STAT"),
+    ("PROFILE", r"^\s*CREATE\s+PROFILE\b"),
+    ("MAP", r"^\s*CREATE\s+MAP\b"),
+    ("AUTHORIZATION", r"^\s*CREATE\s+AUTHORIZATION\b"),
+    ("FOREIGN_SERVER", r"^\s*CREATE\s+FOREIGN\s+SERVER\b"),
+    ("JAR", r"^\s*CALL\s+SQLJ\s*\.\s*(?:INSTALL_JAR|CREATE_JAR|REPLACE_JAR)\s*\("),
+    ("GRANT", r"^\s*GRANT\b"),
+    ("REVOKE", r"^\s*REVOKE\b"),
+    ("STATISTICS", r"^\s*(?:COLLECT\s+STAT|UPDATE\s+STATISTICS\b)"),
     ("COMMENT", r"^\s*COMMENT\b"),
+    ("FOREIGN_KEY", r"^\s*ALTER\s+TABLE\b(?s:.*?)\bADD\s+FOREIGN\s+KEY\b"),
     ("DROP", r"^\s*DROP\b"),
     ("DML", r"^\s*(?:INSERT|UPDATE|DELETE|MERGE|SELECT|CALL|EXEC)\b"),
 )
+#: Languages that a function or procedure names, and the subtype without one of them.
+LANGUAGES = {"FUNCTION": (("FUNCTION_C", r"\bLANGUAGE\s+C\b(?!\+)"), ("FUNCTION_SQL", "")), "PROCEDURE": (("PROCEDURE_JAVA", r"\bLANGUAGE\s+JAVA\b"), ("PROCEDURE_CPP", r"\bLANGUAGE\s+(?:CPP\b|C\+\+)"), ("PROCEDURE_SPL", ""))}
+#: The types that a file's extension promises; an extension that is not here promises none.
+EXTENSIONS = {
+    "tbl": ("TABLE",), "viw": ("VIEW",), "mcr": ("MACRO",), "spl": ("PROCEDURE",), "fnc": ("FUNCTION",), "trg": ("TRIGGER",), "jix": ("JOIN_INDEX",), "idx": ("INDEX", "HASH_INDEX"), "db": ("DATABASE",),
+    "usr": ("USER",), "sjr": ("JAR",), "jar": ("JAR",), "cmt": ("COMMENT",), "cmnts": ("COMMENT",), "stt": ("STATISTICS",), "sto": ("SCRIPT_TABLE_OPERATOR",), "dcl": ("GRANT", "REVOKE"), "grt": ("GRANT", "REVOKE"),
+    "grants": ("GRANT", "REVOKE"), "map": ("MAP",), "rol": ("ROLE",), "prf": ("PROFILE",), "auth": ("AUTHORIZATION",), "fsvr": ("FOREIGN_SERVER",), "dml": ("DML",), "fk": ("FOREIGN_KEY",),
+}
 INTENTS = {
-    "migrate": ("TABLE",), "drop_create": ("INDEX", "JOIN_INDEX", "HASH_INDEX"), "skip_if_exists": ("DATABASE", "USER", "ROLE"),
-    "run": ("GRANT", "STATISTICS", "COMMENT", "DROP", "DML"),
+    "migrate": ("TABLE",), "drop_create": ("INDEX", "JOIN_INDEX", "HASH_INDEX"), "skip_if_exists": ("DATABASE", "USER", "ROLE", "PROFILE", "MAP", "AUTHORIZATION", "FOREIGN_SERVER"),
+    "run": ("GRANT", "REVOKE", "STATISTICS", "COMMENT", "DROP", "DML", "JAR", "FOREIGN_KEY"),
 }
 
 
@@ -102,77 +118,130 @@ def classify(masked: Column, kinds=KINDS) -> Column:
     return F.coalesce(*[F.when(masked.rlike("(?i)" + p), F.lit(k)) for k, p in kinds], F.lit("UNKNOWN"))
 
 
-def classify_statements(df: DataFrame, text: str = "body", kinds=KINDS) -> DataFrame:
-    """Adds kind and intent: what a deployment would do with the statement."""
+def classify_statements(df: DataFrame, text: str = "body", kinds=KINDS, path: str | None = None) -> DataFrame:
+    """Adds kind, subtype (the language of functions and procedures, else the kind), intent (what a deployment would do) and confidence.
+
+    confidence: LOW where the extension of the file at `path` promises another type, HIGH where it promises this one or a
+    language is named, else MEDIUM; permissions are never HIGH, and UNKNOWN statements have none.
+    """
     masked = df.withColumn("__plain", mask_noise(F.col(text)))
-    out = masked.withColumn("kind", classify(F.col("__plain"), kinds)).drop("__plain")
+    out = masked.withColumn("kind", classify(F.col("__plain"), kinds))
+    named = [F.when((F.col("kind") == kind) & F.col("__plain").rlike("(?i)" + p), F.lit(sub)) for kind, subs in LANGUAGES.items() for sub, p in subs]
+    out = out.withColumn("subtype", F.coalesce(*named, F.col("kind"))).drop("__plain")
     known = [F.when(F.col("kind").isin(*v), F.lit(k)) for k, v in INTENTS.items()]
-    return out.withColumn("intent", F.coalesce(*known, F.when(F.col(text).rlike(r"(?i)^\s*REPLACE\b"), "replace"), F.lit("create")))
+    out = out.withColumn("intent", F.coalesce(*known, F.when(F.col(text).rlike(r"(?i)^\s*REPLACE\b"), "replace"), F.lit("create")))
+    ending = F.lower(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"\.([A-Za-z]+)$", 1)) if path else F.lit("")
+    promised = F.coalesce(*[F.when(ending == e, F.array(*map(F.lit, k))) for e, k in EXTENSIONS.items()])
+    fits = F.array_contains(promised, F.col("kind"))
+    spoken = F.col("subtype").isin(*(subs[k][0] for subs in LANGUAGES.values() for k in range(len(subs) - 1)))
+    defaulted = F.col("subtype").isin(*(subs[-1][0] for subs in LANGUAGES.values())) | F.col("kind").isin("GRANT", "REVOKE")
+    sure = F.when(F.col("kind") == "UNKNOWN", None).when(~fits, "LOW").when(defaulted, "MEDIUM").when(spoken | fits, "HIGH").otherwise("MEDIUM")
+    return out.withColumn("confidence", sure)
+
+
+_HEAD = rf"(?i)^\s*(?:CREATE|REPLACE)\s+(?:\w+\s+)*?(VIEW|TABLE|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+{QUALIFIED}"
 
 
-def extract_owner(df: DataFrame, text: str = "body") -> DataFrame:
-    """Adds owner_db, owner_name of the CREATE or REPLACE head; null where there is none."""
-    head = rf"(?i)^\s*(?:CREATE|REPLACE)\s+(?:\w+\s+)*?(?:VIEW|TABLE|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+{QUALIFIED}"
-    part = lambda k: F.nullif(unquote(F.regexp_extract("__masked", head, k)), F.lit(""))
+def extract_owner(df: DataFrame, text: str = "body", detail: bool = False) -> DataFrame:
+    """Adds owner_db, owner_name of the CREATE or REPLACE head; null where there is none.
+
+    detail: owner_kind, and specific_db, specific_name of a function's SPECIFIC clause as well.
+    """
+    part = lambda pattern, k: F.nullif(unquote(F.regexp_extract("__masked", pattern, k)), F.lit(""))
     masked = df.withColumn("__masked", mask_noise(F.col(text)))  # a column of its own, so that it is computed once
-    return masked.select(*df.columns, part(1).alias("owner_db"), part(2).alias("owner_name"))
+    made = [part(_HEAD, 2).alias("owner_db"), part(_HEAD, 3).alias("owner_name")]
+    if detail:
+        kind = F.when(F.upper(F.regexp_extract("__masked", _HEAD, 1)) == "INDEX", classify(F.col("__masked"))).otherwise(F.upper(part(_HEAD, 1)))
+        named = rf"(?i)^\s*(?:CREATE|REPLACE)\s+FUNCTION\s(?s:.*?)\bSPECIFIC\s+{QUALIFIED}"
+        made += [kind.alias("owner_kind"), part(named, 1).alias("specific_db"), part(named, 2).alias("specific_name")]
+    return masked.select(*df.columns, *made)
 
 
 #: Anchors that stand before a referenced name, with the privilege that they need (empty: none).
 ANCHORS = (
-    ("from", r"\b(?:FROM|USING)\s+", "SELECT"),
-    ("comma", r"\bFROM\s+[^;()]*?,\s*", "SELECT"),
-    ("join", r"\bJOIN\s+", "SELECT"),
-    ("insert", r"\bINSERT\s+(?:INTO\s+)?", "INSERT"),
-    ("update", r"\bUPDATE\s+", "UPDATE"),
-    ("delete", r"\bDELETE\s+(?:FROM\s+)?", "DELETE"),
-    ("merge", r"\bMERGE\s+(?:INTO\s+)?", "INSERT,UPDATE"),
-    ("trigger_on", r"\b(?:INSERT|UPDATE|DELETE)\s+ON\s+", ""),
-    ("foreign_key", r"\bREFERENCES\s+(?:WITH\s+(?:NO\s+)?CHECK\s+OPTION\s+)?", "REFERENCES"),
-    ("alter", r"\bALTER\s+TABLE\s+", ""),
-    ("statistics", r"\bCOLLECT\s+STAT\w*\s[^;]*?\bON\s+", "STATISTICS"),
-    ("call", r"\bCALL\s+", "EXECUTE PROCEDURE"),
-    ("exec", r"\bEXEC(?:UTE)?\s+(?!PROCEDURE)", "EXECUTE"),
-    ("locking", r"\bLOCK(?:ING)?\s+(?:ROW|TABLE)?\s*", ""),
-    ("index_on", r"\bINDEX\s+[^;()]*?(?:\([^)]*\)\s*)?ON\s+", ""),
-    ("rename", r"\bRENAME\s+\w+\s+", ""),
-    ("drop", r"\bDROP\s+(?:\w+\s+)?(?:TABLE|VIEW|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+", ""),
-    ("comment", r"\bCOMMENT\s+(?:ON\s+)?(?:TABLE|VIEW|COLUMN|MACRO|PROCEDURE|FUNCTION)?\s*", ""),
-    ("grant_on", r"\bGRANT\s[^;]*?\bON\s+", ""),
-)
-
+    ("from", "SELECT"), ("comma", "SELECT"), ("join", "SELECT"), ("insert", "INSERT"), ("update", "UPDATE"), ("delete", "DELETE"), ("merge", "INSERT,UPDATE"), ("trigger_on", ""), ("foreign_key", "REFERENCES"), ("alter", ""),
+    ("statistics", "STATISTICS"), ("call", "EXECUTE PROCEDURE"), ("exec", "EXECUTE"), ("locking", ""), ("index_on", ""), ("rename", ""), ("drop", ""), ("comment", ""), ("grant_on", ""),
+)
+_OBJECTS = frozenset("TABLE VIEW MACRO PROCEDURE FUNCTION TRIGGER INDEX JOIN HASH COLUMN SPECIFIC".split())
+#: A word that starts to wait for a name: the anchor, and the words that may stand between.
+_STARTS = {
+    "FROM": ("from", frozenset()), "USING": ("from", frozenset()), "JOIN": ("join", frozenset()), "INSERT": ("insert", frozenset({"INTO"})), "UPDATE": ("update", frozenset()), "DELETE": ("delete", frozenset({"FROM"})),
+    "MERGE": ("merge", frozenset({"INTO"})), "REFERENCES": ("foreign_key", frozenset({"WITH", "NO", "CHECK", "OPTION"})), "ALTER": ("alter", frozenset({"TABLE"})), "CALL": ("call", frozenset()), "EXEC": ("exec", frozenset()),
+    "EXECUTE": ("exec", frozenset()), "LOCK": ("locking", frozenset({"ROW", "TABLE"})), "LOCKING": ("locking", frozenset({"ROW", "TABLE"})), "RENAME": ("rename", _OBJECTS), "DROP": ("drop", _OBJECTS), "COMMENT": ("comment", _OBJECTS | {"ON"}),
+}
+#: Words after which a comma at the same depth is no further source.
+_ENDS = frozenset("WHERE GROUP ORDER HAVING QUALIFY SAMPLE UNION INTERSECT EXCEPT MINUS SET WHEN SELECT VALUES INSERT UPDATE DELETE MERGE".split())
+_ON = {"GRANT": "grant_on", "INDEX": "index_on"}
+_token = re.compile(rf"{QUALIFIED}|[A-Za-z_][A-Za-z0-9_$#]*|[(),;]")
 
-def _hit(anchor: str, privilege: str):
-    part = lambda n, k: F.regexp_extract(n, rf"{QUALIFIED}\s*$", k)
-    return lambda n: F.struct(F.lit(anchor).alias("anchor"), part(n, 1).alias("db"), part(n, 2).alias("name"), F.lit(privilege).alias("privilege"))
 
+def scan_refs(text: str | None) -> list[tuple[str, str, str, int, int]]:
+    """(anchor, db, name, start, stop) of the qualified names that an anchor announces, in one pass over the text without its noise.
 
-#: A word without which an anchor cannot match: looked for first, as it is far cheaper than the pattern.
-_WORDS = {"comma": "FROM", "join": "JOIN", "insert": "INSERT", "update": "UPDATE", "delete": "DELETE", "merge": "MERGE", "trigger_on": "ON", "foreign_key": "REFERENCES",
-          "alter": "ALTER", "statistics": "STAT", "call": "CALL", "exec": "EXEC", "locking": "LOCK", "index_on": "INDEX", "rename": "RENAME", "drop": "DROP", "comment": "COMMENT", "grant_on": "GRANT"}
+    A level is kept for each open parenthesis: whether a list of sources goes on there, so that a comma announces a further
+    one, also behind a join's condition; and whether the parenthesis is that of EXTRACT or TRIM, whose FROM announces nothing.
+    """
+    out: list[tuple[str, str, str, int, int]] = []
+    levels = [[False, False]]
+    waits, between, on, last = "", frozenset(), "", ""
+    for m in _token.finditer(blank_noise(text or "")):
+        if m[2] is not None:
+            if waits:
+                out.append((waits, m[1].replace('"', ""), m[2].replace('"', ""), m.start(), m.end()))
+            waits, last = "", ""
+            continue
+        word = m[0].upper()
+        if word == "(":
+            levels.append([False, last in ("EXTRACT", "TRIM")])
+            waits = ""
+        elif word == ")":
+            if len(levels) > 1:
+                levels.pop()
+            waits = ""
+        elif word == ";":
+            levels, waits, on = [[False, False]], "", ""
+        elif word == ",":
+            waits, between = ("comma", frozenset()) if levels[-1][0] else ("", frozenset())
+        elif word == "ON" and waits in ("insert", "update", "delete"):
+            waits, between = "trigger_on", frozenset()
+        elif waits and word in between:
+            on = "index_on" if word == "INDEX" else on
+        elif word == "ON" and on:
+            waits, between, on = on, _OBJECTS, ""
+        elif word in _STARTS and not (word == "FROM" and levels[-1][1]) and not (word in ("EXEC", "EXECUTE", "INSERT", "UPDATE", "DELETE") and on == "grant_on"):
+            waits, between = _STARTS[word]
+            if waits in ("from", "join"):
+                levels[-1][0], on = True, "" if on == "index_on" else on
+            elif word in _ENDS:
+                levels[-1][0] = False
+        elif word.startswith("STAT") and last in ("COLLECT", "UPDATE"):
+            waits, on = "", "statistics"
+        else:
+            waits = ""
+            if word in _ON:
+                on = _ON[word]
+            elif word in _ENDS:
+                levels[-1][0], on = False, on if on in ("grant_on", "statistics") else ""
+        last = word
+    return out
 
 
 def extract_refs(df: DataFrame, key: str, text: str = "body", anchors=ANCHORS, keep_owner: bool = False) -> DataFrame:
     """Distinct (key, anchor, ref_db, ref_name, privilege): qualified names after an anchor, but system databases and the owner.
 
-    EXTRACT(.. FROM ..) and TRIM(.. FROM ..) are no anchors; a comma list is followed to its end; only names with a
-    qualifier count, so common-table and alias names cannot leak. keep_owner: owner_db and owner_name as well.
+    EXTRACT(.. FROM ..) and TRIM(.. FROM ..) are no anchors; a comma list is followed to its end, behind joins as well; only
+    names with a qualifier count, so common-table and alias names cannot leak. keep_owner: owner_db and owner_name as well.
     """
-    plain = F.regexp_replace(mask_noise(F.col(text)), r"(?i)\b(?:EXTRACT|TRIM)\s*\([^()]*\)", " ")
-    owned = extract_owner(spread(df.select(key, text)).withColumn("__plain", plain), text).withColumn("__upper", F.upper("__plain"))
-    hits = []
-    for anchor, before, privilege in anchors:
-        if anchor == "comma":
-            lists = F.regexp_extract_all("__plain", F.lit(r"(?i)\bFROM\s+([^;()]*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bHAVING\b|\bJOIN\b|\bON\b|[;()]|$)"), F.lit(1))
-            names = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(rf",\s*{QUALIFIED}"), F.lit(0))))
-        elif anchor == "from":
-            names = F.regexp_extract_all("__plain", F.lit(rf"(?i)(?<!DELETE ){before}{QUALIFIED}"), F.lit(0))
-        else:
-            names = F.regexp_extract_all("__plain", F.lit(rf"(?i){before}{QUALIFIED}"), F.lit(0))
-        names = F.when(F.contains("__upper", F.lit(_WORDS[anchor])), names) if anchor in _WORDS else names
-        hits.append(F.coalesce(F.transform(names, _hit(anchor, privilege)), F.array().cast("array<struct<anchor:string,db:string,name:string,privilege:string>>")))
-    found = owned.select(key, "owner_db", "owner_name", F.explode(F.concat(*hits)).alias("h"))
-    found = found.select(key, "owner_db", "owner_name", "h.anchor", unquote(F.col("h.db")).alias("ref_db"), unquote(F.col("h.name")).alias("ref_name"), "h.privilege")
+    names = [a for a, _ in anchors]
+
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"anchor": a, "db": d, "name": n} for a, d, n in dict.fromkeys(x[:3] for x in scan_refs(t))])
+
+    owned = extract_owner(spread(df.select(key, text)), text)
+    hits = F.pandas_udf(find, "array<struct<anchor:string,db:string,name:string>>")(F.col(text))
+    found = owned.select(key, "owner_db", "owner_name", F.explode(hits).alias("h"))
+    needs = F.coalesce(*[F.when(F.col("h.anchor") == a, F.lit(p)) for a, p in anchors])
+    found = found.where(F.col("h.anchor").isin(*names)).select(key, "owner_db", "owner_name", "h.anchor", F.col("h.db").alias("ref_db"), F.col("h.name").alias("ref_name"), needs.alias("privilege"))
     own = (F.upper("ref_db") == F.upper("owner_db")) & (F.upper("ref_name") == F.upper("owner_name"))
     found = found.where(~F.upper("ref_db").isin(*SYSTEM) & ~F.coalesce(own, F.lit(False)))
     return (found if keep_owner else found.drop("owner_db", "owner_name")).distinct()
@@ -236,12 +305,12 @@ def malformed_tokens(df: DataFrame, key: str, text: str = "body") -> DataFrame:
     return df.where(F.col(text).rlike(r"\{\{|\}\}")).select(key, F.explode(made(F.col(text))).alias("m")).select(key, "m.*")
 
 
-def _replaced(value: str, pairs: str) -> str:
-    """Every token of the value looked up once, so that what a value holds is not replaced in its turn."""
+def replaced(value: str, pairs: str) -> str:
+    """Every token of the value looked up once, so that what a value holds is not replaced in its turn; the map is made once a row."""
     token = r"'\\{\\{([A-Za-z0-9_-]+)\\}\\}'"
     pieces, names = f"split({value}, {token}, -1)", f"regexp_extract_all({value}, {token}, 1)"
-    found = f"coalesce(try_element_at(map_from_entries({pairs}), n), concat('{{{{', n, '}}}}'), '')"
-    return f"array_join(zip_with({pieces}, {names}, (p, n) -> concat(p, {found})), '')"
+    found = "coalesce(try_element_at(m, n), concat('{{', n, '}}'), '')"
+    return f"transform(array(map_from_entries({pairs})), m -> array_join(zip_with({pieces}, {names}, (p, n) -> concat(p, {found})), ''))[0]"
 
 
 def substitute_tokens(df: DataFrame, key: str, tokens: DataFrame, text: str = "body", env: str | None = None, strict: bool = False) -> DataFrame:
@@ -256,35 +325,13 @@ def substitute_tokens(df: DataFrame, key: str, tokens: DataFrame, text: str = "b
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_substituted"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("token")))), ",").alias("undefined"))
     joined = df.select(key, text).join(found, key, "left")
-    new = F.when(F.col("pairs").isNull(), F.col(text)).otherwise(F.expr(_replaced(f"`{text}`", "pairs")))
+    new = F.when(F.col("pairs").isNull(), F.col(text)).otherwise(F.expr(replaced(f"`{text}`", "pairs")))
     open_ = F.coalesce("undefined", F.lit(""))
     if strict:
         open_ = F.when(open_ == "", open_).otherwise(F.raise_error(F.concat(F.lit("undefined tokens: "), open_)).cast("string"))
     return joined.select(key, new.alias(text), F.coalesce("n_substituted", F.lit(0)).cast("long").alias("n_substituted"), open_.alias("undefined"))
 
 
-def resolve_values(tokens: DataFrame, cut, passes: int = 10, env: str = "env") -> DataFrame:
-    """tokens(env, token, value) with nested references replaced, all at once in each pass; adds unresolved.
-
-    A reference to itself stays. Every pass substitutes values that are themselves already partly resolved, so
-    `passes` passes reach chains of 2**passes; what then still refers to a defined name is circular.
-    """
-    now = tokens.select(env, "token", "value")
-    for _ in range(passes):
-        refs = now.select(env, "token", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1)))).alias("ref")).where("ref != token")
-        values = now.select(env, F.col("token").alias("ref"), F.col("value").alias("by"))
-        pairs = refs.join(values, [env, "ref"]).groupBy(env, "token").agg(F.array_sort(F.collect_list(F.struct(F.col("ref").alias("token"), F.col("by").alias("value")))).alias("pairs"))
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        now = cut(now.join(pairs, [env, "token"], "left").select(env, "token", F.when(F.col("pairs").isNull(), F.col("value")).otherwise(F.expr(_replaced("value", "pairs"))).alias("value")))
-    open_refs = now.select(env, "token", F.explode(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1))).alias("ref"))
-    itself = tokens.where(F.contains("value", F.concat(F.lit("{{"), "token", F.lit("}}")))).select(env, "token", F.col("token").alias("ref"))
-    open_refs = open_refs.join(itself, [env, "token", "ref"], "left_anti")  # a reference to itself from the start stays
-    circular = open_refs.join(now.select(env, F.col("token").alias("ref")), [env, "ref"], "left_semi").select(env, "token").distinct().withColumn("unresolved", F.lit(True))
-    return now.join(circular, [env, "token"], "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(False)))
-
-
 def tokenise_prefixes(df: DataFrame, text: str, mapping: dict[str, str]) -> DataFrame:
     """Literals that lead an identifier (followed by _ and a character) become {{token}}, longest first; hits in n_prefixes.
 
@@ -419,6 +466,61 @@ def strip_affixes(objects: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(renamed, on, "left").drop("__db", "__name").withColumn("new_name", F.coalesce("new_name", "ref_name"))
 
 
+_name = re.compile(QUALIFIED)
+
+
+def qualified_places(df: DataFrame, key: str, text: str = "body") -> DataFrame:
+    """(key, db, name, start, dot, stop) of every qualified name outside literals and comments; offsets count code points from 0."""
+
+    def find(source: str | None) -> list[dict]:
+        return [{"db": m[1].replace('"', ""), "name": m[2].replace('"', ""), "start": m.start(), "dot": m.end(1), "stop": m.end()} for m in _name.finditer(blank_noise(source or ""))]
+
+    made = F.pandas_udf(lambda texts: texts.map(find), "array<struct<db:string,name:string,start:int,dot:int,stop:int>>")
+    return df.select(key, F.explode(made(F.col(text))).alias("p")).select(key, "p.*")
+
+
+def spliced(df: DataFrame, key: str, edits: DataFrame, text: str = "body") -> DataFrame:
+    """df with the text's parts edits(key, start, stop, new) replaced, from right to left, and n_edits added. key is unique in df."""
+    each = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "new")), asc=False).alias("__edits"))
+
+    def make(texts: pd.Series, all_edits: pd.Series) -> pd.Series:
+        out = []
+        for source, parts in zip(texts, all_edits):
+            for e in parts if parts is not None and source is not None else ():
+                source = source[: e["start"]] + e["new"] + source[e["stop"] :]
+            out.append(source)
+        return pd.Series(out, dtype=object)
+
+    joined = df.join(each, key, "left")
+    done = joined.withColumn(text, F.pandas_udf(make, "string")(F.col(text), F.col("__edits"))).withColumn("n_edits", F.coalesce(F.size("__edits"), F.lit(0)))
+    return done.withColumn("n_edits", F.greatest("n_edits", F.lit(0)).cast("long")).select(*df.columns, "n_edits")
+
+
+def strip_affixes_in_text(df: DataFrame, key: str, objects: DataFrame, text: str = "body") -> DataFrame:
+    """df with views of objects(db, name, kind) that lose their affix renamed wherever a qualified name means them; adds n_edits.
+
+    Names are compared whole and without case; a new name stands in quotes if the old one did.
+    """
+    renamed = objects.where("kind = 'VIEW'").select(F.upper("db").alias("__db"), F.upper("name").alias("__name"), strip_affix(F.col("name")).alias("__new")).where("upper(__new) != __name")
+    renamed = renamed.groupBy("__db", "__name").agg(F.min("__new").alias("__new"))
+    places = qualified_places(df, key, text)
+    met = places.join(renamed, (F.upper("db") == F.col("__db")) & (F.upper("name") == F.col("__name")))
+    quoted = F.col("stop") - F.col("dot") - 1 > F.length("name")
+    new = F.when(quoted, F.concat(F.lit('"'), "__new", F.lit('"'))).otherwise(F.col("__new"))
+    return spliced(df, key, met.select(key, (F.col("dot") + 1).alias("start"), "stop", new.alias("new")), text)
+
+
+def tokenise_text_by_kind(df: DataFrame, key: str, databases: DataFrame, kinds: DataFrame, text: str = "body", default: str = "T") -> DataFrame:
+    """df with each database of databases(db) that qualifies a name turned into {{DB_suffix}}; adds n_edits.
+
+    The suffix is that of the named object in kinds(db, name, suffix), else the default; tokens that stand there already stay.
+    """
+    known = databases.select(F.upper("db").alias("__known")).distinct()
+    places = qualified_places(df, key, text).where("NOT startswith(db, '{{')").join(known, F.upper("db") == F.col("__known"))
+    named = tokenise_by_kind(places.withColumnsRenamed({"db": "ref_db", "name": "ref_name"}), kinds, default)
+    return spliced(df, key, named.select(key, "start", F.col("dot").alias("stop"), F.col("token").alias("new")), text)
+
+
 def tokenise_by_kind(refs: DataFrame, kinds: DataFrame, default: str = "T") -> DataFrame:
     """refs(ref_db, ref_name) with token {{DB_kind}}: the suffix of the object's own kind in kinds(db, name, suffix)."""
     known = kinds.groupBy(F.lower("db").alias("__db"), F.lower("name").alias("__name")).agg(F.min("suffix").alias("__suffix"))

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.extractors import PatternExtractor
-from ..functions.shared import cut
 from ..operators import reconcile as D
 from ..operators import rollup as A
 from ..operators import rules as R
+from ..operators import tokens as K
 from .registry import query
 
 _NOISE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
@@ -51,6 +51,113 @@ def refs_stmt(t):
     return T.extract_refs(t("stmt"), "stmt_id").select("stmt_id", "anchor", "ref_db", "ref_name")
 
 
+#: Statements with a # for a number, and what they refer to, written out: (anchor, database, name, privilege).
+_SAID = (
+    ("SELECT 1 FROM A#.x, B.y JOIN C.z ON 1 = 1, D#.w WHERE A#.x = B.y, E.no", (("from", "A#", "x", "SELECT"), ("comma", "B", "y", "SELECT"), ("join", "C", "z", "SELECT"), ("comma", "D#", "w", "SELECT"))),
+    ("INSERT INTO A#.T (a, b) SELECT f(c.x, d.y), EXTRACT(YEAR FROM e.dt) FROM (SELECT k FROM B.S, C.S#) q, D.U", (("insert", "A#", "T", "INSERT"), ("from", "B", "S", "SELECT"), ("comma", "C", "S#", "SELECT"), ("comma", "D", "U", "SELECT"))),
+    ("UPDATE A.T# SET a = b.c WHERE k IN (SELECT k FROM B#.S)", (("update", "A", "T#", "UPDATE"), ("from", "B#", "S", "SELECT"))),
+    ("DELETE FROM A#.T; DELETE B.S#", (("delete", "A#", "T", "DELETE"), ("delete", "B", "S#", "DELETE"))),
+    ("MERGE INTO A.T# t USING B#.S s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v", (("merge", "A", "T#", "INSERT,UPDATE"), ("from", "B#", "S", "SELECT"))),
+    ("CREATE TRIGGER X.Y AFTER INSERT ON A#.T (INSERT INTO B.L# VALUES (1, n.v))", (("trigger_on", "A#", "T", ""), ("insert", "B", "L#", "INSERT"))),
+    ("CREATE TABLE X.Y (k INT REFERENCES WITH NO CHECK OPTION B#.S (k), c CHAR(3))", (("foreign_key", "B#", "S", "REFERENCES"),)),
+    ("ALTER TABLE A#.T ADD c INT", (("alter", "A#", "T", ""),)),
+    ("COLLECT STATISTICS USING SAMPLE COLUMN (a, b) ON A#.T", (("statistics", "A#", "T", "STATISTICS"),)),
+    ("CALL A#.P(b.c, 'FROM NO.ISE')", (("call", "A#", "P", "EXECUTE PROCEDURE"),)),
+    ("EXEC A#.M(1) -- CALL NO.ISE", (("exec", "A#", "M", "EXECUTE"),)),
+    ("LOCKING TABLE A#.T FOR ACCESS SELECT a.b FROM B.V# /* JOIN NO.ISE */ a", (("locking", "A#", "T", ""), ("from", "B", "V#", "SELECT"))),
+    ("CREATE INDEX i (a, b) ON A#.T", (("index_on", "A#", "T", ""),)),
+    ("RENAME TABLE A#.T TO B.S", (("rename", "A#", "T", ""),)),
+    ("DROP VIEW A#.V", (("drop", "A#", "V", ""),)),
+    ("COMMENT ON COLUMN A#.T.c IS 'x'", (("comment", "A#", "T", ""),)),
+    ("GRANT SELECT, EXECUTE ON A#.T TO r", (("grant_on", "A#", "T", ""),)),
+    ("REPLACE VIEW A#.V AS SELECT * FROM a#.v LEFT JOIN DBC.Tab t ON 1 = 1 CROSS JOIN \"B b\".\"S#\" UNION SELECT 1 FROM c CROSS JOIN C.U, c", (("join", "B b", "S#", "SELECT"), ("join", "C", "U", "SELECT"))),
+    ("WITH c AS (SELECT x FROM A.T#) SELECT TRIM(BOTH FROM b.y), c.x FROM c, B#.S GROUP BY c.x, d.y HAVING e.z > 1", (("from", "A", "T#", "SELECT"), ("comma", "B#", "S", "SELECT"))),
+)
+
+
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _quoted(x) for x in row) + ")" for row in rows)
+
+
+def _written(t, texts):
+    """(stmt_id, body): the texts in turn over all orders, with the customer's number for #."""
+    body = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
+    return t("orders").select(F.col("o_orderkey").alias("stmt_id"), F.replace(body, F.lit("#"), F.col("o_custkey").cast("string")).alias("body"), (F.col("o_orderkey") % len(texts)).alias("kind_no"))
+
+
+@query(f"""SELECT DISTINCT o_orderkey AS stmt_id, anchor, replace(db, '#', o_custkey::VARCHAR) AS ref_db, replace(name, '#', o_custkey::VARCHAR) AS ref_name, privilege
+    FROM orders JOIN (VALUES {_values((k, *hit) for k, (_, hits) in enumerate(_SAID) for hit in hits)}) v(k, anchor, db, name, privilege) ON o_orderkey % {len(_SAID)} = k""")
+def refs_all_anchors(t):
+    """Every anchor, lists of sources behind joins and in parentheses, quoted names, and what is none."""
+    return T.extract_refs(_written(t, [x for x, _ in _SAID]), "stmt_id")
+
+
+#: Statements of every type with a file name, and (kind, subtype, intent, confidence), written out.
+_TYPED_STMTS = (
+    ("CREATE MULTISET TABLE A.T (k INT)", "a.tbl", ("TABLE", "TABLE", "migrate", "HIGH")), ("CREATE SET VOLATILE TABLE A.T (k INT)", "a.viw", ("TABLE", "TABLE", "migrate", "LOW")), ("replace recursive view A.V AS SELECT 1", "a.sql", ("VIEW", "VIEW", "replace", "MEDIUM")),
+    ("CREATE VIEW A.V AS SELECT 'CREATE TABLE'", "a.VIW", ("VIEW", "VIEW", "create", "HIGH")), ("REPLACE MACRO A.M AS (SELECT 1;)", "a.mcr", ("MACRO", "MACRO", "replace", "HIGH")), ("CREATE PROCEDURE A.P() BEGIN END", "a.spl", ("PROCEDURE", "PROCEDURE_SPL", "create", "MEDIUM")),
+    ("REPLACE PROCEDURE A.P() LANGUAGE JAVA EXTERNAL NAME 'J:c.m'", "a.spl", ("PROCEDURE", "PROCEDURE_JAVA", "replace", "HIGH")), ("CREATE PROCEDURE A.P() LANGUAGE C++ EXTERNAL", "", ("PROCEDURE", "PROCEDURE_CPP", "create", "HIGH")),
+    ("CREATE FUNCTION A.F(x INT) RETURNS INT LANGUAGE C", "a.fnc", ("FUNCTION", "FUNCTION_C", "create", "HIGH")), ("REPLACE SPECIFIC FUNCTION A.F RETURN 1 -- LANGUAGE C", "a.fnc", ("FUNCTION", "FUNCTION_SQL", "replace", "MEDIUM")),
+    ("CREATE FUNCTION A.F(x INT)\nRETURNS TABLE OPERATOR", "a.sto", ("SCRIPT_TABLE_OPERATOR", "SCRIPT_TABLE_OPERATOR", "create", "HIGH")), ("CREATE TRIGGER A.G AFTER INSERT ON A.T (DELETE FROM B.S)", "a.trg", ("TRIGGER", "TRIGGER", "create", "HIGH")),
+    ("CREATE JOIN INDEX A.J AS SELECT 1", "a.jix", ("JOIN_INDEX", "JOIN_INDEX", "drop_create", "HIGH")), ("CREATE HASH INDEX A.H (k) ON A.T", "a.idx", ("HASH_INDEX", "HASH_INDEX", "drop_create", "HIGH")), ("CREATE UNIQUE INDEX (k) ON A.T", "a.jix", ("INDEX", "INDEX", "drop_create", "LOW")),
+    ("CREATE DATABASE A FROM B AS PERM = 1", "a.db", ("DATABASE", "DATABASE", "skip_if_exists", "HIGH")), ("CREATE USER A FROM B", "a.usr", ("USER", "USER", "skip_if_exists", "HIGH")), ("CREATE ROLE r", "a.rol", ("ROLE", "ROLE", "skip_if_exists", "HIGH")),
+    ("CREATE PROFILE p AS SPOOL = 1", "a.prf", ("PROFILE", "PROFILE", "skip_if_exists", "HIGH")), ("CREATE MAP m FROM n", "a.map", ("MAP", "MAP", "skip_if_exists", "HIGH")), ("CREATE AUTHORIZATION A.z USER 'u'", "a.auth", ("AUTHORIZATION", "AUTHORIZATION", "skip_if_exists", "HIGH")),
+    ("CREATE FOREIGN SERVER s USING LINK('x')", "a.fsvr", ("FOREIGN_SERVER", "FOREIGN_SERVER", "skip_if_exists", "HIGH")), ("CALL SQLJ.INSTALL_JAR('CJ!x.jar', 'x', 0)", "a.sjr", ("JAR", "JAR", "run", "HIGH")), ("GRANT CREATE PROCEDURE ON A TO u", "a.dcl", ("GRANT", "GRANT", "run", "MEDIUM")),
+    ("REVOKE SELECT ON A FROM u", "a.tbl", ("REVOKE", "REVOKE", "run", "LOW")), ("UPDATE STATISTICS COLUMN k ON A.T", "a.stt", ("STATISTICS", "STATISTICS", "run", "HIGH")), ("COMMENT ON TABLE A.T IS 'x'", "a.cmt", ("COMMENT", "COMMENT", "run", "HIGH")),
+    ("ALTER TABLE A.T\n ADD FOREIGN KEY (k) REFERENCES B.S", "a.fk", ("FOREIGN_KEY", "FOREIGN_KEY", "run", "HIGH")), ("DROP TABLE A.T", "a.ddl", ("DROP", "DROP", "run", "MEDIUM")), ("/* x */ MERGE INTO A.T USING B.S ON 1 = 1", "a.dml", ("DML", "DML", "run", "HIGH")),
+    ("BEGIN TRANSACTION", "a.dml", ("UNKNOWN", "UNKNOWN", "create", None)),
+)
+
+
+@query(f"""SELECT o_orderkey AS stmt_id, kind, subtype, intent, confidence FROM orders JOIN (VALUES {_values((k, *w) for k, (_, _, w) in enumerate(_TYPED_STMTS))}) v(k, kind, subtype, intent, confidence) ON o_orderkey % {len(_TYPED_STMTS)} = k""")
+def classify_all_types(t):
+    path = F.element_at(F.array(*(F.lit(p) for _, p, _ in _TYPED_STMTS)), (F.col("kind_no") + 1).cast("int"))
+    return T.classify_statements(_written(t, [x for x, _, _ in _TYPED_STMTS]).withColumn("path", path), path="path").select("stmt_id", "kind", "subtype", "intent", "confidence")
+
+
+#: Heads, and (database, name, kind, SPECIFIC database, SPECIFIC name), written out.
+_HEADS = (
+    ("CREATE MULTISET TABLE A#.T (k INT)", ("A#", "T", "TABLE", None, None)), ("REPLACE VIEW \"A b\".\"V#\" AS SELECT 1", ("A b", "V#", "VIEW", None, None)), ("CREATE FUNCTION A.F# (x INT) RETURNS INT SPECIFIC B#.F_1 LANGUAGE C", ("A", "F#", "FUNCTION", "B#", "F_1")),
+    ("CREATE JOIN INDEX A.J# AS SELECT 1", ("A", "J#", "JOIN_INDEX", None, None)), ("CREATE PROCEDURE A#.P () SQL SECURITY OWNER", ("A#", "P", "PROCEDURE", None, None)), ("DROP TABLE A.T#", (None, None, None, None, None)),
+    ("/* CREATE TABLE NO.ISE */ CREATE TRIGGER A.G# AFTER INSERT ON A.T", ("A", "G#", "TRIGGER", None, None)), ("REPLACE MACRO A#.M AS (SELECT 1;)", ("A#", "M", "MACRO", None, None)),
+)
+
+
+@query(f"""SELECT o_orderkey AS stmt_id, replace(a, '#', o_custkey::VARCHAR) AS owner_db, replace(b, '#', o_custkey::VARCHAR) AS owner_name, c AS owner_kind, replace(d, '#', o_custkey::VARCHAR) AS specific_db, e AS specific_name
+    FROM orders JOIN (VALUES {_values((k, *w) for k, (_, w) in enumerate(_HEADS))}) v(k, a, b, c, d, e) ON o_orderkey % {len(_HEADS)} = k""")
+def owner_detail(t):
+    return T.extract_owner(_written(t, [x for x, _ in _HEADS]), detail=True).drop("body", "kind_no")
+
+
+_VIEW_TEXT = "REPLACE VIEW D#.v_W AS SELECT 'D#.v_W', x.v_W FROM d#.V_w x, D#.Q_v y, D#.v_T, E.v_W -- D#.v_W\n WHERE y.k IN (SELECT k FROM \"D#\".\"v_W\")"
+_VIEW_DONE = "REPLACE VIEW D#.W AS SELECT 'D#.v_W', x.v_W FROM d#.W x, D#.Q y, D#.v_T, E.v_W -- D#.v_W\n WHERE y.k IN (SELECT k FROM \"D#\".\"W\")"
+
+
+@query(f"SELECT o_orderkey AS stmt_id, replace({_quoted(_VIEW_DONE)}, '#', o_custkey::VARCHAR) AS body, 4::BIGINT AS n_edits FROM orders")
+def strip_affix_text(t):
+    """Views lose their affix in the text: not in literals, comments, other databases, or tables."""
+    text = _written(t, [_VIEW_TEXT]).drop("kind_no")
+    db = t("customer").select(F.concat(F.lit("D"), "c_custkey").alias("db"))
+    objects = db.withColumn("o", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind")) for n, k in (("v_W", "VIEW"), ("Q_v", "VIEW"), ("v_T", "TABLE"), ("v_", "VIEW")))))).select("db", "o.*")
+    return T.strip_affixes_in_text(text, "stmt_id", objects)
+
+
+_TABLE_TEXT = "INSERT INTO D#.T SELECT 'D#.V' FROM d#.V v, \"D#\".X, {{D#_T}}.Y, OTHER.D# WHERE v.k = 1 /* D#.T */"
+_TABLE_DONE = "INSERT INTO {{D#_T}}.T SELECT 'D#.V' FROM {{D#_V}}.V v, {{D#_T}}.X, {{D#_T}}.Y, OTHER.D# WHERE v.k = 1 /* D#.T */"
+
+
+@query(f"SELECT o_orderkey AS stmt_id, replace({_quoted(_TABLE_DONE)}, '#', o_custkey::VARCHAR) AS body, 3::BIGINT AS n_edits FROM orders")
+def kind_tokens_text(t):
+    """Databases become tokens of the named object's kind, in the text."""
+    db = t("customer").select(F.concat(F.lit("D"), "c_custkey").alias("db"))
+    kinds = db.select("db", F.lit("v").alias("name"), F.lit("V").alias("suffix"))
+    return T.tokenise_text_by_kind(_written(t, [_TABLE_TEXT]).drop("kind_no"), "stmt_id", db, kinds)
+
+
 @query(f"""WITH {_HITS} SELECT DISTINCT stmt_id, CASE WHEN a IN ('from', 'join') THEN 'read' ELSE 'write' END AS intent, split_part(q, '.', 1) AS ref_db, split_part(q, '.', 2) AS ref_name,
     CASE WHEN a IN ('from', 'join') THEN 'SELECT' ELSE upper(a) END AS privilege FROM h WHERE a <> 'drop'""")
 def intents_stmt(t):
@@ -96,7 +203,20 @@ def substitute(t):
 def resolve_chain(t):
     k = F.col("p_partkey")
     value = F.when(k < 2, F.concat(F.lit("R"), k)).otherwise(F.concat(F.lit("{{N"), F.floor(k / 2), F.lit("}}."), k % 10))
-    return T.resolve_values(t("part").select(F.lit("E").alias("env"), F.concat(F.lit("N"), k).alias("token"), value.alias("value")), cut)
+    return K.resolve_values(t("part").select(F.lit("E").alias("env"), F.concat(F.lit("N"), k).alias("token"), value.alias("value")))
+
+
+@query("""SELECT k // 100 AS env, 'T' || p AS token, CASE WHEN p < 2 THEN '{{T' || (p + 1) % 2 || '}}{{T' || (p + 1) % 2 || '}}' WHEN p < 5 THEN '{{T' || ((p - 1) % 3 + 2) || '}}{{T' || ((p - 1) % 3 + 2) || '}}'
+      WHEN p < 55 THEN '{{T' || ((p - 4) % 50 + 5) || '}}x' ELSE CASE WHEN k // 100 % 2 = 0 THEN 'R' ELSE '{{T5}}' END || repeat('.', (p - 55)::INTEGER) END AS value,
+    p < 55 OR k // 100 % 2 = 1 AS unresolved FROM (SELECT p_partkey AS k, p_partkey % 100 AS p FROM part)""")
+def resolve_loops(t):
+    """Loops of 2, 3 and 50 tokens, and chains of 45 that hang on them or on a value."""
+    p, env = F.col("p_partkey") % 100, F.floor(F.col("p_partkey") / 100)
+    name = lambda n: F.concat(F.lit("{{T"), n, F.lit("}}"))
+    twice = lambda n: F.concat(name(n), name(n))
+    start = F.when(env % 2 == 0, F.lit("R")).otherwise(F.lit("{{T5}}"))
+    value = F.when(p < 2, twice((p + 1) % 2)).when(p < 5, twice((p - 1) % 3 + 2)).when(p < 55, F.concat(name((p - 4) % 50 + 5), F.lit("x"))).when(p == 55, start).otherwise(F.concat(name(p - 1), F.lit(".")))
+    return K.resolve_values(t("part").select(env.alias("env"), F.concat(F.lit("T"), p).alias("token"), value.alias("value")))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(regexp_replace(x, '(^|[^A-Za-z0-9_{])(?i:DEV_DWH)(_[A-Za-z0-9])', '\1{{DWH}}\2', 'g'), '(^|[^A-Za-z0-9_{])(?i:DEV)(_[A-Za-z0-9])', '\1{{ENV}}\2', 'g') AS body,
