@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import spread
@@ -496,6 +496,84 @@ def spliced(df: DataFrame, key: str, edits: DataFrame, text: str = "body") -> Da
     return done.withColumn("n_edits", F.greatest("n_edits", F.lit(0)).cast("long")).select(*df.columns, "n_edits")
 
 
+_star_token = re.compile(rf"({NAME})\.\*|{QUALIFIED}|[A-Za-z_][A-Za-z0-9_$#]*|\"[^\"]+\"|[(),;*]|\S")
+_AFTER_SOURCE = frozenset("ON JOIN INNER LEFT RIGHT FULL CROSS OUTER NATURAL".split()) | _ENDS
+
+
+def scan_stars(text: str | None) -> list[dict]:
+    """Stars of select lists with the sources of their own SELECT: start, stop, qualifier (of alias.*), whole, sources (db, name, alias).
+
+    whole is false where a source is a subquery or has no database. A star in count(*) or between two values is none.
+    """
+    out: list[dict] = []
+
+    def fresh() -> dict:
+        return {"list": False, "from": False, "source": False, "alias": False, "stars": [], "sources": [], "whole": True}
+
+    def finish(scope: dict) -> None:
+        for star in scope["stars"]:
+            out.append(star | {"whole": scope["whole"] and bool(scope["sources"]), "sources": scope["sources"]})
+
+    levels, last = [fresh()], ""
+    for m in _star_token.finditer(blank_noise(text or "")):
+        at, word = levels[-1], m[0].upper()
+        if word == ";" or (word == ")" and len(levels) > 1):
+            finish(levels.pop())
+            levels = levels if word == ")" else [fresh()]
+        elif word == "(":
+            at["whole"] &= not at["source"]
+            at["alias"], at["source"] = at["source"], False
+            levels.append(fresh())
+        elif word == "SELECT":
+            finish(at)
+            levels[-1] = fresh() | {"list": True}
+        elif m[1] is not None or word == "*":
+            if at["list"] and (m[1] is not None or last in ("SELECT", "DISTINCT", "ALL", ",")):
+                at["stars"].append({"start": m.start(), "stop": m.end(), "qualifier": m[1] and m[1].replace('"', "")})
+        elif word == "FROM" and at["list"]:
+            at["list"], at["from"], at["source"] = False, True, True
+        elif at["from"] and word in (",", "JOIN"):
+            at["source"], at["alias"] = True, False
+        elif at["from"] and word in _AFTER_SOURCE:
+            at["alias"], at["source"], at["from"] = False, False, word not in _ENDS
+        elif at["source"]:
+            at["source"], at["alias"] = False, True
+            if m[2] is not None:
+                at["sources"].append({"db": m[2].replace('"', ""), "name": m[3].replace('"', ""), "alias": m[3].replace('"', "")})
+            else:
+                at["whole"] = False
+        elif at["alias"] and word != "AS" and m[2] is None:
+            at["alias"] = False
+            if last != ")" and at["sources"]:
+                at["sources"][-1]["alias"] = m[0].replace('"', "")
+        last = word
+    for scope in levels:
+        finish(scope)
+    return sorted(out, key=lambda x: x["start"])
+
+
+def expand_stars(df: DataFrame, key: str, columns: DataFrame, text: str = "body") -> DataFrame:
+    """df with * and alias.* of select lists as named columns, from columns(db, name, pos, column); adds n_edits and n_unresolved.
+
+    Columns stand by source and place, qualified by the source's alias or name; one whose name an earlier source gave already
+    gets qualifier_name. A star with a source that is a subquery, has no database or no known columns stays, and counts as
+    unresolved, as does an alias that no source has.
+    """
+    made = F.pandas_udf(lambda texts: texts.map(scan_stars), "array<struct<start:int,stop:int,qualifier:string,whole:boolean,sources:array<struct<db:string,name:string,alias:string>>>>")
+    stars = df.select(key, F.explode(made(F.col(text))).alias("s")).select(key, "s.*")
+    each = stars.select(key, "start", "stop", "qualifier", "whole", F.posexplode_outer("sources").alias("nth", "o"))
+    wanted = each.where("qualifier IS NULL OR upper(o.alias) = upper(qualifier)")
+    known = columns.select(F.upper("db").alias("__db"), F.upper("name").alias("__name"), "pos", "column").distinct()
+    met = wanted.join(known, (F.upper("o.db") == F.col("__db")) & (F.upper("o.name") == F.col("__name")), "left")
+    again = F.row_number().over(Window.partitionBy(key, "start", F.upper("column")).orderBy("nth", "pos")) > 1
+    shown = F.concat("o.alias", F.lit("."), "column", F.when(again, F.concat(F.lit(" AS "), "o.alias", F.lit("_"), "column")).otherwise(""))
+    listed = met.withColumn("shown", shown).groupBy(key, "start", "stop").agg(
+        F.bool_and(F.col("whole") & F.col("column").isNotNull()).alias("good"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "pos", "shown"))), lambda x: x["shown"]), ", ").alias("new"))
+    done = spliced(df, key, listed.where("good").select(key, "start", "stop", "new"), text)
+    n = stars.groupBy(key).agg(F.count("*").alias("__n"))
+    return done.join(n, key, "left").withColumn("n_unresolved", F.coalesce("__n", F.lit(0)) - F.col("n_edits")).drop("__n")
+
+
 def strip_affixes_in_text(df: DataFrame, key: str, objects: DataFrame, text: str = "body") -> DataFrame:
     """df with views of objects(db, name, kind) that lose their affix renamed wherever a qualified name means them; adds n_edits.
 

@@ -99,6 +99,32 @@ def asof_join(left: DataFrame, history: DataFrame, key: str, ts: str, start: str
     return left.join(h, (F.col(key) == F.col("__key")) & (F.col(start) <= F.col(ts)) & (F.col(ts) < F.col(end)), "left").drop("__key")
 
 
+def asof_fill(left: DataFrame, history: DataFrame, key: str, ts: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """As asof_join, for histories whose versions of a key do not overlap, and without a task that holds a key as a whole.
+
+    Rows and versions are dealt in ranges of (key, time) and each range is filled forward by itself; what the ranges before
+    hold of the key is carried in from one row a range and key. Rows without key or time match nothing.
+    """
+    taken = [c for c in history.columns if c != key]
+    given = [c for c in left.columns if c != key]
+    point = lambda df, t, side, row, version: df.select(F.col(key).alias("__key"), t.alias("__t"), F.lit(side).alias("__side"), row.alias("__row"), version.alias("__v"))
+    kind = lambda df, cols: f"struct<{','.join(f'`{c}`:{df.schema[c].dataType.simpleString()}' for c in cols)}>"
+    rows = point(left, F.col(ts), 1, F.struct(*given), F.lit(None).cast(kind(history, taken)))
+    versions = point(history.where(F.col(key).isNotNull() & F.col(start).isNotNull()), F.col(start), 0, F.lit(None).cast(kind(left, given)), F.struct(*taken))
+    order = ["__t", "__side", f"__v.{end}"]  # of versions that start together the one that ends last counts
+    placed = cut(rows.unionByName(versions).repartitionByRange("__key", *order).withColumn("__part", F.spark_partition_id()))
+    ends = placed.groupBy("__part", "__key").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
+    earlier = W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # as many rows of a key as it has ranges
+    carried = ends.select("__part", "__key", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    here = W.partitionBy("__part", "__key").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = placed.withColumn("__v", F.last("__v", ignorenulls=True).over(here)).where("__side = 1")
+    met = filled.join(carried.withColumnRenamed("__part", "__p").withColumnRenamed("__key", "__k"), (F.col("__part") == F.col("__p")) & F.col("__key").eqNullSafe(F.col("__k")), "left")
+    found = F.coalesce("__v", "__carried")
+    valid = F.when(F.col("__key").isNotNull() & (F.col("__t") < found[end]), found)
+    met = met.select(F.col("__key").alias(key), "__row.*", valid.alias("__v"))
+    return met.select(*left.columns, *(F.col("__v")[c].alias(c) for c in taken))
+
+
 def pit_features(features: DataFrame, entity: DataFrame, key: str) -> DataFrame:
     """Feature history of the entities that are current, with its validity bounds."""
     return features.join(entity.select(key), key)
@@ -131,6 +157,11 @@ def external_parents(children: DataFrame, known: DataFrame, parent: str, node: s
     return missing.groupBy(parent).agg(F.count("*").alias("n_children"), F.sum(need).alias("need"), F.array_join(F.transform(F.array_sort(F.collect_set(node)), lambda x: x.cast("string")), ",").alias("children"))
 
 
+def external_children(children: DataFrame, known: DataFrame, parent: str, node: str) -> DataFrame:
+    """(parent, node) of each child of a parent that nobody declares: a row each, however many children there are."""
+    return children.join(known.select(F.col(node).alias(parent)), parent, "left_anti").select(parent, node).distinct()
+
+
 #: Rights to create and drop that a deployment needs by kind of object; indexes use those of tables.
 RIGHTS = {
     "TABLE": ["CT", "DT"], "JOIN_INDEX": ["CT", "DT"], "HASH_INDEX": ["CT", "DT"], "INDEX": ["CT", "DT"], "VIEW": ["CV", "DV"], "MACRO": ["CM", "DM"],

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, numbered
+
 
 def _list(items: Column) -> Column:
     return F.array_join(F.array_sort(items), ",")
@@ -171,19 +173,38 @@ def write_tag(**fields: Column) -> Column:
 
 def fingerprint(df: DataFrame, group: str, key: str, content: str) -> DataFrame:
     """(group, n, fingerprint): sha256 of the sorted `key:sha256` lines, whatever the partitioning. A group's lines must
-    fit a row; bucketed_fingerprint has no such bound."""
+    fit a row; tree_fingerprint has no such bound."""
     line = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(content, 256), F.lit("\n"))
     return df.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
 
 
 def bucketed_fingerprint(df: DataFrame, group: str, key: str, content: str, buckets: int = 256) -> DataFrame:
-    """As fingerprint, by buckets of the key's hash first: another value, but no bound on a group's size."""
+    """As fingerprint, by buckets of the key's hash first: another value, and groups may be so many times as large; tree_fingerprint has no bound."""
     b = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
     line = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(content, 256), F.lit("\n"))
     inner = b.groupBy(group, "__b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h"))
     return inner.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "h"))), lambda s: s["h"]), ""), 256).alias("fingerprint"))
 
 
+def tree_fingerprint(df: DataFrame, group: str, key: str, content: str, width: int = 4096) -> DataFrame:
+    """(group, n, fingerprint): a tree of digests over the group's `key:sha256` lines in their order.
+
+    Lines are numbered by ranges (no task holds a group) and `width` of them in a row make a digest; digests make digests in
+    turn until a group has one, which is kept as it is while larger groups go on. No row is longer than `width` digests.
+    """
+    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.sha2(content, 256), F.lit("\n"))
+    nodes = numbered(df.select(F.col(group).alias("g"), line.alias("h")), ["h"], "at", ("g",)).withColumn("n", F.lit(1).cast("long"))
+    open_ = True
+    while open_:
+        wide = nodes.groupBy("g", F.expr(f"(at - 1) div {width} + 1").alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("k"), "h"))).alias("hs"))
+        joined = F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256)
+        # a lone digest is a finished group; a lone line is not one yet
+        alone = (F.col("parts") == 1) & (F.col("at") == 1) & (F.length(F.col("hs")[0]["h"]) == 64)
+        nodes = cut(wide.select("g", "at", "n", F.when(alone, F.col("hs")[0]["h"]).otherwise(joined).alias("h")))
+        open_ = not nodes.where("at > 1").isEmpty()
+    return nodes.select(F.col("g").alias(group), "n", F.col("h").alias("fingerprint"))
+
+
 def verify_fingerprints(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, status) of items that changed, are missing or unexpected."""
     e, a = expected.select(key, F.col(digest).alias("e")), actual.select(key, F.col(digest).alias("a"))

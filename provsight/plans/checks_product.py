@@ -84,6 +84,15 @@ def event_asof(t):
     return P.asof_join(e, t("hist"), "k", "at").select("event_id", "version_id")
 
 
+@query("""SELECT event_id, h.version_id FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 5 ELSE user_id END AS k, TIMESTAMP '1992-01-01' + to_days((event_id % 2500)::INTEGER) AS tm FROM events) e
+    LEFT JOIN <hist> h ON h.k = e.k AND valid_from <= tm AND tm < valid_to""")
+def event_asof_hot(t):
+    """One key has half of all events; ranges of (key, time) spread it."""
+    key = F.when(F.col("event_id") % 2 == 0, F.lit(5).cast("long")).otherwise(F.col("user_id"))
+    e = t("events").select("event_id", key.alias("k"), F.expr("timestamp_ntz '1992-01-01 00:00:00' + make_dt_interval(cast(event_id % 2500 AS int))").alias("at"))
+    return P.asof_fill(e, t("hist"), "k", "at").select("event_id", "version_id")
+
+
 @query("SELECT k, version_id, valid_from, valid_to FROM <hist> WHERE k IN (SELECT k FROM <hist> WHERE is_current = 1 AND is_deleted = 0)")
 def pit_features(t):
     return P.pit_features(t("hist"), P.current_rows(t("hist")), "k").select("k", "version_id", "valid_from", "valid_to")
@@ -118,6 +127,12 @@ def external_parents(t):
     return P.external_parents(children, children.select("node"), "parent", "node", "bytes")
 
 
+@query("SELECT floor(p_partkey / 3.0)::BIGINT * 7 AS parent, p_partkey AS node FROM part WHERE floor(p_partkey / 3.0)::BIGINT * 7 NOT IN (SELECT p_partkey FROM part)")
+def external_children(t):
+    children = t("part").select(F.col("p_partkey").alias("node"), (F.floor(F.col("p_partkey") / 3) * 7).alias("parent"))
+    return P.external_children(children, children.select("node"), "parent", "node")
+
+
 _RIGHTS = """req AS (SELECT DISTINCT 'D' || p_size AS db, unnest(CASE p_partkey % 7 WHEN 0 THEN ['CT', 'DT'] WHEN 1 THEN ['CV', 'DV'] WHEN 2 THEN ['PC', 'PD'] WHEN 3 THEN ['CT', 'DT']
       WHEN 4 THEN ['CE', 'AE'] WHEN 5 THEN ['CG', 'DG'] ELSE [] END) AS right FROM part),
   gr AS (SELECT DISTINCT 'D' || s_suppkey % 50 AS db, CASE s_suppkey % 5 WHEN 0 THEN 'CT' WHEN 1 THEN 'CV' WHEN 2 THEN 'AL' WHEN 3 THEN 'PC' ELSE 'DT' END AS right FROM supplier)"""

@@ -154,6 +154,16 @@ def doc_fingerprint_bucketed(t):
     return A.bucketed_fingerprint(t("documents"), "source", "doc_id", "text")
 
 
+@query("""WITH a AS (SELECT source AS g, line AS h, row_number() OVER (PARTITION BY source ORDER BY line) - 1 AS k FROM (SELECT source, doc_id::VARCHAR || ':' || sha256(text) || chr(10) AS line FROM documents)),
+  b AS (SELECT g, k // 16 AS k, count(*) AS n, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a GROUP BY g, k // 16),
+  c AS (SELECT g, k // 16 AS k, sum(n) AS n, CASE WHEN count(*) = 1 AND k // 16 = 0 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM b GROUP BY g, b.k // 16),
+  d AS (SELECT g, k // 16 AS k, sum(n) AS n, CASE WHEN count(*) = 1 AND k // 16 = 0 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM c GROUP BY g, c.k // 16)
+  SELECT g AS source, sum(n)::BIGINT AS n, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS fingerprint FROM d GROUP BY g""".replace("AND k // 16 = 0", "AND min(k) < 16"))
+def doc_fingerprint_tree(t):
+    """Digests of 16 lines, of 16 digests, and so on; the SQL has four levels."""
+    return A.tree_fingerprint(t("documents"), "source", "doc_id", "text", 16)
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'missing' WHEN doc_id % 10 = 2 THEN 'unexpected' ELSE 'changed' END AS status FROM documents WHERE doc_id % 10 IN (1, 2, 3)""")
 def fingerprint_check(t):
     d = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -374,6 +384,11 @@ def session_pairs(t):
     return ST.pair_runs(events, events.select(F.max("ts")).scalar(), "5 days")
 
 
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS outcome, 'T' || user_id % 5 AS target, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def events_per_day_and_target(t):
+    return ST.audit_counts(t("events").select("ts", F.col("event_type").alias("outcome"), F.concat(F.lit("T"), F.col("user_id") % 5).alias("target")))
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 def events_per_day(t):
     return ST.audit_counts(t("events").withColumnRenamed("event_type", "outcome"))

@@ -146,6 +146,23 @@ def strip_affix_text(t):
     return T.strip_affixes_in_text(text, "stmt_id", objects)
 
 
+#: Views with stars, what they become, and how many stars are replaced and stay; T# has the columns k, v; S# has k, w.
+_STARS = (
+    ("REPLACE VIEW A.V AS SELECT * FROM D.T#", "REPLACE VIEW A.V AS SELECT T#.k, T#.v FROM D.T#", 1, 0),
+    ("SELECT a.*, count(*), 2 * 3 FROM D.T# AS a, d.s# b WHERE 'D.*' = a.v", "SELECT a.k, a.v, count(*), 2 * 3 FROM D.T# AS a, d.s# b WHERE 'D.*' = a.v", 1, 0),
+    ("SELECT DISTINCT * FROM D.T# a LEFT JOIN D.S# b ON a.k = b.k /* * */ UNION SELECT * FROM D.S#", "SELECT DISTINCT a.k, a.v, b.k AS b_k, b.w FROM D.T# a LEFT JOIN D.S# b ON a.k = b.k /* * */ UNION SELECT S#.k, S#.w FROM D.S#", 2, 0),
+    ("SELECT * FROM (SELECT * FROM D.T#) q", "SELECT * FROM (SELECT T#.k, T#.v FROM D.T#) q", 1, 1),
+    ("SELECT * FROM D.NONE, D.T#; SELECT x.* FROM D.T# y; SELECT * FROM c", "SELECT * FROM D.NONE, D.T#; SELECT x.* FROM D.T# y; SELECT * FROM c", 0, 3),
+)
+
+
+@query(f"""SELECT o_orderkey AS stmt_id, replace(x, '#', o_custkey::VARCHAR) AS body, a::BIGINT AS n_edits, b::BIGINT AS n_unresolved FROM orders JOIN (VALUES {_values((k, *w[1:]) for k, w in enumerate(_STARS))}) v(k, x, a, b) ON o_orderkey % {len(_STARS)} = k""")
+def star_expansion(t):
+    two = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(p).alias("pos"), F.lit(c).alias("column")) for n, p, c in (("T", 1, "k"), ("T", 2, "v"), ("S", 1, "k"), ("S", 2, "w")))))
+    columns = t("customer").select("c_custkey", two.alias("c")).select(F.lit("d").alias("db"), F.concat("c.n", "c_custkey").alias("name"), "c.pos", "c.column")
+    return T.expand_stars(_written(t, [x[0] for x in _STARS]).drop("kind_no"), "stmt_id", columns)
+
+
 _TABLE_TEXT = "INSERT INTO D#.T SELECT 'D#.V' FROM d#.V v, \"D#\".X, {{D#_T}}.Y, OTHER.D# WHERE v.k = 1 /* D#.T */"
 _TABLE_DONE = "INSERT INTO {{D#_T}}.T SELECT 'D#.V' FROM {{D#_V}}.V v, {{D#_T}}.X, {{D#_T}}.Y, OTHER.D# WHERE v.k = 1 /* D#.T */"
 

@@ -133,8 +133,9 @@ def pair_runs_stream(events: DataFrame, watermark: str = "1 hour", timeout_ms: i
 
 
 def audit_counts(rows: DataFrame, window: str = "1 day") -> DataFrame:
-    """(day, outcome, n): audit rows by window of their time."""
-    return rows.groupBy(F.window("ts", window), "outcome").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "outcome", "n")
+    """(day, outcome[, target], n): audit rows by window of their time, and by target where the rows name one."""
+    by = ["outcome", *(c for c in ("target",) if c in rows.columns)]
+    return rows.groupBy(F.window("ts", window), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), *by, "n")
 
 
 def audit_counts_stream(spark: SparkSession, path: str, watermark: str = "2 days", window: str = "1 day") -> DataFrame:
