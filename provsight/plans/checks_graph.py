@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import cut
 from ..operators import graph as G
 from ..operators import rollup as A
 from ..sources import scans as S
@@ -34,18 +35,19 @@ def edges_mined(t):
 @query(rf"""WITH i AS (SELECT DISTINCT stmt_id, regexp_extract(body, '^\w+ \w+ (\w+)\.', 1) AS g, split_part(unnest(regexp_extract_all({_M}, '\b(?:FROM|JOIN) ([A-Za-z0-9_{{}}]+\.[A-Za-z0-9_]+)', 1)), '.', 1) AS d FROM <stmt> WHERE stmt_id % 5 = 0)
   SELECT g AS grantee, d AS grantor, 'SELECT' AS privileges FROM i WHERE g <> d GROUP BY 1, 2""")
 def infer_grants(t):
-    owned = T.extract_owner(t("stmt")).where("owner_db IS NOT NULL").select("stmt_id", "owner_db")
-    intents = T.extract_intents(t("stmt"), "stmt_id").join(owned, "stmt_id")
-    bases = intents.where("intent = 'read'").join(T.extract_owner(t("stmt")).select("stmt_id", F.col("owner_name").alias("view_name")), "stmt_id").select(F.col("owner_db").alias("view_db"), "view_name", F.col("ref_db").alias("base_db")).distinct()
+    owned = T.extract_owner(t("stmt")).where("owner_db IS NOT NULL").select("stmt_id", "owner_db", F.col("owner_name").alias("view_name"))
+    intents = cut(T.extract_intents(t("stmt"), "stmt_id").join(owned, "stmt_id"))  # read by both sides of the inference
+    bases = intents.where("intent = 'read'").select(F.col("owner_db").alias("view_db"), "view_name", F.col("ref_db").alias("base_db")).distinct()
+    intents = intents.drop("view_name")
     return A.infer_grants(intents, bases)
 
 
-@query("""WITH e AS (SELECT p_partkey AS src, p_size AS dst FROM part WHERE p_partkey > 100), k AS (SELECT p_partkey AS node, CASE p_partkey % 3 WHEN 0 THEN 'INDEX' WHEN 1 THEN 'STATISTICS' ELSE 'TABLE' END AS kind FROM part)
+@query("""WITH e AS (SELECT p_partkey AS src, p_size AS dst FROM part WHERE p_partkey <> p_size), k AS (SELECT p_partkey AS node, CASE p_partkey % 3 WHEN 0 THEN 'INDEX' WHEN 1 THEN 'STATISTICS' ELSE 'TABLE' END AS kind FROM part)
   SELECT src, dst FROM e UNION SELECT s.src, i.src FROM e s JOIN k ks ON s.src = ks.node AND ks.kind = 'STATISTICS' JOIN e i ON i.dst = s.dst JOIN k ki ON i.src = ki.node AND ki.kind = 'INDEX'""")
 def inherited_edges(t):
     part = t("part")
     kinds = part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 3 == 0, "INDEX").when(F.col("p_partkey") % 3 == 1, "STATISTICS").otherwise("TABLE").alias("kind"))
-    return G.inherit_edges(part.where("p_partkey > 100").select(F.col("p_partkey").alias("src"), F.col("p_size").cast("long").alias("dst")), kinds)
+    return G.inherit_edges(part.where("p_partkey != p_size").select(F.col("p_partkey").alias("src"), F.col("p_size").cast("long").alias("dst")), kinds)
 
 
 @query("""WITH RECURSIVE w AS (SELECT p_partkey AS node, 1 AS wave FROM part WHERE p_partkey < 2 UNION SELECT d.node, wave + 1 FROM <dag> d JOIN w ON d.dep = w.node) SELECT node, max(wave)::INTEGER AS wave FROM w GROUP BY 1""")

@@ -342,7 +342,7 @@ def severity_counts(t):
 
 @query("SELECT stmt_id FROM <stmt> WHERE stmt_id % 5 = 0 AND stmt_id % 10 = 0")
 def self_reference(t):
-    owned = T.extract_owner(t("stmt")).where("stmt_id % 5 = 0")
+    owned = T.extract_owner(t("stmt"))
     refs = owned.select("stmt_id", F.lower("owner_db").alias("ref_db"), F.when(F.col("stmt_id") % 10 == 0, F.col("owner_name")).otherwise(F.concat("owner_name", F.lit("X"))).alias("ref_name"))
     return R.self_reference(owned, refs, "stmt_id")
 
@@ -350,13 +350,13 @@ def self_reference(t):
 @query("SELECT o_orderkey AS stmt_id FROM orders WHERE o_orderkey % 5 = 1 AND o_custkey % 5 IN (1, 3)")
 def intra_package(t):
     created = t("nation").where("n_nationkey IN (1, 3)").select(F.concat(F.lit("t"), "n_nationkey").alias("db"))
-    return R.intra_package(T.extract_owner(t("stmt")).where("stmt_id % 5 = 1"), created).select("stmt_id")
+    return R.intra_package(T.extract_owner(t("stmt")), created).select("stmt_id")
 
 
 @query("SELECT stmt_id, 2 AS n FROM <stmt> WHERE stmt_id % 5 IN (0, 1, 3) AND stmt_id % 4 = 0")
 def one_object(t):
     body = F.when(F.col("stmt_id") % 4 == 0, F.concat("body", F.lit(";\nDROP TABLE a.b"))).otherwise(F.col("body"))
-    return R.one_object(t("stmt").where("stmt_id % 5 IN (0, 1, 3)").withColumn("body", body), "stmt_id")
+    return R.one_object(t("stmt").withColumn("body", body), "stmt_id")
 
 
 @query(r"""SELECT stmt_id, regexp_extract(body, '^\w+ \w+ (\w+\.\w+)', 1) AS declared, 'F' || stmt_id AS file FROM <stmt> WHERE stmt_id % 5 IN (0, 1) AND stmt_id % 2 = 0""")

@@ -52,6 +52,7 @@ SQL = {
         max(-p_partkey) as pos, max(case when p_partkey % 3 = 0 then 1 else 0 end) as not_null, max(case when p_partkey % 2 = 0 then 1 else 0 end) as has_default
         from {part} where p_partkey % 7 <> 0 group by 1, 2""",
     "rel": """select concat('N', n_nationkey) as src, concat('R', n_regionkey) as dst, 'n_regionkey = r_regionkey' as cond from {nation}
+        union all select concat('P', p_partkey), concat('P', cast(floor(p_partkey / 2.0) as bigint)), concat('part_of ', p_size) from {part} where p_partkey > 0
         union all select concat('R', r_regionkey), concat('R', (r_regionkey + 1) % 5), 'next' from {region}""",
 }
 
