@@ -48,31 +48,68 @@ def fold_state(events: DataFrame) -> DataFrame:
 
 
 class _Fold(StatefulProcessor):
-    """Keeps the events of an object (a life cycle, so few), and folds them in event order: late ones count where they belong."""
+    """Of an object: its fold up to the watermark, and its later events, which are folded in event order with those still to come.
+
+    Events older than the watermark no longer arrive, so what lies before it is settled and kept as one fold. A timer ends
+    objects in a state that nothing may follow.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle) -> None:
-        self.kept = handle.getValueState("fold", "ts array<timestamp>, seq array<long>, state array<string>, error array<string>")
+        self.handle = handle
+        self.kept = handle.getValueState("fold", "ts array<timestamp>, seq array<long>, state array<string>, error array<string>, last string, started timestamp, done timestamp, failure string, n long, bad long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = [(pd.Timestamp(t).to_pydatetime(), s, x, e) for t, s, x, e in zip(*self.kept.get())] if self.kept.exists() else []
-        new = [(r.ts.to_pydatetime(), int(r.seq), r.state, None if pd.isna(r.error) else r.error) for part in rows for r in part.itertuples()]
-        events = sorted([*old, *new], key=lambda e: e[:2])
-        self.kept.update(tuple(map(list, zip(*events))))
-        times, _, states, _ = zip(*events)
-        error = next((e for _, _, s, e in reversed(events) if e is not None or s in CLEARING), None)
-        done = max((t for t, s in zip(times, states) if s in TERMINAL), default=None)
-        bad = sum(pair not in LEGAL for pair in zip(states, states[1:]))
+        moment = lambda t: None if t is None or pd.isna(t) else pd.Timestamp(t).to_pydatetime()
+        settled, open_ = (None, None, None, None, 0, 0), []
+        if self.kept.exists():
+            ts, seq, state, error, *rest = self.kept.get()
+            open_ = [(moment(t), s, x, e) for t, s, x, e in zip(ts, seq, state, error)]
+            settled = (rest[0], moment(rest[1]), moment(rest[2]), rest[3], rest[4], rest[5])
+        open_ += [(moment(r.ts), int(r.seq), r.state, None if pd.isna(r.error) else r.error) for part in rows for r in part.itertuples()]
+        open_.sort(key=lambda e: e[:2])
+        now = timerValues.getCurrentWatermarkInMs()
+        old = sum(pd.Timestamp(e[0]).value // 1_000_000 < now for e in open_)
+        settled, open_ = _folded(settled, open_[:old]), open_[old:]
+        last, started, done, error, n, bad = whole = _folded(settled, open_)
+        self.kept.update((*([e[k] for e in open_] for k in range(4)), *settled))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not NEXT_STATES.get(last, ("",)):
+            end = pd.Timestamp(max(e[0] for e in open_) if open_ else done or whole[1]).value // 1_000_000
+            self.handle.registerTimer(max(end, now) + self.keep_ms)
         yield pd.DataFrame({
-            "object": [key[0]], "state": [states[-1]], "started_at": [pd.Timestamp(times[0])], "completed_at": [pd.Timestamp(done) if done else pd.NaT],
-            "error": pd.Series([error], dtype=object), "n_events": [len(events)], "n_illegal": [bad]})
+            "object": [key[0]], "state": [last], "started_at": [pd.Timestamp(started)], "completed_at": [pd.Timestamp(done) if done else pd.NaT],
+            "error": pd.Series([error], dtype=object), "n_events": [n], "n_illegal": [bad]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def fold_state_stream(events: DataFrame) -> DataFrame:
-    """The same fold over a stream; each batch emits the rows of the objects it touched. Needs the RocksDB state store."""
-    return events.groupBy("object").transformWithStateInPandas(statefulProcessor=_Fold(), outputStructType=_FOLDED, outputMode="update", timeMode="None")
+def _folded(fold: tuple, events: list[tuple]) -> tuple:
+    """fold (last state, started, done, error, events, illegal ones) carried on over events in their order."""
+    last, started, done, error, n, bad = fold
+    for t, _, state, failure in events:
+        bad += last is not None and (last, state) not in LEGAL
+        last, started, n = state, started or t, n + 1
+        done = t if state in TERMINAL else done
+        error = failure if failure is not None or state in CLEARING else error
+    return last, started, done, error, n, bad
+
+
+def fold_state_stream(events: DataFrame, watermark: str = "7 days", keep_days: int = 30) -> DataFrame:
+    """The same fold over a stream; each batch emits the rows of the objects it touched. Needs the RocksDB state store.
+
+    Events later than the watermark are dropped. An object's state is its events of that time and one fold of the rest; it
+    goes keep_days after an end state (COMPLETED, SKIPPED, ROLLED_BACK), so an event after that starts the object anew.
+    """
+    return events.withWatermark("ts", watermark).groupBy("object").transformWithStateInPandas(statefulProcessor=_Fold(keep_days * 86_400_000), outputStructType=_FOLDED, outputMode="update", timeMode="EventTime")
 
 
 _PAIRED = "run_id string, started timestamp, ended timestamp, seconds long, outcome string, outputs string, failed_objects string"

@@ -145,6 +145,30 @@ def test_stream_fold_agrees(spark, tmp_path):
     assert out == {r.object: tuple(r) for r in ST.fold_state(events).collect()}
 
 
+def test_stream_fold_forgets_ended_objects(spark, tmp_path):
+    """Ten batches of objects that end: each is folded right, late events inside the watermark included, and their states go."""
+    pytest.importorskip("google.protobuf")
+    t = lambda d, h: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    schema = "object string, seq long, ts timestamp, state string, error string"
+    rows, seq = [], 0
+    for k in range(10):
+        batch = [(f"o{k}", "PENDING", t(3 * k, 0)), (f"o{k}", "COMPLETED", t(3 * k, 5)), ("long", "FAILED" if k % 2 else "MIGRATED", t(3 * k, 1))]
+        batch += [(f"o{k - 1}", "CREATED", t(3 * k - 3, 2))] if k else []  # late, but not too late
+        rows.append([(o, seq := seq + 1, at, s, None) for o, s, at in batch])
+        spark.createDataFrame(rows[-1], schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
+    out, sizes = {}, []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    folded = ST.fold_state_stream(stream, "4 days", 1)
+    q = folded.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: out.update({r.object: tuple(r) for r in df.collect()})).start()
+    try:
+        q.processAllAvailable()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    want = {r.object: tuple(r) for r in ST.fold_state(spark.createDataFrame([r for b in rows for r in b], schema)).collect()}
+    assert out == want and sizes[-1] <= max(sizes[3:6])
+
+
 def test_stream_counts_agree(spark, tmp_path):
     rows = [{"ts": f"2024-01-0{1 + k % 3}T00:00:0{k}Z", "outcome": "ok" if k % 2 else "bad", "target": "t"} for k in range(9)]
     (tmp_path / "in").mkdir()
