@@ -233,6 +233,16 @@ def missing_siblings(df: DataFrame, keys: list[str], name: str, requires: str) -
     return wanted.join(df.select(*keys, F.col(name).alias("required")), [*keys, "required"], "left_anti")
 
 
+def mixed_builds(df: DataFrame, keys: list[str], build: str) -> DataFrame:
+    """(keys, n_builds, lowest, highest) of groups whose packages are of more than one build."""
+    return df.groupBy(*keys).agg(F.countDistinct(build).alias("n_builds"), F.min(build).alias("lowest"), F.max(build).alias("highest")).where("n_builds > 1")
+
+
+def prereq_without_main(df: DataFrame, keys: list[str], role: str, prereq: str = "prereq", main: str = "main") -> DataFrame:
+    """(keys) of groups that have the prerequisite half of a release and not its main half."""
+    return df.groupBy(*keys).agg(F.bool_or(F.col(role) == prereq).alias("p"), F.bool_or(F.col(role) == main).alias("m")).where("p AND NOT coalesce(m, false)").select(*keys)
+
+
 def digest_findings(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """Adds digest_status: absent, mismatch or ok."""
     return df.withColumn("digest_status", F.when(F.col(actual).isNull() | F.col(expected).isNull(), "absent").when(F.col(actual) != F.col(expected), "mismatch").otherwise("ok"))

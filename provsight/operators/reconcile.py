@@ -78,6 +78,21 @@ def compat_verdict(changes: DataFrame, table: str = "tab") -> DataFrame:
                                       F.array_join(F.array_sort(F.collect_list(F.when(F.col("level") == "blocker", F.col("name")))), ",").alias("blockers"))
 
 
+def _casts(df: DataFrame, target: list[tuple[str, str, object]]) -> tuple[dict[str, Column], Column]:
+    """(casts of the columns that df has, whether a value of a row cannot be cast)."""
+    cast = {n: F.expr(f"try_cast(`{n}` AS {t})") for n, t, _ in target if n in df.columns}
+    bad = F.lit(False)
+    for n, c in cast.items():
+        bad = bad | (F.col(n).isNotNull() & c.isNull())
+    return cast, bad
+
+
+def conform_counts(df: DataFrame, target: list[tuple[str, str, object]]) -> DataFrame:
+    """One row (moved, rejected): what conform copies and what it returns, counted in one pass."""
+    bad = _casts(df, target)[1]
+    return df.agg(F.count_if(~bad).alias("moved"), F.count_if(bad).alias("rejected"))
+
+
 def conform(df: DataFrame, target: list[tuple[str, str, object]], changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows in the target's shape, rejected rows): target is (name, type, default for added columns).
 
@@ -87,10 +102,7 @@ def conform(df: DataFrame, target: list[tuple[str, str, object]], changes: DataF
     if changes is not None and not changes.where("level = 'blocker'").isEmpty():
         raise ValueError("the schemas are not compatible: " + compat_verdict(changes.withColumn("tab", F.lit("")), "tab").first()["blockers"])
     have = set(df.columns)
-    cast = {n: F.expr(f"try_cast(`{n}` AS {t})") for n, t, _ in target if n in have}
-    bad = F.lit(False)
-    for n, c in cast.items():
-        bad = bad | (F.col(n).isNotNull() & c.isNull())
+    cast, bad = _casts(df, target)
     marked = df.withColumn("__bad", bad)
     good = marked.where("NOT __bad").select(*[cast[n].alias(n) if n in have else F.lit(v).cast(t).alias(n) for n, t, v in target])
     return good, marked.where("__bad").drop("__bad")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, numbered
+from ..functions.text import mask_noise
 
 
 def _list(items: Column) -> Column:
@@ -67,8 +68,39 @@ def merge_grants(grants: DataFrame, keys: list[str], privilege: str = "privilege
     return grants.groupBy(*keys).agg(_list(F.collect_set(privilege)).alias("privileges"))
 
 
-def cross_module_reads(refs: DataFrame, reader: str, read: str) -> DataFrame:
-    return refs.where(F.col(reader) != F.col(read)).groupBy(reader).agg(_list(F.collect_set(read)).alias("reads"))
+#: One form for both kinds of statement: without ON it is a role that is granted.
+_DCL = r"(?i)^\s*(GRANT|REVOKE)\s+(.+?)\s+(?:ON\s+(?:(?:TABLE|VIEW|MACRO|(?:EXTERNAL\s+)?PROCEDURE|FUNCTION|DATABASE|USER|ROLE|PROFILE)\s+)?(\S+)\s+)?(?:TO|FROM)\s+(\S+?)(\s+WITH\s+(?:GRANT|ADMIN)\s+OPTION)?[\s;]*$"
+
+
+def parse_grants(df: DataFrame, key: str, text: str = "body") -> DataFrame:
+    """(key, action, privileges (array, upper case; null for roles), role, on_object, grantee, option) of statements that grant or revoke."""
+    part = lambda k: F.nullif(F.trim(F.regexp_extract("__plain", _DCL, k)), F.lit(""))
+    found = df.withColumn("__plain", mask_noise(F.col(text))).where(F.col("__plain").rlike(_DCL))
+    rows = found.select(key, F.upper(part(1)).alias("action"), part(2).alias("__what"), part(3).alias("on_object"), part(4).alias("grantee"), part(5).isNotNull().alias("option"))
+    on = F.col("on_object").isNotNull()
+    several = F.filter(F.transform(F.split("__what", ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    return rows.select(key, "action", F.when(on, several).alias("privileges"), F.when(~on, F.col("__what")).alias("role"), "on_object", "grantee", "option")
+
+
+def merge_statements(grants: DataFrame) -> DataFrame:
+    """(place, action, what, on_object, grantee, option) of parse_grants' rows: statements that differ in privileges alone become one.
+
+    Privileges are united and sorted; roles stay a row each, without repeats, and come after; place is the order in which all are given out.
+    """
+    keys = ["action", "on_object", "grantee", "option"]
+    merged = grants.where("role IS NULL").select(*keys, F.explode("privileges").alias("p")).groupBy(*keys).agg(_list(F.collect_set("p")).alias("what")).withColumn("late", F.lit(0))
+    roles = grants.where("role IS NOT NULL").select(*keys, F.col("role").alias("what"), F.lit(1).alias("late")).distinct()
+    placed = numbered(merged.unionByName(roles), ["late", "action", "on_object", "grantee", "option", "what"], "place")
+    return placed.select("place", "action", "what", "on_object", "grantee", "option")
+
+
+def cross_module_reads(refs: DataFrame, reader: str, read: str, modules: DataFrame | None = None) -> DataFrame:
+    """(reader, reads): the other namespaces that each reads; with modules(namespace, module), those of its own module are left out too."""
+    found = refs.where(F.col(reader) != F.col(read)).select(reader, read).distinct()
+    if modules is not None:
+        of = lambda side: modules.select(F.col("namespace").alias(side), F.col("module").alias(f"__{side}"))
+        found = found.join(of(reader), reader, "left").join(of(read), read, "left").where(f"NOT coalesce(`__{reader}` = `__{read}`, false)")
+    return found.groupBy(reader).agg(_list(F.collect_set(read)).alias("reads"))
 
 
 def name_roots(df: DataFrame, col: str, sep: str = " ") -> DataFrame:

@@ -171,3 +171,10 @@ def quality_metrics(df: DataFrame, spec: list[tuple[str, str, Column, float]]) -
     one = df.agg(F.count("*").alias("__n"), *[F.count_if(c).alias(f"m{k}") for k, (_, _, c, _) in enumerate(spec)])
     rows = [F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.col(f"m{k}").alias("bad"), F.col("__n").alias("sample_size"), F.lit(int(t)).alias("threshold_pct"), (F.col(f"m{k}") * 100 <= F.col("__n") * int(t)).alias("met")) for k, (c, m, _, t) in enumerate(spec)]
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def metric_rows(df: DataFrame, db: str, table: str, spec: list[tuple[str, str, Column, float]]) -> DataFrame:
+    """quality_metrics as rows of a metric table: db, table, column, metric, value and threshold (shares of bad rows), met, sample_size."""
+    made = quality_metrics(df, spec)
+    value = F.when(F.col("sample_size") > 0, F.col("bad") / F.col("sample_size")).cast("decimal(10,4)")
+    return made.select(F.lit(db).alias("db"), F.lit(table).alias("table"), "column", "metric", value.alias("value"), (F.col("threshold_pct") / 100).cast("decimal(5,4)").alias("threshold"), "met", "sample_size")

@@ -247,3 +247,15 @@ def ordered_plan(t):
 def lineage_legs(t):
     lineage = t("lineitem").select(F.lit("S ").alias("source_database"), F.col("l_suppkey").cast("string").alias("source_table"), F.lit("P").alias("target_database"), F.concat(F.col("l_partkey").cast("string"), F.lit(" ")).alias("target_table"), F.col("l_orderkey").alias("job"))
     return P.lineage_legs(lineage, t("supplier").select(F.concat(F.lit("S."), "s_suppkey").alias("node"), F.lit("SUPPLIER").alias("kind"))).select("node", "job", "direction", "kind")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey % 3) AS n_builds, min(l_suppkey % 3) AS lowest, max(l_suppkey % 3) AS highest FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 3) > 1")
+def mixed_builds(t):
+    """Releases (orders) whose packages (lines) are of several builds."""
+    return P.mixed_builds(t("lineitem").withColumn("build", F.col("l_suppkey") % 3), ["l_orderkey"], "build")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'A') AND NOT bool_or(l_returnflag = 'N')")
+def prereq_without_main(t):
+    role = F.when(F.col("l_returnflag") == "A", "prereq").when(F.col("l_returnflag") == "N", "main").otherwise("other")
+    return P.prereq_without_main(t("lineitem").withColumn("role", role), ["l_orderkey"], "role")

@@ -47,6 +47,31 @@ def merge_grants(t):
     return A.merge_grants(t("grants"), ["grantee", "grantor"])
 
 
+#: Statements that grant and revoke, with numbers for #, + and !.
+_DCL = ("GRANT SELECT ON D#.T TO R+", "grant insert , SELECT on table D#.T to R+;", "GRANT UPDATE ON D#.T TO R+ WITH GRANT OPTION", "REVOKE DELETE ON DATABASE D# FROM R+ -- ON X TO Y", "GRANT role_! TO U+ WITH ADMIN OPTION", "INSERT INTO D#.T SELECT 1", "REVOKE role_! FROM U+")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderkey % 7 AS k, o_custkey % 5 AS d, o_custkey % 3 AS g, o_custkey % 2 AS r FROM orders),
+  p AS (SELECT DISTINCT CASE WHEN k = 3 THEN 'REVOKE' ELSE 'GRANT' END AS action, unnest(CASE k WHEN 0 THEN ['SELECT'] WHEN 1 THEN ['INSERT', 'SELECT'] WHEN 2 THEN ['UPDATE'] ELSE ['DELETE'] END) AS what, 'D' || d || CASE WHEN k = 3 THEN '' ELSE '.T' END AS on_object, 'R' || g AS grantee, k = 2 AS option FROM o WHERE k < 4),
+  u AS (SELECT 0 AS late, action, string_agg(what, ',' ORDER BY what) AS what, on_object, grantee, option FROM p GROUP BY ALL UNION ALL SELECT DISTINCT 1, CASE WHEN k = 4 THEN 'GRANT' ELSE 'REVOKE' END, 'role_' || r, NULL, 'U' || g, k = 4 FROM o WHERE k IN (4, 6))
+  SELECT row_number() OVER (ORDER BY late, action, on_object, grantee, option, what) AS place, action, what, on_object, grantee, option FROM u""")
+def grant_statements(t):
+    """Statements on one object, grantee and option merged; roles after them; numbered in their order."""
+    text = F.element_at(F.array(*map(F.lit, _DCL)), (F.col("o_orderkey") % len(_DCL) + 1).cast("int"))
+    for mark, n in (("#", 5), ("+", 3), ("!", 2)):
+        text = F.replace(text, F.lit(mark), (F.col("o_custkey") % n).cast("string"))
+    return A.merge_statements(A.parse_grants(t("orders").select("o_orderkey", text.alias("body")), "o_orderkey"))
+
+
+@query("""SELECT reader, string_agg(DISTINCT read, ',' ORDER BY read) AS reads FROM (SELECT 'N' || sn.n_nationkey AS reader, 'N' || cn.n_nationkey AS read FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey
+    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey WHERE sn.n_regionkey <> cn.n_regionkey) GROUP BY 1""")
+def cross_module_supply(t):
+    """Nations are namespaces, regions modules: reads inside a region do not count."""
+    sup, cus = t("supplier").select("s_suppkey", F.concat(F.lit("N"), "s_nationkey").alias("reader")), t("customer").select("c_custkey", F.concat(F.lit("N"), "c_nationkey").alias("read"))
+    refs = t("lineitem").select("l_suppkey", "l_orderkey").join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(cus, F.col("o_custkey") == F.col("c_custkey"))
+    return A.cross_module_reads(refs, "reader", "read", t("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("namespace"), F.col("n_regionkey").alias("module")))
+
+
 @query("""SELECT s AS reader, string_agg(DISTINCT c, ',' ORDER BY c) AS reads FROM (SELECT 'R' || sn.n_regionkey AS s, 'R' || cn.n_regionkey AS c FROM lineitem
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey) WHERE s <> c GROUP BY 1""")
 def cross_region_supply(t):
@@ -243,6 +268,12 @@ def conform_orders(t):
     return D.conform(o, [("o_orderkey", "bigint", None), ("code", "smallint", None), ("added", "string", "new"), ("later", "date", None)])[0]
 
 
+@query("SELECT count(*) FILTER (o_orderkey % 13 <> 0) AS moved, count(*) FILTER (o_orderkey % 13 = 0) AS rejected FROM orders")
+def conform_counts(t):
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, "x1").otherwise((F.col("o_orderkey") % 100).cast("string")).alias("code"))
+    return D.conform_counts(o, [("o_orderkey", "bigint", None), ("code", "smallint", None), ("added", "string", "new")])
+
+
 @query("""SELECT o_orderkey, code FROM (SELECT o_orderkey, 'x1' AS code FROM orders WHERE o_orderkey % 13 = 0)""")
 def conform_rejects(t):
     o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, "x1").otherwise((F.col("o_orderkey") % 100).cast("string")).alias("code"))
@@ -359,6 +390,12 @@ def quality_metrics(t):
     return R.quality_metrics(t("states"), [("wave", "null_share", F.col("wave").isNull(), 5), ("state", "failed_share", F.col("state") == "FAILED", 50)])
 
 
+@query("""SELECT 'OPS' AS db, 'states' AS "table", 'wave' AS "column", 'null_share' AS metric, (count(*) FILTER (wave IS NULL) / count(*))::DECIMAL(10, 4) AS value, 0.05::DECIMAL(5, 4) AS threshold, count(*) FILTER (wave IS NULL) * 100 <= count(*) * 5 AS met, count(*) AS sample_size FROM <states>
+    UNION ALL SELECT 'OPS', 'states', 'state', 'failed_share', (count(*) FILTER (state = 'FAILED') / count(*))::DECIMAL(10, 4), 0.5::DECIMAL(5, 4), count(*) FILTER (state = 'FAILED') * 100 <= count(*) * 50, count(*) FROM <states>""")
+def metric_rows(t):
+    return R.metric_rows(t("states"), "OPS", "states", [("wave", "null_share", F.col("wave").isNull(), 5), ("state", "failed_share", F.col("state") == "FAILED", 50)])
+
+
 #: Of the states that the input has, written out apart from the operator's table: what may not follow what.
 _ILLEGAL = """p IN ('COMPLETED') OR state = 'PENDING' OR (p = 'PENDING' AND state NOT IN ('CREATED', 'FAILED')) OR (p = 'CREATED' AND state = 'CREATED')
     OR (p = 'MIGRATED' AND state NOT IN ('COMPLETED', 'FAILED')) OR (p = 'FAILED' AND state = 'FAILED')"""
