@@ -136,6 +136,22 @@ def catalog_proposals(t):
     return made.groupBy("asset").agg(F.count("*").alias("n_documents"))
 
 
+@query("""SELECT node AS asset, to_json({'product': 'shop', 'asset': node, 'subtype': 'VIEW', 'fields': [{'pos': 1, 'name': p_name, 'type': p_type, 'class': 'OTHER'}, {'pos': 2, 'name': 'n', 'type': 'decimal(9,2)', 'class': 'NUMBER'}], 'upstreams': list(dep ORDER BY dep)})::VARCHAR AS document
+    FROM <dag> JOIN part ON p_partkey = node GROUP BY node, p_name, p_type""")
+def catalog_documents(t):
+    """The documents themselves, fields by position and upstream lists included."""
+    dag = t("dag")
+    field = lambda n, name, kind: F.struct(F.lit(n).alias("pos"), name.alias("name"), kind.alias("type"))
+    two = F.array(field(2, F.lit("n"), F.lit("decimal(9,2)")), field(1, F.col("p_name"), F.col("p_type")))
+    columns = t("part").select(F.col("p_partkey").alias("asset"), F.explode(two).alias("c")).select("asset", "c.*")
+    return S.catalog_proposals(dag.select(F.col("node").alias("asset")).distinct().withColumn("subtype", F.lit("VIEW")), columns, dag.select(F.col("node").alias("asset"), F.col("dep").alias("upstream")), "shop", "nested")
+
+
+@query("""SELECT 'shop' AS entity, 'properties' AS aspect, to_json({'product': 'shop', 'version': '2', 'environment': 'DEV'})::VARCHAR AS document UNION ALL SELECT DISTINCT 'shop', 'member', to_json({'product': 'shop', 'asset': node::VARCHAR})::VARCHAR FROM <dag>""")
+def product_entity(t):
+    return S.product_proposals(t("dag").select(F.col("node").alias("asset")), "shop", version="2", environment="DEV")
+
+
 @query("SELECT p_size AS env, 'K' || p_partkey % 7 AS name, 'v=' || max(p_partkey) AS value FROM part GROUP BY 1, 2")
 def kv_last_wins(t):
     line = F.concat(F.lit(" K"), F.col("p_partkey") % 7, F.lit(" = v="), "p_partkey", F.lit(" "))

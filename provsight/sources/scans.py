@@ -106,6 +106,15 @@ def catalog_proposals(assets: DataFrame, columns: DataFrame, lineage: DataFrame,
     raise ValueError(f"unknown layout {layout}")
 
 
+def product_proposals(assets: DataFrame, product: str, **properties: str) -> DataFrame:
+    """(entity, aspect, document): the product's own properties, and its assets(asset) as a row each, since there may be any number."""
+    spark = assets.sparkSession
+    own = spark.range(1).select(F.to_json(F.struct(F.lit(product).alias("product"), *[F.lit(v).alias(k) for k, v in properties.items()])).alias("document"))
+    members = assets.select("asset").distinct().select(F.to_json(F.struct(F.lit(product).alias("product"), F.col("asset").cast("string").alias("asset"))).alias("document"))
+    rows = own.select(F.lit("properties").alias("aspect"), "document").unionByName(members.select(F.lit("member").alias("aspect"), "document"))
+    return rows.select(F.lit(product).alias("entity"), "aspect", "document")
+
+
 def audit_records(results: DataFrame, run: str, ts: str = "ts", outcome: str = "outcome", done: str = "COMPLETED", failed: str = "FAILED") -> DataFrame:
     """One record a run from its objects' results: event, run, timestamp (the last), outcome, objects_deployed, objects_failed, duration_seconds."""
     of = lambda x: F.count_if(F.col(outcome) == x)
