@@ -11,6 +11,8 @@ from .graph import strong_components
 
 #: Characters up to which a value may grow; an empty value counts as one.
 MAX_CHARS = 1_000_000
+#: A value that refers to its own token.
+_ITSELF = "contains(value, concat('{{', token, '}}'))"
 
 
 def resolve_values(tokens: DataFrame, env: str = "env", max_chars: int = MAX_CHARS) -> DataFrame:
@@ -20,20 +22,21 @@ def resolve_values(tokens: DataFrame, env: str = "env", max_chars: int = MAX_CHA
     stay where they stand. What is left has no loop, so a pass that replaces every reference by what the other value has
     come to so far halves the depth: a chain of n links takes log2(n) passes, and no value is ever larger than its final
     one. A value that would grow beyond max_chars keeps its text, as do all that need it. unresolved: circular, too long, or
-    referring to such a token, over any number of steps. A reference of a token to itself stays, and so do undefined names.
+    referring to such a token, over any number of steps. A reference of a token to itself stays; such a
+    value goes into no other, so what needs it is unresolved. Undefined names stay, and so do those without a value.
     """
     given = cut(tokens.select(env, "token", "value").distinct())
-    refs = cut(given.select(env, "token", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1)))).alias("ref")).where("ref != token").join(given.select(env, F.col("token").alias("ref")).distinct(), [env, "ref"], "left_semi"))
+    refs = cut(given.select(env, "token", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1)))).alias("ref")).where("ref != token").join(given.where("value IS NOT NULL").select(env, F.col("token").alias("ref")).distinct(), [env, "ref"], "left_semi"))
     key = lambda name: F.struct(F.col(env).alias("e"), F.col(name).alias("t"))
     looped = strong_components(refs.select(key("token").alias("node"), key("ref").alias("dep")))
     stuck = cut(looped.select(F.col("node.e").alias(env), F.col("node.t").alias("token")))
     # open: references of a value that are still to be replaced
     now = cut(given.join(stuck, [env, "token"], "left_anti"))
     halted = stuck  # circular or too long
-    while True:
+    for _ in range(given.count().bit_length() + 2):  # more passes are asked for only by references that replacing has made
         names = now.select(env, "token", F.explode(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(1))).alias("ref")).where("ref != token")
         size = F.length(F.regexp_replace("value", TOKEN, "_"))  # a reference counts as one character until it is replaced
-        values = now.select(env, F.col("token").alias("ref"), F.col("value").alias("by"), F.greatest(size, F.lit(1)).alias("grows"))
+        values = now.where(f"value IS NOT NULL AND NOT {_ITSELF}").select(env, F.col("token").alias("ref"), F.col("value").alias("by"), F.greatest(size, F.lit(1)).alias("grows"))
         hits = names.groupBy(env, "token", "ref").agg(F.count("*").alias("n")).join(values, [env, "ref"])
         pairs = hits.groupBy(env, "token").agg(F.array_sort(F.collect_list(F.struct(F.col("ref").alias("token"), F.col("by").alias("value")))).alias("pairs"), F.sum(F.col("n") * (F.col("grows") - 1)).alias("more"))
         planned = now.join(pairs, [env, "token"], "left").withColumn("long", F.coalesce(size + F.col("more") > max_chars, F.lit(False)))
@@ -44,8 +47,11 @@ def resolve_values(tokens: DataFrame, env: str = "env", max_chars: int = MAX_CHA
             now = step.where("NOT long").select(env, "token", "value")
         else:
             break
+    else:
+        halted = halted.unionByName(step.where("moved").select(env, "token"))
     halted = cut(halted.distinct())
-    needs = _reaching(refs, halted, env)
+    needs, own = _reaching(refs, halted, env), given.where(_ITSELF).select(env, "token").distinct()
+    needs = needs if own.isEmpty() else needs.unionByName(_reaching(refs, own, env))
     too_long = halted.join(stuck, [env, "token"], "left_anti")
     kept = given.join(halted, [env, "token"], "left_semi").unionByName(given.join(_reaching(refs, too_long, env), [env, "token"], "left_semi")).distinct() if not too_long.isEmpty() else given.join(halted, [env, "token"], "left_semi")
     done = now.join(kept, [env, "token"], "left_anti").select(env, "token", "value").unionByName(kept.select(env, "token", "value"))
