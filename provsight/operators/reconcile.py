@@ -114,15 +114,16 @@ def contract_diff(base: DataFrame, now: DataFrame) -> DataFrame:
     objects = lambda df: df.groupBy("object").agg(F.min("kind").alias("kind"))
     gone = objects(base).select("object", F.col("kind").alias("k0")).join(objects(now).select("object", F.col("kind").alias("k1")), "object", "left")
     whole = gone.where("k1 IS NULL OR k0 != k1").select("object", F.lit(None).cast("string").alias("name"), F.when(F.col("k1").isNull(), "object_removed").otherwise("kind_changed").alias("change"))
-    kept = gone.where("k0 = k1").select("object", F.col("k0").alias("kind"))
-    old = base.join(kept, ["object", "kind"], "left_semi").select("object", "kind", "name", F.col("type").alias("t0"), F.col("pos").alias("p0"), way(base, "d0"))
-    pair = old.join(now.select("object", "name", F.col("type").alias("t1"), F.col("pos").alias("p1"), way(now, "d1")), ["object", "name"], "left")
-    column = pair.where("p1 IS NULL OR NOT (t0 <=> t1)").select("object", "name", F.when(F.col("p1").isNull(), "column_removed").otherwise("type_changed").alias("change"))
-    turned = pair.where("p1 IS NOT NULL AND kind = 'PROCEDURE' AND NOT (d0 <=> d1)").select("object", "name", F.lit("direction_changed").alias("change"))
-    common = pair.where("kind = 'VIEW' AND p1 IS NOT NULL")
-    ranks = common.withColumn("r0", F.row_number().over(W.partitionBy("object").orderBy("p0"))).withColumn("r1", F.row_number().over(W.partitionBy("object").orderBy("p1")))
-    moved = ranks.where("r0 != r1").select("object", "name", F.lit("reordered").alias("change"))
-    return whole.unionByName(column).unionByName(turned).unionByName(moved)
+    kept = gone.where("k0 = k1").select("object", "k0")
+    old = base.select("object", "kind", "name", F.col("type").alias("t0"), F.col("pos").alias("p0"), way(base, "d0"))
+    pair = old.join(now.select("object", "name", F.col("type").alias("t1"), F.col("pos").alias("p1"), way(now, "d1")), ["object", "name"], "left").join(kept, "object").where("kind = k0")
+    # all changes of a column from one pass; columns that are ranked stand in a part of their own
+    ranked = pair.withColumn("common", F.expr("kind = 'VIEW' AND p1 IS NOT NULL"))
+    place = lambda by: F.row_number().over(W.partitionBy("object", "common").orderBy(by))
+    ranked = ranked.withColumn("moved", F.col("common") & (place("p0") != place("p1")))
+    found = F.array(F.when(F.col("p1").isNull(), "column_removed").when(F.expr("NOT (t0 <=> t1)"), "type_changed"),
+                    F.when(F.expr("p1 IS NOT NULL AND kind = 'PROCEDURE' AND NOT (d0 <=> d1)"), "direction_changed"), F.when(F.col("moved"), "reordered"))
+    return whole.unionByName(ranked.select("object", "name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("change")))
 
 
 def grant_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:

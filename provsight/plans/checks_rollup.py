@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import reconcile as D
 from ..operators import rollup as A
 from ..operators import rules as R
@@ -293,7 +294,8 @@ _CONTRACT = """b AS (SELECT 'O' || l_orderkey AS object, CASE WHEN l_orderkey %
 def contract_diff(t):
     from ..operators.product import dedup_first
 
-    lines = dedup_first(t("lineitem").where("l_orderkey % 5 != 0"), ["l_orderkey", "l_partkey"], ["l_linenumber", "l_returnflag"])
+    lines = t("lineitem").where("l_orderkey % 5 != 0").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    lines = cut(dedup_first(lines, ["l_orderkey", "l_partkey"], ["l_linenumber", "l_returnflag"]))  # read by both contracts and their objects
     base = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("object"), F.lit("VIEW").alias("kind"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("c"), "l_partkey").alias("name"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linenumber") % 3 == 0, "OUT").otherwise("IN").alias("direction"))
     base = base.withColumn("kind", F.when(F.substring("object", 2, 20).cast("long") % 3 == 0, "PROCEDURE").otherwise("VIEW"))
     ends = lambda d: F.col("object").endswith(d)

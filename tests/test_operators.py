@@ -223,3 +223,16 @@ def test_conform_refuses_blocked_schemas(spark):
     with pytest.raises(ValueError, match="a"):
         D.conform(df, [("a", "string", None)], changes)
     assert D.conform(df, [("a", "string", None)], changes.limit(0))[0].count() == 1
+
+
+def test_contract_changes_come_from_one_join(spark):
+    """All changes of a column, also several of one, and the joins of base and now stand in the plan once."""
+    from provsight.operators import reconcile as D
+
+    schema = "object string, kind string, pos int, name string, type string, direction string"
+    base = [("v", "VIEW", 1, "a", "I", None), ("v", "VIEW", 2, "b", "I", None), ("v", "VIEW", 3, "c", "I", None), ("p", "PROCEDURE", 1, "a", "I", "IN"), ("g", "VIEW", 1, "a", "I", None), ("k", "VIEW", 1, "a", "I", None)]
+    now = [("v", "VIEW", 2, "a", "Z", None), ("v", "VIEW", 1, "b", "I", None), ("p", "PROCEDURE", 1, "a", "Z", "OUT"), ("k", "TABLE", 1, "a", "I", None)]
+    got = D.contract_diff(spark.createDataFrame(base, schema), spark.createDataFrame(now, schema))
+    assert sorted(((r["object"], r["name"] or "", r["change"]) for r in got.collect())) == sorted([
+        ("v", "a", "type_changed"), ("v", "a", "reordered"), ("v", "b", "reordered"), ("v", "c", "column_removed"), ("p", "a", "type_changed"), ("p", "a", "direction_changed"), ("g", "", "object_removed"), ("k", "", "kind_changed")])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
