@@ -139,6 +139,12 @@ def classify_statements(df: DataFrame, text: str = "body", kinds=KINDS, path: st
     return out.withColumn("confidence", sure)
 
 
+def of_kind(df: DataFrame, kind: str, text: str = "body", kinds=KINDS) -> DataFrame:
+    """The statements of one kind. As the first match decides, the patterns after that kind's own are not tried."""
+    last = max(k for k, (name, _) in enumerate(kinds) if name == kind)
+    return df.where(classify(mask_noise(F.col(text)), kinds[: last + 1]) == kind)
+
+
 _HEAD = rf"(?i)^\s*(?:CREATE|REPLACE)\s+(?:\w+\s+)*?(VIEW|TABLE|MACRO|PROCEDURE|FUNCTION|TRIGGER|INDEX)\s+{QUALIFIED}"
 
 

@@ -94,3 +94,12 @@ def test_registered_functions(spark):
     extractors.register(spark)
     row = spark.sql(r"""SELECT mask_noise("a -- b\n'c;'") AS m, split_statements("x 'a;b'; y; BEGIN p; q; END;") AS s, mask_noise(NULL) AS n""").first()
     assert (row.m, row.s, row.n) == ("a     \n    ", ["x 'a;b'", "y", "BEGIN p; q; END"], None)
+
+
+def test_statements_of_a_kind(spark):
+    """The same rows that the whole classification gives, for the first kind and for one that others precede."""
+    texts = ["REPLACE VIEW a.b AS SELECT 1", "/* CREATE VIEW */ CREATE TABLE a.t (k INT)", "CREATE JOIN INDEX a.j AS SELECT 1", "CREATE UNIQUE INDEX a.i", "DROP VIEW a.b", "x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string")
+    kinds = {r["k"]: r["kind"] for r in T.classify_statements(df).collect()}
+    for kind in ("VIEW", "INDEX", "DROP"):
+        assert sorted(r["k"] for r in T.of_kind(df, kind).collect()) == [k for k, v in kinds.items() if v == kind]
