@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import spread
+from .shared import cut, spread
 
 #: A literal or a comment, whichever starts first: so a dash in a literal is no comment, and the reverse.
 NOISE = r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/"
@@ -566,18 +566,21 @@ def expand_stars(df: DataFrame, key: str, columns: DataFrame, text: str = "body"
     unresolved, as does an alias that no source has.
     """
     made = F.pandas_udf(lambda texts: texts.map(scan_stars), "array<struct<start:int,stop:int,qualifier:string,whole:boolean,sources:array<struct<db:string,name:string,alias:string>>>>")
-    stars = df.select(key, F.explode(made(F.col(text))).alias("s")).select(key, "s.*")
+    scanned = cut(spread(df).withColumn("__stars", made(F.col(text))))  # each text is scanned once
+    stars = scanned.select(key, F.explode("__stars").alias("s")).select(key, "s.*")
     each = stars.select(key, "start", "stop", "qualifier", "whole", F.posexplode_outer("sources").alias("nth", "o"))
     wanted = each.where("qualifier IS NULL OR upper(o.alias) = upper(qualifier)")
-    known = columns.select(F.upper("db").alias("__db"), F.upper("name").alias("__name"), "pos", "column").distinct()
+    known = columns.groupBy(F.upper("db").alias("__db"), F.upper("name").alias("__name")).agg(F.collect_set(F.struct("pos", "column")).alias("__columns"))
     met = wanted.join(known, (F.upper("o.db") == F.col("__db")) & (F.upper("o.name") == F.col("__name")), "left")
+    # dealt by statement once, for the window, both groupings and the splice
+    met = met.repartition(key).select("*", F.explode_outer("__columns").alias("__c")).select("*", "__c.pos", "__c.column")
     again = F.row_number().over(Window.partitionBy(key, "start", F.upper("column")).orderBy("nth", "pos")) > 1
     shown = F.concat("o.alias", F.lit("."), "column", F.when(again, F.concat(F.lit(" AS "), "o.alias", F.lit("_"), "column")).otherwise(""))
     listed = met.withColumn("shown", shown).groupBy(key, "start", "stop").agg(
         F.bool_and(F.col("whole") & F.col("column").isNotNull()).alias("good"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "pos", "shown"))), lambda x: x["shown"]), ", ").alias("new"))
-    done = spliced(df, key, listed.where("good").select(key, "start", "stop", "new"), text)
-    n = stars.groupBy(key).agg(F.count("*").alias("__n"))
-    return done.join(n, key, "left").withColumn("n_unresolved", F.coalesce("__n", F.lit(0)) - F.col("n_edits")).drop("__n")
+    counted = scanned.withColumn("__n", F.size("__stars").cast("long")).drop("__stars")
+    done = spliced(counted, key, listed.where("good").select(key, "start", "stop", "new"), text)
+    return done.withColumn("n_unresolved", F.col("__n") - F.col("n_edits")).drop("__n")
 
 
 def strip_affixes_in_text(df: DataFrame, key: str, objects: DataFrame, text: str = "body") -> DataFrame:

@@ -103,3 +103,20 @@ def test_statements_of_a_kind(spark):
     kinds = {r["k"]: r["kind"] for r in T.classify_statements(df).collect()}
     for kind in ("VIEW", "INDEX", "DROP"):
         assert sorted(r["k"] for r in T.of_kind(df, kind).collect()) == [k for k, v in kinds.items() if v == kind]
+
+
+def test_stars_are_scanned_once(spark, tmp_path, monkeypatch):
+    """Each text is scanned once, whatever reads the result; a star without edits is still counted."""
+    seen, plain = str(tmp_path / "seen"), T.scan_stars
+
+    def noted(text):
+        with open(seen, "a") as out:
+            out.write(f"{text}\n")
+        return plain(text)
+
+    monkeypatch.setattr(T, "scan_stars", noted)
+    df = spark.createDataFrame([(1, "SELECT * FROM d.t"), (2, "SELECT * FROM d.none"), (3, "SELECT 1")], "k long, body string")
+    columns = spark.createDataFrame([("d", "t", 2, "y"), ("D", "T", 1, "x"), ("d", "t", 2, "y")], "db string, name string, pos int, column string")
+    got = sorted(map(tuple, T.expand_stars(df, "k", columns).collect()))
+    assert got == [(1, "SELECT t.x, t.y FROM d.t", 1, 0), (2, "SELECT * FROM d.none", 0, 1), (3, "SELECT 1", 0, 0)]
+    assert len(open(seen).read().split("\n")) - 1 == 3
