@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
 from ..functions.text import TOKEN, replaced
-from .graph import strong_components
+from .graph import cut, strong_components
 
 #: Characters up to which a value may grow; an empty value counts as one.
 MAX_CHARS = 1_000_000
