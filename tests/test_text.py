@@ -73,6 +73,35 @@ def test_resolution_is_bounded(spark):
     assert got["n", "X"] == (None, False) and got["n", "Y"] == ("{{X}}y", False)
 
 
+def test_layers_wait_for_what_they_need(spark, monkeypatch):
+    """Loops are looked for in the few values that are left inside; layers are replaced by what these came to, loops, long values and made references included."""
+    looked, plain = [], tokens.strong_components
+    monkeypatch.setattr(tokens, "strong_components", lambda edges: looked.append(edges.count()) or plain(edges))
+    monkeypatch.setattr(tokens, "FEW", 8, raising=False)
+    name = lambda *n: "".join(f"{{{{N{k}}}}}" for k in n)
+    texts = {k: name(k // 2) + (name(k // 3, k // 2) if k % 5 == 0 else "") + f".{k}" if k > 2 else "r" if k == 1 else "{{N1}}s" for k in range(1, 100)}
+    want = {}
+    for k, text in texts.items():
+        want[k] = text
+        for n in (k // 2, k // 3):
+            want[k] = want[k].replace(name(n), want[n] if n else name(n))
+    run = lambda rows, **more: {(r.env, r.token): (r.value, r.unresolved) for r in tokens.resolve_values(spark.createDataFrame(rows, "env string, token string, value string"), **more).collect()}
+    rows = [("t", f"N{k}", text) for k, text in texts.items()]
+    assert run(rows) == {("t", f"N{k}"): (text, False) for k, text in want.items()}
+    assert sum(looked) < 20
+    rows = [("l", f"R{k}", f"{{{{R{(k + 1) % 3}}}}}") for k in range(3)] + [("l", f"H{k}", f"{{{{R{k % 3}}}}}h") for k in range(20)] + [("l", f"I{k}", f"{{{{H{k}}}}}i") for k in range(20)]
+    rows += [("g", f"G{k}", f"{{{{G{k - 1}}}}}" * 2 if k else "ab") for k in range(8)] + [("g", f"K{k}", f"{{{{G{k % 8}}}}}k") for k in range(40)] + [("g", f"L{k}", f"{{{{K{k}}}}}" * 9) for k in range(40)]
+    rows += [("o", "Y", "{{{{B}}}}"), ("o", "B", "Z"), ("o", "Z", "z{{Q}}"), ("o", "Q", "q"), ("o", "P", "{{{{{{{{{{Q}}}}}}}}}}"), ("o", "q", "q2"), ("o", "q2", "q3"), ("o", "q3", "q4"), ("o", "q4", "end"), ("s", "S", "{{S}}"), ("s", "T", "t{{S}}"), ("s", "U", "{{T}}")] + [("o", f"V{k}", "{{Y}}") for k in range(30)]
+    got = run(rows, max_chars=200)
+    assert len(got) == len(rows)
+    assert all(got["l", f"R{k}"] == (f"{{{{R{(k + 1) % 3}}}}}", True) for k in range(3)) and all(got["l", f"I{k}"] == (f"{{{{R{k % 3}}}}}hi", True) for k in range(20))
+    for k in range(40):  # G7 has 256 characters; K4 has 33, so nine of it are too long
+        assert got["g", f"K{k}"] == (("ab" * 2 ** (k % 8) + "k", False) if k % 8 < 7 else ("{{G7}}k", True))
+        assert got["g", f"L{k}"] == ((("ab" * 2 ** (k % 8) + "k") * 9, False) if k % 8 < 4 else (f"{{{{K{k}}}}}" * 9, True))
+    assert got["o", "P"] == ("end", False)
+    assert all(got["o", f"V{k}"] == ("zq", False) for k in range(30)) and got["s", "S"] == ("{{S}}", False) and got["s", "U"] == ("t{{S}}", True)
+
+
 def test_a_value_is_not_replaced_in_its_turn(spark):
     df = spark.createDataFrame([(1, "x {{A}} {{B}} {{C}} {{A}}")], "id long, body string")
     tokens = spark.createDataFrame([("A", "{{B}}"), ("B", "$1 b")], "token string, value string")
